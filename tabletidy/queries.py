@@ -59,6 +59,8 @@ DE_COLS = [
 DD_COLS = [("event_type", "string"), ("user_id", "integral")]
 # P4 verdicts the fixture rules guarantee at every scale (value_txt > 0.8, code_txt = 0.8).
 DE_COERCED = {"value_txt"}
+# Integral columns the fixture rules never null (no fill, type kept).
+DE_NULL_FREE = frozenset({"event_id"})
 
 # ---------------------------------------------------------------- SQL fragments
 _PH = ", ".join("'" + p.replace("'", "''") + "'" for p in PLACEHOLDERS)
@@ -155,7 +157,7 @@ SELECT st."column", CAST(st.ordinal AS INTEGER) AS ordinal,
        {'CAST(0 AS BIGINT)' if z else 'CAST(st.missing_count AS BIGINT)'} AS missing_count,
        {'CAST(0 AS BIGINT)' if z else 'CAST(st.type_issues AS BIGINT)'} AS type_issues,
        {'CAST(0 AS BIGINT)' if z else 'CAST(st.total_issues AS BIGINT)'} AS total_issues,
-       {'0.0' if z else 'st.missing_pct'} AS missing_pct,
+       {'CAST(0.0 AS DOUBLE)' if z else 'st.missing_pct'} AS missing_pct,
        st.dtype, CAST(coalesce(un.unique_count, 0) AS BIGINT) AS unique_count,
        coalesce(sm.samples, '') AS samples
 FROM st LEFT JOIN un ON st.ordinal = un.ordinal LEFT JOIN sm ON st.ordinal = sm.ordinal
@@ -166,8 +168,12 @@ def _p2_select(cols) -> str:
     return ", ".join(f"CASE WHEN {_miss(c, k)} THEN NULL ELSE {c} END AS {c}" if k == "string" else c for c, k in cols)
 
 
-def _clean_sql(src: str, cols, coerced: set[str], dedup: bool = True) -> str:
-    """I5 as SQL: P2 → D1 → P5 → fills (median / earliest / mode / 'Unknown')."""
+def _clean_sql(src: str, cols, coerced: set[str], null_free: frozenset[str] = frozenset(), dedup: bool = True) -> str:
+    """I5 as SQL: P2 → D1 → P5 → fills (median / earliest / mode / 'Unknown').
+
+    ``null_free`` names the integral columns the fixture never nulls: they need no
+    fill and keep their integer type (SQL types are static, so this is pinned).
+    """
     p2 = f"SELECT {_p2_select(cols)} FROM {src}"
     d = f"SELECT DISTINCT * FROM ({p2}) p" if dedup else p2
     coerce_sel = ", ".join(f"{_coerce(c)} AS {c}" if c in coerced else c for c, _ in cols)
@@ -186,9 +192,7 @@ def _clean_sql(src: str, cols, coerced: set[str], dedup: bool = True) -> str:
     for c, k in cols:
         if c in coerced or k in ("integral", "float", "decimal", "bool"):
             fills.append(
-                f"CASE WHEN f.nul_{c} > 0 THEN coalesce(CAST(c.{c} AS DOUBLE), f.med_{c}, 0.0) ELSE c.{c} END AS {c}"
-                if c not in coerced and k != "float"
-                else f"coalesce(CAST(c.{c} AS DOUBLE), f.med_{c}, 0.0) AS {c}"
+                f"c.{c}" if c in null_free else f"coalesce(CAST(c.{c} AS DOUBLE), f.med_{c}, 0.0) AS {c}"
             )
         elif k == "datetime":
             fills.append(f"coalesce(c.{c}, f.min_{c}) AS {c}")
@@ -209,6 +213,8 @@ def _dd(inner: str) -> str:
 
 
 def _runs(inner: str) -> str:
+    if inner.lstrip().startswith("WITH "):  # merge the caller's CTEs into one WITH list
+        inner = ", " + inner.lstrip()[len("WITH "):]
     return f"WITH runs AS ({fx.RUNS_FLAT_SQL}) {inner}"
 
 
@@ -646,17 +652,20 @@ def _oracle() -> dict[str, str]:
 FROM ({de_stats}) s LEFT JOIN (SELECT ordinal, count(*) AS n FROM ({_freq_sql('de', DE_COLS, 'event_id', 'null')}) f GROUP BY ordinal) u ON s.ordinal = u.ordinal"""
     )
     o["d1_dedup"] = _dd(f"SELECT DISTINCT * FROM ({dd_p2}) p")
-    clean_de = _clean_sql("de", DE_COLS, DE_COERCED)
+    clean_de = _clean_sql("de", DE_COLS, DE_COERCED, DE_NULL_FREE)
     o["i1_fill_numeric"] = _de(f"SELECT event_id, user_id, value_txt FROM ({clean_de}) x")
     o["i2_fill_ts"] = _de("SELECT event_id, coalesce(ts, (SELECT min(ts) FROM de)) AS ts FROM de")
     o["i3_fill_mode"] = _de(f"SELECT event_id, event_type, code_txt, blank FROM ({clean_de}) x")
     o["i5_clean"] = _de(f"SELECT * FROM ({clean_de}) x")
     o["i5_clean_dups"] = _dd(f"SELECT * FROM ({_clean_sql('dd', DD_COLS, set())}) x")
 
-    def summary_sql(src, cols, coerced):
+    def summary_sql(src, cols, coerced, null_free=frozenset()):
         st = _stats_sql(src, cols)
-        cleaned = _clean_sql(src, cols, coerced)
+        cleaned = _clean_sql(src, cols, coerced, null_free)
+
         def after_kind(c, k):
+            if c in null_free:
+                return k
             return "float" if (c in coerced or k in ("integral", "bool", "decimal")) else k
 
         after_miss = " + ".join(f"count_if({_miss(c, after_kind(c, k))})" for c, k in cols)
@@ -667,9 +676,9 @@ FROM ({de_stats}) s LEFT JOIN (SELECT ordinal, count(*) AS n FROM ({_freq_sql('d
   CAST((SELECT {after_miss} FROM ({cleaned}) c3) AS BIGINT) AS missing_after,
   CAST({len(cols)} AS BIGINT) AS columns"""
 
-    o["i5_summary"] = _de(summary_sql("de", DE_COLS, DE_COERCED))
+    o["i5_summary"] = _de(summary_sql("de", DE_COLS, DE_COERCED, DE_NULL_FREE))
     o["i5_summary_dups"] = _dd(summary_sql("dd", DD_COLS, set()))
-    after_cols = [(c, "float" if (c in DE_COERCED or c == "user_id") else k) for c, k in DE_COLS]
+    after_cols = [(c, "float" if (c in DE_COERCED or (k == "integral" and c not in DE_NULL_FREE)) else k) for c, k in DE_COLS]
     o["i6_after_profile"] = _de(
         f"SELECT * FROM ({_profile_sql('cl', after_cols, 'event_id', zero=True).replace('WITH st AS', f'WITH cl AS ({clean_de}), st AS', 1)}) p"
     )
