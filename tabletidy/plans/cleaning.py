@@ -260,6 +260,13 @@ class CleanResult:
     plan: CleaningPlan
     profile_before: list[dict[str, Any]]
     profile_after: list[dict[str, Any]]
+    stats: list = field(default_factory=list)  # fit-1 rows, one per input column
+    prepared: DataFrame | None = None  # the persisted P2 + D1 table under ``cleaned``
+
+    def release(self) -> None:
+        """Drop the persisted intermediate once the cleaned table has been written."""
+        if self.prepared is not None:
+            self.prepared.unpersist()
 
 
 def clean(
@@ -307,7 +314,9 @@ def clean(
         "missing_summary_before": [r.asDict(recursive=True) for r in before],
         "missing_summary_after": after_rows,
     }
-    return CleanResult(cleaned, summary, plan, summary["missing_summary_before"], after_rows)
+    return CleanResult(
+        cleaned, summary, plan, summary["missing_summary_before"], after_rows, stats, prepared if persist else None
+    )
 
 
 def table_metrics(stats: list, cleaned_schema: T.StructType) -> dict[str, Any]:
