@@ -93,15 +93,19 @@ def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _as_null(f: T.StructField, ph: list[str]) -> Column:
+    k = kind_of(f.dataType)
+    if k == "string":
+        return replace_placeholders(_col(f.name), ph).alias(f.name)
+    if k == "float":  # E6: NaN and null are one missing value, so they must merge in D1
+        return F.nanvl(_col(f.name), F.lit(None).cast(f.dataType)).alias(f.name)
+    return _col(f.name)
+
+
 def replace_all_placeholders(df: DataFrame, placeholders: Iterable[str] = PLACEHOLDERS) -> DataFrame:
-    """P2 over every string column in one projection."""
+    """P2 over every column in one projection: placeholder text and NaN become null."""
     ph = list(placeholders)
-    return df.select(
-        *[
-            replace_placeholders(_col(f.name), ph).alias(f.name) if kind_of(f.dataType) == "string" else _col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    return df.select(*[_as_null(f, ph) for f in df.schema.fields])
 
 
 def drop_exact_duplicates(df: DataFrame) -> DataFrame:
