@@ -269,7 +269,7 @@ def report_table(profiles: DataFrame, runs: DataFrame) -> DataFrame:
 
 def profile_report(profile: DataFrame, max_chars: int = 200) -> DataFrame:
     """One report row per profiled column; examples joined, long text shortened."""
-    ex = F.array_join(F.col("sample_values"), ", ")
+    ex = F.array_join(F.col("sample_values").cast("array<string>"), ", ")
     short = F.when(F.length(ex) > max_chars, F.concat(F.substring(ex, 1, max_chars - 3), F.lit("..."))).otherwise(ex)
     return profile.select(
         "column",

@@ -339,9 +339,10 @@ def q_a14_mode(spark, sf):
 def q_a16_dropped(spark, sf):
     dd = fx.dirty_dups(spark, sf)
     d1 = drop_exact_duplicates(replace_all_placeholders(dd))
-    a = dd.agg(F.count(F.lit(1)).alias("original_rows"))
-    b = d1.agg(F.count(F.lit(1)).alias("cleaned_rows"))
-    return a.crossJoin(b).select(
+    # both counts in one aggregate over tagged rows (no join of the two results)
+    tagged = dd.select(F.lit(1).alias("o"), F.lit(0).alias("c")).unionByName(d1.select(F.lit(0).alias("o"), F.lit(1).alias("c")))
+    counts = tagged.agg(F.sum("o").cast("long").alias("original_rows"), F.sum("c").cast("long").alias("cleaned_rows"))
+    return counts.select(
         "original_rows", "cleaned_rows", (F.col("original_rows") - F.col("cleaned_rows")).alias("dropped_duplicates")
     )
 
