@@ -36,9 +36,10 @@ PLACEHOLDERS: tuple[str, ...] = (
 # --- fixed values: the text an all-missing string column is filled with.
 UNKNOWN_FILL = "Unknown"
 
-# Leading/trailing whitespace as Python's str.strip() sees it: Unicode
-# White_Space plus the four ASCII separators \x1c-\x1f (Java's (?U)\s lacks them).
-_STRIP_RE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Leading/trailing whitespace as Python's str.strip() sees it, derived from
+# Python itself (Unicode White_Space plus the ASCII separators \x1c-\x1f that
+# Java's \s lacks); trimming a character set is far cheaper than a regex per cell.
+STRIP_CHARS = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
 
 # Text that Python's float() accepts (ASCII digits only): decimal with optional
 # exponent and single underscores between digits, or signed inf/infinity/nan.
@@ -79,7 +80,7 @@ NUMERIC_KINDS = frozenset({"float", "integral", "decimal", "bool"})
 
 def strip_ws(c: Column) -> Column:
     """str.strip(): remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(c, _STRIP_RE, "")
+    return F.trim(c, F.lit(STRIP_CHARS))
 
 
 def is_placeholder(c: Column, placeholders: Iterable[str] = PLACEHOLDERS) -> Column:

@@ -1,21 +1,22 @@
 """Column profiling.
 
-Two jobs make a profile, whatever the table's width:
-
-* ``stats_frame``: one wide aggregate with map-side partials (no shuffle beyond
-  one row per task) that counts missing cells, raw nulls and numeric-looking text
-  for every column at once, reshaped to one row per column.
-* ``value_stats``: one unpivot to ``(ordinal, value)`` followed by a single
-  frequency table ``(ordinal, value) → n, first_ord``; distinct counts, the
-  first-k samples and the mode all derive from it. The frequency aggregate
-  combines map-side, so a value that fills a third of a column costs one row per
-  task in the shuffle, not a third of the table.
+A full profile is one scan and one shuffle, whatever the table's width:
+every cell is unpivoted to ``(ordinal, text)`` and aggregated into a frequency
+table ``(ordinal, value) → n, first_ord`` (map-side partial aggregation, so a
+value that fills a third of a column costs one row per task in the shuffle).
+The cell predicates (missing, raw null, numeric text) are then evaluated once
+per *distinct* value instead of once per cell, and the per-column counts,
+distinct counts, first-k samples and modes all derive from that one table.
+
+``stats_frame`` is the shuffle-free variant (one wide aggregate, one tiny row
+per task) for callers that need only the counts: the fit step, the raw preview.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,9 @@ from tabletidy.functions.predicates import (
     PLACEHOLDERS,
     dtype_label,
     is_missing,
+    is_placeholder,
     kind_of,
+    numeric_text_ok,
     parses_as_number,
     pct,
 )
@@ -58,11 +61,30 @@ def with_order(df: DataFrame, order_by: str | None) -> DataFrame:
     An explicit column is preferred; otherwise the scan position
     (``monotonically_increasing_id``), which follows file and offset order.
     """
+    if ORD in df.columns:
+        return df
     if order_by is not None:
         return df.withColumn(ORD, F.col(order_by).cast("long"))
     return df.withColumn(ORD, F.monotonically_increasing_id())
 
 
+def spread(df: DataFrame, order_by: str | None = None) -> tuple[DataFrame, bool]:
+    """Spread an under-partitioned input over all task slots; returns (frame, spread?).
+
+    A scan with fewer partitions than the session's parallelism (one large
+    unsplittable file, one parquet row group) would run the per-cell work in a
+    few tasks. Such an input gets its order key first (so first-appearance
+    semantics survive), is repartitioned round-robin and persisted, since the
+    caller scans it more than once. An input that already has enough partitions
+    (the normal case at scale) is returned unchanged.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df, False
+    keyed = with_order(df, order_by)
+    return keyed.repartition(slots).persist(StorageLevel.MEMORY_AND_DISK), True
+
+
 def _fields(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[int, T.StructField]]:
     fields = [f for f in df.schema.fields if f.name != ORD]
     if columns is not None:
@@ -79,32 +101,30 @@ def stats_frame(df: DataFrame, placeholders: Iterable[str] = PLACEHOLDERS) -> Da
     """
     ph = list(placeholders)
     fields = _fields(df, None)
+    # Evaluate each cell predicate once in a projection, then count the flags.
+    flags: list[Column] = []
     aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
     for i, f in fields:
         c = F.col(f"`{f.name}`")
-        aggs.append(F.count_if(is_missing(c, f.dataType, ph)).alias(f"m{i}"))
-        aggs.append(F.count_if(is_null_like(c, f.dataType)).alias(f"n{i}"))
+        flags.append(is_missing(c, f.dataType, ph).alias(f"m{i}"))
+        flags.append(is_null_like(c, f.dataType).alias(f"n{i}"))
+        aggs += [F.count_if(F.col(f"m{i}")).alias(f"m{i}"), F.count_if(F.col(f"n{i}")).alias(f"n{i}")]
         if kind_of(f.dataType) == "string":
-            aggs.append(
-                F.count_if(~is_missing(c, f.dataType, ph) & parses_as_number(c, f.dataType)).alias(f"k{i}")
-            )
-    one = df.agg(*aggs)
+            flags.append(parses_as_number(c, f.dataType).alias(f"p{i}"))
+            aggs.append(F.count_if(~F.col(f"m{i}") & F.col(f"p{i}")).alias(f"k{i}"))
+    one = df.select(*flags).agg(*aggs)
     rows = F.col("rows")
     entries = []
     for i, f in fields:
         k = kind_of(f.dataType)
         m, n = F.col(f"m{i}"), F.col(f"n{i}")
-        nonmissing = rows - m
         if k == "string":
             ok = F.col(f"k{i}")
         elif k in NUMERIC_KINDS:
-            ok = nonmissing
+            ok = rows - m
         else:
             ok = F.lit(0).cast("long")
-        if k in ("integral", "bool"):
-            label = F.when(n > 0, dtype_label(f.dataType, True)).otherwise(dtype_label(f.dataType, False))
-        else:
-            label = F.lit(dtype_label(f.dataType, False))
+        label = F.when(n > 0, dtype_label(f.dataType, True)).otherwise(dtype_label(f.dataType, False))
         entries.append(
             F.struct(
                 F.lit(f.name).alias("column"),
@@ -121,20 +141,10 @@ def stats_frame(df: DataFrame, placeholders: Iterable[str] = PLACEHOLDERS) -> Da
         return one.sparkSession.createDataFrame(
             [],
             "column string, ordinal int, kind string, rows bigint, missing_count bigint, "
-            "null_count bigint, numeric_ok bigint, is_numeric boolean, type_issues bigint, "
-            "total_issues bigint, missing_pct double, dtype string",
+            "null_count bigint, numeric_ok bigint, dtype string, is_numeric boolean, type_issues bigint, "
+            "total_issues bigint, missing_pct double",
         )
-    per_col = one.select(F.inline(F.array(*entries)))
-    nonmissing = F.col("rows") - F.col("missing_count")
-    # Strictly more than 80 % of the non-missing values parse as numbers.
-    is_numeric = F.coalesce(F.try_divide(F.col("numeric_ok").cast("double"), nonmissing.cast("double")) > 0.8, F.lit(False))
-    type_issues = F.when((F.col("kind") == "string") & is_numeric, nonmissing - F.col("numeric_ok")).otherwise(F.lit(0).cast("long"))
-    return (
-        per_col.withColumn("is_numeric", is_numeric)
-        .withColumn("type_issues", type_issues.cast("long"))
-        .withColumn("total_issues", F.col("missing_count") + F.col("type_issues"))
-        .withColumn("missing_pct", pct(F.col("missing_count"), F.col("rows")))
-    )
+    return _with_verdicts(one.select(F.inline(F.array(*entries))))
 
 
 def frequency_table(
@@ -147,40 +157,50 @@ def frequency_table(
     """``(ordinal, value, n, first_ord)``: how often each text value occurs per column.
 
     ``exclude="missing"`` leaves out P1-missing cells (profile semantics);
-    ``exclude="null"`` only raw nulls/NaN (the raw column info, A18).
+    ``exclude="null"`` only raw nulls/NaN (the raw column info, A18);
+    ``exclude="none"`` keeps every cell, a null cell as a null ``value``.
     """
     ph = list(placeholders)
     src = df if ORD in df.columns else with_order(df, order_by)
     cells = []
     for i, f in _fields(df, columns):
         c = F.col(f"`{f.name}`")
-        dropped = is_missing(c, f.dataType, ph) if exclude == "missing" else is_null_like(c, f.dataType)
-        cells.append(F.struct(F.lit(i).alias("ordinal"), F.when(~dropped, c.cast("string")).alias("value")))
+        text = c.cast("string")
+        if exclude == "missing":
+            text = F.when(~is_missing(c, f.dataType, ph), text)
+        elif exclude == "null":
+            text = F.when(~is_null_like(c, f.dataType), text)
+        cells.append(F.struct(F.lit(i).alias("ordinal"), text.alias("value")))
     if not cells:
         return src.sparkSession.createDataFrame([], "ordinal int, value string, n bigint, first_ord bigint")
-    long_form = src.select(F.col(ORD), F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+    long_form = src.select(F.col(ORD), F.inline(F.array(*cells)))
+    if exclude != "none":
+        long_form = long_form.where(F.col("value").isNotNull())
     return long_form.groupBy("ordinal", "value").agg(
         F.count(F.lit(1)).alias("n"), F.min(ORD).alias("first_ord")
     )
 
 
-def value_stats(freq: DataFrame, top_values: int = 3) -> DataFrame:
-    """``(ordinal, unique_count, sample_values)`` from a frequency table.
+def first_values(freq: DataFrame, top_values: int = 3) -> DataFrame:
+    """``(ordinal, sample_values)``: the first ``top_values`` distinct texts by first appearance.
 
-    Samples are the first ``top_values`` distinct texts by first appearance. The
-    ``row_number() <= k`` filter becomes a window group limit that also runs
+    The ``row_number() <= k`` filter becomes a window group limit that also runs
     before the shuffle, so each task sends at most k rows per column.
     """
-    uniques = freq.groupBy("ordinal").agg(F.count(F.lit(1)).alias("unique_count"))
     w = Window.partitionBy("ordinal").orderBy("first_ord", "value")
-    firsts = (
+    return (
         freq.withColumn("rk", F.row_number().over(w))
         .where(F.col("rk") <= top_values)
         .groupBy("ordinal")
         .agg(F.sort_array(F.collect_list(F.struct("rk", "value"))).alias("s"))
         .select("ordinal", F.col("s.value").alias("sample_values"))
     )
-    return uniques.join(firsts, "ordinal", "left")
+
+
+def value_stats(freq: DataFrame, top_values: int = 3) -> DataFrame:
+    """``(ordinal, unique_count, sample_values)`` from a frequency table."""
+    uniques = freq.groupBy("ordinal").agg(F.count(F.lit(1)).alias("unique_count"))
+    return uniques.join(first_values(freq, top_values), "ordinal", "left")
 
 
 def mode_frame(freq: DataFrame) -> DataFrame:
@@ -194,58 +214,142 @@ def mode_frame(freq: DataFrame) -> DataFrame:
     )
 
 
-def _assemble(stats: DataFrame, vals: DataFrame, sort: str) -> DataFrame:
-    # one row per column on both sides: the stats side is bounded by the width
-    out = F.broadcast(stats).join(vals, "ordinal", "left").select(
-        "column",
-        F.col("ordinal").cast("int").alias("ordinal"),
-        F.col("missing_count").cast("long").alias("missing_count"),
-        F.col("type_issues").cast("long").alias("type_issues"),
-        F.col("total_issues").cast("long").alias("total_issues"),
-        F.col("missing_pct").cast("double").alias("missing_pct"),
-        "dtype",
-        F.coalesce(F.col("unique_count"), F.lit(0).cast("long")).alias("unique_count"),
-        F.coalesce(F.col("sample_values"), F.array().cast("array<string>")).alias("sample_values"),
+def _field_table(df: DataFrame) -> DataFrame:
+    """One row per column: ordinal, name, kind and its two possible dtype labels."""
+    rows = [
+        (i, f.name, kind_of(f.dataType), dtype_label(f.dataType, True), dtype_label(f.dataType, False))
+        for i, f in _fields(df, None)
+    ]
+    return df.sparkSession.createDataFrame(
+        rows, "ordinal int, column string, kind string, label_nulls string, label_plain string"
     )
-    return out.orderBy(F.col(sort).desc(), F.col("ordinal"))
 
 
-def profile(
+def _value_flags(df: DataFrame, placeholders: Iterable[str]) -> dict[str, Column]:
+    """P1 / raw-null / P3 flags of a frequency-table row, from its column's kind."""
+    fields = _fields(df, None)
+
+    def ords(pred) -> list[int]:
+        return [i for i, f in fields if pred(kind_of(f.dataType))]
+
+    o, v = F.col("ordinal"), F.col("value")
+    is_str = o.isin(ords(lambda k: k == "string"))
+    is_flt = o.isin(ords(lambda k: k == "float"))
+    is_num = o.isin(ords(lambda k: k in NUMERIC_KINDS))
+    null_like = v.isNull() | (is_flt & (v == F.lit("NaN")))
+    missing = null_like | (is_str & is_placeholder(v, placeholders))
+    num_ok = ~missing & (F.when(is_str, numeric_text_ok(v)).otherwise(is_num))
+    return {"null_like": null_like, "missing": missing, "num_ok": num_ok}
+
+
+def profile_frame(
     df: DataFrame,
     top_values: int = 3,
     placeholders: Iterable[str] = PLACEHOLDERS,
     order_by: str | None = None,
-    sort: str = "total_issues",
+    freq: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per column with the fields of ``PROFILE_SCHEMA``.
+    """Everything about every column from one frequency table.
 
-    ``sort="total_issues"`` (engine order, L1) or ``"missing_pct"`` (library
-    order, L2); both descending with the column ordinal pinning ties.
+    Columns: the ``PROFILE_SCHEMA`` fields plus ``kind``, ``rows``, ``null_count``,
+    ``numeric_ok`` and ``is_numeric`` (the fit step's inputs). The table has two
+    consumers (per-column counts, first-k samples); column pruning makes their
+    plans differ, so a lazy profile reads the input twice. ``profile_rows``
+    passes a persisted ``freq`` instead, which is read once.
     """
     ph = list(placeholders)
-    stats = stats_frame(df, ph)
-    freq = frequency_table(df, "missing", None, ph, order_by)
-    return _assemble(stats, value_stats(freq, top_values), sort)
+    fields = _field_table(df)
+    if freq is None:
+        freq = frequency_table(df, "none", None, ph, order_by)
+    flags = _value_flags(df, ph)
+    n = F.col("n")
+    counts = freq.groupBy("ordinal").agg(
+        F.sum(n).alias("rows"),
+        F.sum(F.when(flags["missing"], n).otherwise(0)).alias("missing_count"),
+        F.sum(F.when(flags["null_like"], n).otherwise(0)).alias("null_count"),
+        F.sum(F.when(flags["num_ok"], n).otherwise(0)).alias("numeric_ok"),
+        F.count_if(~flags["missing"]).alias("unique_count"),
+    )
+    samples = first_values(freq.where(~flags["missing"]), top_values)
+    zero = F.lit(0).cast("long")
+    # one row per column on the field side: bounded by the table's width
+    joined = F.broadcast(fields).join(counts, "ordinal", "left").join(samples, "ordinal", "left")
+    rows = F.coalesce("rows", zero)  # every cell, null or not, is in the table
+    base = joined.select(
+        "column",
+        F.col("ordinal").cast("int").alias("ordinal"),
+        "kind",
+        F.coalesce("missing_count", zero).cast("long").alias("missing_count"),
+        F.coalesce("null_count", zero).cast("long").alias("null_count"),
+        F.coalesce("numeric_ok", zero).cast("long").alias("numeric_ok"),
+        rows.cast("long").alias("rows"),
+        F.when(F.coalesce("null_count", zero) > 0, F.col("label_nulls")).otherwise(F.col("label_plain")).alias("dtype"),
+        F.coalesce("unique_count", zero).cast("long").alias("unique_count"),
+        F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
+    )
+    return _with_verdicts(base)
+
+
+def _with_verdicts(per_col: DataFrame) -> DataFrame:
+    """P4, A5, A6, A3 from per-column counts (rows, missing_count, numeric_ok, kind)."""
+    nonmissing = F.col("rows") - F.col("missing_count")
+    # Strictly more than 80 % of the non-missing values parse as numbers.
+    is_numeric = F.coalesce(
+        F.try_divide(F.col("numeric_ok").cast("double"), nonmissing.cast("double")) > 0.8, F.lit(False)
+    )
+    type_issues = F.when((F.col("kind") == "string") & is_numeric, nonmissing - F.col("numeric_ok")).otherwise(
+        F.lit(0).cast("long")
+    )
+    return (
+        per_col.withColumn("is_numeric", is_numeric)
+        .withColumn("type_issues", type_issues.cast("long"))
+        .withColumn("total_issues", F.col("missing_count") + F.col("type_issues"))
+        .withColumn("missing_pct", pct(F.col("missing_count"), F.col("rows")))
+    )
 
 
-STATS_COLUMNS = ("column", "ordinal", "missing_count", "type_issues", "total_issues", "missing_pct", "dtype")
+PROFILE_COLUMNS = [f.name for f in PROFILE_SCHEMA.fields]
 
 
-def profile_from_stats(
+def profile_rows(
     df: DataFrame,
-    stats_rows: list,
     top_values: int = 3,
     placeholders: Iterable[str] = PLACEHOLDERS,
     order_by: str | None = None,
     sort: str = "total_issues",
-) -> DataFrame:
-    """A8 reusing already collected ``stats_frame`` rows (saves the counting pass)."""
+) -> list:
+    """Eager A8 (``profile_frame`` rows, sorted): one scan, one shuffle.
+
+    The frequency table is persisted while its two consumers read it, then
+    released; an under-partitioned input is spread first (``spread``). The
+    result holds one row per column, so it is small on the driver.
+    """
     ph = list(placeholders)
-    spark = df.sparkSession
-    schema_text = "column string, ordinal int, missing_count bigint, type_issues bigint, total_issues bigint, missing_pct double, dtype string"
-    stats = spark.createDataFrame([tuple(r[c] for c in STATS_COLUMNS) for r in stats_rows], schema_text)
-    freq = frequency_table(df, "missing", None, ph, order_by)
-    return _assemble(stats, value_stats(freq, top_values), sort)
+    src, spread_out = spread(df, order_by)
+    freq = frequency_table(src, "none", None, ph, order_by).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = profile_frame(src, top_values, ph, order_by, freq=freq).collect()
+    finally:
+        freq.unpersist()
+        if spread_out:
+            src.unpersist()
+    return sorted(rows, key=lambda r: (-r[sort], r["ordinal"]))
+
+
+def profile(
+    df: DataFrame,
+    top_values: int = 3,
+    placeholders: Iterable[str] = PLACEHOLDERS,
+    order_by: str | None = None,
+    sort: str = "total_issues",
+) -> DataFrame:
+    """One row per column with the fields of ``PROFILE_SCHEMA``.
+
+    ``sort="total_issues"`` (engine order, L1) or ``"missing_pct"`` (library
+    order, L2); both descending with the column ordinal pinning ties.
+    """
+    full = profile_frame(df, top_values, placeholders, order_by)
+    return full.select(*PROFILE_COLUMNS).orderBy(F.col(sort).desc(), F.col("ordinal"))
 
 
 def raw_preview_profile(df: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from tabletidy.functions.predicates import (
     replace_placeholders,
 )
 from tabletidy.operators.impute import column_minimums, column_modes, exact_medians
-from tabletidy.operators.profile import ORD, profile, profile_from_stats, stats_frame, with_order
+from tabletidy.operators.profile import ORD, PROFILE_COLUMNS, profile, profile_rows, spread, stats_frame, with_order
 
 
 @dataclass
@@ -163,6 +163,11 @@ def coerce_columns(prepared: DataFrame, plan: CleaningPlan) -> DataFrame:
 def fit_types(df: DataFrame, placeholders: Iterable[str] = PLACEHOLDERS, drop_duplicates: bool = True):
     """fit-1: one aggregate → per-column kinds and the P4 verdict. Returns (plan, stats rows)."""
     stats = stats_frame(df, placeholders).collect()  # one row per column
+    return plan_from_stats(stats, placeholders, drop_duplicates), stats
+
+
+def plan_from_stats(stats: list, placeholders: Iterable[str] = PLACEHOLDERS, drop_duplicates: bool = True) -> CleaningPlan:
+    """The type half of a plan from per-column rows (kind, is_numeric)."""
     cols = []
     for r in sorted(stats, key=lambda r: r["ordinal"]):
         cols.append(
@@ -174,7 +179,7 @@ def fit_types(df: DataFrame, placeholders: Iterable[str] = PLACEHOLDERS, drop_du
                 coerce=bool(r["is_numeric"]) and r["kind"] == "string",
             )
         )
-    return CleaningPlan(cols, drop_duplicates, list(placeholders)), stats
+    return CleaningPlan(cols, drop_duplicates, list(placeholders))
 
 
 def fit_fills(prepared: DataFrame, plan: CleaningPlan) -> tuple[CleaningPlan, int]:
@@ -265,12 +270,13 @@ class CleanResult:
     profile_before: list[dict[str, Any]]
     profile_after: list[dict[str, Any]]
     stats: list = field(default_factory=list)  # fit-1 rows, one per input column
-    prepared: DataFrame | None = None  # the persisted P2 + D1 table under ``cleaned``
+    cached: list[DataFrame] = field(default_factory=list)  # persisted intermediates under ``cleaned``
 
     def release(self) -> None:
-        """Drop the persisted intermediate once the cleaned table has been written."""
-        if self.prepared is not None:
-            self.prepared.unpersist()
+        """Drop the persisted intermediates once the cleaned table has been written."""
+        for df in self.cached:
+            df.unpersist()
+        self.cached = []
 
 
 def clean(
@@ -289,21 +295,26 @@ def clean(
     Profiles hold one entry per column, so they are small driver-side lists.
     """
     ph = list(placeholders)
-    plan, stats = fit_types(df, ph, drop_duplicates)
-    before = profile_from_stats(df, stats, top_values, ph, order_by).collect()
-    prepared = _prepared(df, plan, order_by, keep_order=True)
+    src, spread_out = spread(df, order_by) if persist else (df, False)
+    cached = [src] if spread_out else []
+
+    # before profile + fit-1 from one frequency table (one scan, one shuffle)
+    stats = profile_rows(src, top_values, ph, order_by)
+    plan = plan_from_stats(stats, ph, drop_duplicates)
+    prepared = _prepared(src, plan, order_by, keep_order=True)
     if persist:
         prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+        cached.append(prepared)
     plan, cleaned_rows = fit_fills(prepared, plan)
     ordered = apply_fills(prepared, plan)
     cleaned = ordered.drop(ORD)
-    after_stats = stats_frame(cleaned, ph).collect()
-    after = profile_from_stats(ordered, after_stats, top_values, ph, None).collect()
-    missing_after = int(sum(r["missing_count"] for r in after_stats))
-    after_rows = [r.asDict(recursive=True) for r in after]
+    after = profile_rows(ordered, top_values, ph)
+    missing_after = int(sum(r["missing_count"] for r in after))
+    after_rows = [{k: r[k] for k in PROFILE_COLUMNS} for r in after]
     if not honest_after:
         for r in after_rows:
             r.update(missing_count=0, type_issues=0, total_issues=0, missing_pct=0.0)
+    before_rows = [{k: r[k] for k in PROFILE_COLUMNS} for r in stats]
     original_rows = int(stats[0]["rows"]) if stats else int(df.count())
     missing_before = int(sum(r["total_issues"] for r in stats))
     summary = {
@@ -315,12 +326,10 @@ def clean(
         "missing_before": missing_before,
         "missing_after": missing_after,
         "columns": len(plan.columns),
-        "missing_summary_before": [r.asDict(recursive=True) for r in before],
+        "missing_summary_before": before_rows,
         "missing_summary_after": after_rows,
     }
-    return CleanResult(
-        cleaned, summary, plan, summary["missing_summary_before"], after_rows, stats, prepared if persist else None
-    )
+    return CleanResult(cleaned, summary, plan, before_rows, after_rows, stats, cached)
 
 
 def table_metrics(stats: list, cleaned_schema: T.StructType) -> dict[str, Any]:
