@@ -32,12 +32,20 @@ def exact_medians(
     counts: dict[str, int] | None = None,
     accuracy: int = 10_000,
     bracket_limit: int = 100_000,
-    max_rounds: int = 6,
+    max_rounds: int = 12,
 ) -> dict[str, float | None]:
     """Exact median of each column (nulls and NaN skipped; even count → mean of the middle two).
 
-    Every pass is an aggregate over the whole table whose result is a few numbers
-    per column, so nothing grows with the data on the driver or in one task.
+    Each middle rank r is a *target*. A round asks ``percentile_approx`` for two
+    values a ≤ b around r inside the target's current bracket, then counts
+    exactly how many values are < a, ≤ a, < b and ≤ b. If r falls on the copies
+    of a or of b the answer is found; if it falls strictly between them the
+    bracket becomes the open interval (a, b), which excludes both, so a value
+    holding a third of the column cannot stall the search. Brackets shrink by
+    about ``accuracy`` per round; once one holds at most ``bracket_limit`` rows it
+    is resolved exactly from (value, count) pairs and a running sum. Every pass
+    is an aggregate over the whole table with a few numbers per column as its
+    result, and the final window holds at most ``bracket_limit`` rows per target.
     """
     columns = list(columns)
     if not columns:
@@ -46,97 +54,84 @@ def exact_medians(
         row = df.agg(*[F.count(_value(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
         counts = {c: int(row[f"c{i}"]) for i, c in enumerate(columns)}
     out: dict[str, float | None] = {c: None for c in columns}
-    # per column: bracket [lo, hi] (None = open), rows below lo, rows inside
-    st: dict[str, dict[str, Any]] = {}
+    # one target per middle rank: column, rank, bracket (lo, lo_open, hi, hi_open), rows below/inside
+    targets: list[dict[str, Any]] = []
     for c in columns:
         n = counts[c]
         if n > 0:
-            st[c] = {"lo": None, "hi": None, "below": 0, "inside": n, "k1": (n - 1) // 2, "k2": n // 2, "margin": 2.0}
+            for r in sorted({(n - 1) // 2, n // 2}):
+                targets.append({"col": c, "r": r, "lo": None, "lo_open": False, "hi": None, "hi_open": False,
+                                "below": 0, "inside": n, "margin": 2.0, "value": None})
 
-    def inside(c: str, lo, hi):
-        v = _value(c)
+    def in_bracket(t: dict[str, Any]):
+        v = _value(t["col"])
         cond = v.isNotNull()
-        if lo is not None:
-            cond = cond & (v >= F.lit(lo))
-        if hi is not None:
-            cond = cond & (v <= F.lit(hi))
+        if t["lo"] is not None:
+            cond = cond & ((v > F.lit(t["lo"])) if t["lo_open"] else (v >= F.lit(t["lo"])))
+        if t["hi"] is not None:
+            cond = cond & ((v < F.lit(t["hi"])) if t["hi_open"] else (v <= F.lit(t["hi"])))
         return cond
 
+    eps = 1.0 / accuracy
     for _ in range(max_rounds):
-        todo = [c for c, s in st.items() if s["inside"] > bracket_limit and not s.get("stalled")]
+        todo = [t for t in targets if t["value"] is None and t["inside"] > bracket_limit]
         if not todo:
             break
-        eps = 1.0 / accuracy
         probes = []
-        for i, c in enumerate(todo):
-            s = st[c]
-            m = s["inside"]
-            q1 = max(0.0, (s["k1"] - s["below"]) / m - s["margin"] * eps)
-            q2 = min(1.0, (s["k2"] - s["below"]) / m + s["margin"] * eps)
-            v = F.when(inside(c, s["lo"], s["hi"]), _value(c))
-            probes.append(F.percentile_approx(v, [q1, q2], accuracy).alias(f"p{i}"))
+        for i, t in enumerate(todo):
+            q = (t["r"] - t["below"]) / t["inside"]
+            qs = [max(0.0, q - t["margin"] * eps), min(1.0, q + t["margin"] * eps)]
+            probes.append(F.percentile_approx(F.when(in_bracket(t), _value(t["col"])), qs, accuracy).alias(f"p{i}"))
         approx = df.agg(*probes).first()
-        cand = {c: approx[f"p{i}"] for i, c in enumerate(todo)}
         checks = []
-        for i, c in enumerate(todo):
-            lo, hi = cand[c]
-            v = _value(c)
-            checks.append(F.count_if(v < F.lit(lo)).alias(f"b{i}"))
-            checks.append(F.count_if(v <= F.lit(hi)).alias(f"u{i}"))
+        for i, t in enumerate(todo):
+            a, b = approx[f"p{i}"]
+            v = _value(t["col"])
+            checks += [
+                F.count_if(v < F.lit(a)).alias(f"la{i}"),
+                F.count_if(v <= F.lit(a)).alias(f"ea{i}"),
+                F.count_if(v < F.lit(b)).alias(f"lb{i}"),
+                F.count_if(v <= F.lit(b)).alias(f"eb{i}"),
+            ]
         exact = df.agg(*checks).first()
-        for i, c in enumerate(todo):
-            s = st[c]
-            lo, hi = cand[c]
-            below, upto = int(exact[f"b{i}"]), int(exact[f"u{i}"])
-            if below <= s["k1"] and s["k2"] < upto:
-                new_inside = upto - below
-                if new_inside * 2 > s["inside"]:
-                    s["stalled"] = True  # heavy duplicates at the bracket ends
-                s.update(lo=lo, hi=hi, below=below, inside=new_inside)
+        for i, t in enumerate(todo):
+            a, b = approx[f"p{i}"]
+            la, ea, lb, eb = (int(exact[f"{k}{i}"]) for k in ("la", "ea", "lb", "eb"))
+            r = t["r"]
+            if la <= r < ea:
+                t["value"] = float(a)
+            elif lb <= r < eb:
+                t["value"] = float(b)
+            elif ea <= r < lb:
+                t.update(lo=a, lo_open=True, hi=b, hi_open=True, below=ea, inside=lb - ea)
             else:
-                s["margin"] *= 4.0  # the sketch missed: widen and retry
-
-    if not st:
-        return out
-    # Resolve inside the brackets from (value, count) pairs and a running sum; a
-    # bracket holds at most ``bracket_limit`` rows or few distinct values.
-    names = list(st)
-    cells = [
-        F.struct(F.lit(i).alias("ci"), F.when(inside(c, st[c]["lo"], st[c]["hi"]), _value(c)).alias("v"))
-        for i, c in enumerate(names)
-    ]
-    pairs = (
-        df.select(F.inline(F.array(*cells)))
-        .where(F.col("v").isNotNull())
-        .groupBy("ci", "v")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-    w = Window.partitionBy("ci").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = pairs.withColumn("cum", F.sum("cnt").over(w))
-    targets = F.create_map(
-        *[x for i, c in enumerate(names) for x in (F.lit(i), F.array(F.lit(st[c]["k1"] - st[c]["below"]), F.lit(st[c]["k2"] - st[c]["below"])))]
-    )
-    r = targets[F.col("ci")]
-    hit = ((F.col("cum") - F.col("cnt") <= r[0]) & (r[0] < F.col("cum"))) | (
-        (F.col("cum") - F.col("cnt") <= r[1]) & (r[1] < F.col("cum"))
-    )
-    found = ranked.where(hit).select("ci", "v", "cum", "cnt").collect()
-    by_col: dict[int, list] = {}
-    for row in found:
-        by_col.setdefault(row["ci"], []).append(row)
-    for i, c in enumerate(names):
-        s = st[c]
-        r1, r2 = s["k1"] - s["below"], s["k2"] - s["below"]
-        rows = by_col.get(i, [])
-
-        def at(rank: int) -> float:
-            for row in rows:
-                if row["cum"] - row["cnt"] <= rank < row["cum"]:
-                    return float(row["v"])
-            raise RuntimeError(f"median rank {rank} not found for {c}")
-
-        a, b = at(r1), at(r2)
-        out[c] = a if r1 == r2 else (a + b) / 2.0
+                t["margin"] *= 4.0  # the sketch missed the rank: widen the probe and retry
+
+    rest = [t for t in targets if t["value"] is None]
+    if rest:
+        # Resolve the remaining small brackets from (value, count) pairs.
+        cells = [
+            F.struct(F.lit(i).alias("ti"), F.when(in_bracket(t), _value(t["col"])).alias("v"))
+            for i, t in enumerate(rest)
+        ]
+        pairs = (
+            df.select(F.inline(F.array(*cells)))
+            .where(F.col("v").isNotNull())
+            .groupBy("ti", "v")
+            .agg(F.count(F.lit(1)).alias("cnt"))
+        )
+        w = Window.partitionBy("ti").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        local = F.create_map(*[x for i, t in enumerate(rest) for x in (F.lit(i), F.lit(t["r"] - t["below"]))])[F.col("ti")]
+        ranked = pairs.withColumn("cum", F.sum("cnt").over(w))
+        hits = ranked.where((F.col("cum") - F.col("cnt") <= local) & (local < F.col("cum"))).select("ti", "v").collect()
+        for row in hits:
+            rest[row["ti"]]["value"] = float(row["v"])
+    for c in columns:
+        vals = [t["value"] for t in targets if t["col"] == c]
+        if vals:
+            if any(v is None for v in vals):
+                raise RuntimeError(f"median of {c} not resolved")
+            out[c] = sum(vals) / len(vals)
     return out
 
 

@@ -168,3 +168,13 @@ def test_random_frames_against_pandas_rules(spark):
         for k in ("original_rows", "cleaned_rows", "dropped_duplicates", "missing_before", "missing_after"):
             assert res.summary[k] == expect_summary[k], k
         res.release()
+
+
+@pytest.mark.parametrize("heavy_at", [5.0, 9.5])
+def test_exact_median_with_a_third_of_rows_on_one_value(spark, heavy_at):
+    """A value holding a third of the column at (or away from) the median cannot stall the search."""
+    rng = np.random.default_rng(3)
+    vals = np.concatenate([np.full(9000, heavy_at), rng.uniform(0, 10, size=18001)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(8)
+    got = exact_medians(df, ["x"], bracket_limit=20, accuracy=500)
+    assert got["x"] == float(np.median(vals))
