@@ -294,6 +294,8 @@ def clean(
     ``result.cleaned`` in a write, then ``unpersist`` it when done.
     Profiles hold one entry per column, so they are small driver-side lists.
     """
+    if not isinstance(df, DataFrame):  # S2: the in-memory source is a DataFrame
+        raise TypeError("df must be a Spark DataFrame")
     ph = list(placeholders)
     src, spread_out = spread(df, order_by) if persist else (df, False)
     cached = [src] if spread_out else []

@@ -24,9 +24,10 @@ from tabletidy.functions.predicates import (
 )
 from tabletidy.operators import history as H
 from tabletidy.operators import report as R
-from tabletidy.operators.impute import column_minimums, column_modes, exact_medians
+from tabletidy.operators.impute import column_minimums, exact_medians
 from tabletidy.operators.profile import (
     frequency_table,
+    mode_frame,
     head_preview,
     profile,
     raw_column_info,
@@ -327,13 +328,24 @@ def q_a13_min_ts(spark, sf):
     return a.unionByName(b)
 
 
+def _modes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column, mode)`` as a lazy frame: frequency table + min_by, names by ordinal."""
+    sub = df.select(*columns)
+    names = F.array(*[F.lit(c) for c in columns])
+    return mode_frame(frequency_table(sub, "null", order_by=None)).select(
+        F.element_at(names, F.col("ordinal") + 1).alias("column"), "mode"
+    )
+
+
 def q_a14_mode(spark, sf):
     """Most frequent value of each text column (after P2), ties to the smallest."""
     p2 = replace_all_placeholders(_de_df(spark, sf))
     li = fx.table(spark, sf, "lineitem")
-    modes = column_modes(p2, ["event_type", "value_txt", "code_txt", "blank"])
-    modes.update(column_modes(li, ["l_returnflag", "l_linestatus"]))
-    return spark.createDataFrame(sorted(modes.items()), "column string, mode string")
+    text = ["event_type", "value_txt", "code_txt", "blank"]
+    # an all-missing column has no frequency rows: its mode is null
+    present = _modes(p2, text)
+    allcols = spark.createDataFrame([(c,) for c in text], "column string")
+    return allcols.join(present, "column", "left").unionByName(_modes(li, ["l_returnflag", "l_linestatus"]))
 
 
 def q_a16_dropped(spark, sf):

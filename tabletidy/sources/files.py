@@ -141,12 +141,13 @@ def read_csv(spark: SparkSession, path: str, infer_types: bool = True) -> DataFr
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Header in every part file, nulls as empty cells, pandas-like timestamp text."""
+    """Header in every part file, nulls as empty cells, timestamps as
+    ``yyyy-MM-dd HH:mm:ss.ffffff`` (no precision lost)."""
     (
         df.write.mode(mode)
         .option("header", True)
-        .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+        .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         .csv(path)
     )
 
