@@ -199,3 +199,12 @@ SELECT run_id, "column", stage, ordinal,
        CAST(rows - missing_count AS BIGINT) AS unique_count
 FROM st
 """
+
+
+# The dirty events after a CSV round trip (S4 then S1): the CSV reader types an
+# integer column with nulls as double and leaves timestamps as text.
+EVENTS_CSV_SQL = f"""
+SELECT event_id, CAST(user_id AS DOUBLE) AS user_id, event_type, value_txt, code_txt,
+       strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, blank
+FROM ({DIRTY_EVENTS_SQL}) de
+"""

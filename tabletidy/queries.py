@@ -7,6 +7,7 @@ the same computation independently for the correctness oracle; column names matc
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,11 @@ from tabletidy.operators.profile import (
     stats_frame,
     value_stats,
 )
+from tabletidy.plans.pipeline import clean_path, ingest
+from tabletidy.session import checkpoint_dir
+from tabletidy.sources.files import read_csv, read_summaries, write_csv, write_summary_json
+from tabletidy.sources.tables import read_runs
+from tabletidy.streaming.landing import watch_landing
 from tabletidy.plans.cleaning import (
     after_profile,
     clean,
@@ -549,6 +555,64 @@ def q_h5_per_user(spark, sf):
     return H.runs_per_user(fx.runs_synth(spark, sf))
 
 
+# ---------------------------------------------------------------- file pipeline (S1, S4-S8, I7, I8, ST1)
+def _scratch(spark) -> str:
+    """A fresh folder under the shared checkpoint folder (``spark.checkpoint.dir``)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tabletidy-queries/{uuid.uuid4().hex}"
+
+
+def _events_csv(spark, sf, parts: int | None = None) -> str:
+    """The dirty events written as CSV (S4); ``parts`` files when given."""
+    path = f"{_scratch(spark)}/events.csv"  # a directory of CSV part files
+    de = _de_df(spark, sf)
+    write_csv(de.repartition(parts) if parts else de, path)
+    return path
+
+
+def q_s1_s4_csv_roundtrip(spark, sf):
+    """S4 then S1: the dirty events through a CSV file and back, typed like a CSV reader."""
+    return read_csv(spark, _events_csv(spark, sf))
+
+
+def q_i7_clean_file(spark, sf):
+    """Clean the CSV of the dirty events; the cleaned table (also written as CSV)."""
+    src = _events_csv(spark, sf)
+    _, res = clean_path(spark, src, f"{src}_cleaned")
+    return res.cleaned
+
+
+def q_s5_s6_summary_json(spark, sf):
+    """S5 then S6: the run summary of I7 written as JSON and read back with the file scan."""
+    src = _events_csv(spark, sf)
+    summary, _ = clean_path(spark, src, f"{src}_cleaned")
+    folder = f"{src}_reports"
+    write_summary_json(spark, summary, f"{folder}/events_summary.json")
+    got = read_summaries(spark, folder)
+    return got.select(*[F.col(f"summary.{k}").alias(k) for k in ("original_rows", "cleaned_rows", "dropped_duplicates", "missing_before", "missing_after", "rows", "missing_pct", "numeric_cols", "categorical_cols")])
+
+
+def _runs_flat(runs: DataFrame) -> DataFrame:
+    keys = ("original_rows", "cleaned_rows", "dropped_duplicates", "missing_before", "missing_after", "columns")
+    return runs.select("uploaded_filename", *[F.col(f"summary.{k}").alias(k) for k in keys])
+
+
+def q_i8_ingest(spark, sf):
+    """I8 (+S7, S8, S10): the whole upload job on the events CSV; the recorded run."""
+    src = _events_csv(spark, sf)
+    root = f"{src}_root"
+    ingest(spark, src, root, user_email="driver")  # the whole CSV directory is one upload
+    return _runs_flat(read_runs(spark, root))
+
+
+def q_st1_landing(spark, sf):
+    """ST1: three CSV files (the events in three parts) land; the stream cleans each once."""
+    landing = _events_csv(spark, sf, parts=3)
+    root = f"{landing}_root"
+    query, _ = watch_landing(spark, landing, root, checkpoint=f"{root}/_stream")
+    query.awaitTermination()
+    return _runs_flat(read_runs(spark, root))
+
+
 QUERIES: dict[str, Query] = {
     "p1_missing_flags": q_p1_missing_flags,
     "p2_replace": q_p2_replace,
@@ -601,6 +665,11 @@ QUERIES: dict[str, Query] = {
     "h3_listing": q_h3_listing,
     "h4_user": q_h4_user,
     "h5_per_user": q_h5_per_user,
+    "s1_s4_csv_roundtrip": q_s1_s4_csv_roundtrip,
+    "i7_clean_file": q_i7_clean_file,
+    "s5_s6_summary_json": q_s5_s6_summary_json,
+    "i8_ingest": q_i8_ingest,
+    "st1_landing": q_st1_landing,
 }
 
 
@@ -829,6 +898,9 @@ FROM m"""
     )
     o["h4_user"] = _runs(f"SELECT run_id, user_email, original_rows FROM runs WHERE user_email = {busiest}")
     o["h5_per_user"] = _runs("SELECT user_email, count(*) AS processing_count FROM runs GROUP BY user_email")
+    o["s1_s4_csv_roundtrip"] = fx.EVENTS_CSV_SQL
+    rt_cols = [(c, {"user_id": "float", "ts": "string"}.get(c, k)) for c, k in DE_COLS]
+    o["i7_clean_file"] = f"WITH rt AS ({fx.EVENTS_CSV_SQL}) SELECT * FROM ({_clean_sql('rt', rt_cols, DE_COERCED, DE_NULL_FREE)}) x"
     return o
 
 

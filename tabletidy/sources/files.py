@@ -146,6 +146,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     (
         df.write.mode(mode)
         .option("header", True)
+        .option("ignoreLeadingWhiteSpace", False)  # Spark trims on write by default; keep values exact
+        .option("ignoreTrailingWhiteSpace", False)
         .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         .csv(path)
