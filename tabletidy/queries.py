@@ -901,6 +901,20 @@ FROM m"""
     o["s1_s4_csv_roundtrip"] = fx.EVENTS_CSV_SQL
     rt_cols = [(c, {"user_id": "float", "ts": "string"}.get(c, k)) for c, k in DE_COLS]
     o["i7_clean_file"] = f"WITH rt AS ({fx.EVENTS_CSV_SQL}) SELECT * FROM ({_clean_sql('rt', rt_cols, DE_COERCED, DE_NULL_FREE)}) x"
+    rt_nulls = " + ".join(f"count_if({c} IS NULL)" for c, _ in rt_cols)
+    # cleaned schema: event_id (bigint), user_id and value_txt (double) are numeric, the rest text
+    n_numeric = 3
+    rt_summary = summary_sql("rt", rt_cols, DE_COERCED, DE_NULL_FREE)
+    o["s5_s6_summary_json"] = f"""WITH rt AS ({fx.EVENTS_CSV_SQL})
+SELECT s.original_rows, s.cleaned_rows, s.dropped_duplicates, s.missing_before, s.missing_after,
+  CAST((SELECT count(*) FROM rt) AS BIGINT) AS "rows",
+  (SELECT {_pct(rt_nulls, f'count(*) * {len(rt_cols)}')} FROM rt) AS missing_pct,
+  CAST({n_numeric} AS INTEGER) AS numeric_cols, CAST({len(rt_cols) - n_numeric} AS INTEGER) AS categorical_cols
+FROM ({rt_summary}) s"""
+    o["i8_ingest"] = f"""WITH rt AS ({fx.EVENTS_CSV_SQL})
+SELECT 'events.csv' AS uploaded_filename, s.original_rows, s.cleaned_rows, s.dropped_duplicates,
+  s.missing_before, s.missing_after, CAST(s.columns AS INTEGER) AS columns
+FROM ({rt_summary}) s"""
     return o
 
 
