@@ -93,14 +93,28 @@ def _fields(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[int, T.S
     return list(enumerate(fields))
 
 
+STATS_CHUNK = 200  # columns per aggregate: keeps generated code under the JVM method limits
+
+
 def stats_frame(df: DataFrame, placeholders: Iterable[str] = PLACEHOLDERS) -> DataFrame:
     """Per-column counts from one aggregate pass.
 
     Columns: column, ordinal, kind, rows, missing_count, null_count, numeric_ok,
-    is_numeric, type_issues, total_issues, missing_pct, dtype.
+    dtype, is_numeric, type_issues, total_issues, missing_pct. A table wider than
+    ``STATS_CHUNK`` columns is counted in chunks (one pass each) and unioned.
     """
-    ph = list(placeholders)
     fields = _fields(df, None)
+    if len(fields) <= STATS_CHUNK:
+        return _stats_chunk(df, fields, placeholders)
+    parts = [_stats_chunk(df, fields[i : i + STATS_CHUNK], placeholders) for i in range(0, len(fields), STATS_CHUNK)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _stats_chunk(df: DataFrame, fields: list[tuple[int, T.StructField]], placeholders: Iterable[str]) -> DataFrame:
+    ph = list(placeholders)
     # Evaluate each cell predicate once in a projection, then count the flags.
     flags: list[Column] = []
     aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]

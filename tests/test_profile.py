@@ -113,3 +113,16 @@ def test_head_preview(spark):
     df = spark.range(100).select((99 - F.col("id")).alias("k"))
     got = [r["k"] for r in head_preview(df, 10, order_by="k").collect()]
     assert got == list(range(10))
+
+
+def test_wide_table_stats_in_chunks(spark, monkeypatch):
+    from tabletidy.operators import profile as P
+
+    monkeypatch.setattr(P, "STATS_CHUNK", 3)
+    rows = [(1, None, "N/A", 2.0, "x", None, 7), (2, 5, "b", None, "y", "z", 7)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint, c string, d double, e string, f string, g bigint")
+    st = {r["column"]: (r["ordinal"], r["missing_count"], r["dtype"]) for r in P.stats_frame(df).collect()}
+    assert st == {
+        "a": (0, 0, "int64"), "b": (1, 1, "float64"), "c": (2, 1, "object"), "d": (3, 1, "float64"),
+        "e": (4, 0, "object"), "f": (5, 1, "object"), "g": (6, 0, "int64"),
+    }
