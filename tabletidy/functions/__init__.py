@@ -15,6 +15,8 @@ from tabletidy.functions.predicates import (
     numeric_text_ok,
     parses_as_number,
     pct,
+    placeholder_sets,
+    placeholders_json,
     replace_placeholders,
     strip_ws,
 )
@@ -34,6 +36,8 @@ __all__ = [
     "numeric_text_ok",
     "parses_as_number",
     "pct",
+    "placeholder_sets",
+    "placeholders_json",
     "replace_placeholders",
     "strip_ws",
 ]

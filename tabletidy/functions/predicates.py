@@ -6,7 +6,7 @@ whole-stage codegen; there is no Python UDF anywhere in the library.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,6 +78,32 @@ def kind_of(dt: T.DataType) -> str:
 NUMERIC_KINDS = frozenset({"float", "integral", "decimal", "bool"})
 
 
+Placeholders = Iterable[str] | Mapping[str, Iterable[str]]
+
+
+def placeholder_sets(placeholders: Placeholders = PLACEHOLDERS) -> Callable[[str], tuple[str, ...]]:
+    """Column name → its placeholder texts.
+
+    One iterable applies to every text column; a mapping overrides columns by
+    name, with ``"*"`` (else the fixed list) for the rest. Example: keep the real
+    category ``error`` of one column with ``{"event_type": [p for p in
+    PLACEHOLDERS if p != "error"]}``.
+    """
+    if isinstance(placeholders, Mapping):
+        default = tuple(placeholders.get("*", PLACEHOLDERS))
+        per = {k: tuple(v) for k, v in placeholders.items() if k != "*"}
+        return lambda name: per.get(name, default)
+    fixed = tuple(placeholders)
+    return lambda name: fixed
+
+
+def placeholders_json(placeholders: Placeholders) -> list[str] | dict[str, list[str]]:
+    """The placeholder setting in a JSON-serialisable form (for a CleaningPlan)."""
+    if isinstance(placeholders, Mapping):
+        return {k: list(v) for k, v in placeholders.items()}
+    return list(placeholders)
+
+
 def strip_ws(c: Column) -> Column:
     """str.strip(): remove leading/trailing Unicode whitespace."""
     return F.trim(c, F.lit(STRIP_CHARS))

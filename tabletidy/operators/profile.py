@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from tabletidy.functions.predicates import (
     NUMERIC_KINDS,
     PLACEHOLDERS,
+    Placeholders,
     dtype_label,
     is_missing,
     is_placeholder,
@@ -31,6 +32,7 @@ from tabletidy.functions.predicates import (
     numeric_text_ok,
     parses_as_number,
     pct,
+    placeholder_sets,
 )
 
 ORD = "__tt_ord"
@@ -96,7 +98,7 @@ def _fields(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[int, T.S
 STATS_CHUNK = 200  # columns per aggregate: keeps generated code under the JVM method limits
 
 
-def stats_frame(df: DataFrame, placeholders: Iterable[str] = PLACEHOLDERS) -> DataFrame:
+def stats_frame(df: DataFrame, placeholders: Placeholders = PLACEHOLDERS) -> DataFrame:
     """Per-column counts from one aggregate pass.
 
     Columns: column, ordinal, kind, rows, missing_count, null_count, numeric_ok,
@@ -113,14 +115,14 @@ def stats_frame(df: DataFrame, placeholders: Iterable[str] = PLACEHOLDERS) -> Da
     return out
 
 
-def _stats_chunk(df: DataFrame, fields: list[tuple[int, T.StructField]], placeholders: Iterable[str]) -> DataFrame:
-    ph = list(placeholders)
+def _stats_chunk(df: DataFrame, fields: list[tuple[int, T.StructField]], placeholders: Placeholders) -> DataFrame:
+    ph = placeholder_sets(placeholders)
     # Evaluate each cell predicate once in a projection, then count the flags.
     flags: list[Column] = []
     aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
     for i, f in fields:
         c = F.col(f"`{f.name}`")
-        flags.append(is_missing(c, f.dataType, ph).alias(f"m{i}"))
+        flags.append(is_missing(c, f.dataType, ph(f.name)).alias(f"m{i}"))
         flags.append(is_null_like(c, f.dataType).alias(f"n{i}"))
         aggs += [F.count_if(F.col(f"m{i}")).alias(f"m{i}"), F.count_if(F.col(f"n{i}")).alias(f"n{i}")]
         if kind_of(f.dataType) == "string":
@@ -165,7 +167,7 @@ def frequency_table(
     df: DataFrame,
     exclude: str = "missing",
     columns: Sequence[str] | None = None,
-    placeholders: Iterable[str] = PLACEHOLDERS,
+    placeholders: Placeholders = PLACEHOLDERS,
     order_by: str | None = None,
 ) -> DataFrame:
     """``(ordinal, value, n, first_ord)``: how often each text value occurs per column.
@@ -174,14 +176,14 @@ def frequency_table(
     ``exclude="null"`` only raw nulls/NaN (the raw column info, A18);
     ``exclude="none"`` keeps every cell, a null cell as a null ``value``.
     """
-    ph = list(placeholders)
+    ph = placeholder_sets(placeholders)
     src = df if ORD in df.columns else with_order(df, order_by)
     cells = []
     for i, f in _fields(df, columns):
         c = F.col(f"`{f.name}`")
         text = c.cast("string")
         if exclude == "missing":
-            text = F.when(~is_missing(c, f.dataType, ph), text)
+            text = F.when(~is_missing(c, f.dataType, ph(f.name)), text)
         elif exclude == "null":
             text = F.when(~is_null_like(c, f.dataType), text)
         cells.append(F.struct(F.lit(i).alias("ordinal"), text.alias("value")))
@@ -239,9 +241,10 @@ def _field_table(df: DataFrame) -> DataFrame:
     )
 
 
-def _value_flags(df: DataFrame, placeholders: Iterable[str]) -> dict[str, Column]:
+def _value_flags(df: DataFrame, placeholders: Placeholders) -> dict[str, Column]:
     """P1 / raw-null / P3 flags of a frequency-table row, from its column's kind."""
     fields = _fields(df, None)
+    ph = placeholder_sets(placeholders)
 
     def ords(pred) -> list[int]:
         return [i for i, f in fields if pred(kind_of(f.dataType))]
@@ -251,7 +254,15 @@ def _value_flags(df: DataFrame, placeholders: Iterable[str]) -> dict[str, Column
     is_flt = o.isin(ords(lambda k: k == "float"))
     is_num = o.isin(ords(lambda k: k in NUMERIC_KINDS))
     null_like = v.isNull() | (is_flt & (v == F.lit("NaN")))
-    missing = null_like | (is_str & is_placeholder(v, placeholders))
+    # text columns grouped by their placeholder set (one set unless overridden)
+    by_set: dict[tuple[str, ...], list[int]] = {}
+    for i, f in fields:
+        if kind_of(f.dataType) == "string":
+            by_set.setdefault(ph(f.name), []).append(i)
+    hit = F.lit(False)
+    for texts, ordinals in by_set.items():
+        hit = hit | (o.isin(ordinals) & is_placeholder(v, texts))
+    missing = null_like | hit
     num_ok = ~missing & (F.when(is_str, numeric_text_ok(v)).otherwise(is_num))
     return {"null_like": null_like, "missing": missing, "num_ok": num_ok}
 
@@ -259,7 +270,7 @@ def _value_flags(df: DataFrame, placeholders: Iterable[str]) -> dict[str, Column
 def profile_frame(
     df: DataFrame,
     top_values: int = 3,
-    placeholders: Iterable[str] = PLACEHOLDERS,
+    placeholders: Placeholders = PLACEHOLDERS,
     order_by: str | None = None,
     freq: DataFrame | None = None,
 ) -> DataFrame:
@@ -271,7 +282,7 @@ def profile_frame(
     plans differ, so a lazy profile reads the input twice. ``profile_rows``
     passes a persisted ``freq`` instead, which is read once.
     """
-    ph = list(placeholders)
+    ph = placeholders
     fields = _field_table(df)
     if freq is None:
         freq = frequency_table(df, "none", None, ph, order_by)
@@ -328,7 +339,7 @@ PROFILE_COLUMNS = [f.name for f in PROFILE_SCHEMA.fields]
 def profile_rows(
     df: DataFrame,
     top_values: int = 3,
-    placeholders: Iterable[str] = PLACEHOLDERS,
+    placeholders: Placeholders = PLACEHOLDERS,
     order_by: str | None = None,
     sort: str = "total_issues",
 ) -> list:
@@ -338,7 +349,7 @@ def profile_rows(
     released; an under-partitioned input is spread first (``spread``). The
     result holds one row per column, so it is small on the driver.
     """
-    ph = list(placeholders)
+    ph = placeholders
     src, spread_out = spread(df, order_by)
     freq = frequency_table(src, "none", None, ph, order_by).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -353,7 +364,7 @@ def profile_rows(
 def profile(
     df: DataFrame,
     top_values: int = 3,
-    placeholders: Iterable[str] = PLACEHOLDERS,
+    placeholders: Placeholders = PLACEHOLDERS,
     order_by: str | None = None,
     sort: str = "total_issues",
 ) -> DataFrame:

@@ -28,8 +28,11 @@ from tabletidy.functions.predicates import (
     NUMERIC_KINDS,
     PLACEHOLDERS,
     UNKNOWN_FILL,
+    Placeholders,
     coerce_numeric,
     kind_of,
+    placeholder_sets,
+    placeholders_json,
     replace_placeholders,
 )
 from tabletidy.operators.impute import column_minimums, column_modes, exact_medians
@@ -59,7 +62,8 @@ class ColumnPlan:
 class CleaningPlan:
     columns: list[ColumnPlan]
     drop_duplicates: bool = True
-    placeholders: list[str] = field(default_factory=lambda: list(PLACEHOLDERS))
+    # one list for every text column, or {column: list, "*": default}
+    placeholders: list[str] | dict[str, list[str]] = field(default_factory=lambda: list(PLACEHOLDERS))
 
     def to_json(self) -> str:
         def enc(v):
@@ -102,10 +106,10 @@ def _as_null(f: T.StructField, ph: list[str]) -> Column:
     return _col(f.name)
 
 
-def replace_all_placeholders(df: DataFrame, placeholders: Iterable[str] = PLACEHOLDERS) -> DataFrame:
+def replace_all_placeholders(df: DataFrame, placeholders: Placeholders = PLACEHOLDERS) -> DataFrame:
     """P2 over every column in one projection: placeholder text and NaN become null."""
-    ph = list(placeholders)
-    return df.select(*[_as_null(f, ph) for f in df.schema.fields])
+    ph = placeholder_sets(placeholders)
+    return df.select(*[_as_null(f, list(ph(f.name))) for f in df.schema.fields])
 
 
 def drop_exact_duplicates(df: DataFrame) -> DataFrame:
@@ -160,13 +164,13 @@ def coerce_columns(prepared: DataFrame, plan: CleaningPlan) -> DataFrame:
     return prepared.select(*[_value_expr(cp).alias(cp.name) for cp in plan.columns])
 
 
-def fit_types(df: DataFrame, placeholders: Iterable[str] = PLACEHOLDERS, drop_duplicates: bool = True):
+def fit_types(df: DataFrame, placeholders: Placeholders = PLACEHOLDERS, drop_duplicates: bool = True):
     """fit-1: one aggregate → per-column kinds and the P4 verdict. Returns (plan, stats rows)."""
     stats = stats_frame(df, placeholders).collect()  # one row per column
     return plan_from_stats(stats, placeholders, drop_duplicates), stats
 
 
-def plan_from_stats(stats: list, placeholders: Iterable[str] = PLACEHOLDERS, drop_duplicates: bool = True) -> CleaningPlan:
+def plan_from_stats(stats: list, placeholders: Placeholders = PLACEHOLDERS, drop_duplicates: bool = True) -> CleaningPlan:
     """The type half of a plan from per-column rows (kind, is_numeric)."""
     cols = []
     for r in sorted(stats, key=lambda r: r["ordinal"]):
@@ -179,7 +183,7 @@ def plan_from_stats(stats: list, placeholders: Iterable[str] = PLACEHOLDERS, dro
                 coerce=bool(r["is_numeric"]) and r["kind"] == "string",
             )
         )
-    return CleaningPlan(cols, drop_duplicates, list(placeholders))
+    return CleaningPlan(cols, drop_duplicates, placeholders_json(placeholders))
 
 
 def fit_fills(prepared: DataFrame, plan: CleaningPlan) -> tuple[CleaningPlan, int]:
@@ -215,7 +219,7 @@ def fit_fills(prepared: DataFrame, plan: CleaningPlan) -> tuple[CleaningPlan, in
     return plan, rows
 
 
-def fit(df: DataFrame, drop_duplicates: bool = True, placeholders: Iterable[str] = PLACEHOLDERS) -> CleaningPlan:
+def fit(df: DataFrame, drop_duplicates: bool = True, placeholders: Placeholders = PLACEHOLDERS) -> CleaningPlan:
     """Estimator step: detect types on the input, fit fills on the deduplicated table."""
     plan, _ = fit_types(df, placeholders, drop_duplicates)
     prepared = _prepared(df, plan).persist(StorageLevel.MEMORY_AND_DISK)
@@ -282,7 +286,7 @@ class CleanResult:
 def clean(
     df: DataFrame,
     drop_duplicates: bool = True,
-    placeholders: Iterable[str] = PLACEHOLDERS,
+    placeholders: Placeholders = PLACEHOLDERS,
     top_values: int = 3,
     order_by: str | None = None,
     honest_after: bool = False,
@@ -296,7 +300,7 @@ def clean(
     """
     if not isinstance(df, DataFrame):  # S2: the in-memory source is a DataFrame
         raise TypeError("df must be a Spark DataFrame")
-    ph = list(placeholders)
+    ph = placeholders
     src, spread_out = spread(df, order_by) if persist else (df, False)
     cached = [src] if spread_out else []
 

@@ -178,3 +178,22 @@ def test_exact_median_with_a_third_of_rows_on_one_value(spark, heavy_at):
     df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(8)
     got = exact_medians(df, ["x"], bracket_limit=20, accuracy=500)
     assert got["x"] == float(np.median(vals))
+
+
+def test_e9_per_column_placeholder_override(spark):
+    """'error' can be a real category: a per-column set keeps it, other columns keep the default."""
+    from tabletidy.functions import PLACEHOLDERS
+    from tabletidy.operators.profile import profile
+
+    rows = [("click", "error"), ("error", "ok"), ("error", "ok"), ("view", None)]
+    df = spark.createDataFrame(rows, "event_type string, note string")
+    keep_error = {"event_type": [p for p in PLACEHOLDERS if p != "error"]}
+    prof = {r["column"]: r["missing_count"] for r in profile(df, placeholders=keep_error).collect()}
+    assert prof == {"event_type": 0, "note": 2}
+    res = clean(df, drop_duplicates=False, placeholders=keep_error)
+    assert sorted(r["event_type"] for r in res.cleaned.collect()) == ["click", "error", "error", "view"]
+    assert sorted(r["note"] for r in res.cleaned.collect()) == ["ok"] * 4
+    again = CleaningPlan.from_json(res.plan.to_json())
+    assert again.placeholders == {"event_type": keep_error["event_type"]}
+    # the default treats 'error' as missing everywhere
+    assert {r["column"]: r["missing_count"] for r in profile(df).collect()}["event_type"] == 2
