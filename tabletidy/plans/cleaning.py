@@ -231,8 +231,16 @@ def fit(df: DataFrame, drop_duplicates: bool = True, placeholders: Placeholders
 
 
 def transform(df: DataFrame, plan: CleaningPlan, dedup: bool | None = None) -> DataFrame:
-    """Model step: P2 → D1 → P5 → fills, as one lazy plan (no aggregate, one shuffle for D1)."""
+    """Model step: P2 → D1 → P5 → fills, as one lazy plan (no aggregate, one shuffle for D1).
+
+    Works on a streaming DataFrame too (a frozen clean of arriving rows) with
+    ``dedup=False``: exact-duplicate removal over an unbounded stream would keep
+    every distinct row as state, so it is refused there; deduplicate with a
+    watermark (``dropDuplicatesWithinWatermark``) upstream instead.
+    """
     p = plan if dedup is None else CleaningPlan(plan.columns, dedup, plan.placeholders)
+    if df.isStreaming and p.drop_duplicates:
+        raise ValueError("dedup on a stream keeps every row as state: pass dedup=False")
     return apply_fills(_prepared(df, p), plan)
 
 

@@ -175,7 +175,9 @@ def _p2_select(cols) -> str:
     return ", ".join(f"CASE WHEN {_miss(c, k)} THEN NULL ELSE {c} END AS {c}" if k == "string" else c for c, k in cols)
 
 
-def _clean_sql(src: str, cols, coerced: set[str], null_free: frozenset[str] = frozenset(), dedup: bool = True) -> str:
+def _clean_sql(
+    src: str, cols, coerced: set[str], null_free: frozenset[str] = frozenset(), dedup: bool = True, apply_all: bool = False
+) -> str:
     """I5 as SQL: P2 → D1 → P5 → fills (median / earliest / mode / 'Unknown').
 
     ``null_free`` names the integral columns the fixture never nulls: they need no
@@ -208,6 +210,9 @@ def _clean_sql(src: str, cols, coerced: set[str], null_free: frozenset[str] = fr
         else:
             fills.append(f"c.{c}")
     ctes = [f"c AS (SELECT {coerce_sel} FROM ({d}) dd)", f"f AS (SELECT {', '.join(med_parts) or '1 AS one'} FROM c)"] + mode_ctes
+    if apply_all:  # fills fitted on the deduplicated table, applied to every row (a frozen plan)
+        ctes.append(f"a AS (SELECT {coerce_sel} FROM ({p2}) pp)")
+        return f"WITH {', '.join(ctes)} SELECT {', '.join(fills)} FROM a AS c, f"
     return f"WITH {', '.join(ctes)} SELECT {', '.join(fills)} FROM c, f"
 
 
@@ -411,12 +416,20 @@ def _summary_df(spark, res) -> DataFrame:
     return spark.createDataFrame([tuple(int(s[k]) for k in keys)], ", ".join(f"{k} bigint" for k in keys))
 
 
+def _summary_of(spark, df: DataFrame, **kw) -> DataFrame:
+    res = clean(df, **kw)
+    try:
+        return _summary_df(spark, res)
+    finally:
+        res.release()  # the summary is already on the driver
+
+
 def q_i5_summary(spark, sf):
-    return _summary_df(spark, clean(_de_df(spark, sf), order_by="event_id"))
+    return _summary_of(spark, _de_df(spark, sf), order_by="event_id")
 
 
 def q_i5_summary_dups(spark, sf):
-    return _summary_df(spark, clean(fx.dirty_dups(spark, sf)))
+    return _summary_of(spark, fx.dirty_dups(spark, sf))
 
 
 def q_i6_after_profile(spark, sf):
@@ -604,6 +617,24 @@ def q_i8_ingest(spark, sf):
     return _runs_flat(read_runs(spark, root))
 
 
+def q_st1_frozen_stream_clean(spark, sf):
+    """A plan fitted on the dirty events cleans the same rows arriving as parquet files (stream, no dedup)."""
+    de = _de_df(spark, sf)
+    plan = fit(de)
+    base = _scratch(spark)
+    de.repartition(3).write.parquet(f"{base}/arrivals")
+    stream = spark.readStream.schema(de.schema).parquet(f"{base}/arrivals")
+    query = (
+        transform(stream, plan, dedup=False)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{base}/_stream")
+        .trigger(availableNow=True)
+        .start(f"{base}/cleaned")
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{base}/cleaned")
+
+
 def q_st1_landing(spark, sf):
     """ST1: three CSV files (the events in three parts) land; the stream cleans each once."""
     landing = _events_csv(spark, sf, parts=3)
@@ -670,6 +701,7 @@ QUERIES: dict[str, Query] = {
     "s5_s6_summary_json": q_s5_s6_summary_json,
     "i8_ingest": q_i8_ingest,
     "st1_landing": q_st1_landing,
+    "st1_frozen_stream_clean": q_st1_frozen_stream_clean,
 }
 
 
@@ -901,6 +933,7 @@ FROM m"""
     o["s1_s4_csv_roundtrip"] = fx.EVENTS_CSV_SQL
     rt_cols = [(c, {"user_id": "float", "ts": "string"}.get(c, k)) for c, k in DE_COLS]
     o["i7_clean_file"] = f"WITH rt AS ({fx.EVENTS_CSV_SQL}) SELECT * FROM ({_clean_sql('rt', rt_cols, DE_COERCED, DE_NULL_FREE)}) x"
+    o["st1_frozen_stream_clean"] = _de(f"SELECT * FROM ({_clean_sql('de', DE_COLS, DE_COERCED, DE_NULL_FREE, apply_all=True)}) x")
     rt_nulls = " + ".join(f"count_if({c} IS NULL)" for c, _ in rt_cols)
     # cleaned schema: event_id (bigint), user_id and value_txt (double) are numeric, the rest text
     n_numeric = 3
