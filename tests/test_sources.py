@@ -135,3 +135,29 @@ def test_frozen_plan_cleans_a_stream(spark, scratch):
     got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
     want = sorted(tuple(r) for r in transform(de, plan, dedup=False).collect())
     assert got == want and len(got) == de.count()
+
+
+def test_history_filters_reach_the_scan(spark, scratch):
+    """H4 pushes the user filter into the parquet scan; a date filter prunes partitions."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from tabletidy.operators.history import latest_runs, user_runs
+    from tabletidy.sources.tables import append_run, profile_records, run_record
+
+    root = os.path.join(scratch, "hist")
+    for i, (user, day) in enumerate([("u1", 1), ("u2", 2), ("u1", 3)]):
+        summary = {"original_rows": 10 + i, "cleaned_rows": 9, "missing_summary_before": [{"column": "a", "missing_count": 1}]}
+        rid = f"r{i}"
+        assert append_run(run_record(spark, rid, summary, user, ingested_at=dt.datetime(2024, 1, day)), profile_records(spark, rid, summary), root)
+    runs = read_runs(spark, root)
+    mine = user_runs(runs, "u1")
+    plan = mine._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(user_email), EqualTo(user_email,u1)]" in plan
+    assert [r["run_id"] for r in latest_runs(runs, "u1").collect()] == ["r2", "r0"]
+    recent = runs.where(F.col("ingest_date") >= F.lit("2024-01-02").cast("date"))
+    plan2 = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ingest_date" in plan2 and recent.count() == 2
+    prof = read_profiles(spark, root).where("stage = 'before'")
+    assert "PartitionFilters: [isnotnull(stage" in prof._jdf.queryExecution().executedPlan().toString()
