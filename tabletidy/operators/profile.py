@@ -98,24 +98,30 @@ def _fields(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[int, T.S
 STATS_CHUNK = 200  # columns per aggregate: keeps generated code under the JVM method limits
 
 
-def stats_frame(df: DataFrame, placeholders: Placeholders = PLACEHOLDERS) -> DataFrame:
+def stats_frame(df: DataFrame, placeholders: Placeholders = PLACEHOLDERS, approx_rsd: float | None = None) -> DataFrame:
     """Per-column counts from one aggregate pass.
 
     Columns: column, ordinal, kind, rows, missing_count, null_count, numeric_ok,
     dtype, is_numeric, type_issues, total_issues, missing_pct. A table wider than
     ``STATS_CHUNK`` columns is counted in chunks (one pass each) and unioned.
+    With ``approx_rsd`` each column also gets ``unique_count`` from a
+    HyperLogLog sketch (``approx_count_distinct``) of its non-missing values.
     """
     fields = _fields(df, None)
     if len(fields) <= STATS_CHUNK:
-        return _stats_chunk(df, fields, placeholders)
-    parts = [_stats_chunk(df, fields[i : i + STATS_CHUNK], placeholders) for i in range(0, len(fields), STATS_CHUNK)]
+        return _stats_chunk(df, fields, placeholders, approx_rsd)
+    parts = [
+        _stats_chunk(df, fields[i : i + STATS_CHUNK], placeholders, approx_rsd) for i in range(0, len(fields), STATS_CHUNK)
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _stats_chunk(df: DataFrame, fields: list[tuple[int, T.StructField]], placeholders: Placeholders) -> DataFrame:
+def _stats_chunk(
+    df: DataFrame, fields: list[tuple[int, T.StructField]], placeholders: Placeholders, approx_rsd: float | None = None
+) -> DataFrame:
     ph = placeholder_sets(placeholders)
     # Evaluate each cell predicate once in a projection, then count the flags.
     flags: list[Column] = []
@@ -128,6 +134,9 @@ def _stats_chunk(df: DataFrame, fields: list[tuple[int, T.StructField]], placeho
         if kind_of(f.dataType) == "string":
             flags.append(parses_as_number(c, f.dataType).alias(f"p{i}"))
             aggs.append(F.count_if(~F.col(f"m{i}") & F.col(f"p{i}")).alias(f"k{i}"))
+        if approx_rsd is not None:
+            flags.append(F.when(~is_missing(c, f.dataType, ph(f.name)), c.cast("string")).alias(f"v{i}"))
+            aggs.append(F.approx_count_distinct(F.col(f"v{i}"), approx_rsd).alias(f"u{i}"))
     one = df.select(*flags).agg(*aggs)
     rows = F.col("rows")
     entries = []
@@ -151,6 +160,7 @@ def _stats_chunk(df: DataFrame, fields: list[tuple[int, T.StructField]], placeho
                 n.alias("null_count"),
                 ok.cast("long").alias("numeric_ok"),
                 label.alias("dtype"),
+                *([F.col(f"u{i}").cast("long").alias("unique_count")] if approx_rsd is not None else []),
             )
         )
     if not entries:
@@ -377,6 +387,96 @@ def profile(
     return full.select(*PROFILE_COLUMNS).orderBy(F.col(sort).desc(), F.col("ordinal"))
 
 
+def first_values_scan(
+    df: DataFrame,
+    top_values: int = 3,
+    placeholders: Placeholders = PLACEHOLDERS,
+    order_by: str | None = None,
+) -> DataFrame:
+    """``(ordinal, sample_values)`` exactly as ``first_values`` gives, without shuffling cells.
+
+    The global first k distinct values of a column are always among some
+    partition's own first k (any value with k earlier distinct values in its
+    partition has them earlier globally too). Each task therefore keeps, per
+    column, the k distinct values with the smallest order key, a bounded merge
+    per Arrow batch, and emits at most k rows per column; only those candidates
+    are shuffled. In scan order the key grows within a partition, so a task
+    stops reading once every column has k values.
+    """
+    ph = placeholder_sets(placeholders)
+    fields = _fields(df, None)
+    src = df if ORD in df.columns else with_order(df, order_by)
+    cols = [
+        F.when(~is_missing(F.col(f"`{f.name}`"), f.dataType, ph(f.name)), F.col(f"`{f.name}`").cast("string")).alias(f"v{i}")
+        for i, f in fields
+    ]
+    ordinals = [i for i, _ in fields]
+    k = top_values
+    scan_order = order_by is None
+
+    def local_first(batches):
+        import pandas as pd
+
+        best: dict[int, dict[str, int]] = {i: {} for i in ordinals}
+        full: set[int] = set()
+        for pdf in batches:
+            pos = pdf[ORD]
+            for i in ordinals:
+                if i in full:
+                    continue
+                vals = pdf[f"v{i}"]
+                keep = vals.notna()
+                if not keep.any():
+                    continue
+                firsts = pos[keep].groupby(vals[keep]).min()
+                merged = dict(best[i])
+                for v, o in firsts.items():
+                    if v not in merged or o < merged[v]:
+                        merged[v] = int(o)
+                best[i] = dict(sorted(merged.items(), key=lambda kv: (kv[1], kv[0]))[:k])
+                if scan_order and len(best[i]) >= k:
+                    full.add(i)  # later rows of this partition come later: nothing can enter
+            if scan_order and len(full) == len(ordinals):
+                break
+        rows = [(i, v, o) for i in ordinals for v, o in best[i].items()]
+        yield pd.DataFrame(rows, columns=["ordinal", "value", "first_ord"])
+
+    cand = src.select(F.col(ORD), *cols).mapInPandas(local_first, "ordinal int, value string, first_ord long")
+    firsts = cand.groupBy("ordinal", "value").agg(F.min("first_ord").alias("first_ord"))
+    return first_values(firsts, top_values)
+
+
+def profile_approx(
+    df: DataFrame,
+    top_values: int = 3,
+    placeholders: Placeholders = PLACEHOLDERS,
+    order_by: str | None = None,
+    sort: str = "total_issues",
+    rsd: float = 0.05,
+) -> DataFrame:
+    """A8 with an approximate ``unique_count`` (opt-in, SURVEY A4): no shuffle of cells.
+
+    Counts come from the shuffle-free pass (plus a HyperLogLog sketch per column
+    with relative standard deviation ``rsd``); samples are exact and come from
+    ``first_values_scan``. Every other field equals ``profile``'s.
+    """
+    stats = stats_frame(df, placeholders, approx_rsd=rsd)
+    samples = first_values_scan(df, top_values, placeholders, order_by)
+    # one row per column on both sides: bounded by the table's width
+    out = F.broadcast(stats).join(samples, "ordinal", "left").select(
+        "column",
+        F.col("ordinal").cast("int").alias("ordinal"),
+        "missing_count",
+        "type_issues",
+        "total_issues",
+        "missing_pct",
+        "dtype",
+        "unique_count",
+        F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
+    )
+    return out.orderBy(F.col(sort).desc(), F.col("ordinal"))
+
+
 def raw_preview_profile(df: DataFrame) -> DataFrame:
     """Per column the raw null count and share (no placeholders) and its type."""
     return stats_frame(df).select(

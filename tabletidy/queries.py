@@ -27,6 +27,7 @@ from tabletidy.operators import history as H
 from tabletidy.operators import report as R
 from tabletidy.operators.impute import column_minimums, exact_medians
 from tabletidy.operators.profile import (
+    first_values_scan,
     frequency_table,
     mode_frame,
     head_preview,
@@ -302,6 +303,16 @@ def q_a7_samples(spark, sf):
     ).select("column", (F.col("pos") + 1).alias("sample_rank"), "sample_value")
 
 
+def q_a7_samples_scan(spark, sf):
+    """A7 without a shuffle of cells: per-partition first values, then a bounded merge."""
+    names = F.array(*[F.lit(c) for c, _ in DE_COLS])
+    fv = first_values_scan(_de_df(spark, sf), 3, order_by="event_id")
+    return fv.select(
+        F.element_at(names, F.col("ordinal") + 1).alias("column"),
+        F.posexplode("sample_values").alias("pos", "sample_value"),
+    ).select("column", (F.col("pos") + 1).alias("sample_rank"), "sample_value")
+
+
 def _with_samples_text(prof: DataFrame) -> DataFrame:
     return prof.withColumn("samples", F.array_join("sample_values", ", ")).drop("sample_values")
 
@@ -652,6 +663,7 @@ QUERIES: dict[str, Query] = {
     "a2_a6_profile": q_a2_a6_profile,
     "a4_unique": q_a4_unique,
     "a7_samples": q_a7_samples,
+    "a7_samples_scan": q_a7_samples_scan,
     "a8_full_profile": q_a8_full_profile,
     "a9_issue_total": q_a9_issue_total,
     "a10_raw_null_pct": q_a10_raw_null_pct,
@@ -729,6 +741,7 @@ def _oracle() -> dict[str, str]:
         f'SELECT {names_case} AS "column", CAST(rk AS INTEGER) AS sample_rank, value AS sample_value '
         f'FROM ({_samples_sql("(" + _freq_sql("de", DE_COLS, "event_id") + ") f")}) s'
     )
+    o["a7_samples_scan"] = o["a7_samples"]
     o["a8_full_profile"] = _de(f"SELECT * FROM ({_profile_sql('de', DE_COLS, 'event_id')}) p")
     o["a9_issue_total"] = _de(f"SELECT CAST(sum(total_issues) AS BIGINT) AS missing_before FROM ({de_stats}) s")
     nulls = " + ".join(f"count_if({c} IS NULL)" for c, _ in DE_COLS)

@@ -126,3 +126,23 @@ def test_wide_table_stats_in_chunks(spark, monkeypatch):
         "a": (0, 0, "int64"), "b": (1, 1, "float64"), "c": (2, 1, "object"), "d": (3, 1, "float64"),
         "e": (4, 0, "object"), "f": (5, 1, "object"), "g": (6, 0, "int64"),
     }
+
+
+def test_approx_profile_matches_exact_except_distinct_counts(spark):
+    from tabletidy.fixtures import dirty_events
+    from tabletidy.operators.profile import first_values_scan, profile_approx
+
+    de = dirty_events(spark, "/root/testdata/sf0.001").repartition(4)
+    for order in (None, "event_id"):
+        exact = {r["column"]: r.asDict(recursive=True) for r in profile(de, order_by=order).collect()}
+        approx = {r["column"]: r.asDict(recursive=True) for r in profile_approx(de, order_by=order, rsd=0.01).collect()}
+        assert exact.keys() == approx.keys()
+        for c in exact:
+            e, a = exact[c], approx[c]
+            for key in ("missing_count", "type_issues", "total_issues", "missing_pct", "dtype", "sample_values"):
+                assert e[key] == a[key], (order, c, key)
+            assert abs(e["unique_count"] - a["unique_count"]) <= max(2, 0.05 * e["unique_count"])
+    # scan order with an explicit key (no early stop) agrees with the shuffled samples
+    plain = spark.createDataFrame([(i, f"v{(i * 7) % 13}") for i in range(200)], "k bigint, s string").repartition(5)
+    a = {r["ordinal"]: r["sample_values"] for r in first_values_scan(plain, 4, order_by="k").collect()}
+    assert a[1] == ["v0", "v7", "v1", "v8"]
