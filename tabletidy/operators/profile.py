@@ -135,7 +135,7 @@ def _stats_chunk(
             flags.append(parses_as_number(c, f.dataType).alias(f"p{i}"))
             aggs.append(F.count_if(~F.col(f"m{i}") & F.col(f"p{i}")).alias(f"k{i}"))
         if approx_rsd is not None:
-            flags.append(F.when(~is_missing(c, f.dataType, ph(f.name)), c.cast("string")).alias(f"v{i}"))
+            flags.append(F.when(~is_missing(c, f.dataType, ph(f.name)), c).alias(f"v{i}"))  # typed: no text cast
             aggs.append(F.approx_count_distinct(F.col(f"v{i}"), approx_rsd).alias(f"u{i}"))
     one = df.select(*flags).agg(*aggs)
     rows = F.col("rows")
