@@ -412,7 +412,9 @@ def first_values_scan(
     ]
     ordinals = [i for i, _ in fields]
     k = top_values
-    scan_order = order_by is None
+    # The key grows along a partition only when it is the scan position assigned
+    # here; an existing key (e.g. carried through a shuffle) allows no early stop.
+    scan_order = order_by is None and ORD not in df.columns
 
     def local_first(batches):
         import pandas as pd

@@ -146,3 +146,13 @@ def test_approx_profile_matches_exact_except_distinct_counts(spark):
     plain = spark.createDataFrame([(i, f"v{(i * 7) % 13}") for i in range(200)], "k bigint, s string").repartition(5)
     a = {r["ordinal"]: r["sample_values"] for r in first_values_scan(plain, 4, order_by="k").collect()}
     assert a[1] == ["v0", "v7", "v1", "v8"]
+
+
+def test_scan_samples_with_a_carried_order_key(spark):
+    """An order key carried through a shuffle is not in row order: no early stop may be taken."""
+    from tabletidy.operators.profile import ORD, first_values_scan
+
+    rows = [(i, f"v{i % 9}") for i in range(300)]
+    df = spark.createDataFrame(rows, "k bigint, s string").withColumn(ORD, F.col("k")).repartition(3, "s")
+    got = {r["ordinal"]: r["sample_values"] for r in first_values_scan(df, 3).collect()}
+    assert got[1] == ["v0", "v1", "v2"]
