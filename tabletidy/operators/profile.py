@@ -1,12 +1,15 @@
 """Column profiling.
 
-A full profile is one scan and one shuffle, whatever the table's width:
+A full profile is one shuffle of cells, whatever the table's width:
 every cell is unpivoted to ``(ordinal, text)`` and aggregated into a frequency
 table ``(ordinal, value) → n, first_ord`` (map-side partial aggregation, so a
 value that fills a third of a column costs one row per task in the shuffle).
 The cell predicates (missing, raw null, numeric text) are then evaluated once
 per *distinct* value instead of once per cell, and the per-column counts,
-distinct counts, first-k samples and modes all derive from that one table.
+distinct counts and modes derive from that one table. In scan order the first-k
+samples come from a scan that keeps at most k candidates per column and task and
+stops early (``first_values_scan``); with another order key from the table's
+first positions.
 
 ``stats_frame`` is the shuffle-free variant (one wide aggregate, one tiny row
 per task) for callers that need only the counts: the fit step, the raw preview.
@@ -179,15 +182,19 @@ def frequency_table(
     columns: Sequence[str] | None = None,
     placeholders: Placeholders = PLACEHOLDERS,
     order_by: str | None = None,
+    with_first: bool = True,
 ) -> DataFrame:
     """``(ordinal, value, n, first_ord)``: how often each text value occurs per column.
 
+    ``with_first=False`` leaves out ``first_ord`` (no order key is attached or
+    carried through the shuffle) when only counts are needed.
+
     ``exclude="missing"`` leaves out P1-missing cells (profile semantics);
     ``exclude="null"`` only raw nulls/NaN (the raw column info, A18);
     ``exclude="none"`` keeps every cell, a null cell as a null ``value``.
     """
     ph = placeholder_sets(placeholders)
-    src = df if ORD in df.columns else with_order(df, order_by)
+    src = (df if ORD in df.columns else with_order(df, order_by)) if with_first else df
     cells = []
     for i, f in _fields(df, columns):
         c = F.col(f"`{f.name}`")
@@ -198,13 +205,14 @@ def frequency_table(
             text = F.when(~is_null_like(c, f.dataType), text)
         cells.append(F.struct(F.lit(i).alias("ordinal"), text.alias("value")))
     if not cells:
-        return src.sparkSession.createDataFrame([], "ordinal int, value string, n bigint, first_ord bigint")
-    long_form = src.select(F.col(ORD), F.inline(F.array(*cells)))
+        schema = "ordinal int, value string, n bigint" + (", first_ord bigint" if with_first else "")
+        return src.sparkSession.createDataFrame([], schema)
+    keep = [F.col(ORD)] if with_first else []
+    long_form = src.select(*keep, F.inline(F.array(*cells)))
     if exclude != "none":
         long_form = long_form.where(F.col("value").isNotNull())
-    return long_form.groupBy("ordinal", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.min(ORD).alias("first_ord")
-    )
+    aggs = [F.count(F.lit(1)).alias("n")] + ([F.min(ORD).alias("first_ord")] if with_first else [])
+    return long_form.groupBy("ordinal", "value").agg(*aggs)
 
 
 def first_values(freq: DataFrame, top_values: int = 3) -> DataFrame:
@@ -287,15 +295,19 @@ def profile_frame(
     """Everything about every column from one frequency table.
 
     Columns: the ``PROFILE_SCHEMA`` fields plus ``kind``, ``rows``, ``null_count``,
-    ``numeric_ok`` and ``is_numeric`` (the fit step's inputs). The table has two
-    consumers (per-column counts, first-k samples); column pruning makes their
-    plans differ, so a lazy profile reads the input twice. ``profile_rows``
-    passes a persisted ``freq`` instead, which is read once.
+    ``numeric_ok`` and ``is_numeric`` (the fit step's inputs). Counts and distinct
+    counts come from the frequency table. The first-k samples come, in scan
+    order, from ``first_values_scan`` (it stops reading early and sends at most k
+    values per column and task), so the cells are shuffled once. With another
+    order key they come from the table's ``first_ord`` (a window group limit);
+    the table then has two consumers whose pruned plans differ, so pass a
+    persisted ``freq`` (as ``profile_rows`` does) to avoid computing it twice.
     """
     ph = placeholders
     fields = _field_table(df)
+    early = freq is None and _scan_order(df, order_by)
     if freq is None:
-        freq = frequency_table(df, "none", None, ph, order_by)
+        freq = frequency_table(df, "none", None, ph, order_by, with_first=not early)
     flags = _value_flags(df, ph)
     n = F.col("n")
     counts = freq.groupBy("ordinal").agg(
@@ -305,7 +317,10 @@ def profile_frame(
         F.sum(F.when(flags["num_ok"], n).otherwise(0)).alias("numeric_ok"),
         F.count_if(~flags["missing"]).alias("unique_count"),
     )
-    samples = first_values(freq.where(~flags["missing"]), top_values)
+    if early:
+        samples = first_values_scan(df, top_values, ph, order_by)
+    else:
+        samples = first_values(freq.where(~flags["missing"]), top_values)
     zero = F.lit(0).cast("long")
     # one row per column on the field side: bounded by the table's width
     joined = F.broadcast(fields).join(counts, "ordinal", "left").join(samples, "ordinal", "left")
@@ -353,19 +368,23 @@ def profile_rows(
     order_by: str | None = None,
     sort: str = "total_issues",
 ) -> list:
-    """Eager A8 (``profile_frame`` rows, sorted): one scan, one shuffle.
+    """Eager A8 (``profile_frame`` rows, sorted).
 
-    The frequency table is persisted while its two consumers read it, then
-    released; an under-partitioned input is spread first (``spread``). The
-    result holds one row per column, so it is small on the driver.
+    An under-partitioned input is spread first (``spread``). In scan order the
+    profile is one shuffle of cells plus the bounded sample scan; otherwise the
+    frequency table is persisted while its two consumers read it. Everything
+    persisted is released before returning; the result holds one row per column.
     """
     ph = placeholders
     src, spread_out = spread(df, order_by)
-    freq = frequency_table(src, "none", None, ph, order_by).persist(StorageLevel.MEMORY_AND_DISK)
+    freq = None
     try:
+        if not _scan_order(src, order_by):
+            freq = frequency_table(src, "none", None, ph, order_by).persist(StorageLevel.MEMORY_AND_DISK)
         rows = profile_frame(src, top_values, ph, order_by, freq=freq).collect()
     finally:
-        freq.unpersist()
+        if freq is not None:
+            freq.unpersist()
         if spread_out:
             src.unpersist()
     return sorted(rows, key=lambda r: (-r[sort], r["ordinal"]))
@@ -387,6 +406,14 @@ def profile(
     return full.select(*PROFILE_COLUMNS).orderBy(F.col(sort).desc(), F.col("ordinal"))
 
 
+def _scan_order(df: DataFrame, order_by: str | None) -> bool:
+    """Is the order key the scan position assigned in this pass (so it grows along a partition)?
+
+    An existing key (e.g. carried through a shuffle) or an explicit column does not.
+    """
+    return order_by is None and ORD not in df.columns
+
+
 def first_values_scan(
     df: DataFrame,
     top_values: int = 3,
@@ -412,9 +439,7 @@ def first_values_scan(
     ]
     ordinals = [i for i, _ in fields]
     k = top_values
-    # The key grows along a partition only when it is the scan position assigned
-    # here; an existing key (e.g. carried through a shuffle) allows no early stop.
-    scan_order = order_by is None and ORD not in df.columns
+    scan_order = _scan_order(df, order_by)
 
     def local_first(batches):
         import pandas as pd

@@ -156,3 +156,15 @@ def test_scan_samples_with_a_carried_order_key(spark):
     df = spark.createDataFrame(rows, "k bigint, s string").withColumn(ORD, F.col("k")).repartition(3, "s")
     got = {r["ordinal"]: r["sample_values"] for r in first_values_scan(df, 3).collect()}
     assert got[1] == ["v0", "v1", "v2"]
+
+
+def test_scan_order_samples_agree_with_frequency_table(spark):
+    """In scan order the bounded early-stopping scan gives the frequency table's first values."""
+    from tabletidy.fixtures import dirty_events
+    from tabletidy.operators.profile import ORD, frequency_table, profile_frame, with_order
+
+    de = with_order(dirty_events(spark, "/root/testdata/sf0.001").repartition(5), None).drop(ORD)
+    keyed = with_order(de, None)  # the same scan positions, attached once and carried
+    scan = {r["column"]: r["sample_values"] for r in profile_frame(de).collect()}
+    table = {r["column"]: r["sample_values"] for r in profile_frame(keyed, freq=frequency_table(keyed, "none")).collect()}
+    assert scan == table and any(len(v) == 3 for v in scan.values())
