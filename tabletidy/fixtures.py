@@ -129,33 +129,31 @@ def profiles_synth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long-form before/after profiles, five columns per synthetic run.
 
     ``(run_id, column, stage)`` is unique; some keys exist in one stage only.
-    The five columns come from ``explode(sequence(...))``, not a join.
+    The (column, stage) pairs come from one ``explode``, not a join or a union,
+    so ``orders`` is scanned once.
     """
     runs = runs_flat(spark, sf_dir).select(
         F.col("run_id").cast("long").alias("key"), "run_id", "original_rows", "cleaned_rows"
     )
-    per_col = runs.select("*", F.explode(F.sequence(F.lit(0), F.lit(SYNTH_COLUMNS - 1))).alias("k"))
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(st).alias("stage")) for k in range(SYNTH_COLUMNS) for st in ("before", "after")])
+    per = runs.select("*", F.inline(pairs))
     key, k = F.col("key"), F.col("k")
-    dtype = F.element_at(F.array(*[F.lit(d) for d in DTYPE_CYCLE]), (k % 3 + 1).cast("int"))
-    before = per_col.where((key + k) % 13 != 0).select(
-        "run_id",
-        F.concat(F.lit("c"), k.cast("string")).alias("column"),
-        F.lit("before").alias("stage"),
-        k.cast("int").alias("ordinal"),
-        F.col("original_rows").alias("rows"),
-        ((key * 7 + k * 11) % F.col("original_rows")).alias("missing_count"),
-        dtype.alias("dtype"),
+    before = F.col("stage") == "before"
+    exists = F.when(before, (key + k) % 13 != 0).otherwise((key * 3 + k) % 17 != 0)
+    rows = F.when(before, F.col("original_rows")).otherwise(F.col("cleaned_rows"))
+    missing = F.when(before, (key * 7 + k * 11) % F.col("original_rows")).otherwise(
+        F.least((key + k) % 3, F.col("cleaned_rows"))
     )
-    after = per_col.where((key * 3 + k) % 17 != 0).select(
+    dtype = F.element_at(F.array(*[F.lit(d) for d in DTYPE_CYCLE]), (k % 3 + 1).cast("int"))
+    both = per.where(exists).select(
         "run_id",
         F.concat(F.lit("c"), k.cast("string")).alias("column"),
-        F.lit("after").alias("stage"),
+        "stage",
         k.cast("int").alias("ordinal"),
-        F.col("cleaned_rows").alias("rows"),
-        F.least((key + k) % 3, F.col("cleaned_rows")).alias("missing_count"),
+        rows.alias("rows"),
+        missing.alias("missing_count"),
         dtype.alias("dtype"),
     )
-    both = before.unionByName(after)
     return both.select(
         "run_id",
         "column",
