@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import datetime as _dt
 import json
-from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
