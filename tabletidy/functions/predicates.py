@@ -47,6 +47,8 @@ NUMERIC_TEXT_RE = (
     r"^(?:[+-]?((\d(_?\d)*)(\.(\d(_?\d)*)?)?|\.\d(_?\d)*)([eE][+-]?\d(_?\d)*)?"
     r"|(?i:[+-]?(inf|infinity|nan)))$"
 )
+# Integer text (what a pandas parse keeps as int64).
+INTEGER_TEXT_RE = r"^[+-]?\d+$"
 # What a pandas-style coercion parses: the same grammar without underscores.
 COERCIBLE_TEXT_RE = (
     r"^(?:[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?"

@@ -54,6 +54,12 @@ def listing(runs: DataFrame) -> DataFrame:
     )
 
 
+def run_detail(runs: DataFrame, run_id: str) -> DataFrame:
+    """H3 detail: one run by key, with its listing fields and whole summary."""
+    mine = runs.where(F.col("run_id") == F.lit(run_id))
+    return listing(mine).join(mine.select("run_id", "summary"), "run_id")
+
+
 def user_runs(runs: DataFrame, user_email: str | Column) -> DataFrame:
     """H4: the runs of one user (a filter; Catalyst pushes it to the scan)."""
     u = user_email if isinstance(user_email, Column) else F.lit(user_email)

@@ -253,16 +253,18 @@ def issue_list(runs: DataFrame) -> DataFrame:
     return dups.unionByName(miss)
 
 
-def report_table(profiles: DataFrame, runs: DataFrame) -> DataFrame:
+def report_table(profiles: DataFrame, runs: DataFrame, generated_at: bool = False) -> DataFrame:
     """The before/after report rows of every run with its header figures.
 
-    The header (rows, duplicates) is one row per run; it joins on ``run_id``.
+    The header (rows, duplicates, and with ``generated_at`` the UTC time the
+    report was made) is one row per run; it joins on ``run_id``.
     """
     head = runs.select(
         "run_id",
         _s("original_rows").alias("original_rows"),
         _s("cleaned_rows").alias("cleaned_rows"),
         _s("dropped_duplicates").alias("dropped_duplicates"),
+        *([F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).alias("generated_at")] if generated_at else []),
     )
     return report_rows(profiles).join(head, "run_id", "left")
 

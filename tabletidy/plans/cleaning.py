@@ -28,11 +28,13 @@ from tabletidy.functions.predicates import (
     PLACEHOLDERS,
     UNKNOWN_FILL,
     Placeholders,
+    INTEGER_TEXT_RE,
     coerce_numeric,
     kind_of,
     placeholder_sets,
     placeholders_json,
     replace_placeholders,
+    strip_ws,
 )
 from tabletidy.operators.impute import column_minimums, column_modes, exact_medians
 from tabletidy.operators.profile import ORD, PROFILE_COLUMNS, profile, profile_rows, spread, stats_frame, with_order
@@ -47,9 +49,12 @@ class ColumnPlan:
     coerce: bool  # string column parsed to double (P5)
     fill_rule: str | None = None  # median | zero | earliest | mode | unknown | None
     fill_value: Any = None
+    narrow: bool = False  # E7 opt-in: coerced text that is all integers, no gaps -> bigint
 
     @property
     def out_kind(self) -> str:
+        if self.coerce and self.narrow:
+            return "integral"
         if self.coerce or self.kind == "decimal":
             return "float"
         if self.kind in ("integral", "bool") and self.fill_rule in ("median", "zero"):
@@ -134,6 +139,8 @@ def _prepared(df: DataFrame, plan: CleaningPlan, order_by: str | None = None, ke
 def _value_expr(cp: ColumnPlan) -> Column:
     """Column after P5 and type widening, before the fill."""
     c = _col(cp.name)
+    if cp.coerce and cp.narrow:
+        return strip_ws(c).try_cast("long")  # every value is integer text (checked in fit)
     if cp.coerce:
         return coerce_numeric(c)
     if cp.out_kind == "float" and cp.kind != "float":
@@ -185,11 +192,30 @@ def plan_from_stats(stats: list, placeholders: Placeholders = PLACEHOLDERS, drop
     return CleaningPlan(cols, drop_duplicates, placeholders_json(placeholders))
 
 
-def fit_fills(prepared: DataFrame, plan: CleaningPlan) -> tuple[CleaningPlan, int]:
+def _mark_narrow(prepared: DataFrame, plan: CleaningPlan) -> None:
+    """E7 opt-in: a coerced column whose every cell is integer text (no gaps) stays integral.
+
+    pandas yields int64 for such a column; one aggregate over the prepared table decides.
+    """
+    cands = [cp for cp in plan.columns if cp.coerce]
+    if not cands:
+        return
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for cp in cands:
+        t = strip_ws(_col(cp.name))
+        aggs.append(F.count_if(t.rlike(INTEGER_TEXT_RE) & t.try_cast("long").isNotNull()).alias(f"i{cp.ordinal}"))
+    row = prepared.agg(*aggs).first()
+    for cp in cands:
+        cp.narrow = int(row[f"i{cp.ordinal}"]) == int(row["rows"]) > 0
+
+
+def fit_fills(prepared: DataFrame, plan: CleaningPlan, narrow_integers: bool = False) -> tuple[CleaningPlan, int]:
     """fit-2 on the prepared (P2 + D1) table: fill values for columns holding nulls.
 
     Returns the completed plan and the prepared row count (A16's ``cleaned_rows``).
     """
+    if narrow_integers:
+        _mark_narrow(prepared, plan)
     coerced = coerce_columns(prepared, plan)
     aggs = [F.count(F.lit(1)).alias("rows")]
     for cp in plan.columns:
@@ -218,12 +244,14 @@ def fit_fills(prepared: DataFrame, plan: CleaningPlan) -> tuple[CleaningPlan, in
     return plan, rows
 
 
-def fit(df: DataFrame, drop_duplicates: bool = True, placeholders: Placeholders = PLACEHOLDERS) -> CleaningPlan:
+def fit(
+    df: DataFrame, drop_duplicates: bool = True, placeholders: Placeholders = PLACEHOLDERS, narrow_integers: bool = False
+) -> CleaningPlan:
     """Estimator step: detect types on the input, fit fills on the deduplicated table."""
     plan, _ = fit_types(df, placeholders, drop_duplicates)
     prepared = _prepared(df, plan).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        plan, _ = fit_fills(prepared, plan)
+        plan, _ = fit_fills(prepared, plan, narrow_integers)
     finally:
         prepared.unpersist()
     return plan
@@ -298,6 +326,7 @@ def clean(
     order_by: str | None = None,
     honest_after: bool = False,
     persist: bool = True,
+    narrow_integers: bool = False,
 ) -> CleanResult:
     """Clean a table and summarise it.
 
@@ -318,7 +347,7 @@ def clean(
     if persist:
         prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
         cached.append(prepared)
-    plan, cleaned_rows = fit_fills(prepared, plan)
+    plan, cleaned_rows = fit_fills(prepared, plan, narrow_integers)
     ordered = apply_fills(prepared, plan)
     cleaned = ordered.drop(ORD)
     after = profile_rows(ordered, top_values, ph)

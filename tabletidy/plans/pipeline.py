@@ -74,7 +74,7 @@ def ingest(
     summary, _ = clean_path(spark, src, cleaned_file, drop_duplicates)
     profiles = profile_records(spark, rid, summary)
     runs = run_record(spark, rid, summary, user_email, name, raw_file, cleaned_file, report_file, json_file)
-    write_csv(report_table(profiles, runs).orderBy("column"), report_file)
+    write_csv(report_table(profiles, runs, generated_at=True).orderBy("column"), report_file)
     write_summary_json(spark, summary, json_file)
     recorded = append_run(runs, profiles, root)
     return IngestResult(rid, raw_file, cleaned_file, report_file, json_file, summary, recorded)

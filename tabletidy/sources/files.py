@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabletidy.functions.predicates import COERCIBLE_TEXT_RE, strip_ws
+from tabletidy.functions.predicates import COERCIBLE_TEXT_RE, INTEGER_TEXT_RE, strip_ws
 
 # --- fixed values: the texts a pandas CSV reader turns into NaN by default.
 CSV_NA_TOKENS: tuple[str, ...] = (
@@ -50,7 +50,6 @@ CSV_FALSE = ("False", "FALSE", "false")
 # A landing file is a CSV when its name ends in .csv, any case.
 CSV_GLOB = "*.[cC][sS][vV]"
 
-_INT_RE = r"^[+-]?\d+$"
 
 
 def is_csv_name(path: str) -> bool:
@@ -113,7 +112,7 @@ def infer_csv_types(df: DataFrame) -> DataFrame:
         s = strip_ws(F.col(f"`{c}`"))
         aggs += [
             F.count(F.col(f"`{c}`")).alias(f"n{i}"),
-            F.count_if(s.rlike(_INT_RE) & s.try_cast("long").isNotNull()).alias(f"i{i}"),
+            F.count_if(s.rlike(INTEGER_TEXT_RE) & s.try_cast("long").isNotNull()).alias(f"i{i}"),
             F.count_if(s.rlike(COERCIBLE_TEXT_RE)).alias(f"f{i}"),
             F.count_if(F.col(f"`{c}`").isin(list(CSV_TRUE + CSV_FALSE))).alias(f"b{i}"),
         ]

@@ -197,3 +197,16 @@ def test_e9_per_column_placeholder_override(spark):
     assert again.placeholders == {"event_type": keep_error["event_type"]}
     # the default treats 'error' as missing everywhere
     assert {r["column"]: r["missing_count"] for r in profile(df).collect()}["event_type"] == 2
+
+
+def test_e7_narrow_integers_opt_in(spark):
+    df = spark.createDataFrame([("1",), ("2",), (" 3 ",)], "n string")
+    assert dict(clean(df).cleaned.dtypes)["n"] == "double"  # default: always double
+    res = clean(df, narrow_integers=True)
+    assert dict(res.cleaned.dtypes)["n"] == "bigint" and sorted(r[0] for r in res.cleaned.collect()) == [1, 2, 3]
+    assert {r["column"]: r["dtype"] for r in res.profile_after} == {"n": "int64"}
+    for vals in (["1", "2", "NA"], ["1", "2.0", "3"], ["1", "1e5", "3"]):
+        d = spark.createDataFrame([(v,) for v in vals], "n string")
+        assert dict(clean(d, narrow_integers=True).cleaned.dtypes)["n"] == "double", vals
+    plan = fit(df, narrow_integers=True)
+    assert CleaningPlan.from_json(plan.to_json()).columns[0].narrow is True

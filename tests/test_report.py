@@ -44,6 +44,8 @@ def test_f8_summary_before_after(spark, demo_run):
     rep = {r["column"]: r for r in R.report_table(profiles, runs).collect()}
     assert rep["a"]["pct_before"] == 20.0 and rep["a"]["pct_after"] == 0.0
     assert rep["a"]["original_rows"] == 5 and rep["a"]["dropped_duplicates"] == 0
+    stamped = R.report_table(profiles, runs, generated_at=True).collect()
+    assert all(r["generated_at"] is not None for r in stamped)
 
 
 def _profiles(spark):
@@ -158,3 +160,5 @@ def test_history(spark):
     assert [r["run_id"] for r in H.ordered_history(runs, H.SORT_OLDEST, 2).collect()] == ["r1", "r2"]
     assert [r["run_id"] for r in H.ordered_history(runs, H.SORT_LARGEST, None).collect()] == ["r1", "r2", "r4", "r3"]
     assert H.user_runs(runs, "u2").count() == 2
+    d = H.run_detail(runs, "r4").collect()
+    assert len(d) == 1 and d[0]["summary"]["missing_after"] == 12 and d[0]["quality_improvement"] == -20.0
