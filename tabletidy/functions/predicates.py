@@ -112,8 +112,17 @@ def strip_ws(c: Column) -> Column:
 
 
 def is_placeholder(c: Column, placeholders: Iterable[str] = PLACEHOLDERS) -> Column:
-    """True when a string cell is one of the placeholder texts (null-safe: null → false)."""
-    return F.coalesce(F.lower(strip_ws(c)).isin(list(placeholders)), F.lit(False))
+    """True when a string cell is one of the placeholder texts (null-safe: null → false).
+
+    Lower-casing never shortens a text, so a stripped cell longer than the
+    longest placeholder cannot match: the guard skips lower-casing long texts.
+    """
+    ph = list(placeholders)
+    if not ph:
+        return F.lit(False)
+    t = strip_ws(c)
+    longest = max(len(p) for p in ph)
+    return F.coalesce(F.when(F.length(t) <= longest, F.lower(t).isin(ph)), F.lit(False))
 
 
 def is_missing(c: Column, dt: T.DataType, placeholders: Iterable[str] = PLACEHOLDERS) -> Column:
