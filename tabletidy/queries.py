@@ -321,6 +321,39 @@ def q_a8_full_profile(spark, sf):
     return _with_samples_text(profile(_de_df(spark, sf), order_by="event_id"))
 
 
+ORDERS_COLS = [
+    ("o_orderkey", "integral"),
+    ("o_custkey", "integral"),
+    ("o_orderstatus", "string"),
+    ("o_totalprice", "float"),
+    ("o_orderdate", "datetime"),
+    ("o_orderpriority", "string"),
+]
+LINEITEM_COLS = [
+    ("l_orderkey", "integral"),
+    ("l_partkey", "integral"),
+    ("l_suppkey", "integral"),
+    ("l_linenumber", "integral"),
+    ("l_quantity", "float"),
+    ("l_extendedprice", "float"),
+    ("l_discount", "float"),
+    ("l_tax", "float"),
+    ("l_returnflag", "string"),
+    ("l_linestatus", "string"),
+    ("l_shipdate", "datetime"),
+]
+
+
+def q_a8_profile_orders(spark, sf):
+    """A8 on a whole driver table (first appearance by order key)."""
+    return _with_samples_text(profile(fx.table(spark, sf, "orders"), order_by="o_orderkey"))
+
+
+def q_a8_profile_lineitem(spark, sf):
+    """A8 on lineitem; the order key repeats, ties in first appearance go to the smaller text."""
+    return _with_samples_text(profile(fx.table(spark, sf, "lineitem"), order_by="l_orderkey"))
+
+
 def q_a9_issue_total(spark, sf):
     return _stats(spark, sf).agg(F.sum("total_issues").cast("long").alias("missing_before"))
 
@@ -665,6 +698,8 @@ QUERIES: dict[str, Query] = {
     "a7_samples": q_a7_samples,
     "a7_samples_scan": q_a7_samples_scan,
     "a8_full_profile": q_a8_full_profile,
+    "a8_profile_orders": q_a8_profile_orders,
+    "a8_profile_lineitem": q_a8_profile_lineitem,
     "a9_issue_total": q_a9_issue_total,
     "a10_raw_null_pct": q_a10_raw_null_pct,
     "a12_median": q_a12_median,
@@ -743,6 +778,8 @@ def _oracle() -> dict[str, str]:
     )
     o["a7_samples_scan"] = o["a7_samples"]
     o["a8_full_profile"] = _de(f"SELECT * FROM ({_profile_sql('de', DE_COLS, 'event_id')}) p")
+    o["a8_profile_orders"] = _profile_sql("orders", ORDERS_COLS, "o_orderkey")
+    o["a8_profile_lineitem"] = _profile_sql("lineitem", LINEITEM_COLS, "l_orderkey")
     o["a9_issue_total"] = _de(f"SELECT CAST(sum(total_issues) AS BIGINT) AS missing_before FROM ({de_stats}) s")
     nulls = " + ".join(f"count_if({c} IS NULL)" for c, _ in DE_COLS)
     o["a10_raw_null_pct"] = _de(
