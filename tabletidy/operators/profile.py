@@ -83,8 +83,12 @@ def spread(df: DataFrame, order_by: str | None = None) -> tuple[DataFrame, bool]
     caller scans it more than once. An input that already has enough partitions
     (the normal case at scale) is returned unchanged.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session): leave as is
+        return df, False
+    if parts >= slots:
         return df, False
     keyed = with_order(df, order_by)
     return keyed.repartition(slots).persist(StorageLevel.MEMORY_AND_DISK), True
