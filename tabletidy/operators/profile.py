@@ -371,18 +371,23 @@ def profile_rows(
     placeholders: Placeholders = PLACEHOLDERS,
     order_by: str | None = None,
     sort: str = "total_issues",
+    approx_rsd: float | None = None,
 ) -> list:
     """Eager A8 (``profile_frame`` rows, sorted).
 
     An under-partitioned input is spread first (``spread``). In scan order the
     profile is one shuffle of cells plus the bounded sample scan; otherwise the
-    frequency table is persisted while its two consumers read it. Everything
+    frequency table is persisted while its two consumers read it. With
+    ``approx_rsd`` no cells are shuffled (``profile_approx_frame``). Everything
     persisted is released before returning; the result holds one row per column.
     """
     ph = placeholders
     src, spread_out = spread(df, order_by)
     freq = None
     try:
+        if approx_rsd is not None:  # counts from the shuffle-free pass, distinct counts sketched
+            rows = profile_approx_frame(src, top_values, ph, order_by, approx_rsd).collect()
+            return sorted(rows, key=lambda r: (-r[sort], r["ordinal"]))
         if not _scan_order(src, order_by):
             freq = frequency_table(src, "none", None, ph, order_by).persist(StorageLevel.MEMORY_AND_DISK)
         rows = profile_frame(src, top_values, ph, order_by, freq=freq).collect()
@@ -491,21 +496,26 @@ def profile_approx(
     with relative standard deviation ``rsd``); samples are exact and come from
     ``first_values_scan``. Every other field equals ``profile``'s.
     """
+    full = profile_approx_frame(df, top_values, placeholders, order_by, rsd)
+    return full.select(*PROFILE_COLUMNS).orderBy(F.col(sort).desc(), F.col("ordinal"))
+
+
+def profile_approx_frame(
+    df: DataFrame,
+    top_values: int = 3,
+    placeholders: Placeholders = PLACEHOLDERS,
+    order_by: str | None = None,
+    rsd: float = 0.05,
+) -> DataFrame:
+    """``profile_frame``'s columns with ``unique_count`` from a sketch (no shuffle of cells)."""
     stats = stats_frame(df, placeholders, approx_rsd=rsd)
     samples = first_values_scan(df, top_values, placeholders, order_by)
     # one row per column on both sides: bounded by the table's width
-    out = F.broadcast(stats).join(samples, "ordinal", "left").select(
-        "column",
+    return F.broadcast(stats).join(samples, "ordinal", "left").select(
+        *[c for c in stats.columns if c != "ordinal"],
         F.col("ordinal").cast("int").alias("ordinal"),
-        "missing_count",
-        "type_issues",
-        "total_issues",
-        "missing_pct",
-        "dtype",
-        "unique_count",
         F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
     )
-    return out.orderBy(F.col(sort).desc(), F.col("ordinal"))
 
 
 def raw_preview_profile(df: DataFrame) -> DataFrame:

@@ -327,12 +327,16 @@ def clean(
     honest_after: bool = False,
     persist: bool = True,
     narrow_integers: bool = False,
+    approx_unique: float | None = None,
 ) -> CleanResult:
     """Clean a table and summarise it.
 
-    The cleaned table stays lazy over the persisted prepared table; call
-    ``result.cleaned`` in a write, then ``unpersist`` it when done.
+    The cleaned table stays lazy over the persisted prepared table; use
+    ``result.cleaned`` in a write, then call ``result.release()``.
     Profiles hold one entry per column, so they are small driver-side lists.
+    ``approx_unique`` (a relative standard deviation, e.g. 0.05) sketches the
+    profiles' distinct counts, so no cells are shuffled for them; every other
+    field, the plan and the cleaned rows stay exact.
     """
     if not isinstance(df, DataFrame):  # S2: the in-memory source is a DataFrame
         raise TypeError("df must be a Spark DataFrame")
@@ -341,7 +345,7 @@ def clean(
     cached = [src] if spread_out else []
 
     # before profile + fit-1 from one frequency table (one scan, one shuffle)
-    stats = profile_rows(src, top_values, ph, order_by)
+    stats = profile_rows(src, top_values, ph, order_by, approx_rsd=approx_unique)
     plan = plan_from_stats(stats, ph, drop_duplicates)
     prepared = _prepared(src, plan, order_by, keep_order=True)
     if persist:
@@ -350,7 +354,7 @@ def clean(
     plan, cleaned_rows = fit_fills(prepared, plan, narrow_integers)
     ordered = apply_fills(prepared, plan)
     cleaned = ordered.drop(ORD)
-    after = profile_rows(ordered, top_values, ph)
+    after = profile_rows(ordered, top_values, ph, approx_rsd=approx_unique)
     missing_after = int(sum(r["missing_count"] for r in after))
     after_rows = [{k: r[k] for k in PROFILE_COLUMNS} for r in after]
     if not honest_after:

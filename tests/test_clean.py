@@ -210,3 +210,24 @@ def test_e7_narrow_integers_opt_in(spark):
         assert dict(clean(d, narrow_integers=True).cleaned.dtypes)["n"] == "double", vals
     plan = fit(df, narrow_integers=True)
     assert CleaningPlan.from_json(plan.to_json()).columns[0].narrow is True
+
+
+def test_clean_with_sketched_distinct_counts(spark):
+    """approx_unique changes only the profiles' distinct counts."""
+    from tabletidy.fixtures import dirty_events
+
+    de = dirty_events(spark, "/root/testdata/sf0.001")
+    exact = clean(de, order_by="event_id")
+    approx = clean(de, order_by="event_id", approx_unique=0.01)
+    assert sorted(tuple(r) for r in exact.cleaned.collect()) == sorted(tuple(r) for r in approx.cleaned.collect())
+    for k in ("original_rows", "cleaned_rows", "dropped_duplicates", "missing_before", "missing_after", "columns"):
+        assert exact.summary[k] == approx.summary[k], k
+    for side in ("profile_before", "profile_after"):
+        e = {r["column"]: r for r in getattr(exact, side)}
+        a = {r["column"]: r for r in getattr(approx, side)}
+        for c in e:
+            for key in ("missing_count", "type_issues", "total_issues", "missing_pct", "dtype", "sample_values"):
+                assert e[c][key] == a[c][key], (side, c, key)
+            assert abs(e[c]["unique_count"] - a[c]["unique_count"]) <= max(2, 0.05 * e[c]["unique_count"])
+    exact.release()
+    approx.release()
