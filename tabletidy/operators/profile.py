@@ -456,19 +456,27 @@ def first_values_scan(
         best: dict[int, dict[str, int]] = {i: {} for i in ordinals}
         full: set[int] = set()
         for pdf in batches:
+            if not scan_order:  # a carried key: order the batch once, shared by all columns
+                pdf = pdf.sort_values(ORD, kind="stable")
             pos = pdf[ORD]
             for i in ordinals:
                 if i in full:
                     continue
                 vals = pdf[f"v{i}"]
-                keep = vals.notna()
-                if not keep.any():
+                vals = vals[vals.notna()]
+                if vals.empty:
                     continue
-                firsts = pos[keep].groupby(vals[keep]).min()
+                # first occurrences in key order; those up to the k-th position can matter
+                # (ties at that position are all kept: the merge breaks them by value)
+                firsts = vals.drop_duplicates()
+                if len(firsts) > k:
+                    cutoff = pos[firsts.index[k - 1]]
+                    firsts = firsts[pos[firsts.index].to_numpy() <= cutoff]
                 merged = dict(best[i])
-                for v, o in firsts.items():
+                for idx, v in firsts.items():
+                    o = int(pos[idx])
                     if v not in merged or o < merged[v]:
-                        merged[v] = int(o)
+                        merged[v] = o
                 best[i] = dict(sorted(merged.items(), key=lambda kv: (kv[1], kv[0]))[:k])
                 if scan_order and len(best[i]) >= k:
                     full.add(i)  # later rows of this partition come later: nothing can enter

@@ -449,6 +449,12 @@ def q_i5_clean(spark, sf):
     return transform(de, fit(de))
 
 
+def q_i5_clean_sketched(spark, sf):
+    """I5 with sketched distinct counts in its profiles: the cleaned rows are exactly I5's."""
+    res = clean(_de_df(spark, sf), order_by="event_id", approx_unique=0.05)
+    return res.cleaned
+
+
 def q_i5_clean_dups(spark, sf):
     dd = fx.dirty_dups(spark, sf)
     return transform(dd, fit(dd))
@@ -713,6 +719,7 @@ QUERIES: dict[str, Query] = {
     "i2_fill_ts": q_i2_fill_ts,
     "i3_fill_mode": q_i3_fill_mode,
     "i5_clean": q_i5_clean,
+    "i5_clean_sketched": q_i5_clean_sketched,
     "i5_clean_dups": q_i5_clean_dups,
     "i5_summary": q_i5_summary,
     "i5_summary_dups": q_i5_summary_dups,
@@ -821,6 +828,7 @@ FROM ({de_stats}) s LEFT JOIN (SELECT ordinal, count(*) AS n FROM ({_freq_sql('d
     o["i2_fill_ts"] = _de("SELECT event_id, coalesce(ts, (SELECT min(ts) FROM de)) AS ts FROM de")
     o["i3_fill_mode"] = _de(f"SELECT event_id, event_type, code_txt, blank FROM ({clean_de}) x")
     o["i5_clean"] = _de(f"SELECT * FROM ({clean_de}) x")
+    o["i5_clean_sketched"] = o["i5_clean"]
     o["i5_clean_dups"] = _dd(f"SELECT * FROM ({_clean_sql('dd', DD_COLS, set())}) x")
 
     def summary_sql(src, cols, coerced, null_free=frozenset()):

@@ -168,3 +168,16 @@ def test_scan_order_samples_agree_with_frequency_table(spark):
     scan = {r["column"]: r["sample_values"] for r in profile_frame(de).collect()}
     table = {r["column"]: r["sample_values"] for r in profile_frame(keyed, freq=frequency_table(keyed, "none")).collect()}
     assert scan == table and any(len(v) == 3 for v in scan.values())
+
+
+def test_scan_samples_break_position_ties_by_value(spark):
+    """With a repeating order key, values tied at the k-th position are chosen by text."""
+    from tabletidy.operators.profile import first_values_scan
+
+    rows = [(1, "z"), (1, "y"), (2, "d"), (2, "c"), (2, "b"), (3, "a")]
+    df = spark.createDataFrame(rows, "k bigint, s string").coalesce(1)
+    got = {r["ordinal"]: r["sample_values"] for r in first_values_scan(df, 3, order_by="k").collect()}
+    assert got[1] == ["y", "z", "b"]
+    from tabletidy.operators.profile import profile
+
+    assert {r["column"]: r["sample_values"] for r in profile(df, order_by="k").collect()}["s"] == ["y", "z", "b"]
