@@ -174,6 +174,17 @@ def pct(part: Column, whole: Column, digits: int = 2) -> Column:
     )
 
 
+def typed_literal(value, dt: T.DataType) -> Column:
+    """A driver-side value (e.g. a collected minimum) as a literal of the column's own type.
+
+    A wall-clock ``TIMESTAMP_NTZ`` value goes through its text, so no time zone
+    (session or Python process) can shift it; other types keep their type by cast.
+    """
+    if isinstance(dt, T.TimestampNTZType) and hasattr(value, "isoformat"):
+        return F.lit(value.isoformat(sep=" ")).cast(dt)
+    return F.lit(value).cast(dt)
+
+
 def dtype_label(dt: T.DataType, has_nulls: bool) -> str:
     """The dtype name the profile reports, as a pandas frame of the same data would show it.
 

@@ -35,6 +35,7 @@ from tabletidy.functions.predicates import (
     placeholders_json,
     replace_placeholders,
     strip_ws,
+    typed_literal,
 )
 from tabletidy.operators.impute import column_minimums, column_modes, exact_medians
 from tabletidy.operators.profile import ORD, PROFILE_COLUMNS, profile, profile_rows, spread, stats_frame, with_order
@@ -150,12 +151,13 @@ def _value_expr(cp: ColumnPlan) -> Column:
     return c
 
 
-def _filled(cp: ColumnPlan) -> Column:
+def _filled(cp: ColumnPlan, dt: T.DataType | None = None) -> Column:
     v = _value_expr(cp)
     if cp.fill_rule in ("median", "zero"):
         v = F.coalesce(v, F.lit(float(cp.fill_value)))
     elif cp.fill_rule == "earliest" and cp.fill_value is not None:
-        v = F.coalesce(v, F.lit(cp.fill_value))
+        fill = typed_literal(cp.fill_value, dt) if dt is not None else F.lit(cp.fill_value)
+        v = F.coalesce(v, fill)  # keeps the column's own timestamp/date type
     elif cp.fill_rule in ("mode", "unknown"):
         v = F.coalesce(v, F.lit(str(cp.fill_value)))
     return v.alias(cp.name)
@@ -283,7 +285,8 @@ def after_profile(df: DataFrame, plan: CleaningPlan, top_values: int = 3, order_
 
 
 def apply_fills(prepared: DataFrame, plan: CleaningPlan) -> DataFrame:
-    return prepared.select(*[_filled(cp) for cp in plan.columns], *_keep_ord(prepared))
+    types = {f.name: f.dataType for f in prepared.schema.fields}
+    return prepared.select(*[_filled(cp, types.get(cp.name)) for cp in plan.columns], *_keep_ord(prepared))
 
 
 def _zero_after(after: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from tabletidy.functions.predicates import (
     coerce_numeric,
     is_missing,
     replace_placeholders,
+    typed_literal,
 )
 from tabletidy.operators import history as H
 from tabletidy.operators import report as R
@@ -435,7 +436,8 @@ def q_i1_fill_numeric(spark, sf):
 def q_i2_fill_ts(spark, sf):
     de = _de_df(spark, sf)
     mins = column_minimums(replace_all_placeholders(de).dropDuplicates(), ["ts"])
-    return de.select("event_id", F.coalesce(F.col("ts"), F.lit(mins["ts"])).alias("ts"))
+    ts_type = de.schema["ts"].dataType
+    return de.select("event_id", F.coalesce(F.col("ts"), typed_literal(mins["ts"], ts_type)).alias("ts"))
 
 
 def q_i3_fill_mode(spark, sf):

@@ -231,3 +231,12 @@ def test_clean_with_sketched_distinct_counts(spark):
             assert abs(e[c]["unique_count"] - a[c]["unique_count"]) <= max(2, 0.05 * e[c]["unique_count"])
     exact.release()
     approx.release()
+
+
+def test_timestamp_fill_keeps_the_column_type(spark):
+    """A wall-clock (NTZ) column stays NTZ after the earliest-value fill."""
+    rows = [(dt.datetime(2020, 1, 1, 5),), (None,), (dt.datetime(2020, 6, 1),)]
+    df = spark.createDataFrame(rows, "t timestamp_ntz")
+    res = clean(df, drop_duplicates=False)
+    assert dict(res.cleaned.dtypes)["t"] == "timestamp_ntz"
+    assert sorted(r[0] for r in res.cleaned.collect()) == [dt.datetime(2020, 1, 1, 5)] * 2 + [dt.datetime(2020, 6, 1)]
