@@ -7,12 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabletidy.llm.bpe import bpe
 from tabletidy.llm.common import table
 from tabletidy.llm.exact_dedup import exact_dedup
 from tabletidy.llm.license_scan import license_scan
 from tabletidy.llm.line_dedup import line_dedup
 
 
+def vocabulary() -> str:
+    """The public word-level BPE file (a parameter of the operator)."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def token_digests(encoded: DataFrame) -> DataFrame:
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(bpe(table(spark, sf_dir, "documents"), vocabulary()))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -27,6 +44,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_bpe": op6_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,

@@ -92,3 +92,25 @@ def test_license_brute_force(spark):
     assert out[10**6]["labels"] == "cc-by,cc-by-sa,foo+bar,gpl-2.0-only,mit"
     assert evaluate("MIT OR") == ({"mit"}, 1.0) and evaluate("and x") == (set(), 0.0) and evaluate("a and b or MIT") == ({"a", "b", "mit"}, 1.0)
     assert license_scan(frame(spark, [])).collect() == []
+
+
+def test_bpe_against_the_library(spark):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tabletidy.llm.bpe import bpe
+
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    lib.no_padding(), lib.no_truncation()
+    draw = random.Random(6)
+    odd = [None, "", "  ", "ΑΣ ΟΔΟΣ", "İstanbul <|endoftext|>x <|startoftext|>", "e\u0301 á \x1c\x1fz\x85q", "x" * 3000, "aaaa" * 50, "don't I'LL we've 'sa 12½³", "日本語🙂🙂", "<|endoftext", "ǅ ŉ ẞ ﬁ"]
+    odd += ["".join(draw.choices("aeinthsor'1 .éß\tÀ!?İ\u3000", k=200)) for _ in range(200)]
+    texts = [*driver_texts().values(), *odd]
+    got = {r["doc_id"]: r for r in bpe(frame(spark, texts), public_tokenizers.path("word_bpe_49k.json")).collect()}
+    for i, text in enumerate(texts):
+        want = lib.encode(text or "", add_special_tokens=False).ids
+        assert got[i]["ids"] == want
+        assert got[i]["decoded"] == lib.decode(want, skip_special_tokens=False)
+    assert bpe(frame(spark, []), public_tokenizers.path("word_bpe_49k.json")).collect() == []
