@@ -12,6 +12,7 @@ from tabletidy.llm.common import table
 from tabletidy.llm.exact_dedup import exact_dedup
 from tabletidy.llm.license_scan import license_scan
 from tabletidy.llm.line_dedup import line_dedup
+from tabletidy.llm.warc import op8_warc
 
 
 def vocabulary() -> str:
@@ -46,6 +47,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_warc": op8_warc,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
 }

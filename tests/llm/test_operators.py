@@ -114,3 +114,55 @@ def test_bpe_against_the_library(spark):
         assert got[i]["ids"] == want
         assert got[i]["decoded"] == lib.decode(want, skip_special_tokens=False)
     assert bpe(frame(spark, []), public_tokenizers.path("word_bpe_49k.json")).collect() == []
+
+
+def brute_warc(pages):
+    import base64
+
+    groups = {}
+    for i, html in pages:
+        groups.setdefault((html or "").encode(), []).append(i)
+    last = {k: max((i for i in v if i is not None), default=None) for k, v in groups.items()}
+    out = []
+    for i, html in pages:
+        payload = (html or "").encode()
+        again = i != last[payload]
+        out.append((i, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), "revisit" if again else "response", last[payload] if again else None))
+    return sorted(out, key=repr)
+
+
+def test_warc(spark, scratch):
+    from tabletidy.llm import warc
+
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = duckdb.sql(f"SELECT page_id, html FROM read_parquet('{SF}/pages.parquet')").fetchall()
+    assert rows(warc.op8_warc(spark, SF), *names) == brute_warc(pages)
+    odd = [(None, "a"), (None, "a"), (1, "a"), (2, "b"), (3, None), (4, ""), (5, "ü" * 70_000), (6, "b"), (6, "c"), (None, "z"), (7, "\r\n\r\nWARC/1.1")]
+    df = spark.createDataFrame([(i, f"http://x/{i} \n", h, 9) for i, h in odd], "page_id long, url string, html string, payload_bytes int")
+    warc.write_warc(df, f"file://{scratch}/w")
+    back = warc.read_warc(spark, f"file://{scratch}/w", verify="true")
+    got = back.select(warc.page_of(back.record_id).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(back.refers_to).alias("refers_to"))
+    assert rows(got, *names) == brute_warc(odd)
+    assert {bytes(r["payload"]).decode() for r in back.where("record_type = 'response'").collect()} == {h or "" for _, h in odd}
+    long = back.where("payload_bytes > 1000 and record_type = 'response' and target_uri like 'http://x/%'")
+    assert [len(r["payload"]) for r in long.collect()] == [140_000]
+    assert back.where("record_type <> 'response'").count() == sum(r[3] == "revisit" for r in brute_warc(odd))
+    empty = f"file://{scratch}/e"
+    warc.write_warc(df.limit(0), empty)
+    assert warc.read_warc(spark, empty).collect() == []
+
+
+def test_warc_of_others(spark, scratch):
+    """Plain files, and gzip members without a length, are read as well; headers decide first."""
+    import gzip
+
+    from tabletidy.llm import warc
+
+    plain = b"".join(warc.record(f"urn:page:{i}", "response", None, None, b"p" * i * 5000) for i in range(4))
+    for name, data in (("a.warc", plain), ("b.warc.gz", b"".join(gzip.compress(warc.record(f"urn:page:{i}", "response", "u", None, b"q" * i * 9000)) for i in range(4)))):
+        with open(f"{scratch}/{name}", "wb") as f:
+            f.write(data)
+    back = warc.read_warc(spark, f"file://{scratch}", verify="true")
+    assert rows(back, "record_id", "payload_bytes") == sorted((f"urn:page:{i}", i * n) for i in range(4) for n in (5000, 9000))
+    m = warc.Member(open(f"{scratch}/a.warc", "rb"), 0)
+    assert m.headers["warc-type"] == "response" and m.length > 0
