@@ -12,6 +12,8 @@ from tabletidy.llm.common import table
 from tabletidy.llm.exact_dedup import exact_dedup
 from tabletidy.llm.license_scan import license_scan
 from tabletidy.llm.line_dedup import line_dedup
+from tabletidy.llm.quality_rules import quality
+from tabletidy.llm.secret_scan import secret_scan
 from tabletidy.llm.warc import op8_warc
 
 
@@ -22,6 +24,16 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality(table(spark, sf_dir, "documents"))
+    counts = [F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return out.select(F.col("_id").alias("doc_id"), *counts, "base_failed", "kept")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def token_digests(encoded: DataFrame) -> DataFrame:
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -45,6 +57,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
+    "op4_secret_scan": op4_secret_scan,
     "op6_bpe": op6_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_warc": op8_warc,

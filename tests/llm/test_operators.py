@@ -166,3 +166,108 @@ def test_warc_of_others(spark, scratch):
     assert rows(back, "record_id", "payload_bytes") == sorted((f"urn:page:{i}", i * n) for i in range(4) for n in (5000, 9000))
     m = warc.Member(open(f"{scratch}/a.warc", "rb"), 0)
     assert m.headers["warc-type"] == "response" and m.length > 0
+
+
+SECRETS = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+]
+
+
+def brute_secrets(text):
+    spans = [(m.start(), k, f"{kind}:{m.start()}:{m.end()}", kind) for k, (kind, p, g, least) in enumerate(SECRETS) for m in re.finditer(p, text or "") if len(m[g]) >= least]
+    spans.sort()
+    return *(sum(s[3] == kind for s in spans) for kind, *_ in SECRETS), sha(",".join(s[2] for s in spans)), [s[2] for s in spans]
+
+
+def test_secret_scan(spark, scratch):
+    from tabletidy.llm import secret_scan as S
+
+    hexes = "0123456789abcdef" * 2
+    odd = [None, "", "token=token:abcdef123", "🙂 PASSWORD : 'hunter22hunter' api_key=\"x\" APIKEY=abcdef", f"AKIA{'A' * 15} AKIA{'B' * 16}AKIA{'C' * 16} {hexes}", f"secret={hexes} g" + hexes, "ghp_" + "a1B2" * 10, "-----BEGIN RSA PRIVATE KEY-----", "secret=abcdef " * 500, "secret=abcdef " * 500]
+    texts = {**driver_texts(), **{10**6 + i: t for i, t in enumerate(odd)}}
+    docs = frame(spark, list(texts.values()), list(texts))
+    ledger = f"{scratch}/ledger"
+    for _ in range(2):  # the second run finds every pair in the ledger
+        got = {r["doc_id"]: r for r in S.secret_scan(docs, ledger).collect()}
+        for i, text in texts.items():
+            *counts, digest, base = brute_secrets(text)
+            assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == counts and got[i]["base_sha256"] == digest, text
+            assert [s for s in got[i]["spans"].split(",") if s.split(":")[0] in ("assign", "access", "hex")] == base
+        assert got[10**6 + 6]["spans"].startswith("github:0:44") and got[10**6 + 7]["spans"] == "pem:0:31"
+    seen = spark.read.parquet(f"{ledger}/seen")
+    assert seen.count() == seen.distinct().count() == len({t or "" for t in texts.values()}) * len(S.BASE + S.MORE)
+    S.scan(docs, ledger, (*S.BASE, S.Rule("pem", "BEGIN", version=2)))
+    assert spark.read.parquet(f"{ledger}/seen").where("rule = 'pem@2'").count() == len({t or "" for t in texts.values()})
+    assert S.secret_scan(frame(spark, []), f"{scratch}/none").collect() == []
+
+
+def brute_statistics(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    count = {}
+    for w in windows:
+        count[w] = count.get(w, 0) + 1
+    covered = {i + k for i, w in enumerate(windows) if count[w] > 1 for k in range(8)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules(spark):
+    import random
+
+    from tabletidy.llm import quality_rules as R
+
+    draw = random.Random(2)
+    prose = lambda n: " ".join("".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(n))
+    odd = [None, "", "  \n", "a " * 19, "a " * 20, "a b c d e f g h " * 9, "one two three four five six seven eight nine\n" * 2 + prose(60), "ü#*$%&|<> " + prose(30), prose(20), "🙂 " * 25]
+    texts = {**driver_texts(), **{10**6 + i: t for i, t in enumerate(odd)}}
+    clean = {2 * 10**6 + i: prose(draw.randint(30, 400)) for i in range(150)}
+    junk = {3 * 10**6 + i: " ".join(w + "***" for w in prose(100).split()) for i in range(10)}
+    texts |= clean | junk
+    got = {r["_id"]: r for r in R.quality(frame(spark, list(texts.values()), list(texts))).collect()}
+    assert len(got) == len(texts)
+    for i, text in texts.items():
+        want = brute_statistics(text)
+        r = got[i]
+        assert tuple(r[f"_{c}"] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
+        assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+        assert not (r["kept"] and r["base_failed"])
+    assert all(got[i]["kept"] for i in clean) and not any(got[i]["kept"] for i in junk)
+    docs = frame(spark, [*odd, *clean.values()])
+    kept = R.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == 150 + 3
+    assert R.keep_good(frame(spark, [])).collect() == []
+
+
+def test_mcd_against_numpy(spark):
+    """The estimate equals concentration steps written out in numpy, from the better start."""
+    import numpy as np
+
+    from tabletidy.llm import quality_rules as R
+
+    draw = np.random.default_rng(3)
+    x = np.rint(draw.normal([15000, 500, 300, 4000], [1500, 900, 400, 3000], (400, 4))).astype(int)
+    x[:60] += 40_000  # a far cluster that plain moments would follow
+    floors = np.diag([(v * R.UNIT) ** 2 for v in R.FLOORS.values()])
+
+    def steps(centre, scatter):
+        for _ in range(R.STEPS):
+            y = x - centre
+            d = np.einsum("ij,jk,ik->i", y, np.linalg.inv(scatter), y)
+            bins = np.floor(np.log(d + 1e-6) * 64)
+            edge = np.sort(bins)[int(np.ceil(len(x) * R.SHARE)) - 1]
+            near = x[bins <= edge]
+            centre, scatter = near.mean(0), np.cov(near.T, bias=True) * R.CONSISTENCY + floors
+        return np.linalg.slogdet(scatter)[1] / 2, centre
+
+    binned = np.rint(x / 100.0)
+    low = lambda v: np.sort(v, axis=0)[(len(v) + 1) // 2 - 1]
+    mid = low(binned)
+    mad = low(np.abs(binned - mid))
+    best = min(steps(mid * 100.0, np.diag((mad * 148.26) ** 2) + floors), steps(x.mean(0), np.cov(x.T, bias=True) + floors), key=lambda v: v[0])
+    df = spark.createDataFrame([("g", len(x), *map(int, r)) for r in x], "_g string, n_all long, _length long, _symbols long, _repeats long, _dup_lines long")
+    (row,) = R.estimates(df).collect()
+    assert np.allclose([row[f"m_{n}"] for n in R.NAMES], best[1], rtol=1e-6)
+    assert max(row[f"m_{n}"] for n in R.NAMES) < 20_000
