@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabletidy.llm.bpe import bpe
 from tabletidy.llm.common import table
 from tabletidy.llm.exact_dedup import exact_dedup
+from tabletidy.llm.jaccard_join import jaccard_classes
 from tabletidy.llm.license_scan import license_scan
 from tabletidy.llm.line_dedup import line_dedup
 from tabletidy.llm.quality_rules import quality
@@ -24,6 +25,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(table(spark, sf_dir, "documents"))
     counts = [F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -57,6 +62,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
     "op4_secret_scan": op4_secret_scan,
     "op6_bpe": op6_bpe,

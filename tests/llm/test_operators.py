@@ -271,3 +271,69 @@ def test_mcd_against_numpy(spark):
     (row,) = R.estimates(df).collect()
     assert np.allclose([row[f"m_{n}"] for n in R.NAMES], best[1], rtol=1e-6)
     assert max(row[f"m_{n}"] for n in R.NAMES) < 20_000
+
+
+def brute_classes(texts):
+    """{id: (set size, smallest id of the component)} by comparing all pairs that share a shingle."""
+    sets = {}
+    for i, t in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    met = {(min(a, b), max(a, b)) for v in holders.values() for k, a in enumerate(v) for b in v[:k]}
+    for a, b in met:
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def near_copies(draw, n, words=120, edits=3):
+    vocabulary = ["".join(draw.choices("abcdefgh", k=4)) for _ in range(3000)]
+    base = draw.choices(vocabulary, k=words)
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(draw.randint(0, edits)):
+            copy[draw.randrange(words)] = draw.choice(vocabulary)
+        out.append(" ".join(copy))
+    return out
+
+
+def test_jaccard_brute_force(spark, monkeypatch):
+    import random
+
+    from tabletidy.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "HOT", 20)  # salts and hubs at work on a small table
+    monkeypatch.setattr(J, "HUB", 15)
+    monkeypatch.setattr(J, "BLOCK", 8)
+    draw = random.Random(1)
+    odd = [None, "", " \n ", "one two", "ONE  two", "one two three four five", "One two three four five", "Ä b c d e", "ä b c d e", "x " * 3000, "x " * 10]
+    passage = " ".join("".join(draw.choices("pqrst", k=5)) for _ in range(60))
+    shared = [" ".join([passage, *("".join(draw.choices("uvwxyz", k=6)) for _ in range(draw.randint(5, 200)))]) for _ in range(60)]
+    texts = [*driver_texts().values(), *odd, *near_copies(draw, 90), *near_copies(draw, 90, 200, 9), *shared]
+    texts = {i * 3: t for i, t in enumerate(texts)}
+    want = brute_classes(texts)
+    for rounds in (1, 6):
+        monkeypatch.setattr(J, "ROUNDS", rounds)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_classes(frame(spark, list(texts.values()), list(texts))).collect()}
+        assert got == want
+    docs = frame(spark, list(texts.values()), list(texts))
+    kept = J.keep_one(docs.unionByName(docs))  # every row twice
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted([i for i, (n, c) in want.items() if n and c == i] + [i for i, (n, _) in want.items() if not n] * 2)
+    assert J.jaccard_classes(frame(spark, [])).collect() == []
+    nulls = J.jaccard_classes(frame(spark, ["a b c d e f"] * 2 + ["q", None], [None, 7, None, None])).collect()
+    assert sorted(rows_ for rows_ in ((r["n_shingles"], r["component_id"]) for r in nulls) if rows_[0] == 2) == [(2, 7), (2, 7)]
