@@ -337,3 +337,82 @@ def test_jaccard_brute_force(spark, monkeypatch):
     assert J.jaccard_classes(frame(spark, [])).collect() == []
     nulls = J.jaccard_classes(frame(spark, ["a b c d e f"] * 2 + ["q", None], [None, 7, None, None])).collect()
     assert sorted(rows_ for rows_ in ((r["n_shingles"], r["component_id"]) for r in nulls) if rows_[0] == 2) == [(2, 7), (2, 7)]
+
+
+def brute_repeats(texts, width=100):
+    """{id: (bytes, removed, spans, hash of the rest)} with a dictionary of all windows."""
+    seen, out = set(), {}
+    for i in sorted(texts):
+        raw = (texts[i] or "").encode()
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - width + 1):
+            window = raw[p : p + width]
+            if window in seen:
+                gone[p : p + width] = b"\1" * width
+            seen.add(window)
+        spans = sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1]))
+        out[i] = (len(raw), sum(gone), spans, sha(bytes(b for b, g in zip(raw, gone) if not g)))
+    return out
+
+
+def test_suffix_array():
+    import numpy as np
+
+    from tabletidy.llm import suffix_array as S
+
+    draw = np.random.default_rng(4)
+    for case in range(300):
+        t = draw.integers(0, draw.integers(1, 8), draw.integers(1, 120))
+        t = np.tile(t[: max(1, len(t) // 5)], 6) if case % 3 == 0 else t
+        order = S.suffix_array(t)
+        assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        shared = S.common_prefixes(t.astype(np.uint8), order, 20)
+        for a, b in zip(order[1:], order[:-1]):
+            n = next((k for k in range(20) if max(a, b) + k >= len(t) or t[a + k] != t[b + k]), 20)
+            assert shared[a] == n
+
+
+def test_suffix_array_with_few_digits(monkeypatch):
+    import numpy as np
+
+    from tabletidy.llm import suffix_array as S
+
+    monkeypatch.setattr(S, "DIGITS", 4)
+    draw = np.random.default_rng(5)
+    for _ in range(100):
+        t = draw.integers(0, 5, 200)
+        assert S.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
+@pytest.mark.parametrize("many", [10_000, 5])
+def test_suffix_dedup_brute_force(spark, monkeypatch, many):
+    import random
+
+    from tabletidy.llm import queries
+    from tabletidy.llm import suffix_dedup as D
+
+    monkeypatch.setattr(D, "ANCHOR_SEGMENTS", many)
+    monkeypatch.setattr(D, "FLUSH", 300)
+    monkeypatch.setattr(D, "SHARD_BYTES", 20_000)
+    draw = random.Random(3)
+    letters = lambda n: "".join(draw.choices("abc déf🙂\0", k=n))
+    passage = letters(150)
+    odd = [None, "", "x", "a" * 99, "a" * 100, "a" * 1000, "ab" * 300, letters(500) * 2, passage, passage[:99], passage[1:], "ü" * 50, "ü" * 51]
+    odd += [letters(draw.randint(0, 80)) + passage[draw.randint(0, 30) :] + letters(draw.randint(0, 80)) for _ in range(60)]
+    odd += near_copies(draw, 40)
+    texts = dict(enumerate([*list(driver_texts().values())[:120], *odd]))
+    monkeypatch.setattr(queries, "table", lambda *_: frame(spark, list(texts.values()), list(texts)))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in queries.op3_suffix_dedup(spark, "").collect()}
+    assert got == brute_repeats(texts)
+
+
+def test_suffix_dedup_edges(spark):
+    import random
+
+    from tabletidy.llm.suffix_dedup import suffix_dedup
+
+    text = "".join(random.Random(7).choices("abcdefgh", k=300))
+    got = suffix_dedup(frame(spark, [text, text, text, text[:200], text[:20] + text, None], [None, 5, 5, 9, 10, 1])).collect()
+    gone = sorted(((r["doc_id"] or 99, sum(s["stop"] - s["start"] for s in r["spans"]), len(r["kept"])) for r in got))
+    assert gone == [(1, 0, 0), (5, 0, 300), (5, 0, 300), (9, 200, 0), (10, 300, 20), (99, 300, 0)]
+    assert suffix_dedup(frame(spark, [])).collect() == []
