@@ -13,6 +13,7 @@ from tabletidy.llm.exact_dedup import exact_dedup
 from tabletidy.llm.jaccard_join import jaccard_classes
 from tabletidy.llm.license_scan import license_scan
 from tabletidy.llm.line_dedup import line_dedup
+from tabletidy.llm.mixing import mixture
 from tabletidy.llm.quality_rules import quality
 from tabletidy.llm.secret_scan import secret_scan
 from tabletidy.llm.suffix_dedup import suffix_dedup
@@ -46,6 +47,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixture(table(spark, sf_dir, "documents"))
+    return out.select(F.col("_id").alias("doc_id"), F.get_json_object("_src", "$.s").alias("source"), "n_tokens", "epoch", "block", "place")
+
+
 def token_digests(encoded: DataFrame) -> DataFrame:
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op5_mixing": op5_mixing,
     "op6_bpe": op6_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_warc": op8_warc,

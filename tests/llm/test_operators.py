@@ -416,3 +416,125 @@ def test_suffix_dedup_edges(spark):
     gone = sorted(((r["doc_id"] or 99, sum(s["stop"] - s["start"] for s in r["spans"]), len(r["kept"])) for r in got))
     assert gone == [(1, 0, 0), (5, 0, 300), (5, 0, 300), (9, 200, 0), (10, 300, 20), (99, 300, 0)]
     assert suffix_dedup(frame(spark, [])).collect() == []
+
+
+def brute_weights(tokens, target_entropy=None, max_repeats=None, budget=None):
+    import math
+
+    total = sum(tokens.values())
+    p = {s: n / total for s, n in tokens.items() if n}
+
+    def at(alpha):
+        z = sum(x**alpha for x in p.values())
+        return {s: x**alpha / z for s, x in p.items()}
+
+    def value(alpha):
+        w = at(alpha)
+        if target_entropy is not None:
+            return -sum(x * math.log(x) for x in w.values()) - target_entropy
+        size = budget or max(tokens[s] / w[s] for s in p)
+        return max(size * w[s] / tokens[s] for s in p) - max_repeats
+
+    low, high = 0.0, 1.0
+    if value(0.0) <= 0:
+        high = 0.0
+    elif value(1.0) <= 0:
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if value(mid) > 0 else (low, mid)
+    return at(high), budget or max(tokens[s] / at(high)[s] for s in p)
+
+
+@pytest.mark.parametrize("how", [{"max_repeats": 2.0}, {"target_entropy": 1.3}, {"max_repeats": 3.0, "budget": 9000}, {"target_entropy": 99.0, "budget": 4000}])
+def test_mixing_brute_force(spark, how):
+    import random
+
+    from tabletidy.llm.mixing import mix_sources, mixture
+
+    draw = random.Random(5)
+    data, i = [], 0
+    for source, n in (("big", 300), ("mid", 60), ("small", 12), (None, 30), ("empty", 3)):
+        for _ in range(n):
+            data.append((i, None if source == "empty" else "w " * draw.randint(0, 40) + str(i), "en", source, 3))
+            i += 1
+    data += [data[0], (None, "a null id", "en", "mid", 9)]
+    docs = spark.createDataFrame(data, DOCS)
+    tokens = {}
+    words = {}
+    for d, text, _, s, _ in data:
+        tokens[s] = tokens.get(s, 0) + len((text or "").split())
+        words[d, text, s] = words.get((d, text, s), 0) + len((text or "").split())
+    weights, size = brute_weights(tokens, how.get("target_entropy"), how.get("max_repeats"), how.get("budget"))
+    got = mixture(docs, block_tokens=200, **how).collect()
+    taken = {}
+    for r in got:
+        taken.setdefault(r["_src"], []).append(r)
+    longest = max(words.values())
+    for s, share in weights.items():
+        key = "{}" if s is None else f'{{"s":"{s}"}}'
+        want, have = size * share, sum(r["n_tokens"] for r in taken.get(key, []))
+        assert want - longest - 1 <= have <= want + 1e-3 * want + 1, (s, want, have)
+        passes = round(want / tokens[s], 6)
+        for epoch in range(int(passes)):
+            assert len({(r["_id"], r["_mark"]) for r in taken[key] if r["epoch"] == epoch}) == sum(k[2] == s for k in words)
+        assert max(r["epoch"] for r in taken[key]) <= int(passes) if taken.get(key) else True
+        orders = [[r["block"] for r in sorted((r for r in taken.get(key, []) if r["epoch"] == e), key=lambda r: r["place"])] for e in (0, 1)]
+        assert all(len(dict.fromkeys(o)) == sum(a != b for a, b in zip(o, [None, *o])) for o in orders)  # blocks stay together
+    assert all(0 <= r["place"] <= 1 for r in got)
+    if "budget" not in how:
+        assert {r["_id"] for r in got} == {d[0] for d in data}
+        again = mix_sources(docs, **how)
+        assert again.columns == docs.columns and again.count() >= len(data)
+    assert mixture(docs.limit(0)).collect() == []
+
+
+def test_pipeline_brute_force(spark, scratch):
+    """Each stage against its brute-force version on what the stage before it kept."""
+    import os
+
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    assert [name for name, _ in P.STAGES] == ["quality rules", "line dedup", "near duplicates", "mixing", "bpe"]
+    kept, before = docs, docs
+    for k, (name, stage) in enumerate(P.STAGES):
+        path = os.path.join(scratch, str(k))
+        stage(spark, kept, SF).write.parquet(path)
+        before, kept = kept, spark.read.parquet(path)
+        old, new = before.collect(), kept.collect()
+        if name != "bpe":
+            assert kept.columns == columns
+        if name == "quality rules":
+            ids = {r["doc_id"] for r in new}
+            for r in old:
+                n, _, symbols, _, repeats = brute_statistics(r["text"])
+                if n < 20 or 100 * repeats > 30 * n:
+                    assert r["doc_id"] not in ids
+                elif symbols == 0:
+                    assert r["doc_id"] in ids
+        elif name == "line dedup":
+            assert [r["doc_id"] for r in sorted(new)] == [r["doc_id"] for r in sorted(old)]
+            key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+            held = {}
+            for r in old:
+                for line in r["text"].split("\n"):
+                    if len(key(line)) >= 40:
+                        held.setdefault(key(line), set()).add(r["doc_id"])
+            for r in old:
+                want = "\n".join(x for x in r["text"].split("\n") if len(held.get(key(x), ())) < 5 or max(held[key(x)]) == r["doc_id"])
+                assert next(x for x in new if x["doc_id"] == r["doc_id"])["text"] == want
+        elif name == "near duplicates":
+            classes = brute_classes({r["doc_id"]: r["text"] for r in old})
+            assert sorted(r["doc_id"] for r in new) == sorted(i for i, (n, c) in classes.items() if c == i or not n)
+        elif name == "mixing":
+            assert {r["doc_id"] for r in new} == {r["doc_id"] for r in old}
+        else:
+            from tokenizers import Tokenizer
+
+            lib = Tokenizer.from_file(P.vocabulary())
+            texts = {r["doc_id"]: r["text"] for r in old}
+            assert len(new) == len(old)
+            for r in new:
+                assert r["ids_sha256"] == sha(" ".join(map(str, lib.encode(texts[r["doc_id"]], add_special_tokens=False).ids)))
+    assert P.run(spark, SF).count() == kept.count()
