@@ -1,11 +1,12 @@
 """Cell-level predicates and scalar rewrites.
 
 Everything here returns a native ``Column`` expression, so it stays inside
-whole-stage codegen; there is no Python UDF anywhere in the library.
+whole-stage codegen; profiling and cleaning run no Python on the executors.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
@@ -117,7 +118,7 @@ def is_placeholder(c: Column, placeholders: Iterable[str] = PLACEHOLDERS) -> Col
     Lower-casing never shortens a text, so a stripped cell longer than the
     longest placeholder cannot match: the guard skips lower-casing long texts.
     """
-    ph = list(placeholders)
+    ph = [p.lower() for p in placeholders]  # a caller's list may be in upper case
     if not ph:
         return F.lit(False)
     t = strip_ws(c)
@@ -182,6 +183,9 @@ def typed_literal(value, dt: T.DataType) -> Column:
     """
     if isinstance(dt, T.TimestampNTZType) and hasattr(value, "isoformat"):
         return F.lit(value.isoformat(sep=" ")).cast(dt)
+    if getattr(value, "tzinfo", None) is not None:  # an instant: by its microseconds
+        epoch = _dt.datetime(1970, 1, 1, tzinfo=_dt.timezone.utc)
+        return F.timestamp_micros(F.lit(round((value - epoch) / _dt.timedelta(microseconds=1)))).cast(dt)
     return F.lit(value).cast(dt)
 
 

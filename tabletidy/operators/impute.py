@@ -12,11 +12,13 @@
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabletidy.operators.profile import _fields, frequency_table, mode_frame
 
@@ -31,8 +33,6 @@ def exact_medians(
     columns: Sequence[str],
     counts: dict[str, int] | None = None,
     accuracy: int = 10_000,
-    bracket_limit: int = 100_000,
-    max_rounds: int = 12,
 ) -> dict[str, float | None]:
     """Exact median of each column (nulls and NaN skipped; even count → mean of the middle two).
 
@@ -41,11 +41,12 @@ def exact_medians(
     exactly how many values are < a, ≤ a, < b and ≤ b. If r falls on the copies
     of a or of b the answer is found; if it falls strictly between them the
     bracket becomes the open interval (a, b), which excludes both, so a value
-    holding a third of the column cannot stall the search. Brackets shrink by
-    about ``accuracy`` per round; once one holds at most ``bracket_limit`` rows it
-    is resolved exactly from (value, count) pairs and a running sum. Every pass
-    is an aggregate over the whole table with a few numbers per column as its
-    result, and the final window holds at most ``bracket_limit`` rows per target.
+    holding a third of the column cannot stall the search. If the sketch missed the
+    rank, the probe widens until it spans the bracket. Every round so finds the value,
+    loses two distinct values or widens, and rounds go on until all targets are found:
+    brackets shrink by about ``accuracy`` a round, and a bracket of fewer rows than that
+    is exact in the sketch. Every pass is an aggregate over the whole table with a few
+    numbers per column as its result; nothing is sorted or gathered.
     """
     columns = list(columns)
     if not columns:
@@ -73,10 +74,7 @@ def exact_medians(
         return cond
 
     eps = 1.0 / accuracy
-    for _ in range(max_rounds):
-        todo = [t for t in targets if t["value"] is None and t["inside"] > bracket_limit]
-        if not todo:
-            break
+    while todo := [t for t in targets if t["value"] is None]:
         probes = []
         for i, t in enumerate(todo):
             q = (t["r"] - t["below"]) / t["inside"]
@@ -107,41 +105,32 @@ def exact_medians(
             else:
                 t["margin"] *= 4.0  # the sketch missed the rank: widen the probe and retry
 
-    rest = [t for t in targets if t["value"] is None]
-    if rest:
-        # Resolve the remaining small brackets from (value, count) pairs.
-        cells = [
-            F.struct(F.lit(i).alias("ti"), F.when(in_bracket(t), _value(t["col"])).alias("v"))
-            for i, t in enumerate(rest)
-        ]
-        pairs = (
-            df.select(F.inline(F.array(*cells)))
-            .where(F.col("v").isNotNull())
-            .groupBy("ti", "v")
-            .agg(F.count(F.lit(1)).alias("cnt"))
-        )
-        w = Window.partitionBy("ti").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        local = F.create_map(*[x for i, t in enumerate(rest) for x in (F.lit(i), F.lit(t["r"] - t["below"]))])[F.col("ti")]
-        ranked = pairs.withColumn("cum", F.sum("cnt").over(w))
-        hits = ranked.where((F.col("cum") - F.col("cnt") <= local) & (local < F.col("cum"))).select("ti", "v").collect()
-        for row in hits:
-            rest[row["ti"]]["value"] = float(row["v"])
     for c in columns:
         vals = [t["value"] for t in targets if t["col"] == c]
         if vals:
-            if any(v is None for v in vals):
-                raise RuntimeError(f"median of {c} not resolved")
             out[c] = sum(vals) / len(vals)
     return out
 
 
 def column_minimums(df: DataFrame, columns: Sequence[str]) -> dict[str, Any]:
-    """Earliest non-null value per column, one aggregate."""
+    """Earliest non-null value per column, one aggregate.
+
+    A ``TIMESTAMP`` (an instant) comes as an aware UTC datetime, whatever the zone of the
+    driver or the session; wall-clock timestamps and dates come as they are.
+    """
     columns = list(columns)
     if not columns:
         return {}
-    row = df.agg(*[F.min(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[f"m{i}"] for i, c in enumerate(columns)}
+    types = {f.name: f.dataType for f in df.schema.fields}
+    instant = {c: isinstance(types[c], T.TimestampType) for c in columns}
+    least = {c: F.min(F.col(f"`{c}`")) for c in columns}
+    row = df.agg(*[(F.unix_micros(least[c]) if instant[c] else least[c]).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    epoch = _dt.datetime(1970, 1, 1, tzinfo=_dt.timezone.utc)
+    out: dict[str, Any] = {}
+    for i, c in enumerate(columns):
+        v = row[f"m{i}"]
+        out[c] = epoch + _dt.timedelta(microseconds=v) if instant[c] and v is not None else v
+    return out
 
 
 def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:

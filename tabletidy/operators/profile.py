@@ -1,15 +1,13 @@
 """Column profiling.
 
-A full profile is one shuffle of cells, whatever the table's width:
+A full profile is one scan and one shuffle of cells, whatever the table's width:
 every cell is unpivoted to ``(ordinal, text)`` and aggregated into a frequency
 table ``(ordinal, value) → n, first_ord`` (map-side partial aggregation, so a
 value that fills a third of a column costs one row per task in the shuffle).
 The cell predicates (missing, raw null, numeric text) are then evaluated once
-per *distinct* value instead of once per cell, and the per-column counts,
-distinct counts and modes derive from that one table. In scan order the first-k
-samples come from a scan that keeps at most k candidates per column and task and
-stops early (``first_values_scan``); with another order key from the table's
-first positions.
+per *distinct* value instead of once per cell; the per-column counts, distinct
+counts, modes and first-k samples all derive from that one table, whose shuffle
+both consumers read.
 
 ``stats_frame`` is the shuffle-free variant (one wide aggregate, one tiny row
 per task) for callers that need only the counts: the fit step, the raw preview.
@@ -63,35 +61,27 @@ def is_null_like(c: Column, dt: T.DataType) -> Column:
 def with_order(df: DataFrame, order_by: str | None) -> DataFrame:
     """Attach the order-of-appearance key used by samples and previews.
 
-    An explicit column is preferred; otherwise the scan position
-    (``monotonically_increasing_id``), which follows file and offset order.
+    An explicit column keeps its own type (numbers, texts, dates, timestamps), nulls
+    last. Without one the key is the scan position (``monotonically_increasing_id``),
+    which follows the offsets inside a file; the order of several files is Spark's.
     """
     if ORD in df.columns:
         return df
     if order_by is not None:
-        return df.withColumn(ORD, F.col(order_by).cast("long"))
+        c = F.col(f"`{order_by}`")
+        return df.withColumn(ORD, F.struct(c.isNull().alias("none"), c.alias("key")))
     return df.withColumn(ORD, F.monotonically_increasing_id())
 
 
-def spread(df: DataFrame, order_by: str | None = None) -> tuple[DataFrame, bool]:
-    """Spread an under-partitioned input over all task slots; returns (frame, spread?).
+def spread(df: DataFrame, order_by: str | None = None) -> DataFrame:
+    """The input dealt over all task slots and persisted, for callers that ask for it.
 
-    A scan with fewer partitions than the session's parallelism (one large
-    unsplittable file, one parquet row group) would run the per-cell work in a
-    few tasks. Such an input gets its order key first (so first-appearance
-    semantics survive), is repartitioned round-robin and persisted, since the
-    caller scans it more than once. An input that already has enough partitions
-    (the normal case at scale) is returned unchanged.
+    For a table of a few large partitions that is scanned more than once (one
+    unsplittable file): it gets its order key first, so first-appearance semantics
+    survive. Never done by itself; release it with ``unpersist()``.
     """
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session): leave as is
-        return df, False
-    if parts >= slots:
-        return df, False
-    keyed = with_order(df, order_by)
-    return keyed.repartition(slots).persist(StorageLevel.MEMORY_AND_DISK), True
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return with_order(df, order_by).repartition(slots).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _fields(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[int, T.StructField]]:
@@ -102,33 +92,15 @@ def _fields(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[int, T.S
     return list(enumerate(fields))
 
 
-STATS_CHUNK = 200  # columns per aggregate: keeps generated code under the JVM method limits
-
-
 def stats_frame(df: DataFrame, placeholders: Placeholders = PLACEHOLDERS, approx_rsd: float | None = None) -> DataFrame:
     """Per-column counts from one aggregate pass.
 
     Columns: column, ordinal, kind, rows, missing_count, null_count, numeric_ok,
-    dtype, is_numeric, type_issues, total_issues, missing_pct. A table wider than
-    ``STATS_CHUNK`` columns is counted in chunks (one pass each) and unioned.
-    With ``approx_rsd`` each column also gets ``unique_count`` from a
+    dtype, is_numeric, type_issues, total_issues, missing_pct. One pass for a table of
+    any width. With ``approx_rsd`` each column also gets ``unique_count`` from a
     HyperLogLog sketch (``approx_count_distinct``) of its non-missing values.
     """
     fields = _fields(df, None)
-    if len(fields) <= STATS_CHUNK:
-        return _stats_chunk(df, fields, placeholders, approx_rsd)
-    parts = [
-        _stats_chunk(df, fields[i : i + STATS_CHUNK], placeholders, approx_rsd) for i in range(0, len(fields), STATS_CHUNK)
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _stats_chunk(
-    df: DataFrame, fields: list[tuple[int, T.StructField]], placeholders: Placeholders, approx_rsd: float | None = None
-) -> DataFrame:
     ph = placeholder_sets(placeholders)
     # Evaluate each cell predicate once in a projection, then count the flags.
     flags: list[Column] = []
@@ -180,6 +152,11 @@ def _stats_chunk(
     return _with_verdicts(one.select(F.inline(F.array(*entries))))
 
 
+def _text(c: Column, dt: T.DataType) -> Column:
+    """A cell as text; the two zeros of a float column are one value."""
+    return (c + F.lit(0.0).cast(dt)).cast("string") if kind_of(dt) == "float" else c.cast("string")
+
+
 def frequency_table(
     df: DataFrame,
     exclude: str = "missing",
@@ -199,15 +176,19 @@ def frequency_table(
     """
     ph = placeholder_sets(placeholders)
     src = (df if ORD in df.columns else with_order(df, order_by)) if with_first else df
+    fields = _fields(df, columns)
+    # two instants of a repeated wall-clock hour share a text: the instant keeps them apart
+    instants = any(isinstance(f.dataType, T.TimestampType) for _, f in fields)
     cells = []
-    for i, f in _fields(df, columns):
+    for i, f in fields:
         c = F.col(f"`{f.name}`")
-        text = c.cast("string")
+        text = _text(c, f.dataType)
         if exclude == "missing":
             text = F.when(~is_missing(c, f.dataType, ph(f.name)), text)
         elif exclude == "null":
             text = F.when(~is_null_like(c, f.dataType), text)
-        cells.append(F.struct(F.lit(i).alias("ordinal"), text.alias("value")))
+        at = F.unix_micros(c) if isinstance(f.dataType, T.TimestampType) else F.lit(None).cast("bigint")
+        cells.append(F.struct(F.lit(i).alias("ordinal"), text.alias("value"), *([at.alias("instant")] if instants else [])))
     if not cells:
         schema = "ordinal int, value string, n bigint" + (", first_ord bigint" if with_first else "")
         return src.sparkSession.createDataFrame([], schema)
@@ -216,7 +197,8 @@ def frequency_table(
     if exclude != "none":
         long_form = long_form.where(F.col("value").isNotNull())
     aggs = [F.count(F.lit(1)).alias("n")] + ([F.min(ORD).alias("first_ord")] if with_first else [])
-    return long_form.groupBy("ordinal", "value").agg(*aggs)
+    keys = ["ordinal", "value", *(["instant"] if instants else [])]
+    return long_form.groupBy(*keys).agg(*aggs).drop("instant")
 
 
 def first_values(freq: DataFrame, top_values: int = 3) -> DataFrame:
@@ -299,19 +281,15 @@ def profile_frame(
     """Everything about every column from one frequency table.
 
     Columns: the ``PROFILE_SCHEMA`` fields plus ``kind``, ``rows``, ``null_count``,
-    ``numeric_ok`` and ``is_numeric`` (the fit step's inputs). Counts and distinct
-    counts come from the frequency table. The first-k samples come, in scan
-    order, from ``first_values_scan`` (it stops reading early and sends at most k
-    values per column and task), so the cells are shuffled once. With another
-    order key they come from the table's ``first_ord`` (a window group limit);
-    the table then has two consumers whose pruned plans differ, so pass a
-    persisted ``freq`` (as ``profile_rows`` does) to avoid computing it twice.
+    ``numeric_ok`` and ``is_numeric`` (the fit step's inputs). Counts and samples read
+    the same shuffle of cells: both sit on one filter over the table that needs all its
+    columns, so their plans agree up to the exchange and it is computed once.
     """
     ph = placeholders
     fields = _field_table(df)
-    early = freq is None and _scan_order(df, order_by)
     if freq is None:
-        freq = frequency_table(df, "none", None, ph, order_by, with_first=not early)
+        freq = frequency_table(df, "none", None, ph, order_by)
+    freq = freq.where((F.col("n") > 0) & F.col("first_ord").isNotNull())  # true for every row
     flags = _value_flags(df, ph)
     n = F.col("n")
     counts = freq.groupBy("ordinal").agg(
@@ -321,13 +299,11 @@ def profile_frame(
         F.sum(F.when(flags["num_ok"], n).otherwise(0)).alias("numeric_ok"),
         F.count_if(~flags["missing"]).alias("unique_count"),
     )
-    if early:
-        samples = first_values_scan(df, top_values, ph, order_by)
-    else:
-        samples = first_values(freq.where(~flags["missing"]), top_values)
+    # the condition needs n, so it stays above the shared exchange
+    samples = first_values(freq.where(F.when(n > 0, ~flags["missing"])), top_values)
     zero = F.lit(0).cast("long")
-    # one row per column on the field side: bounded by the table's width
-    joined = F.broadcast(fields).join(counts, "ordinal", "left").join(samples, "ordinal", "left")
+    # one row per column on all sides: bounded by the table's width
+    joined = fields.join(F.broadcast(counts), "ordinal", "left").join(F.broadcast(samples), "ordinal", "left")
     rows = F.coalesce("rows", zero)  # every cell, null or not, is in the table
     base = joined.select(
         "column",
@@ -373,29 +349,14 @@ def profile_rows(
     sort: str = "total_issues",
     approx_rsd: float | None = None,
 ) -> list:
-    """Eager A8 (``profile_frame`` rows, sorted).
+    """Eager A8 (``profile_frame`` rows, sorted): one row per column.
 
-    An under-partitioned input is spread first (``spread``). In scan order the
-    profile is one shuffle of cells plus the bounded sample scan; otherwise the
-    frequency table is persisted while its two consumers read it. With
-    ``approx_rsd`` no cells are shuffled (``profile_approx_frame``). Everything
-    persisted is released before returning; the result holds one row per column.
+    With ``approx_rsd`` no cells are shuffled (``profile_approx_frame``).
     """
-    ph = placeholders
-    src, spread_out = spread(df, order_by)
-    freq = None
-    try:
-        if approx_rsd is not None:  # counts from the shuffle-free pass, distinct counts sketched
-            rows = profile_approx_frame(src, top_values, ph, order_by, approx_rsd).collect()
-            return sorted(rows, key=lambda r: (-r[sort], r["ordinal"]))
-        if not _scan_order(src, order_by):
-            freq = frequency_table(src, "none", None, ph, order_by).persist(StorageLevel.MEMORY_AND_DISK)
-        rows = profile_frame(src, top_values, ph, order_by, freq=freq).collect()
-    finally:
-        if freq is not None:
-            freq.unpersist()
-        if spread_out:
-            src.unpersist()
+    if approx_rsd is not None:  # counts from the shuffle-free pass, distinct counts sketched
+        rows = profile_approx_frame(df, top_values, placeholders, order_by, approx_rsd).collect()
+    else:
+        rows = profile_frame(df, top_values, placeholders, order_by).collect()
     return sorted(rows, key=lambda r: (-r[sort], r["ordinal"]))
 
 
@@ -415,79 +376,46 @@ def profile(
     return full.select(*PROFILE_COLUMNS).orderBy(F.col(sort).desc(), F.col("ordinal"))
 
 
-def _scan_order(df: DataFrame, order_by: str | None) -> bool:
-    """Is the order key the scan position assigned in this pass (so it grows along a partition)?
-
-    An existing key (e.g. carried through a shuffle) or an explicit column does not.
-    """
-    return order_by is None and ORD not in df.columns
-
-
 def first_values_scan(
     df: DataFrame,
     top_values: int = 3,
     placeholders: Placeholders = PLACEHOLDERS,
     order_by: str | None = None,
 ) -> DataFrame:
-    """``(ordinal, sample_values)`` exactly as ``first_values`` gives, without shuffling cells.
-
-    The global first k distinct values of a column are always among some
-    partition's own first k (any value with k earlier distinct values in its
-    partition has them earlier globally too). Each task therefore keeps, per
-    column, the k distinct values with the smallest order key, a bounded merge
-    per Arrow batch, and emits at most k rows per column; only those candidates
-    are shuffled. In scan order the key grows within a partition, so a task
-    stops reading once every column has k values.
+    """``(ordinal, sample_values)`` as ``first_values`` gives, without shuffling cells.
+
+    Round j is one aggregate over all columns: the value of the least order key among
+    those not found yet, so ``top_values`` passes send one row per task. The result (a
+    few values per column) is held by the driver.
     """
     ph = placeholder_sets(placeholders)
     fields = _fields(df, None)
-    src = df if ORD in df.columns else with_order(df, order_by)
-    cols = [
-        F.when(~is_missing(F.col(f"`{f.name}`"), f.dataType, ph(f.name)), F.col(f"`{f.name}`").cast("string")).alias(f"v{i}")
+    src = with_order(df, order_by)
+    # values in their own type where equal values are equal texts; ties of a given key go by text
+    typed = {i: order_by is None and ORD not in df.columns and kind_of(f.dataType) in ("string", "integral", "bool") for i, f in fields}
+    values = {
+        i: F.when(~is_missing(F.col(f"`{f.name}`"), f.dataType, ph(f.name)), F.col(f"`{f.name}`") if typed[i] else _text(F.col(f"`{f.name}`"), f.dataType))
         for i, f in fields
-    ]
-    ordinals = [i for i, _ in fields]
-    k = top_values
-    scan_order = _scan_order(df, order_by)
-
-    def local_first(batches):
-        import pandas as pd
-
-        best: dict[int, dict[str, int]] = {i: {} for i in ordinals}
-        full: set[int] = set()
-        for pdf in batches:
-            if not scan_order:  # a carried key: order the batch once, shared by all columns
-                pdf = pdf.sort_values(ORD, kind="stable")
-            pos = pdf[ORD]
-            for i in ordinals:
-                if i in full:
-                    continue
-                vals = pdf[f"v{i}"]
-                vals = vals[vals.notna()]
-                if vals.empty:
-                    continue
-                # first occurrences in key order; those up to the k-th position can matter
-                # (ties at that position are all kept: the merge breaks them by value)
-                firsts = vals.drop_duplicates()
-                if len(firsts) > k:
-                    cutoff = pos[firsts.index[k - 1]]
-                    firsts = firsts[pos[firsts.index].to_numpy() <= cutoff]
-                merged = dict(best[i])
-                for idx, v in firsts.items():
-                    o = int(pos[idx])
-                    if v not in merged or o < merged[v]:
-                        merged[v] = o
-                best[i] = dict(sorted(merged.items(), key=lambda kv: (kv[1], kv[0]))[:k])
-                if scan_order and len(best[i]) >= k:
-                    full.add(i)  # later rows of this partition come later: nothing can enter
-            if scan_order and len(full) == len(ordinals):
-                break
-        rows = [(i, v, o) for i in ordinals for v, o in best[i].items()]
-        yield pd.DataFrame(rows, columns=["ordinal", "value", "first_ord"])
-
-    cand = src.select(F.col(ORD), *cols).mapInPandas(local_first, "ordinal int, value string, first_ord long")
-    firsts = cand.groupBy("ordinal", "value").agg(F.min("first_ord").alias("first_ord"))
-    return first_values(firsts, top_values)
+    }
+    found: dict[int, list] = {i: [] for i, _ in fields}
+    open_ = set(found)
+    for _ in range(top_values):
+        if not open_:
+            break
+        firsts = []
+        for i in sorted(open_):
+            v = values[i]
+            new = v.isNotNull() & ~v.isin(found[i]) if found[i] else v.isNotNull()
+            firsts.append(F.min(F.when(new, F.struct(F.col(ORD).alias("o"), v.alias("v")))).alias(f"f{i}"))
+        row = src.agg(*firsts).first()
+        for i in sorted(open_):
+            if row[f"f{i}"] is None:
+                open_.discard(i)
+            else:
+                found[i].append(row[f"f{i}"]["v"])
+    words = {True: "true", False: "false"}
+    rows = [(i, [words[v] if isinstance(v, bool) else str(v) for v in vs]) for i, vs in found.items()]
+    return df.sparkSession.createDataFrame(rows, "ordinal int, sample_values array<string>")
 
 
 def profile_approx(
@@ -502,7 +430,7 @@ def profile_approx(
 
     Counts come from the shuffle-free pass (plus a HyperLogLog sketch per column
     with relative standard deviation ``rsd``); samples are exact and come from
-    ``first_values_scan``. Every other field equals ``profile``'s.
+    ``first_values_scan`` (a few more passes over the columns). Every other field equals ``profile``'s.
     """
     full = profile_approx_frame(df, top_values, placeholders, order_by, rsd)
     return full.select(*PROFILE_COLUMNS).orderBy(F.col(sort).desc(), F.col("ordinal"))
@@ -519,7 +447,7 @@ def profile_approx_frame(
     stats = stats_frame(df, placeholders, approx_rsd=rsd)
     samples = first_values_scan(df, top_values, placeholders, order_by)
     # one row per column on both sides: bounded by the table's width
-    return F.broadcast(stats).join(samples, "ordinal", "left").select(
+    return stats.join(F.broadcast(samples), "ordinal", "left").select(
         *[c for c in stats.columns if c != "ordinal"],
         F.col("ordinal").cast("int").alias("ordinal"),
         F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
@@ -539,13 +467,20 @@ def raw_preview_profile(df: DataFrame) -> DataFrame:
 
 def raw_column_info(df: DataFrame) -> DataFrame:
     """Per column type, raw nulls, and distinct non-null values (placeholders count)."""
-    stats = stats_frame(df).select("column", "ordinal", "dtype", "null_count")
-    freq = frequency_table(df, "null")
-    uniq = freq.groupBy("ordinal").agg(F.count(F.lit(1)).alias("unique_count"))
-    return (
-        F.broadcast(stats)
-        .join(uniq, "ordinal", "left")
-        .select("column", "ordinal", "dtype", "null_count", F.coalesce("unique_count", F.lit(0).cast("long")).alias("unique_count"))
+    freq = frequency_table(df, "none", with_first=False)
+    null_like = _value_flags(df, PLACEHOLDERS)["null_like"]
+    zero = F.lit(0).cast("long")
+    counts = freq.groupBy("ordinal").agg(
+        F.sum(F.when(null_like, F.col("n")).otherwise(0)).alias("nulls"), F.count_if(~null_like).alias("uniques")
+    )
+    joined = _field_table(df).join(F.broadcast(counts), "ordinal", "left")
+    nulls = F.coalesce("nulls", zero)
+    return joined.select(
+        "column",
+        F.col("ordinal").cast("int").alias("ordinal"),
+        F.when(nulls > 0, F.col("label_nulls")).otherwise(F.col("label_plain")).alias("dtype"),
+        nulls.cast("long").alias("null_count"),
+        F.coalesce("uniques", zero).cast("long").alias("unique_count"),
     )
 
 

@@ -41,6 +41,9 @@ from tabletidy.operators.impute import column_minimums, column_modes, exact_medi
 from tabletidy.operators.profile import ORD, PROFILE_COLUMNS, profile, profile_rows, spread, stats_frame, with_order
 
 
+_EPOCH = _dt.datetime(1970, 1, 1, tzinfo=_dt.timezone.utc)
+
+
 @dataclass
 class ColumnPlan:
     name: str
@@ -72,8 +75,10 @@ class CleaningPlan:
 
     def to_json(self) -> str:
         def enc(v):
+            if isinstance(v, _dt.datetime) and v.tzinfo is not None:
+                return {"__micros__": round((v - _EPOCH) / _dt.timedelta(microseconds=1))}
             if isinstance(v, (_dt.datetime, _dt.date)):
-                return {"__ts__": v.isoformat()}
+                return {"__ts__": v.isoformat(), "date": not isinstance(v, _dt.datetime)}
             return v
 
         d = asdict(self)
@@ -87,8 +92,10 @@ class CleaningPlan:
         cols = []
         for c in d["columns"]:
             v = c["fill_value"]
-            if isinstance(v, dict) and "__ts__" in v:
-                v = _dt.datetime.fromisoformat(v["__ts__"])
+            if isinstance(v, dict) and "__micros__" in v:
+                v = _EPOCH + _dt.timedelta(microseconds=v["__micros__"])
+            elif isinstance(v, dict) and "__ts__" in v:
+                v = (_dt.date if v.get("date") else _dt.datetime).fromisoformat(v["__ts__"])
             c["fill_value"] = v
             cols.append(ColumnPlan(**c))
         return CleaningPlan(cols, d["drop_duplicates"], d["placeholders"])
@@ -331,6 +338,7 @@ def clean(
     persist: bool = True,
     narrow_integers: bool = False,
     approx_unique: float | None = None,
+    spread_input: bool = False,
 ) -> CleanResult:
     """Clean a table and summarise it.
 
@@ -339,13 +347,14 @@ def clean(
     Profiles hold one entry per column, so they are small driver-side lists.
     ``approx_unique`` (a relative standard deviation, e.g. 0.05) sketches the
     profiles' distinct counts, so no cells are shuffled for them; every other
-    field, the plan and the cleaned rows stay exact.
+    field, the plan and the cleaned rows stay exact. ``spread_input`` first deals a table
+    of a few large partitions over all task slots (a persisted copy).
     """
     if not isinstance(df, DataFrame):  # S2: the in-memory source is a DataFrame
         raise TypeError("df must be a Spark DataFrame")
     ph = placeholders
-    src, spread_out = spread(df, order_by) if persist else (df, False)
-    cached = [src] if spread_out else []
+    src = spread(df, order_by) if spread_input else df
+    cached = [src] if spread_input else []
 
     # before profile + fit-1 from one frequency table (one scan, one shuffle)
     stats = profile_rows(src, top_values, ph, order_by, approx_rsd=approx_unique)

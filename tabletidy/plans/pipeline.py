@@ -58,7 +58,7 @@ def ingest(
 ) -> IngestResult:
     """I8: one uploaded CSV through the whole job, artifacts under ``root``.
 
-    Layout: ``raw/<stem>_<id>`` (S8), ``cleaned/<stem>_<id>_cleaned`` (S4),
+    Layout: ``raw/<stem>_<id>.csv`` (S8), ``cleaned/<stem>_<id>_cleaned`` (S4),
     ``reports/<stem>_<id>_report`` (R9 as CSV), ``reports/<stem>_<id>_summary.json``
     (S5), and the ``runs`` / ``profiles`` history tables (S7).
     """

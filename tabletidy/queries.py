@@ -49,7 +49,7 @@ from tabletidy.plans.cleaning import (
 )
 from tabletidy.plans.pipeline import clean_path, ingest
 from tabletidy.session import checkpoint_dir
-from tabletidy.sources.files import read_csv, read_summaries, write_csv, write_summary_json
+from tabletidy.sources.files import landing_copy, read_csv, read_summaries, write_csv, write_summary_json
 from tabletidy.sources.tables import read_runs
 from tabletidy.streaming.landing import watch_landing
 
@@ -371,8 +371,8 @@ def q_a12_median(spark, sf):
     li = fx.table(spark, sf, "lineitem")
     de = _de_df(spark, sf).select("user_id", coerce_numeric(replace_placeholders(F.col("value_txt"))).alias("value_txt"))
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
-    got = exact_medians(li, cols, bracket_limit=1_000)
-    got.update(exact_medians(de, ["user_id", "value_txt"], bracket_limit=500))
+    got = exact_medians(li, cols)
+    got.update(exact_medians(de, ["user_id", "value_txt"]))
     return spark.createDataFrame([(k, v) for k, v in got.items()], "column string, median double")
 
 
@@ -639,11 +639,41 @@ def q_s1_s4_csv_roundtrip(spark, sf):
     return read_csv(spark, _events_csv(spark, sf))
 
 
+def q_s1_csv_documents(spark, sf):
+    """S4 then S1 on free text with quotes, newlines and commas: whole texts come back unchanged."""
+    docs = fx.table(spark, sf, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("part"), "text")
+    talk = fx.table(spark, sf, "conversations").select(F.lit("c").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").cast("long").alias("part"), "text")
+    quoted = F.concat(F.lit('He said ""hi"", "'), F.col("text"), F.lit('"\n, end'))
+    path = f"{_scratch(spark)}/texts.csv"
+    write_csv(docs.unionByName(talk).withColumn("text", quoted), path)
+    back = read_csv(spark, path)
+    return back.select("kind", "id", "part", "text")
+
+
+def q_s1_csv_bool_blank(spark, sf):
+    """A boolean CSV column with blanks becomes 1.0/0.0 with the median filled in."""
+    e = fx.table(spark, sf, "events")
+    flag = F.when(F.col("event_id") % 7 != 0, F.when(F.col("event_id") % 3 == 0, "False").otherwise("True"))
+    path = f"{_scratch(spark)}/flags.csv"
+    write_csv(e.select("event_id", flag.alias("flag")), path)
+    src = read_csv(spark, path)
+    return transform(src, fit(src))
+
+
+def q_s8_raw_copy(spark, sf):
+    """The archived upload, read again, is the upload."""
+    src = _events_csv(spark, sf)
+    _, copy = landing_copy(spark, src, f"{src}_raw")
+    return read_csv(spark, copy)
+
+
 def q_i7_clean_file(spark, sf):
-    """Clean the CSV of the dirty events; the cleaned table (also written as CSV)."""
+    """Clean the CSV of the dirty events; the cleaned CSV it wrote, read back."""
     src = _events_csv(spark, sf)
-    _, res = clean_path(spark, src, f"{src}_cleaned")
-    return res.cleaned
+    _, res = clean_path(spark, src, f"{src}_cleaned.csv")
+    back = read_csv(spark, f"{src}_cleaned.csv", infer_types=False)
+    types = {f.name: f.dataType for f in res.cleaned.schema.fields}
+    return back.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) for c in back.columns])
 
 
 def q_s5_s6_summary_json(spark, sf):
@@ -753,6 +783,9 @@ QUERIES: dict[str, Query] = {
     "h4_user": q_h4_user,
     "h5_per_user": q_h5_per_user,
     "s1_s4_csv_roundtrip": q_s1_s4_csv_roundtrip,
+    "s1_csv_documents": q_s1_csv_documents,
+    "s1_csv_bool_blank": q_s1_csv_bool_blank,
+    "s8_raw_copy": q_s8_raw_copy,
     "i7_clean_file": q_i7_clean_file,
     "s5_s6_summary_json": q_s5_s6_summary_json,
     "i8_ingest": q_i8_ingest,
@@ -991,6 +1024,15 @@ FROM m"""
     o["h4_user"] = _runs(f"SELECT run_id, user_email, original_rows FROM runs WHERE user_email = {busiest}")
     o["h5_per_user"] = _runs("SELECT user_email, count(*) AS processing_count FROM runs GROUP BY user_email")
     o["s1_s4_csv_roundtrip"] = fx.EVENTS_CSV_SQL
+    o["s8_raw_copy"] = fx.EVENTS_CSV_SQL
+    o["s1_csv_documents"] = """SELECT 'd' AS kind, doc_id AS id, CAST(0 AS BIGINT) AS part,
+  'He said ""hi"", "' || text || '"' || chr(10) || ', end' AS text FROM documents
+UNION ALL SELECT 'c', conv_id, CAST(turn AS BIGINT), 'He said ""hi"", "' || text || '"' || chr(10) || ', end' FROM conversations"""
+    flag = "CASE WHEN event_id % 7 <> 0 THEN CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE 1.0 END END"
+    o["s1_csv_bool_blank"] = (
+        f"WITH e AS (SELECT event_id, CAST({flag} AS DOUBLE) AS flag FROM events) "
+        "SELECT DISTINCT event_id, coalesce(flag, (SELECT median(flag) FROM e)) AS flag FROM e"
+    )
     rt_cols = [(c, {"user_id": "float", "ts": "string"}.get(c, k)) for c, k in DE_COLS]
     o["i7_clean_file"] = f"WITH rt AS ({fx.EVENTS_CSV_SQL}) SELECT * FROM ({_clean_sql('rt', rt_cols, DE_COERCED, DE_NULL_FREE)}) x"
     o["st1_frozen_stream_clean"] = _de(f"SELECT * FROM ({_clean_sql('de', DE_COLS, DE_COERCED, DE_NULL_FREE, apply_all=True)}) x")

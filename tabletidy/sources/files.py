@@ -5,7 +5,7 @@
   each column the way a pandas CSV reader would (int64 / float64 / bool / text).
 * ``write_csv`` (S4): a directory of part files with a header in each.
 * ``write_summary_json`` / ``read_summaries`` (S5 / S6): run summaries as JSON.
-* ``landing_copy`` (S8): the raw upload archived line by line, distributed.
+* ``landing_copy`` (S8): the raw upload archived byte for byte.
 * ``CSV_GLOB`` (S10): only ``*.csv`` names, any letter case.
 """
 
@@ -56,12 +56,33 @@ def is_csv_name(path: str) -> bool:
     return path.lower().endswith(".csv")
 
 
-def _header_names(spark: SparkSession, path: str) -> list[str] | None:
-    """The raw header cells of the first file, split with CSV quoting (one line)."""
-    first = spark.read.option("pathGlobFilter", CSV_GLOB).text(path).limit(1).collect()
-    if not first:
-        return None
-    return next(csv.reader(io.StringIO(first[0][0])), [])
+def _first_record(spark: SparkSession, file: str) -> list[str]:
+    """The header cells of one file: its first record, which may hold quoted newlines."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    try:
+        lines: list[str] = []
+        while (line := reader.readLine()) is not None:
+            lines.append(line)
+            if "\n".join(lines).count('"') % 2 == 0:
+                break
+    finally:
+        reader.close()
+    return next(csv.reader(io.StringIO("\n".join(lines).lstrip("\ufeff"), newline="")), [])
+
+
+def _files_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The CSV files under ``path`` by their header (empty files have none and are left out).
+
+    One short read per file on the driver, which lists the files anyway; no pass over the data.
+    """
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in spark.read.option("pathGlobFilter", CSV_GLOB).text(path).inputFiles():
+        if header := _first_record(spark, file):
+            groups.setdefault(tuple(header), []).append(file)
+    return groups
 
 
 def dedupe_names(names: list[str]) -> list[str]:
@@ -79,20 +100,50 @@ def dedupe_names(names: list[str]) -> list[str]:
     return out
 
 
-def read_csv_text(spark: SparkSession, path: str, na_tokens: tuple[str, ...] = CSV_NA_TOKENS) -> DataFrame:
-    """S1 without typing: all columns as text, NA tokens → null, pandas-style names."""
+_OVERFLOW = "__tt_more"
+
+
+def _read_group(spark: SparkSession, files: list[str], names: list[str], multiline: bool) -> DataFrame:
+    """Files of one header: cells by position, quotes doubled inside quotes.
+
+    A record with fewer cells than the header ends in nulls. One with more fails the read (a
+    cell past the header lands in an extra column that must stay null), as a quote that never
+    closes does: nothing is cut or dropped.
+    """
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _OVERFLOW]])
     raw = (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("pathGlobFilter", CSV_GLOB)
+        spark.read.schema(schema)
+        .option("header", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multiline)
         .option("mode", "PERMISSIVE")
-        .csv(path)
+        .csv(files)
+    )
+    whole = F.when(F.col(_OVERFLOW).isNull(), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("CSV record with more cells than the header: "), F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))))
     )
-    names = _header_names(spark, path)
-    if names is not None and len(names) == len(raw.columns):
-        wanted = dedupe_names(names)
-        if wanted != raw.columns:  # Spark renames repeats to a0, a1 and blanks to _c<i>
-            raw = raw.toDF(*wanted)
+    return raw.where(whole).drop(_OVERFLOW)
+
+
+def read_csv_text(
+    spark: SparkSession, path: str, na_tokens: tuple[str, ...] = CSV_NA_TOKENS, multiline: bool = True
+) -> DataFrame:
+    """S1 without typing: all columns as text, NA tokens → null, pandas-style names.
+
+    Files of a directory are grouped by header: another column order is matched by name,
+    other column names fail. ``multiline`` (the default) reads quoted newlines, a file per
+    task; ``multiline=False`` splits large files, for data without quoted newlines.
+    """
+    groups = _files_by_header(spark, path)
+    if not groups:  # nothing but empty files: let Spark name the columns (or fail on an absent path)
+        return spark.read.option("header", True).option("pathGlobFilter", CSV_GLOB).csv(path)
+    parts = [_read_group(spark, files, dedupe_names(list(h)), multiline) for h, files in groups.items()]
+    raw = parts[0]
+    for part in parts[1:]:
+        if set(part.columns) != set(raw.columns):
+            raise ValueError(f"CSV files of {path} differ in their columns: {raw.columns} and {part.columns}")
+        raw = raw.unionByName(part)
     tokens = list(na_tokens)
     return raw.select(*[F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")).alias(c) for c in raw.columns])
 
@@ -102,7 +153,8 @@ def infer_csv_types(df: DataFrame) -> DataFrame:
 
     A column is int64 when every non-null value is an integer and none is null,
     float64 when every non-null value is a number (or all are null), bool when
-    every value is a true/false word and none is null, else it stays text.
+    every non-null value is a true/false word (with nulls a nullable boolean,
+    which cleaning turns into 1.0/0.0 with a median), else it stays text.
     """
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not cols:
@@ -128,23 +180,25 @@ def infer_csv_types(df: DataFrame) -> DataFrame:
             casts[c] = s.try_cast("long")
         elif n > 0 and floats == n:
             casts[c] = F.when(s.rlike(COERCIBLE_TEXT_RE), s.try_cast("double"))
-        elif n > 0 and bools == n and n == rows:
+        elif n > 0 and bools == n:
             casts[c] = F.col(f"`{c}`").isin(list(CSV_TRUE))
     return df.select(*[casts[c].alias(c) if c in casts else F.col(f"`{c}`") for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, infer_types: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, infer_types: bool = True, multiline: bool = True) -> DataFrame:
     """A CSV file or directory as a typed DataFrame (absent path → Spark's PATH_NOT_FOUND)."""
-    text = read_csv_text(spark, path)
+    text = read_csv_text(spark, path, multiline=multiline)
     return infer_csv_types(text) if infer_types else text
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Header in every part file, nulls as empty cells, timestamps as
-    ``yyyy-MM-dd HH:mm:ss.ffffff`` (no precision lost)."""
+    """Header in every part file, nulls as empty cells, quotes doubled inside quoted
+    cells (as standard readers expect), timestamps as ``yyyy-MM-dd HH:mm:ss.ffffff``."""
     (
         df.write.mode(mode)
         .option("header", True)
+        .option("quote", '"')
+        .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)  # Spark trims on write by default; keep values exact
         .option("ignoreTrailingWhiteSpace", False)
         .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
@@ -154,15 +208,22 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def landing_copy(spark: SparkSession, src: str, bronze_root: str, run_id: str | None = None) -> tuple[str, str]:
-    """Archive an upload unchanged, line by line, as ``<stem>_<run_id>``.
+    """Archive an upload byte for byte as ``<stem>_<run_id>.csv``, which ``read_csv`` opens.
 
-    The copy is a distributed text read and write (no bytes through the driver);
-    ``run_id`` is eight hex characters when not given. Returns (run_id, path).
+    A file-system copy of the file (or directory of part files), through whatever Hadoop
+    file systems hold source and archive; ``run_id`` is eight hex characters when not given.
+    Returns (run_id, path).
     """
     rid = run_id or uuid.uuid4().hex[:8]
     stem = os.path.splitext(os.path.basename(src.rstrip("/")))[0]
-    dst = f"{bronze_root.rstrip('/')}/{stem}_{rid}"
-    spark.read.text(src).write.mode("overwrite").text(dst)
+    dst = f"{bronze_root.rstrip('/')}/{stem}_{rid}.csv"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(src), jvm.org.apache.hadoop.fs.Path(dst)
+    to = b.getFileSystem(conf)
+    to.mkdirs(b.getParent())
+    if to.exists(b):  # a repeated run: the copy is made anew
+        to.delete(b, True)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, to, b, False, conf)
     return rid, dst
 
 

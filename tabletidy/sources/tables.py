@@ -64,7 +64,9 @@ def run_record(
     ingested_at: _dt.datetime | None = None,
 ) -> DataFrame:
     """One run as a one-row DataFrame in the ``runs`` layout."""
-    at = ingested_at or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+    at = ingested_at or _dt.datetime.now(_dt.timezone.utc)
+    if at.tzinfo is None:  # naive times are UTC, whatever the driver's zone
+        at = at.replace(tzinfo=_dt.timezone.utc)
     row = (run_id, at, user_email, uploaded_filename, raw_file, cleaned_file, report_file, json_summary, summary_row(summary))
     return spark.createDataFrame([row], RUNS_SCHEMA)
 

@@ -131,7 +131,7 @@ def test_exact_median_bracket_narrowing(spark, seed):
     wide[rng.random(n) < 0.05] = np.nan
     pdf = [(float(a), None if math.isnan(b) else float(b)) for a, b in zip(heavy, wide)]
     df = spark.createDataFrame(pdf, "heavy double, wide double").repartition(8)
-    got = exact_medians(df, ["heavy", "wide"], bracket_limit=50, accuracy=1000)
+    got = exact_medians(df, ["heavy", "wide"], accuracy=1000)
     assert got["heavy"] == float(np.median(heavy))
     assert got["wide"] == pytest.approx(float(np.nanmedian(wide)), abs=0, rel=0)
 
@@ -176,7 +176,7 @@ def test_exact_median_with_a_third_of_rows_on_one_value(spark, heavy_at):
     rng = np.random.default_rng(3)
     vals = np.concatenate([np.full(9000, heavy_at), rng.uniform(0, 10, size=18001)])
     df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(8)
-    got = exact_medians(df, ["x"], bracket_limit=20, accuracy=500)
+    got = exact_medians(df, ["x"], accuracy=500)
     assert got["x"] == float(np.median(vals))
 
 

@@ -115,10 +115,9 @@ def test_head_preview(spark):
     assert got == list(range(10))
 
 
-def test_wide_table_stats_in_chunks(spark, monkeypatch):
+def test_wide_table_stats(spark):
     from tabletidy.operators import profile as P
 
-    monkeypatch.setattr(P, "STATS_CHUNK", 3)
     rows = [(1, None, "N/A", 2.0, "x", None, 7), (2, 5, "b", None, "y", "z", 7)]
     df = spark.createDataFrame(rows, "a bigint, b bigint, c string, d double, e string, f string, g bigint")
     st = {r["column"]: (r["ordinal"], r["missing_count"], r["dtype"]) for r in P.stats_frame(df).collect()}
@@ -126,6 +125,40 @@ def test_wide_table_stats_in_chunks(spark, monkeypatch):
         "a": (0, 0, "int64"), "b": (1, 1, "float64"), "c": (2, 1, "object"), "d": (3, 1, "float64"),
         "e": (4, 0, "object"), "f": (5, 1, "object"), "g": (6, 0, "int64"),
     }
+    wide = spark.range(20).select(*[(F.col("id") % (i + 1)).alias(f"c{i}") for i in range(450)])  # one pass, one shape
+    assert P.stats_frame(wide).where("missing_count = 0 and is_numeric").count() == 450
+
+
+def test_profile_is_one_scan_and_one_shuffle_of_cells(spark):
+    """No Python, one file scan; the samples reuse the counts' exchange."""
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for order in (None, "event_id"):
+        prof = profile(df, order_by=order)
+        prof.collect()
+        plan = prof._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "MapInPandas" not in plan and "Python" not in plan
+        assert plan.count("FileScan") == 1 and "ReusedExchange" in plan, plan
+
+
+def test_order_keys_keep_their_type(spark):
+    """Fractional, text, date and null keys order samples and previews as they are."""
+    rows = [(0.9, "d", dt.date(2020, 1, 4), "w"), (0.1, "a", dt.date(2020, 1, 1), "x"), (None, None, None, "n"), (0.5, "c", dt.date(2020, 1, 3), "y"), (0.2, "b", dt.date(2020, 1, 2), "z")]
+    df = spark.createDataFrame(rows, "f double, s string, d date, v string").repartition(3)
+    for key in "fsd":
+        assert _by_col(profile(df, order_by=key))["v"]["sample_values"] == ["x", "z", "y"]
+        assert [r["v"] for r in head_preview(df, 10, order_by=key).collect()] == ["x", "z", "y", "w", "n"]
+
+
+def test_distinct_by_value_not_text(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (1.5,)], "f double")
+    assert _by_col(profile(df))["f"]["unique_count"] == 2
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        t = spark.createDataFrame([(1604206800,), (1604210400,)], "s bigint").select(F.timestamp_seconds("s").alias("t"))
+        assert _by_col(profile(t))["t"]["unique_count"] == 2  # one wall-clock hour, two instants
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
 
 
 def test_approx_profile_matches_exact_except_distinct_counts(spark):

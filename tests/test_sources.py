@@ -1,11 +1,14 @@
 """Sources and sinks (S1, S4-S8, S10), the ingest job (I7, I8) and the landing stream (ST1)."""
 
+import csv
+import glob
 import json
 import os
 
 import pytest
 from pyspark.errors import AnalysisException
 
+from tabletidy.plans.cleaning import fit, transform
 from tabletidy.plans.pipeline import clean_path, ingest
 from tabletidy.sources import (
     dedupe_names,
@@ -14,6 +17,7 @@ from tabletidy.sources import (
     read_profiles,
     read_runs,
     read_summaries,
+    write_csv,
     write_summary_json,
 )
 from tabletidy.streaming import watch_landing
@@ -74,8 +78,45 @@ def test_summary_json_roundtrip_skips_corrupt(spark, scratch):
 def test_landing_copy(spark, scratch):
     p = _write(scratch, "people.csv", PEOPLE)
     rid, dst = landing_copy(spark, p, os.path.join(scratch, "raw"))
-    assert len(rid) == 8 and dst.endswith(f"people_{rid}")
-    assert sorted(r[0] for r in spark.read.text(dst).collect()) == sorted(PEOPLE.strip().split("\n"))
+    assert len(rid) == 8 and dst.endswith(f"people_{rid}.csv")
+    with open(dst, "rb") as copy, open(p, "rb") as own:
+        assert copy.read() == own.read()
+    assert read_csv(spark, dst).count() == 4
+
+
+def test_csv_quotes_newlines_and_ragged_rows(spark, scratch):
+    odd = [(1, 'He said ""hi"", "ok"\r\nnext, line'), (2, ' "x" '), (3, "plain\n"), (4, 'back\\"slash')]
+    df = spark.createDataFrame(odd, "id bigint, t string")
+    write_csv(df, os.path.join(scratch, "odd.csv"))
+    assert sorted(tuple(r) for r in read_csv(spark, os.path.join(scratch, "odd.csv")).collect()) == odd
+    seen = []
+    for part in glob.glob(os.path.join(scratch, "odd.csv", "part-*")):
+        with open(part, newline="") as f:  # a standard reader sees the same cells
+            seen += list(csv.reader(f))[1:]
+    assert sorted((int(a), b) for a, b in seen) == odd
+    short = _write(scratch, "short.csv", "a,b,c\n1,2\n4,5,6\n")
+    assert [tuple(r) for r in read_csv(spark, short, infer_types=False).collect()] == [("1", "2", None), ("4", "5", "6")]
+    long = _write(scratch, "long.csv", "a,b\n1,2\n1,2,3\n")
+    with pytest.raises(Exception, match="more cells"):
+        read_csv(spark, long, infer_types=False).collect()
+
+
+def test_csv_files_with_another_column_order(spark, scratch):
+    _write(os.path.join(scratch, "d"), "a.csv", "x,y\n1,aa\n")
+    _write(os.path.join(scratch, "d"), "b.csv", "y,x\nbb,2\n")
+    got = read_csv(spark, os.path.join(scratch, "d"))
+    assert sorted((r["x"], r["y"]) for r in got.collect()) == [(1, "aa"), (2, "bb")]
+    _write(os.path.join(scratch, "d"), "c.csv", "z\n3\n")
+    with pytest.raises(ValueError):
+        read_csv(spark, os.path.join(scratch, "d"))
+
+
+def test_csv_booleans_with_blanks(spark, scratch):
+    p = _write(scratch, "flags.csv", "k,flag\n1,True\n2,\n3,False\n4,True\n")
+    df = read_csv(spark, p)
+    assert dict(df.dtypes)["flag"] == "boolean"
+    out = transform(df, fit(df))
+    assert sorted((r["k"], r["flag"]) for r in out.collect()) == [(1, 1.0), (2, 1.0), (3, 0.0), (4, 1.0)]
 
 
 def test_ingest_rejects_non_csv(spark, scratch):
