@@ -14,6 +14,7 @@ Conventions of every operator in this package:
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,8 +29,21 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def reachable(spark: SparkSession) -> None:
+    """Python workers on this machine find the package from any working folder (on a cluster
+    it is installed or sent with ``--py-files``)."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder that driver and executors share."""
+    reachable(spark)
     return f"{checkpoint_dir(spark).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
 
 
@@ -41,6 +55,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -61,6 +76,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 2_000_000
 
 def map_rows(df: DataFrame, text: str, schema: str, rows: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """``mapInArrow`` over bounded slices of ``df``; ``rows`` turns one slice into result rows."""
+    reachable(df.sparkSession)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

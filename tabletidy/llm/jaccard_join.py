@@ -17,8 +17,10 @@ is the class (connected component) of every document.
    are tested. Lists are walked in blocks of entries in order of size; a block whose sizes,
    positions or single common class rule out every pair is skipped whole. No link is lost.
 
-Pairs are tested on whole texts: the text of one side travels to the group of the other, both
-become sets again and are intersected. A list that may be hot (its count in the sketch) is
+Before a pair is tested, parity bitmaps of both sets bound their difference from below (each
+shingle flips one bit, so bits that differ are at most shingles that differ); a pair over the
+allowed difference goes. What is left is tested on whole texts: the text of one side travels
+to the group of the other, both become sets again and are intersected. A list that may be hot (its count in the sketch) is
 dealt over salts; a hub's pairs are salted too. Classes are merged by contraction in Spark.
 """
 
@@ -32,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabletidy.llm.common import map_rows, slices, staged
+from tabletidy.llm.common import map_rows, reachable, slices, staged
 from tabletidy.llm.shingles import mix, shingle_sets
 
 WIDTH = 5
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
 SEGMENT = 1 << 14
 HOT = 2000  # entries of a list that one group may hold
 ROUNDS = 6
@@ -65,58 +67,79 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def _picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    reachable(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(f"`{text_col}`").alias("mark"))
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """A bitmap in which each token flips one bit; as many bits as tokens, or up to twice as many."""
+    bits = max(64, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else 64
+    at = (mix(tokens ^ np.uint64(0x5BD1E995)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def bits_apart(one: bytes, other: bytes) -> int:
+    """Bits that differ; the larger bitmap is folded to the size of the smaller."""
+    a, b = np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+
+
 def sets_and_counts(picked: DataFrame) -> DataFrame:
-    """Rows (doc_id, mark, n, sid) of all documents, and per task the sketch in segments (segment, counts)."""
+    """Rows (doc_id, mark, n, sid, bits) of all documents, and per task the sketch in segments (segment, counts)."""
     at = picked.columns.index("text")
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("segment", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("bits", pa.binary()), ("segment", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(COUNTERS, np.int64)
+        sketch = np.zeros(COUNTERS, np.int32)
         for part in slices(batches, at):
             sets = shingle_sets(part.column(at), WIDTH)
             if any(map(len, sets)):
                 np.add.at(sketch, (mix(np.concatenate(sets)) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
             none = pa.nulls(len(sets))
-            yield pa.record_batch([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+            own = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary())]
+            yield pa.record_batch([part.column(0), part.column(2), *own, none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         full = [(k, part) for k, part in enumerate(sketch.reshape(-1, SEGMENT)) if part.any()]
         if full:
             none = pa.nulls(len(full)).cast(pa.int64())
-            packed = [zlib.compress(np.minimum(p, 2**32 - 1).astype("<u4").tobytes(), 1) for _, p in full]
-            yield pa.record_batch([none, none, none, none, pa.array([k for k, _ in full], pa.int32()), pa.array(packed, pa.binary())], schema=schema)
+            packed = [zlib.compress(p.astype("<i4").tobytes(), 1) for _, p in full]
+            yield pa.record_batch([none, none, none, none, pa.nulls(len(full), pa.binary()), pa.array([k for k, _ in full], pa.int32()), pa.array(packed, pa.binary())], schema=schema)
 
-    return picked.mapInArrow(run, "doc_id long, mark long, n long, sid long, segment int, counts binary")
+    return picked.mapInArrow(run, "doc_id long, mark long, n long, sid long, bits binary, segment int, counts binary")
 
 
-def total_counts(sketches: DataFrame) -> np.ndarray:
-    """The sketch over all tasks: ``COUNTERS`` numbers, whatever the input."""
+def ranks(sketches: DataFrame) -> np.ndarray:
+    """The order of shingles: per counter the half octave of its count over all tasks, a byte each
+    (``COUNTERS`` bytes whatever the input; half octaves, so that chance collisions order little)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(packed), "<u4").astype(np.int64)
+                part = np.frombuffer(zlib.decompress(packed), "<i4").astype(np.int64)
                 sums[k] = sums[k] + part if k in sums else part
         if sums:
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], ["segment", "counts"])
+            halves = [np.floor(2 * np.log2(np.maximum(v, 1))).astype(np.uint8).tobytes() for v in sums.values()]
+            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(halves, pa.binary())], ["segment", "counts"])
 
     schema = "segment int, counts binary"
-    rows = sketches.select("segment", "counts").repartition(COUNTERS // SEGMENT, "segment").mapInArrow(run, schema).collect()
-    out = np.zeros((COUNTERS // SEGMENT, SEGMENT), np.int64)
+    rows = sketches.select("segment", "counts").repartition(64, "segment").mapInArrow(run, schema).collect()
+    out = np.zeros((COUNTERS // SEGMENT, SEGMENT), np.uint8)
     for r in rows:
-        out[r["segment"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+        out[r["segment"]] = np.frombuffer(r["counts"], np.uint8)
     return out.reshape(-1)
 
 
-def postings(picked: DataFrame, counts: np.ndarray) -> DataFrame:
+def postings(picked: DataFrame, order: np.ndarray) -> DataFrame:
     """Rows (token, salts, sid, n, pos): each distinct set of a task in its prefix lists."""
-    shared = picked.sparkSession.sparkContext.broadcast(zlib.compress(np.minimum(counts, 2**32 - 1).astype("<u4").tobytes(), 1))
+    shared = picked.sparkSession.sparkContext.broadcast(order.tobytes())
     at = picked.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.frombuffer(zlib.decompress(shared.value), "<u4").astype(np.int64)
+        order = np.frombuffer(shared.value, np.uint8)
         seen: set[int] = set()
         for part in slices(batches, at):
             new = []
@@ -129,15 +152,13 @@ def postings(picked: DataFrame, counts: np.ndarray) -> DataFrame:
             sizes = np.array([len(s) for _, s in new])
             tokens = np.concatenate([s for _, s in new])
             owner = np.repeat(np.arange(len(new)), sizes)
-            often = count[(mix(tokens) & np.uint64(COUNTERS - 1)).astype(np.int64)]
-            # in half octaves, so that chance collisions in the sketch order few tokens
-            rank = np.floor(2 * np.log2(np.maximum(often, 1))).astype(np.int64)
+            rank = order[(mix(tokens) & np.uint64(COUNTERS - 1)).astype(np.int64)]
             by = np.lexsort((tokens, rank, owner))
             pos = np.arange(len(by)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             first = pos < prefix_length(sizes)[owner]
             by, pos = by[first], pos[first]
             who = owner[by]
-            salts = np.maximum(1, often[by] // HOT)
+            salts = np.maximum(1, 2.0 ** (rank[by] / 2) // HOT)
             yield pa.record_batch(
                 [pa.array(tokens[by].view(np.int64)), pa.array(salts, pa.int32()), pa.array(np.array([i for i, _ in new], np.int64)[who]), pa.array(sizes[who], pa.int32()), pa.array(pos, pa.int32())],
                 ["token", "salts", "sid", "n", "pos"],
@@ -355,10 +376,12 @@ def texts_of(picked: DataFrame, sids: DataFrame) -> DataFrame:
     A Bloom filter of bounded size says which documents are asked for, so only their texts
     move. What it lets through beside them meets no pair later.
     """
-    wanted = sids.select(F.xxhash64("sid", "doc_id").alias("key"), "sid")
-    n = sids.count()
+    wanted = staged(sids.select(F.xxhash64("sid", "doc_id").alias("key")), "wanted")
+    n = wanted.count()
+    if not n:
+        return picked.sparkSession.createDataFrame([], "sid long, text string")
     bits = min(FILTER_BITS, max(SEGMENT, 1 << (16 * max(n, 1) - 1).bit_length()))
-    shared = picked.sparkSession.sparkContext.broadcast(key_filter(wanted.select("key"), bits).tobytes())
+    shared = picked.sparkSession.sparkContext.broadcast(key_filter(wanted, bits).tobytes())
     schema = pa.schema([("sid", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())])
 
     def named(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -376,6 +399,21 @@ def texts_of(picked: DataFrame, sids: DataFrame) -> DataFrame:
     return staged(some.select("sid", "text").dropDuplicates(["sid"]), "texts")
 
 
+def screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose parity bitmaps allow a link (a proven bound: no linked pair goes)."""
+    own = nodes.select("sid", "n", "bits")
+    met = pairs.join(own.withColumnsRenamed({"sid": "a", "n": "n1", "bits": "b1"}), "a").join(own.withColumnsRenamed({"sid": "b", "n": "n2", "bits": "b2"}), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("n1", "n2")}
+            most = (x["n1"] + x["n2"] - 2 * needed(x["n1"], x["n2"])).tolist()
+            keep = [bits_apart(p, q) <= d for p, q, d in zip(batch.column("b1").to_pylist(), batch.column("b2").to_pylist(), most, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return met.mapInArrow(run, PAIR)
+
+
 def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets share 0.8 or more.
 
@@ -410,8 +448,8 @@ def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def merge_classes(edges: DataFrame) -> DataFrame:
     """Connected components by contraction: (v, label) of every vertex, label the least vertex.
 
-    Each turn every vertex follows its least neighbour, and that one's; the edges between
-    what they reach are the next turn's graph. Written each turn; log n turns.
+    Each turn every vertex goes four steps, from least neighbour to least neighbour; the edges
+    between what they reach are the next turn's graph. Written each turn; log n turns.
     """
     edges = staged(edges.select("a", "b").where("a <> b").distinct(), "edges")
     labels: DataFrame | None = None
@@ -419,7 +457,8 @@ def merge_classes(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up")).withColumnRenamed("a", "v"), "up")
         top = up.select(F.col("v").alias("up"), F.col("up").alias("top"))
-        step = staged(up.join(top, "up").select("v", F.col("top").alias("label")), "step")
+        two = up.join(top, "up").select("v", F.col("top").alias("mid"))
+        step = staged(two.join(two.select(F.col("v").alias("mid"), F.col("mid").alias("label")), "mid").select("v", "label"), "step")
         if labels is None:
             labels = step
         else:
@@ -441,31 +480,39 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     picked = _picked(docs, id_col, text_col)
     first = staged(sets_and_counts(picked), "sets")
     sets = first.where("segment is null").select("doc_id", "mark", "n", "sid")
-    counts = total_counts(first.where("segment is not null"))
-    nodes = staged(sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    lists = staged(lists_of_several(postings(picked, counts)), "lists")
-    texts = texts_of(picked, lists.select("sid").distinct().join(nodes, "sid"))
+    own = first.where("segment is null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits"))
+    nodes = staged(own, "nodes")
+    lists = staged(lists_of_several(postings(picked, ranks(first.where("segment is not null")))), "lists")
     rows = lists.count()
-    classes = merge_classes(links(staged(near_pairs(lists.withColumn("label", F.col("sid")), 0), "pairs"), texts))
-    turn, last = 1, False
+    classes = texts = None
+    turn, last = 0, False
     while not last:
-        named = classes.withColumnRenamed("v", "sid")
-        entries = staged(lists.join(named, "sid", "left").withColumn("label", F.coalesce("label", "sid")), "entries")
-        # pairs of different classes in lists: an upper bound of what the exact round lists
-        per = entries.groupBy("token", "label").agg(F.count(F.lit(1)).cast("double").alias("k"))
-        open_ = per.groupBy("token").agg(((F.sum("k") ** 2 - F.sum(F.col("k") ** 2)) / 2).alias("pairs"))
-        last = turn >= ROUNDS or (open_.agg(F.sum("pairs")).first()[0] or 0) <= 2 * rows
-        pairs = staged(all_pairs(entries) if last else near_pairs(entries, turn), "pairs")
-        found = (
-            links(pairs, texts)
-            .join(classes.withColumnsRenamed({"v": "a", "label": "la"}), "a", "left")
-            .join(classes.withColumnsRenamed({"v": "b", "label": "lb"}), "b", "left")
-            .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        )
-        new = merge_classes(found)
-        moved = new.select(F.col("v").alias("label"), F.col("label").alias("next"))
-        kept = classes.join(moved, "label", "left").select("v", F.coalesce("next", "label").alias("label"))
-        classes = staged(kept.unionByName(new.join(classes, "v", "left_anti")), "classes")
+        if classes is None:
+            entries = lists.withColumn("label", F.col("sid"))
+        else:
+            named = classes.withColumnRenamed("v", "sid")
+            entries = staged(lists.join(named, "sid", "left").withColumn("label", F.coalesce("label", "sid")), "entries")
+            # pairs of different classes in lists: an upper bound of what the exact round lists
+            per = entries.groupBy("token", "label").agg(F.count(F.lit(1)).cast("double").alias("k"))
+            open_ = per.groupBy("token").agg(((F.sum("k") ** 2 - F.sum(F.col("k") ** 2)) / 2).alias("pairs"))
+            last = turn >= ROUNDS or (open_.agg(F.sum("pairs")).first()[0] or 0) <= 4 * rows
+        pairs = staged(screened(all_pairs(entries) if last else near_pairs(entries, turn), nodes), "pairs")
+        sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+        more = texts_of(picked, (sids if texts is None else sids.join(texts, "sid", "left_anti")).join(nodes, "sid").select("sid", "doc_id"))
+        texts = more if texts is None else texts.unionByName(more)
+        found = links(pairs, texts)
+        if classes is None:
+            classes = merge_classes(found)
+        else:
+            found = (
+                found.join(classes.withColumnsRenamed({"v": "a", "label": "la"}), "a", "left")
+                .join(classes.withColumnsRenamed({"v": "b", "label": "lb"}), "b", "left")
+                .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+            )
+            new = merge_classes(found)
+            moved = new.select(F.col("v").alias("label"), F.col("label").alias("next"))
+            kept = classes.join(moved, "label", "left").select("v", F.coalesce("next", "label").alias("label"))
+            classes = staged(kept.unionByName(new.join(classes, "v", "left_anti")), "classes")
         turn += 1
     linked = sets.where("n > 0").join(classes.withColumnRenamed("v", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     least = staged(linked.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")

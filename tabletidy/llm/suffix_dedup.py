@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabletidy.llm.common import slices, staged
+from tabletidy.llm.common import reachable, slices, staged
 from tabletidy.llm.jaccard_join import FILTER_BITS, SEGMENT, _filter_positions, key_filter
 from tabletidy.llm.shingles import mix, text_bytes
 from tabletidy.llm.suffix_array import common_prefixes, suffix_array
@@ -356,6 +356,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null counts as empty; texts under 100 bytes lose nothing. A cut may fall inside a letter,
     so ``kept`` is binary.
     """
+    reachable(docs.sparkSession)
     id_ = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     keyed = docs.select(id_.alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))

@@ -48,7 +48,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from tabletidy.llm.common import shared_path, staged, table
+from tabletidy.llm.common import reachable, shared_path, staged, table
 
 #: One row per record; ``payload`` is null for records without one of their own.
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -338,6 +338,7 @@ class Warc(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    reachable(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Warc)
 
