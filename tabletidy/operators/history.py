@@ -37,7 +37,7 @@ def kpis(runs: DataFrame) -> DataFrame:
     )
 
 
-def listing(runs: DataFrame) -> DataFrame:
+def listing(runs: DataFrame, *more: str) -> DataFrame:
     """H3: one display row per run; absent fields get the reference's defaults."""
     mb = F.coalesce(_s("missing_before"), F.lit(0))
     ma = F.coalesce(_s("missing_after"), F.lit(0))
@@ -51,13 +51,13 @@ def listing(runs: DataFrame) -> DataFrame:
         F.coalesce(_s("dropped_duplicates"), F.lit(0)).cast("long").alias("duplicates"),
         F.coalesce(_s("columns"), F.lit(0)).cast("long").alias("columns"),
         _improvement(mb, ma).alias("quality_improvement"),
+        *more,
     )
 
 
 def run_detail(runs: DataFrame, run_id: str) -> DataFrame:
     """H3 detail: one run by key, with its listing fields and whole summary."""
-    mine = runs.where(F.col("run_id") == F.lit(run_id))
-    return listing(mine).join(mine.select("run_id", "summary"), "run_id")
+    return listing(runs.where(F.col("run_id") == F.lit(run_id)), "summary")
 
 
 def user_runs(runs: DataFrame, user_email: str | Column) -> DataFrame:

@@ -116,36 +116,25 @@ def pct_comparison(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _stage(profiles: DataFrame, stage: str, prefix: str) -> DataFrame:
-    cols = ["missing_count", "missing_pct", "dtype", "unique_count"]
-    return profiles.where(F.col("stage") == stage).select(*KEYS, *[F.col(c).alias(f"{prefix}_{c}") for c in cols])
-
-
 def after_lookup(profiles: DataFrame) -> DataFrame:
-    """Every before row with its after count looked up, absent → 0 (left join)."""
-    joined = _stage(profiles, "before", "b").join(_stage(profiles, "after", "a"), KEYS, "left")
-    return joined.select(
+    """Every before row with its after count looked up, absent → 0 (one scan, one shuffle)."""
+    pairs = stage_pairs(profiles).where(F.col("ordinal_before").isNotNull() | F.col("count_before").isNotNull())
+    return pairs.select(
         *KEYS,
-        F.col("b_missing_count").alias("missing_before"),
-        F.col("b_missing_pct").alias("pct_before"),
-        F.coalesce(F.col("a_missing_count"), F.lit(0)).cast("long").alias("missing_after"),
-        F.coalesce(F.col("a_missing_pct"), F.lit(0.0)).alias("pct_after"),
+        F.col("count_before").alias("missing_before"),
+        "pct_before",
+        _z("count_after").alias("missing_after"),
+        _zd("pct_after").alias("pct_after"),
     )
 
 
 def report_rows(profiles: DataFrame) -> DataFrame:
-    """J5 (+L5): the union of both key sets with each side looked up (full outer join).
+    """The union of both key sets with each side looked up.
 
-    Missing sides stay null (the reference prints an empty cell); ordered by
-    column within a run.
+    Missing sides stay null (the reference prints an empty cell). The rows' order inside
+    a run is L5: ``rank_within_run(rows, F.col("column"))``.
     """
-    joined = _stage(profiles, "before", "b").join(_stage(profiles, "after", "a"), KEYS, "full")
-    return joined.select(
-        *KEYS,
-        F.col("b_missing_pct").alias("pct_before"),
-        F.col("a_missing_pct").alias("pct_after"),
-        F.col("a_dtype").alias("dtype_after"),
-    )
+    return stage_pairs(profiles).select(*KEYS, "pct_before", "pct_after", "dtype_after")
 
 
 # ---------------------------------------------------------------- orderings
@@ -233,24 +222,23 @@ def completeness(pct_cmp: DataFrame) -> DataFrame:
 
 def issue_list(runs: DataFrame) -> DataFrame:
     """Per run the non-zero issues with count, share, severity (P11) and status."""
-    m = run_metrics(runs)
-    dups = m.select(
-        "run_id",
-        F.lit(ISSUE_DUPLICATES).alias("issue"),
-        F.col("dropped_duplicates").cast("long").alias("count"),
-        F.col("duplicate_pct").alias("percentage"),
-        duplicate_severity(F.col("dropped_duplicates"), F.col("original_rows")).alias("severity"),
-        F.lit(STATUS_REMOVED).alias("status"),
-    ).where(F.col("count") > 0)
-    miss = m.select(
-        "run_id",
-        F.lit(ISSUE_MISSING).alias("issue"),
-        F.col("missing_before").cast("long").alias("count"),
-        F.col("missing_before_pct").alias("percentage"),
-        missing_severity(F.col("missing_before_pct")).alias("severity"),
-        F.lit(STATUS_FILLED).alias("status"),
-    ).where(F.col("count") > 0)
-    return dups.unionByName(miss)
+    issues = F.array(
+        F.struct(
+            F.lit(ISSUE_DUPLICATES).alias("issue"),
+            F.col("dropped_duplicates").cast("long").alias("count"),
+            F.col("duplicate_pct").alias("percentage"),
+            duplicate_severity(F.col("dropped_duplicates"), F.col("original_rows")).alias("severity"),
+            F.lit(STATUS_REMOVED).alias("status"),
+        ),
+        F.struct(
+            F.lit(ISSUE_MISSING).alias("issue"),
+            F.col("missing_before").cast("long").alias("count"),
+            F.col("missing_before_pct").alias("percentage"),
+            missing_severity(F.col("missing_before_pct")).alias("severity"),
+            F.lit(STATUS_FILLED).alias("status"),
+        ),
+    )
+    return run_metrics(runs).select("run_id", F.inline(issues)).where(F.col("count") > 0)
 
 
 def report_table(profiles: DataFrame, runs: DataFrame, generated_at: bool = False) -> DataFrame:
@@ -266,7 +254,8 @@ def report_table(profiles: DataFrame, runs: DataFrame, generated_at: bool = Fals
         _s("dropped_duplicates").alias("dropped_duplicates"),
         *([F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).alias("generated_at")] if generated_at else []),
     )
-    return report_rows(profiles).join(head, "run_id", "left")
+    # dealt by run once: the pairs group inside it and the header joins without another shuffle
+    return report_rows(profiles.repartition("run_id")).join(head, "run_id", "left")
 
 
 def profile_report(profile: DataFrame, max_chars: int = 200) -> DataFrame:

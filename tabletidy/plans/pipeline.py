@@ -14,7 +14,7 @@ import os
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tabletidy.operators.report import report_table
 from tabletidy.plans.cleaning import CleanResult, clean, table_metrics
@@ -46,6 +46,8 @@ class IngestResult:
     json_summary: str
     summary: dict[str, Any]
     recorded: bool
+    runs: DataFrame | None = None  # the history rows, when the caller is to append them
+    profiles: DataFrame | None = None
 
 
 def ingest(
@@ -55,12 +57,14 @@ def ingest(
     user_email: str | None = None,
     drop_duplicates: bool = True,
     run_id: str | None = None,
+    record: bool = True,
 ) -> IngestResult:
     """I8: one uploaded CSV through the whole job, artifacts under ``root``.
 
     Layout: ``raw/<stem>_<id>.csv`` (S8), ``cleaned/<stem>_<id>_cleaned`` (S4),
     ``reports/<stem>_<id>_report`` (R9 as CSV), ``reports/<stem>_<id>_summary.json``
-    (S5), and the ``runs`` / ``profiles`` history tables (S7).
+    (S5), and the ``runs`` / ``profiles`` history tables (S7). With ``record=False`` the
+    history rows come back for the caller to append (one append for many uploads).
     """
     name = os.path.basename(src.rstrip("/"))
     if not is_csv_name(name):
@@ -76,5 +80,5 @@ def ingest(
     runs = run_record(spark, rid, summary, user_email, name, raw_file, cleaned_file, report_file, json_file)
     write_csv(report_table(profiles, runs, generated_at=True).orderBy("column"), report_file)
     write_summary_json(spark, summary, json_file)
-    recorded = append_run(runs, profiles, root)
-    return IngestResult(rid, raw_file, cleaned_file, report_file, json_file, summary, recorded)
+    recorded = append_run(runs, profiles, root) if record else False
+    return IngestResult(rid, raw_file, cleaned_file, report_file, json_file, summary, recorded, runs, profiles)

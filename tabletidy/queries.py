@@ -45,12 +45,13 @@ from tabletidy.plans.cleaning import (
     drop_exact_duplicates,
     fit,
     replace_all_placeholders,
+    table_metrics,
     transform,
 )
 from tabletidy.plans.pipeline import clean_path, ingest
 from tabletidy.session import checkpoint_dir
 from tabletidy.sources.files import landing_copy, read_csv, read_summaries, write_csv, write_summary_json
-from tabletidy.sources.tables import read_runs
+from tabletidy.sources.tables import profile_records, read_runs, run_record
 from tabletidy.streaming.landing import watch_landing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -513,6 +514,79 @@ def q_j5_report_union(spark, sf):
     return R.report_rows(fx.profiles_synth(spark, sf))
 
 
+def q_l5_report_order(spark, sf):
+    """The report rows of every run by column name, as a rank."""
+    return R.rank_within_run(R.report_rows(fx.profiles_synth(spark, sf)), F.col("column"))
+
+
+def _real_history(spark, sf):
+    """Runs and profiles that cleaning the dirty tables makes (the engine's own figures)."""
+    runs, profiles = [], []
+    for name, df, key in (("events", _de_df(spark, sf), "event_id"), ("pairs", fx.dirty_dups(spark, sf), None)):
+        res = clean(df, order_by=key)
+        summary = {**res.summary, **table_metrics(res.stats, res.cleaned.schema)}
+        res.release()
+        runs.append(run_record(spark, name, summary, user_email="real", uploaded_filename=f"{name}.csv"))
+        profiles.append(profile_records(spark, name, summary))
+    return runs[0].unionByName(runs[1]), profiles[0].unionByName(profiles[1])
+
+
+def q_j1_real_profiles(spark, sf):
+    """J1 over profiles that the engine measured."""
+    return R.missing_comparison(R.stage_pairs(_real_history(spark, sf)[1]))
+
+
+def q_r9_real_report(spark, sf):
+    """R9 over runs that the engine recorded."""
+    runs, profiles = _real_history(spark, sf)
+    return R.report_table(profiles, runs)
+
+
+def q_m_real_metrics(spark, sf):
+    """M1-M10 over runs that the engine recorded."""
+    return R.run_metrics(_real_history(spark, sf)[0])
+
+
+def q_l7_runs_from_files(spark, sf):
+    """Several summary files, one of them broken: the first two in name order."""
+    folder = f"{_scratch(spark)}/reports"
+    events = fx.table(spark, sf, "events")
+    for k in range(3):
+        part = events.where(F.col("event_id") % 3 == k)
+        rows = part.count()
+        write_summary_json(spark, {"original_rows": rows, "cleaned_rows": rows - k}, f"{folder}/{k}_summary.json")
+    spark.range(1).select(F.lit("{not json").alias("value")).coalesce(1).write.text(f"{folder}/0_broken_summary.json")
+    return read_summaries(spark, folder, limit=2).select(F.col("summary.original_rows").alias("original_rows"), F.col("summary.cleaned_rows").alias("cleaned_rows"))
+
+
+def q_h3_run_detail(spark, sf):
+    """H3 detail: the least run id by key, with its listing fields."""
+    runs = fx.runs_synth(spark, sf)
+    least = runs.agg(F.min("run_id")).first()[0]
+    return H.run_detail(runs, least).select("run_id", "file_name", "original_rows", "cleaned_rows", F.col("summary.missing_before").alias("missing_before"))
+
+
+def q_a7_samples_by_ts(spark, sf):
+    """A7 with a timestamp and with a fractional order key: first values in those orders."""
+    e = fx.table(spark, sf, "events").select("event_id", "event_type", "user_id", "ts", "value")
+    out = []
+    for key in ("ts", "value"):
+        prof = profile(e, order_by=key)
+        out.append(prof.select(F.lit(key).alias("by"), "column", F.array_join("sample_values", "|").alias("samples")).where(F.col("column").isin("event_type", "user_id")))
+    return out[0].unionByName(out[1])
+
+
+def q_l3_head_by_value(spark, sf):
+    """L3 by a fractional key: the ten rows of least value."""
+    e = fx.table(spark, sf, "events").select("event_id", "value")
+    return head_preview(e, 10, order_by="value").select("value")
+
+
+def q_a8_profile_documents(spark, sf):
+    """A8 on whole documents (long free texts), without the sample texts."""
+    return profile(fx.table(spark, sf, "documents"), order_by="doc_id").drop("sample_values")
+
+
 def q_l1_sort_issues(spark, sf):
     p = fx.profiles_synth(spark, sf).where(F.col("stage") == "before")
     return R.rank_within_run(p, F.col("total_issues").desc(), F.col("ordinal")).select("run_id", "column", "rank")
@@ -718,12 +792,15 @@ def q_st1_frozen_stream_clean(spark, sf):
 
 
 def q_st1_landing(spark, sf):
-    """ST1: three CSV files (the events in three parts) land; the stream cleans each once."""
-    landing = _events_csv(spark, sf, parts=3)
+    """ST1: the events land as three CSV files, twice handed out; the stream cleans each once."""
+    landing = f"{_scratch(spark)}/landing"
+    de = _de_df(spark, sf)
+    for k in range(3):
+        write_csv(de.where(F.col("event_id") % 3 == k).coalesce(1), f"{landing}/{k}.csv")
     root = f"{landing}_root"
-    query, _ = watch_landing(spark, landing, root, checkpoint=f"{root}/_stream")
-    query.awaitTermination()
-    return _runs_flat(read_runs(spark, root))
+    for turn in ("a", "b"):  # another checkpoint: every file comes again
+        watch_landing(spark, landing, root, checkpoint=f"{root}/_stream-{turn}").awaitTermination()
+    return _runs_flat(read_runs(spark, root)).drop("uploaded_filename")
 
 
 QUERIES: dict[str, Query] = {
@@ -761,6 +838,15 @@ QUERIES: dict[str, Query] = {
     "j3_pct_compare": q_j3_pct_compare,
     "j4_after_lookup": q_j4_after_lookup,
     "j5_report_union": q_j5_report_union,
+    "j1_real_profiles": q_j1_real_profiles,
+    "r9_real_report": q_r9_real_report,
+    "m_real_metrics": q_m_real_metrics,
+    "l5_report_order": q_l5_report_order,
+    "l7_runs_from_files": q_l7_runs_from_files,
+    "h3_run_detail": q_h3_run_detail,
+    "a7_samples_by_ts": q_a7_samples_by_ts,
+    "l3_head_by_value": q_l3_head_by_value,
+    "a8_profile_documents": q_a8_profile_documents,
     "l1_sort_issues": q_l1_sort_issues,
     "l2_sort_pct": q_l2_sort_pct,
     "l3_head_preview": q_l3_head_preview,
@@ -919,6 +1005,33 @@ LEFT JOIN (SELECT * FROM profiles WHERE stage = 'after') a ON b.run_id = a.run_i
 FROM (SELECT * FROM profiles WHERE stage = 'before') b
 FULL OUTER JOIN (SELECT * FROM profiles WHERE stage = 'after') a ON b.run_id = a.run_id AND b."column" = a."column\""""
     )
+    o["l5_report_order"] = (
+        f"WITH profiles AS ({fx.PROFILES_SYNTH_SQL}) "
+        """SELECT j.*, CAST(row_number() OVER (PARTITION BY run_id ORDER BY "column") AS INTEGER) AS rank FROM (
+  SELECT coalesce(b.run_id, a.run_id) AS run_id, coalesce(b."column", a."column") AS "column",
+    b.missing_pct AS pct_before, a.missing_pct AS pct_after, a.dtype AS dtype_after
+  FROM (SELECT * FROM profiles WHERE stage = 'before') b
+  FULL OUTER JOIN (SELECT * FROM profiles WHERE stage = 'after') a ON b.run_id = a.run_id AND b."column" = a."column") j"""
+    )
+    o["l7_runs_from_files"] = """SELECT count(*) AS original_rows, count(*) - event_id % 3 AS cleaned_rows FROM events
+WHERE event_id % 3 < 2 GROUP BY event_id % 3"""
+    o["h3_run_detail"] = _runs(
+        """SELECT run_id, uploaded_filename AS file_name, CAST(original_rows AS BIGINT) AS original_rows,
+  CAST(cleaned_rows AS BIGINT) AS cleaned_rows, missing_before FROM runs WHERE run_id = (SELECT min(run_id) FROM runs)"""
+    )
+
+    def first_three(col: str, key: str) -> str:
+        return f"""(SELECT string_agg(v, '|' ORDER BY f, v) FROM (SELECT CAST({col} AS VARCHAR) AS v, min({key}) AS f FROM events
+    WHERE NOT {_miss(f'CAST({col} AS VARCHAR)', 'string')} GROUP BY 1 ORDER BY f, v LIMIT 3) x)"""
+
+    o["a7_samples_by_ts"] = " UNION ALL ".join(
+        f"SELECT '{key}' AS \"by\", '{col}' AS \"column\", {first_three(col, key)} AS samples" for key in ("ts", "value") for col in ("event_type", "user_id")
+    )
+    o["l3_head_by_value"] = "SELECT value FROM events ORDER BY value LIMIT 10"
+    doc_cols = [("doc_id", "integral"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "integral")]
+    o["a8_profile_documents"] = f"""SELECT s."column", CAST(s.ordinal AS INTEGER) AS ordinal, s.missing_count, s.type_issues, s.total_issues, s.missing_pct, s.dtype,
+  CAST(coalesce(u.n, 0) AS BIGINT) AS unique_count
+FROM ({_stats_sql('documents', doc_cols)}) s LEFT JOIN (SELECT ordinal, count(*) AS n FROM ({_freq_sql('documents', doc_cols, 'doc_id')}) f GROUP BY ordinal) u ON s.ordinal = u.ordinal"""
     o["l1_sort_issues"] = _profs(
         """SELECT run_id, "column", CAST(row_number() OVER (PARTITION BY run_id ORDER BY total_issues DESC, ordinal) AS INTEGER) AS rank
 FROM profiles WHERE stage = 'before'"""
@@ -1025,6 +1138,27 @@ FROM m"""
     o["h5_per_user"] = _runs("SELECT user_email, count(*) AS processing_count FROM runs GROUP BY user_email")
     o["s1_s4_csv_roundtrip"] = fx.EVENTS_CSV_SQL
     o["s8_raw_copy"] = fx.EVENTS_CSV_SQL
+    # the engine's own runs: the dirty events and the dirty pairs, measured over the raw tables
+    dirty = f"WITH de AS ({fx.DIRTY_EVENTS_SQL}), dd AS ({fx.DIRTY_DUPS_SQL})"
+    clean_dd = _clean_sql("dd", DD_COLS, set())
+    dd_after = [(c, "float" if k == "integral" else k) for c, k in DD_COLS]
+    o["j1_real_profiles"] = f"{dirty} " + " UNION ALL ".join(
+        f"""SELECT '{run}' AS run_id, "column", CAST(missing_count AS BIGINT) AS missing_before, missing_pct AS pct_before,
+  CAST(0 AS BIGINT) AS missing_after, CAST(0 AS DOUBLE) AS pct_after, CAST(missing_count AS BIGINT) AS fixed FROM ({_stats_sql(src, cols)}) s{src}"""
+        for run, src, cols in (("events", "de", DE_COLS), ("pairs", "dd", DD_COLS))
+    )
+    real = [("events", "de", DE_COLS, DE_COERCED, DE_NULL_FREE, clean_de, after_cols), ("pairs", "dd", DD_COLS, set(), frozenset(), clean_dd, dd_after)]
+    o["r9_real_report"] = f"{dirty}, cde AS ({clean_de}), cdd AS ({clean_dd}) " + " UNION ALL ".join(
+        f"""SELECT '{run}' AS run_id, b."column", b.missing_pct AS pct_before, CAST(0 AS DOUBLE) AS pct_after, a.dtype AS dtype_after,
+  m.original_rows, m.cleaned_rows, m.dropped_duplicates
+FROM ({_stats_sql(src, cols)}) b JOIN ({_stats_sql('c' + src, after)}) a ON a."column" = b."column" CROSS JOIN ({summary_sql(src, cols, coerced, null_free)}) m"""
+        for run, src, cols, coerced, null_free, _, after in real
+    )
+    runs_real = " UNION ALL ".join(
+        f"SELECT '{run}' AS run_id, m.* FROM ({summary_sql(src, cols, coerced, null_free)}) m" for run, src, cols, coerced, null_free, _, _ in real
+    )
+    metrics = o["m_metrics"]
+    o["m_real_metrics"] = f"{dirty}, runs AS ({runs_real}), {metrics[metrics.index('m AS ('):]}"
     o["s1_csv_documents"] = """SELECT 'd' AS kind, doc_id AS id, CAST(0 AS BIGINT) AS part,
   'He said ""hi"", "' || text || '"' || chr(10) || ', end' AS text FROM documents
 UNION ALL SELECT 'c', conv_id, CAST(turn AS BIGINT), 'He said ""hi"", "' || text || '"' || chr(10) || ', end' FROM conversations"""
@@ -1046,6 +1180,13 @@ SELECT s.original_rows, s.cleaned_rows, s.dropped_duplicates, s.missing_before,
   (SELECT {_pct(rt_nulls, f'count(*) * {len(rt_cols)}')} FROM rt) AS missing_pct,
   CAST({n_numeric} AS INTEGER) AS numeric_cols, CAST({len(rt_cols) - n_numeric} AS INTEGER) AS categorical_cols
 FROM ({rt_summary}) s"""
+    per_file = []
+    for k in range(3):
+        one = rt_summary.replace("FROM rt", f"FROM rt{k}")
+        per_file.append(f"""SELECT s.original_rows, s.cleaned_rows, s.dropped_duplicates, s.missing_before, s.missing_after,
+  CAST(s.columns AS INTEGER) AS columns FROM ({one}) s""")
+    parts = ", ".join(f"rt{k} AS (SELECT * FROM ({fx.EVENTS_CSV_SQL}) x WHERE event_id % 3 = {k})" for k in range(3))
+    o["st1_landing"] = f"WITH {parts} " + " UNION ALL ".join(per_file)
     o["i8_ingest"] = f"""WITH rt AS ({fx.EVENTS_CSV_SQL})
 SELECT 'events.csv' AS uploaded_filename, s.original_rows, s.cleaned_rows, s.dropped_duplicates,
   s.missing_before, s.missing_after, CAST(s.columns AS INTEGER) AS columns

@@ -20,6 +20,7 @@ from tabletidy.sources.tables import (
     RUNS_SCHEMA,
     append_run,
     profile_records,
+    read_failures,
     read_profiles,
     read_runs,
     run_record,
@@ -39,6 +40,7 @@ __all__ = [
     "profile_records",
     "read_csv",
     "read_csv_text",
+    "read_failures",
     "read_profiles",
     "read_runs",
     "read_summaries",

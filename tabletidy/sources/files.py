@@ -136,8 +136,8 @@ def read_csv_text(
     task; ``multiline=False`` splits large files, for data without quoted newlines.
     """
     groups = _files_by_header(spark, path)
-    if not groups:  # nothing but empty files: let Spark name the columns (or fail on an absent path)
-        return spark.read.option("header", True).option("pathGlobFilter", CSV_GLOB).csv(path)
+    if not groups:
+        raise ValueError(f"no columns to read in {path}: the CSV is empty")
     parts = [_read_group(spark, files, dedupe_names(list(h)), multiline) for h, files in groups.items()]
     raw = parts[0]
     for part in parts[1:]:

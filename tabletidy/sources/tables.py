@@ -94,30 +94,77 @@ def profile_records(spark: SparkSession, run_id: str, summary: dict) -> DataFram
     return spark.createDataFrame(rows, PROFILES_SCHEMA)
 
 
+FAILURES_SCHEMA = T.StructType(
+    [
+        T.StructField("run_id", T.StringType()),
+        T.StructField("failed_at", T.TimestampType()),
+        T.StructField("path", T.StringType()),
+        T.StructField("error", T.StringType()),
+    ]
+)
+
+
 def append_run(runs: DataFrame, profiles: DataFrame, root: str) -> bool:
-    """Append one run to ``<root>/runs`` and ``<root>/profiles``.
+    """Append runs and their profiles to ``<root>/runs`` and ``<root>/profiles``.
 
+    The profiles go first: a run counts only once its row is in ``runs``, so a failure
+    between the two appends leaves no half run (``read_profiles`` shows recorded runs only).
     As in the reference a failure to record history is logged and does not fail
     the run; returns whether both appends succeeded.
     """
     try:
-        day = F.to_date("ingested_at")
-        runs.withColumn("ingest_date", day).write.mode("append").partitionBy("ingest_date").parquet(f"{root}/runs")
-        at = runs.select("run_id", day.alias("ingest_date"))
-        profiles.join(F.broadcast(at), "run_id").write.mode("append").partitionBy("stage", "ingest_date").parquet(
-            f"{root}/profiles"
-        )
+        _append(runs, profiles, root)
         return True
     except Exception as exc:  # noqa: BLE001 - history is best effort, as in the reference
         log.warning("could not record run history: %s", exc)
         return False
 
 
+def _append(runs: DataFrame, profiles: DataFrame, root: str) -> None:
+    day = F.to_date("ingested_at")
+    at = runs.select("run_id", day.alias("ingest_date"))
+    profiles.join(F.broadcast(at), "run_id").write.mode("append").partitionBy("stage", "ingest_date").parquet(f"{root}/profiles")
+    runs.withColumn("ingest_date", day).write.mode("append").partitionBy("ingest_date").parquet(f"{root}/runs")
+
+
+def append_runs(runs: DataFrame, profiles: DataFrame, root: str) -> None:
+    """S7 for the runs of one micro-batch: one append per table; a failure is raised, so the batch is tried again."""
+    _append(runs, profiles, root)
+
+
+def append_failures(spark: SparkSession, rows: list[tuple[str, str, str]], root: str) -> None:
+    """Uploads that could not be cleaned: (run_id, path, error) appended to ``<root>/failures``."""
+    now = _dt.datetime.now(_dt.timezone.utc)
+    spark.createDataFrame([(r, now, p, e) for r, p, e in rows], FAILURES_SCHEMA).write.mode("append").parquet(f"{root}/failures")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def read_failures(spark: SparkSession, root: str) -> DataFrame:
+    """Failed uploads; none yet is an empty table."""
+    if not _exists(spark, f"{root}/failures"):
+        return spark.createDataFrame([], FAILURES_SCHEMA)
+    return spark.read.schema(FAILURES_SCHEMA).parquet(f"{root}/failures")
+
+
+def recorded(spark: SparkSession, root: str, run_ids: list[str]) -> set[str]:
+    """Which of the runs are in ``runs`` or ``failures`` already."""
+    found: set[str] = set()
+    if _exists(spark, f"{root}/runs"):
+        found |= {r[0] for r in read_runs(spark, root).where(F.col("run_id").isin(run_ids)).select("run_id").collect()}
+    return found | {r[0] for r in read_failures(spark, root).where(F.col("run_id").isin(run_ids)).select("run_id").collect()}
+
+
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
     schema = T.StructType(RUNS_SCHEMA.fields + [T.StructField("ingest_date", T.DateType())])
     return spark.read.schema(schema).parquet(f"{root}/runs")
 
 
 def read_profiles(spark: SparkSession, root: str) -> DataFrame:
+    """Profiles of recorded runs; what a repeated append left twice is shown once."""
     schema = T.StructType(PROFILES_SCHEMA.fields + [T.StructField("ingest_date", T.DateType())])
-    return spark.read.schema(schema).parquet(f"{root}/profiles")
+    rows = spark.read.schema(schema).parquet(f"{root}/profiles")
+    return rows.join(read_runs(spark, root).select("run_id"), "run_id", "left_semi").select(rows.columns).dropDuplicates(["run_id", "stage", "ordinal"])

@@ -40,26 +40,16 @@ def _norm(v):
     return repr(v)
 
 
-# file-pipeline jobs checked by rows only (their outputs are run records, not SQL-expressible)
-ROWS_ONLY = {"st1_landing"}
 # the training-data operators have their own tests
 OWN = {k: v for k, v in E.queries().items() if k not in E.LLM_QUERIES}
 OWN_SQL = {k: v for k, v in E.oracle_sql().items() if k in OWN}
 
 
 def test_every_query_has_oracle():
-    assert set(OWN) - set(OWN_SQL) == ROWS_ONLY
+    assert set(OWN) == set(OWN_SQL)
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_rows_only_query(spark, name):
-    rows = E.queries()[name](spark, SF).collect()
-    assert rows and all(r["original_rows"] > 0 for r in rows)
-    if name == "st1_landing":
-        assert len(rows) == 3  # one run per landed file
-
-
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0 and df.columns == ["event_id", "user_id", "event_type", "value_txt", "code_txt", "ts", "blank"]

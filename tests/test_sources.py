@@ -14,6 +14,7 @@ from tabletidy.sources import (
     dedupe_names,
     landing_copy,
     read_csv,
+    read_failures,
     read_profiles,
     read_runs,
     read_summaries,
@@ -144,15 +145,19 @@ def test_landing_stream_available_now(spark, scratch):
     _write(landing, "people.CSV", PEOPLE)
     _write(landing, "notes.txt", "not a csv\n")
     root, ckpt = os.path.join(scratch, "root"), os.path.join(scratch, "ckpt")
-    q, results = watch_landing(spark, landing, root, checkpoint=ckpt)
-    q.awaitTermination(180)
-    assert sorted(x.summary["original_rows"] for x in results) == [4, 6]
+    _write(landing, "empty.csv", "")
+    watch_landing(spark, landing, root, checkpoint=ckpt).awaitTermination(180)
+    done = lambda: sorted(r["summary"]["original_rows"] for r in read_runs(spark, root).collect())
+    assert done() == [4, 6]
+    assert [os.path.basename(r["path"]) for r in read_failures(spark, root).collect()] == ["empty.csv"]
+    # the same files handed out again (a replayed batch) are recorded already
+    watch_landing(spark, landing, root, checkpoint=f"{ckpt}-2").awaitTermination(180)
+    assert done() == [4, 6] and read_failures(spark, root).count() == 1
+    assert read_profiles(spark, root).count() == 2 * (5 + 3)
     # a restart with the same checkpoint only picks up the new file
     _write(landing, "more.csv", "k\n1\n1\n2\n")
-    q2, results2 = watch_landing(spark, landing, root, checkpoint=ckpt)
-    q2.awaitTermination(180)
-    assert [x.summary["original_rows"] for x in results2] == [3]
-    assert read_runs(spark, root).count() == 3
+    watch_landing(spark, landing, root, checkpoint=ckpt).awaitTermination(180)
+    assert done() == [3, 4, 6]
 
 
 def test_frozen_plan_cleans_a_stream(spark, scratch):
