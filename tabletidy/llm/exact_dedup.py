@@ -110,7 +110,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     asked = possibly_repeated(prints, max_bits=max_bits)
     first = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
-    groups = asked.where("_maybe").groupBy("_sha").agg(F.min(first).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # written, so that the join deals both sides itself and may split the rows of a hot group
+    groups = staged(asked.where("_maybe").groupBy("_sha").agg(F.min(first).alias("_first"), F.count(F.lit(1)).alias("_n")), "groups")
     shuffled = asked.where("_maybe").join(groups, "_sha").select("_id", F.col("_first.id").alias("keep_id"), F.col("_n").alias("group_size"), (F.col("_row") == F.col("_first.row")).alias("kept"), "_sha")
     straight = asked.where("not _maybe").select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_sha")
     return straight.unionByName(shuffled).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("_sha")).alias("text_sha256"))

@@ -18,12 +18,12 @@ DIGITS = 1024  # names beyond so many are spelt with two digits
 def smaller_type(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one (the end is smaller than all)."""
     n = len(t)
-    step = np.empty(n, np.int8)
-    step[:-1] = np.sign(t[1:] - t[:-1])
-    step[-1] = -1
-    nearest = np.where(step != 0, np.arange(n), n)
-    nearest = np.minimum.accumulate(nearest[::-1])[::-1]  # the first change at or after each place
-    return step[nearest] > 0
+    up = np.zeros(n, bool)
+    up[:-1] = t[1:] > t[:-1]
+    change = np.ones(n, bool)
+    change[:-1] = t[1:] != t[:-1]
+    at = np.flatnonzero(change)
+    return np.repeat(up[at], np.diff(np.r_[-1, at]))  # equal letters are as the first change after them
 
 
 class _Buckets:
@@ -36,62 +36,74 @@ class _Buckets:
 def induce(t: np.ndarray, small: np.ndarray, buckets: _Buckets, lms: np.ndarray) -> np.ndarray:
     """The order of all suffixes induced from an order of the LMS suffixes."""
     n, size = len(t), len(buckets.count)
-    out = np.full(n, -1, np.int64)
-    head, letters = buckets.start.copy(), np.flatnonzero(buckets.count)
-    lms_by = lms[np.argsort(t[lms], kind="stable")]
-    lms_end = np.cumsum(np.bincount(t[lms], minlength=size))
-    lms_start = lms_end - np.bincount(t[lms], minlength=size)
-
-    def place(entries: np.ndarray, at: np.ndarray, forward: bool) -> None:
-        """Put entries, in order, into their buckets from the front or from the back."""
+    out = np.full(n, -1, np.int32)
+    head, letters = buckets.start.copy(), np.flatnonzero(buckets.count).tolist()
+    steps = np.arange(n, dtype=np.int64)
+    # has an entry a predecessor that is L, or one that is S?
+    before_l, before_s = np.zeros(n, bool), np.zeros(n, bool)
+    before_s[1:] = small[:-1]
+    before_l[1:] = ~small[:-1]
+    lms_letter = t[lms]
+    lms_by = lms[np.argsort(lms_letter, kind="stable")]
+    lms_count = np.bincount(lms_letter, minlength=size)
+    lms_end = np.cumsum(lms_count)
+    lms_start = lms_end - lms_count
+
+    def forward(entries: np.ndarray) -> None:
+        """Put entries, in order, into their buckets from the front."""
         c = t[entries]
-        by = np.argsort(c, kind="stable")
+        by = c.argsort(kind="stable")
         c = c[by]
-        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-        counts = np.diff(np.r_[first, len(c)])
-        rank = np.arange(len(c)) - np.repeat(first, counts)
-        if forward:
-            out[at[c] + rank] = entries[by]
-            at[c[first]] += counts
-        else:
-            out[at[c] - 1 - rank] = entries[by]
-            at[c[first]] -= counts
-
-    place(np.array([n - 1]), head, True)  # the end comes first and its predecessor is L
-    for c in letters.tolist():
+        counts = np.bincount(c, minlength=size)
+        base = head - np.cumsum(counts)
+        base += counts
+        out[base[c] + steps[: len(c)]] = entries[by]
+        np.add(head, counts, out=head)
+
+    def backward(entries: np.ndarray) -> None:
+        """The same from the back."""
+        c = t[entries]
+        by = c.argsort(kind="stable")
+        c = c[by]
+        counts = np.bincount(c, minlength=size)
+        base = tail + np.cumsum(counts)
+        base -= counts + 1
+        out[base[c] - steps[: len(c)]] = entries[by]
+        np.subtract(tail, counts, out=tail)
+
+    forward(np.array([n - 1], np.int32))  # the end comes first and its predecessor is L
+    for c in letters:
         done = buckets.start[c]
-        while done < head[c]:  # entries of this bucket may add to it
-            now = out[done : head[c]]
-            done = head[c]
-            before = now[now > 0] - 1
-            before = before[~small[before]]
-            if len(before):
-                place(before, head, True)
-        own = lms_by[lms_start[c] : lms_end[c]]
-        before = own[own > 0] - 1
-        if len(before):
-            place(before, head, True)
+        while done < (stop := head[c]):  # entries of this bucket may add to it
+            now = out[done:stop]
+            done = stop
+            now = now[before_l[now]]
+            if len(now):
+                forward(now - 1)
+        if lms_count[c]:
+            own = lms_by[lms_start[c] : lms_end[c]]
+            own = own[own > 0] - 1
+            if len(own):
+                forward(own)
     tail = buckets.end.copy()
-    for c in letters[::-1].tolist():
+    for c in reversed(letters):
         done = buckets.end[c]
-        while done > tail[c]:
-            now = out[tail[c] : done][::-1]
-            done = tail[c]
-            before = now[now > 0] - 1
-            before = before[small[before]]
-            if len(before):
-                place(before, tail, False)
+        while done > (stop := tail[c]):
+            now = out[stop:done][::-1]
+            done = stop
+            now = now[before_s[now]]
+            if len(now):
+                backward(now - 1)
         now = out[buckets.start[c] : head[c]][::-1]
-        before = now[now > 0] - 1
-        before = before[small[before]]
-        if len(before):
-            place(before, tail, False)
+        now = now[before_s[now]]
+        if len(now):
+            backward(now - 1)
     return out
 
 
 def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Ranks of the LMS substrings given their order; equal substrings share a rank."""
-    rank_of = np.full(len(t), -1, np.int64)
+    rank_of = np.empty(len(t), np.int32)
     rank_of[lms] = np.arange(len(lms))
     which = rank_of[order]  # place of each in the text's order of LMS
     stop = np.r_[lms[1:], len(t) - 1]
@@ -111,15 +123,22 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     return names
 
 
-def suffix_array(t: np.ndarray, size: int | None = None) -> np.ndarray:
-    """Starts of the suffixes of ``t`` (numbers from 0 to ``size`` - 1) in order."""
-    t = np.ascontiguousarray(t, np.int64)
+def suffix_array(t: np.ndarray, size: int | None = None, depth: int | None = None, spans: np.ndarray | None = None) -> np.ndarray:
+    """Starts of the suffixes of ``t`` (numbers from 0 to ``size`` - 1) in order.
+
+    With ``depth`` the order need only be right for so many letters: the recursion ends once
+    all equal names stand for that many (``spans``: letters of the text that an element of a
+    deeper level stands for).
+    """
     n = len(t)
     if n < 2:
         return np.arange(n)
-    buckets = _Buckets(t, size or int(t.max()) + 1)
+    size = size or int(t.max()) + 1
+    # 16-bit letters are placed by radix sort
+    t = np.ascontiguousarray(t, np.uint16 if size <= 1 << 16 else np.int64)
+    buckets = _Buckets(t, size)
     small = smaller_type(t)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if len(lms) < 2:
         return induce(t, small, buckets, lms)
     first = induce(t, small, buckets, lms)
@@ -127,16 +146,18 @@ def suffix_array(t: np.ndarray, size: int | None = None) -> np.ndarray:
     is_lms[lms] = True
     names = _names(t, lms, first[is_lms[first]])
     many = int(names.max()) + 1
-    if many == len(lms):
-        by = np.empty(len(lms), np.int64)
-        by[names] = np.arange(len(lms))
+    reach = np.arange(n + 1) if spans is None else np.concatenate([[0], np.cumsum(spans)])
+    covers = np.diff(np.append(reach[lms], reach[n]))
+    if many == len(lms) or (depth is not None and covers[np.bincount(names)[names] > 1].min() >= depth):
+        by = np.argsort(names, kind="stable")
     elif many <= DIGITS:
-        by = suffix_array(names, many)
+        by = suffix_array(names, many, depth, covers)
     else:
         base = int(np.ceil(np.sqrt(many)))
-        spelt = np.empty(2 * len(names), np.int64)
+        spelt, spans = np.empty(2 * len(names), np.int64), np.zeros(2 * len(names), np.int64)
         spelt[0::2], spelt[1::2] = names // base, names % base
-        by = suffix_array(spelt, base)
+        spans[1::2] = covers  # a name counts once its second digit agrees
+        by = suffix_array(spelt, base, depth, spans)
         by = by[by % 2 == 0] // 2
     return induce(t, small, buckets, lms[by])
 

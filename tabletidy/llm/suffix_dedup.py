@@ -274,7 +274,7 @@ def shard_repeats(parts: list[tuple]) -> pa.RecordBatch | None:
     code = np.cumsum(letters)
     text = code[data]
     text[ends] = 0
-    order = suffix_array(text, int(code[-1]) + 1)
+    order = suffix_array(text, int(code[-1]) + 1, depth=WIDTH)
     shared = common_prefixes(text.astype(np.uint8) if code[-1] < 256 else data, order, WIDTH)
     left = np.repeat(starts + lengths, lengths + 1) - np.arange(len(data))
     window = (left >= WIDTH)[order]

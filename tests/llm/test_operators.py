@@ -381,6 +381,10 @@ def test_suffix_array_with_few_digits(monkeypatch):
     draw = np.random.default_rng(5)
     for _ in range(100):
         t = draw.integers(0, 5, 200)
+        t[100:160] = t[20:80]
+        for depth in (3, 10, 30):  # the order is right for so many letters
+            near = S.suffix_array(t, depth=depth).tolist()
+            assert [t[i : i + depth].tolist() for i in near] == sorted(t[i : i + depth].tolist() for i in range(200))
         assert S.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
