@@ -266,6 +266,20 @@ def fit(
     return plan
 
 
+def fit_transform(
+    df: DataFrame, drop_duplicates: bool = True, placeholders: Placeholders = PLACEHOLDERS, narrow_integers: bool = False
+) -> tuple[DataFrame, CleaningPlan, DataFrame]:
+    """``fit`` and ``transform`` of one table: the prepared table of the fit is the transform's.
+
+    Returns (cleaned, plan, prepared); ``prepared`` is persisted, so the scan and the dedup
+    shuffle run once. Release it with ``unpersist()`` when ``cleaned`` has been written.
+    """
+    plan, _ = fit_types(df, placeholders, drop_duplicates)
+    prepared = _prepared(df, plan).persist(StorageLevel.MEMORY_AND_DISK)
+    plan, _ = fit_fills(prepared, plan, narrow_integers)
+    return apply_fills(prepared, plan), plan, prepared
+
+
 def transform(df: DataFrame, plan: CleaningPlan, dedup: bool | None = None) -> DataFrame:
     """Model step: P2 → D1 → P5 → fills, as one lazy plan (no aggregate, one shuffle for D1).
 
