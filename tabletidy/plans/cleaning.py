@@ -31,6 +31,7 @@ from tabletidy.functions.predicates import (
     INTEGER_TEXT_RE,
     coerce_numeric,
     kind_of,
+    null_nan,
     placeholder_sets,
     placeholders_json,
     replace_placeholders,
@@ -114,7 +115,7 @@ def _as_null(f: T.StructField, ph: list[str]) -> Column:
     if k == "string":
         return replace_placeholders(_col(f.name), ph).alias(f.name)
     if k == "float":  # E6: NaN and null are one missing value, so they must merge in D1
-        return F.nanvl(_col(f.name), F.lit(None).cast(f.dataType)).alias(f.name)
+        return null_nan(_col(f.name), f.dataType).alias(f.name)
     return _col(f.name)
 
 

@@ -22,11 +22,10 @@ from tabletidy.functions.predicates import (
     coerce_numeric,
     is_missing,
     replace_placeholders,
-    typed_literal,
 )
 from tabletidy.operators import history as H
 from tabletidy.operators import report as R
-from tabletidy.operators.impute import column_minimums, exact_medians
+from tabletidy.operators.impute import exact_medians
 from tabletidy.operators.profile import (
     first_values_scan,
     frequency_table,
@@ -436,9 +435,7 @@ def q_i1_fill_numeric(spark, sf):
 
 def q_i2_fill_ts(spark, sf):
     de = _de_df(spark, sf)
-    mins = column_minimums(replace_all_placeholders(de).dropDuplicates(), ["ts"])
-    ts_type = de.schema["ts"].dataType
-    return de.select("event_id", F.coalesce(F.col("ts"), typed_literal(mins["ts"], ts_type)).alias("ts"))
+    return transform(de, fit(de)).select("event_id", "ts")
 
 
 def q_i3_fill_mode(spark, sf):
@@ -606,17 +603,14 @@ def q_l4_sort_quality(spark, sf):
     return R.rank_within_run(c, F.col("quality_score").asc(), F.col("column")).select("run_id", "column", "quality_score", "rank")
 
 
-def _busiest_user(runs: DataFrame):
-    """The user with the most runs (ties to the smallest id), as a scalar subquery column."""
-    top = H.runs_per_user(runs).orderBy(F.col("processing_count").desc(), F.col("user_email")).limit(1)
-    return top.select("user_email")
+def _busiest_user(runs: DataFrame) -> str:
+    """The user with the most runs (ties to the smallest id)."""
+    return H.runs_per_user(runs).orderBy(F.col("processing_count").desc(), F.col("user_email")).first()["user_email"]
 
 
 def q_l6_latest_runs(spark, sf):
     runs = fx.runs_synth(spark, sf)
-    user = _busiest_user(runs)
-    mine = runs.join(F.broadcast(user), "user_email", "left_semi")  # one-row side
-    return mine.orderBy(F.col("ingested_at").desc(), F.col("run_id").desc()).limit(50).select("run_id", "user_email", "ingested_at")
+    return H.latest_runs(runs, _busiest_user(runs)).select("run_id", "user_email", "ingested_at")
 
 
 def q_l9_history_order(spark, sf):
@@ -685,9 +679,7 @@ def q_h3_listing(spark, sf):
 
 def q_h4_user(spark, sf):
     runs = fx.runs_synth(spark, sf)
-    return runs.join(F.broadcast(_busiest_user(runs)), "user_email", "left_semi").select(
-        "run_id", "user_email", F.col("summary.original_rows").alias("original_rows")
-    )
+    return H.user_runs(runs, _busiest_user(runs)).select("run_id", "user_email", F.col("summary.original_rows").alias("original_rows"))
 
 
 def q_h5_per_user(spark, sf):
