@@ -44,7 +44,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.posexplode(_lines(F.col(text_col))).alias("_pos", "_line"))
     keys = rows.where(F.length("_line") >= min_chars).withColumn("_key", line_key(F.col("_line"))).where(F.length("_key") >= min_chars)
     held = staged(keys.select("_id", "_text", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("line"), "_key").alias("_h2")), "line-keys")
-    frequent = held.groupBy("_h1", "_h2").agg(F.count_distinct(ident).alias("_docs"), F.max(ident).alias("_stays")).where(F.col("_docs") >= min_docs)
+    counted = held.groupBy("_h1", "_h2").agg(F.count_distinct(ident).alias("_docs"), F.max(ident).alias("_stays"))
+    # written, so that the join deals both sides itself and may split the lines of a hot key
+    frequent = staged(counted.where(F.col("_docs") >= min_docs), "frequent-lines")
     gone = held.join(frequent, ["_h1", "_h2"]).where(~ident.eqNullSafe(F.col("_stays")))
     drops = gone.groupBy("_id", "_text").agg(F.collect_set("_pos").alias("_gone")).withColumnsRenamed({"_id": "_drop_id", "_text": "_drop_text"})
     joined = docs.join(drops, docs[id_col].eqNullSafe(drops["_drop_id"]) & (F.xxhash64(docs[text_col]) == drops["_drop_text"]), "left")
