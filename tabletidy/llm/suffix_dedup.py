@@ -36,6 +36,7 @@ from tabletidy.llm.suffix_array import common_prefixes, suffix_array
 WIDTH = 100
 GRAM = 24
 PIECE = 1 << 23  # windows of a text that are looked at together
+SLICE = 1_000_000  # bytes of text that a task looks at together (eight arrays of 64 bits a byte)
 FLUSH = 400_000  # segments of a task that are combined at a time
 SHARD_BYTES = 2_000_000
 ANCHOR_SEGMENTS = 10_000
@@ -147,7 +148,7 @@ def anchored(keyed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for part in slices(batches, at):
+        for part in slices(batches, at, SLICE):
             x = segments(*text_bytes(part.column(at)))
             row = x.pop("row")
             if not len(row):
@@ -225,7 +226,7 @@ def contents(keyed: DataFrame, firsts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(shared.value, np.uint8)
-        for part in slices(batches, at):
+        for part in slices(batches, at, SLICE):
             data, offsets = text_bytes(part.column(at))
             x = segments(data, offsets)
             row = x["row"]
