@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabletidy.llm.common import map_rows, reachable, slices, staged
+from tabletidy.llm.common import free_name, map_rows, reachable, slices, staged
 from tabletidy.llm.shingles import mix, shingle_sets
 
 WIDTH = 5
@@ -541,6 +541,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))
     firsts = classes_of(docs).where("label is not null").groupBy("label").agg(F.min(first).alias("x")).select(F.col("x.id").alias("_keep"), F.col("x.mark").alias("_mark"))
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    marked = docs.where(~wordless).withColumn("_its", F.xxhash64("text"))
-    one = marked.join(firsts, marked["doc_id"].eqNullSafe(firsts["_keep"]) & (marked["_its"] == firsts["_mark"]), "left_semi")
-    return one.dropDuplicates(["doc_id", "_its"]).drop("_its").unionByName(docs.where(wordless))
+    its = free_name(docs, "_its")
+    marked = docs.where(~wordless).withColumn(its, F.xxhash64("text"))
+    one = marked.join(firsts, marked["doc_id"].eqNullSafe(firsts["_keep"]) & (marked[its] == firsts["_mark"]), "left_semi")
+    return one.dropDuplicates(["doc_id", its]).drop(its).unionByName(docs.where(wordless))

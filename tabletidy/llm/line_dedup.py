@@ -27,6 +27,24 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _met(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> tuple[DataFrame, Column, Column, Column]:
+    """``docs`` with its drop lists, and the columns: lines, dropped lines, text of the rest."""
+    ident = F.struct(F.col("_id").alias("id"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.posexplode(_lines(F.col(text_col))).alias("_pos", "_line"))
+    keys = rows.where(F.length("_line") >= min_chars).withColumn("_key", line_key(F.col("_line"))).where(F.length("_key") >= min_chars)
+    held = staged(keys.select("_id", "_text", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("line"), "_key").alias("_h2")), "line-keys")
+    counted = held.groupBy("_h1", "_h2").agg(F.count_distinct(ident).alias("_docs"), F.max(ident).alias("_stays"))
+    # written, so that the join deals both sides itself and may split the lines of a hot key
+    frequent = staged(counted.where(F.col("_docs") >= min_docs), "frequent-lines")
+    gone = held.join(frequent, ["_h1", "_h2"]).where(~ident.eqNullSafe(F.col("_stays")))
+    drops = gone.groupBy("_id", "_text").agg(F.collect_set("_pos").alias("_gone")).withColumnsRenamed({"_id": "_drop_id", "_text": "_drop_text"})
+    joined = docs.join(drops, docs[id_col].eqNullSafe(drops["_drop_id"]) & (F.xxhash64(docs[text_col]) == drops["_drop_text"]), "left")
+    lines, dropped = _lines(docs[text_col]), drops["_gone"]
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
+    kept = F.when(dropped.isNull(), F.coalesce(docs[text_col], F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    return joined, F.size(lines).cast("long"), F.coalesce(F.size(dropped), F.lit(0)).cast("long"), kept
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with each frequent line kept in one document only; adds _n_lines, _n_dropped, _kept.
 
@@ -40,31 +58,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted and joined; a hot key meets its documents in a sort-merge join that can be split,
     after a count that combines per task. The text shuffles once, to meet its own drop list.
     """
-    ident = F.struct(F.col("_id").alias("id"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.posexplode(_lines(F.col(text_col))).alias("_pos", "_line"))
-    keys = rows.where(F.length("_line") >= min_chars).withColumn("_key", line_key(F.col("_line"))).where(F.length("_key") >= min_chars)
-    held = staged(keys.select("_id", "_text", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("line"), "_key").alias("_h2")), "line-keys")
-    counted = held.groupBy("_h1", "_h2").agg(F.count_distinct(ident).alias("_docs"), F.max(ident).alias("_stays"))
-    # written, so that the join deals both sides itself and may split the lines of a hot key
-    frequent = staged(counted.where(F.col("_docs") >= min_docs), "frequent-lines")
-    gone = held.join(frequent, ["_h1", "_h2"]).where(~ident.eqNullSafe(F.col("_stays")))
-    drops = gone.groupBy("_id", "_text").agg(F.collect_set("_pos").alias("_gone")).withColumnsRenamed({"_id": "_drop_id", "_text": "_drop_text"})
-    joined = docs.join(drops, docs[id_col].eqNullSafe(drops["_drop_id"]) & (F.xxhash64(docs[text_col]) == drops["_drop_text"]), "left")
-    lines = _lines(docs[text_col])
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.coalesce(docs[text_col], F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    return joined.select(
-        *[docs[c] for c in docs.columns],
-        F.size(lines).cast("long").alias("_n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_dropped"),
-        kept.alias("_kept"),
-    )
+    joined, n_lines, n_dropped, kept = _met(docs, id_col, text_col, min_chars, min_docs)
+    return joined.select(*[docs[c] for c in docs.columns], n_lines.alias("_n_lines"), n_dropped.alias("_n_dropped"), kept.alias("_kept"))
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """The documents table with the frequent lines gone (same columns; ``n_chars`` follows the
     new text, and a null text stays null)."""
-    out = line_dedup(docs)
-    text = F.when(F.col("text").isNotNull(), F.col("_kept"))
+    joined, _, _, kept = _met(docs, "doc_id", "text", MIN_CHARS, MIN_DOCS)
+    text = F.when(docs["text"].isNotNull(), kept)
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return joined.select(*[(new[c] if c in new else docs[c]).alias(c) for c in docs.columns])

@@ -541,3 +541,24 @@ def test_pipeline_brute_force(spark, scratch):
             for r in new:
                 assert r["ids_sha256"] == sha(" ".join(map(str, lib.encode(texts[r["doc_id"]], add_special_tokens=False).ids)))
     assert P.run(spark, SF).count() == kept.count()
+
+
+def test_clashing_extra_columns(spark):
+    """Extra columns, also named like results or inner columns, disturb no operator; stages keep them."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from tabletidy.llm import bpe, exact_dedup, jaccard_join, license_scan, line_dedup, mixing, quality_rules, secret_scan, suffix_dedup
+
+    names = "_id _text _pos _line _key _h1 _h2 _docs _stays _gone _drop_id _kept _n_lines _n_dropped n_words _n_words n sid label kept keep_id spans block epoch place _src _mark path blob ids decoded places d t start mark _row _sha _own _g score component_id _keep _its src tokens".split()
+    texts = [*list(driver_texts().values())[:60], None, "", None]
+    plain = frame(spark, texts, [*range(len(texts) - 1), None])
+    docs = plain.select("*", *[F.lit(i).cast("string").alias(n) for i, n in enumerate(names)])
+    for stage in (quality_rules.keep_good, line_dedup.drop_lines, jaccard_join.keep_one, mixing.mix_sources):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        assert rows(out, "doc_id", "text") == rows(stage(plain), "doc_id", "text")
+        assert out.where("score = '0' or d is null").count() == 0
+    for scan in (exact_dedup.exact_dedup, license_scan.license_scan, secret_scan.secret_scan, jaccard_join.jaccard_classes, suffix_dedup.suffix_dedup, lambda x: bpe.bpe(x, public_tokenizers.path("word_bpe_49k.json"))):
+        assert scan(docs).count() == len(texts)
+    assert mixing.mixture(docs).count() == mixing.mixture(plain).count()
