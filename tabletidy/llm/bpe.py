@@ -7,8 +7,9 @@ pairs of all new words are tested at once by numpy, undoing merges from the late
 earliest on both sides of the boundary. Only words with a failing pair undergo exact merging.
 
 The vocabulary file is read on the driver (its path is a parameter) and broadcast: a few MB
-whatever the input. Encoded words are kept per Python worker up to ``KEPT_WORDS``; then the
-store starts anew, which costs time and changes nothing else.
+whatever the input. Encoded words are kept within a task up to ``KEPT_WORDS``; then the store
+starts anew, which costs time and changes nothing else. At the task's end it is given back, so
+that idle workers hold the vocabulary only.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from tabletidy.llm.common import map_rows
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 END = "</w>"
 NEVER = 1 << 60
 
@@ -246,5 +247,8 @@ def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         flat = pa.array(np.concatenate(ids) if ids else np.array([], np.int32), pa.int32())
         return pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
+    def done() -> None:
+        codec(spec.value).words = {}
+
     picked = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
-    return map_rows(picked, "text", SCHEMA, rows).withColumnRenamed("doc_id", id_col)
+    return map_rows(picked, "text", SCHEMA, rows, done).withColumnRenamed("doc_id", id_col)

@@ -82,8 +82,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 2_000_000
             yield batch.slice(start)
 
 
-def map_rows(df: DataFrame, text: str, schema: str, rows: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """``mapInArrow`` over bounded slices of ``df``; ``rows`` turns one slice into result rows."""
+def map_rows(df: DataFrame, text: str, schema: str, rows: Callable[[pa.RecordBatch], pa.RecordBatch], done: Callable[[], None] | None = None) -> DataFrame:
+    """``mapInArrow`` over bounded slices of ``df``; ``rows`` turns one slice into result rows, and
+    ``done`` gives back what it held at the end of a task."""
     reachable(df.sparkSession)
     at = df.columns.index(text)
 
@@ -92,5 +93,7 @@ def map_rows(df: DataFrame, text: str, schema: str, rows: Callable[[pa.RecordBat
             out = rows(part)
             if out.num_rows:
                 yield out
+        if done:
+            done()
 
     return df.mapInArrow(run, schema)

@@ -337,12 +337,25 @@ def all_pairs(entries: DataFrame) -> DataFrame:
     return rows.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(run, PAIR).distinct()
 
 
+def mixed_key(*columns: np.ndarray) -> np.ndarray:
+    """One 64-bit key of several columns of 64-bit numbers."""
+    x = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        x = mix(x + c.astype(np.int64, copy=False).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return x
+
+
+def whole_numbers(column: pa.Array) -> np.ndarray:
+    """A long column, nulls as the least number."""
+    return pa.compute.fill_null(column, -(1 << 63)).to_numpy(zero_copy_only=False)
+
+
 def key_filter(keys: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of ``bits`` bits (two per key) over the long column of ``keys``."""
+    """A Bloom filter of ``bits`` bits (two per key) over rows of long columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(_filter_positions(batch.column(0).to_numpy(zero_copy_only=False), bits))
+            at = np.unique(filter_positions(mixed_key(*map(whole_numbers, batch.columns)), bits))
             segments, starts = np.unique(at // SEGMENT, return_index=True)
             parts = np.split((at % SEGMENT).astype("<u2"), starts[1:])
             if len(at):
@@ -364,39 +377,40 @@ def key_filter(keys: DataFrame, bits: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _filter_positions(keys: np.ndarray, bits: int) -> np.ndarray:
-    x = mix(keys.view(np.uint64))
-    both = np.concatenate([x & np.uint64(bits - 1), (x >> np.uint64(32)) & np.uint64(bits - 1)])
+def filter_positions(keys: np.ndarray, bits: int) -> np.ndarray:
+    both = np.concatenate([keys & np.uint64(bits - 1), (keys >> np.uint64(32)) & np.uint64(bits - 1)])
     return both.astype(np.int64)
 
 
+def in_filter(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    p = filter_positions(keys, bits).reshape(2, -1)
+    return ((bitmap[p >> 3] >> (7 - (p & 7))) & 1).all(axis=0)
+
+
+def filter_bits(n: int) -> int:
+    """16 bits a key, up to ``FILTER_BITS``."""
+    return min(FILTER_BITS, max(SEGMENT, 1 << (16 * max(n, 1) - 1).bit_length()))
+
+
 def texts_of(picked: DataFrame, sids: DataFrame) -> DataFrame:
     """(sid, text) of one document per set of ``sids`` (sid, doc_id).
 
     A Bloom filter of bounded size says which documents are asked for, so only their texts
     move. What it lets through beside them meets no pair later.
     """
-    wanted = staged(sids.select(F.xxhash64("sid", "doc_id").alias("key")), "wanted")
+    wanted = staged(sids.select("sid", "doc_id"), "wanted")
     n = wanted.count()
     if not n:
         return picked.sparkSession.createDataFrame([], "sid long, text string")
-    bits = min(FILTER_BITS, max(SEGMENT, 1 << (16 * max(n, 1) - 1).bit_length()))
+    bits = filter_bits(n)
     shared = picked.sparkSession.sparkContext.broadcast(key_filter(wanted, bits).tobytes())
-    schema = pa.schema([("sid", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())])
 
-    def named(part: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(part.column(1), WIDTH)
-        return pa.record_batch([pa.array([set_id(s) for s in sets], pa.int64()), part.column(0), part.column(1)], schema=schema)
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            p = _filter_positions(batch.column("key").to_numpy(zero_copy_only=False), bits).reshape(2, -1)
-            yield batch.filter(pa.array(((bitmap[p >> 3] >> (7 - (p & 7))) & 1).all(axis=0)))
+    def asked(part: pa.RecordBatch) -> pa.RecordBatch:
+        ids = np.array([set_id(s) for s in shingle_sets(part.column(1), WIDTH)], np.int64)
+        keep = in_filter(np.frombuffer(shared.value, np.uint8), mixed_key(ids, whole_numbers(part.column(0))), bits)
+        return pa.record_batch([pa.array(ids), part.column(1)], ["sid", "text"]).filter(pa.array(keep))
 
-    all_ = map_rows(picked, "text", "sid long, doc_id long, text string", named).withColumn("key", F.xxhash64("sid", "doc_id"))
-    some = all_.mapInArrow(asked, "sid long, doc_id long, text string, key long")
-    return staged(some.select("sid", "text").dropDuplicates(["sid"]), "texts")
+    return staged(map_rows(picked, "text", "sid long, text string", asked).dropDuplicates(["sid"]), "texts")
 
 
 def screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

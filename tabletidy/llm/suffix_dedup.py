@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabletidy.llm.common import reachable, slices, staged
-from tabletidy.llm.jaccard_join import FILTER_BITS, SEGMENT, _filter_positions, key_filter
+from tabletidy.llm.jaccard_join import filter_bits, in_filter, key_filter, mixed_key
 from tabletidy.llm.shingles import mix, text_bytes
 from tabletidy.llm.suffix_array import common_prefixes, suffix_array
 
@@ -219,9 +219,8 @@ def contents(keyed: DataFrame, firsts: DataFrame) -> DataFrame:
     A second look at the texts: a Bloom filter of bounded size over the segments' keys says
     which bytes move. What it lets through beside them is a true segment too, and harmless.
     """
-    n = firsts.count()
-    bits = min(FILTER_BITS, max(SEGMENT, 1 << (16 * max(n, 1) - 1).bit_length()))
-    shared = keyed.sparkSession.sparkContext.broadcast(key_filter(firsts.select(_key(firsts).alias("key")), bits).tobytes())
+    bits = filter_bits(firsts.count())
+    shared = keyed.sparkSession.sparkContext.broadcast(key_filter(firsts.select("anchor", "d", "t", "start"), bits).tobytes())
     at = keyed.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +233,7 @@ def contents(keyed: DataFrame, firsts: DataFrame) -> DataFrame:
                 continue
             d = part.column(0).to_numpy(zero_copy_only=False)[row]
             t = part.column(1).to_numpy(zero_copy_only=False)[row]
-            p = _filter_positions(_mixed(x["anchor"].view(np.int64), d, t, x["start"]), bits).reshape(2, -1)
-            take = np.flatnonzero(((bitmap[p >> 3] >> (7 - (p & 7))) & 1).all(axis=0))
+            take = np.flatnonzero(in_filter(bitmap, mixed_key(x["anchor"].view(np.int64), d, t, x["start"]), bits))
             if len(take):
                 a = offsets[row[take]] + x["start"][take]
                 raw = data.tobytes()
@@ -245,23 +243,6 @@ def contents(keyed: DataFrame, firsts: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "anchor long, d long, t long, start long, bytes binary")
 
 
-def _mixed(anchor: np.ndarray, d: np.ndarray, t: np.ndarray, start: np.ndarray) -> np.ndarray:
-    x = mix(anchor.view(np.uint64) ^ mix(d.view(np.uint64)))
-    return mix(x ^ mix(t.view(np.uint64) + start.astype(np.int64).view(np.uint64) * _U(_BASE))).view(np.int64)
-
-
-def _key(firsts: DataFrame):
-    """The same key as a column, by an Arrow step beside the plan."""
-
-    @F.pandas_udf("long")
-    def key(anchor, d, t, start):
-        import pandas as pd
-
-        return pd.Series(_mixed(*(c.to_numpy(np.int64) for c in (anchor, d, t, start))))
-
-    return key("anchor", "d", "t", "start")
-
-
 def shard_repeats(parts: list[tuple]) -> pa.RecordBatch | None:
     """The repeats among segments (d, t, start, bytes), by their suffix array."""
     parts.sort(key=lambda p: p[:3])  # then the earliest window is the least place in the text
