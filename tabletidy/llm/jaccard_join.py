@@ -255,7 +255,8 @@ def near_pairs(entries: DataFrame, turn: int) -> DataFrame:
             if a and len(np.concatenate(a)):
                 yield _pairs(np.concatenate(a), np.concatenate(b))
 
-    order = F.col("n") if turn == 0 else F.xxhash64("sid", F.lit(turn))
+    # by size first; later in an order of each list's own, so that a set meets others in each list
+    order = F.col("n") if turn == 0 else F.xxhash64("sid", F.lit(turn), "token")
     dealt = entries.withColumn("salt", _salt(F.col("sid"), F.lit(turn))).withColumn("by", order.cast("long"))
     return dealt.repartition("token", "salt").sortWithinPartitions("token", "salt", "by", "sid").mapInArrow(run, PAIR).distinct()
 
@@ -466,24 +467,25 @@ def merge_classes(edges: DataFrame) -> DataFrame:
     between what they reach are the next turn's graph. Written each turn; log n turns.
     """
     edges = staged(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    labels: DataFrame | None = None
-    while edges.count():
+    steps: list[DataFrame] = []
+    while n := edges.count():
+        files = 1 + n // 200_000  # the graph shrinks each turn, and so do its tables
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up")).withColumnRenamed("a", "v"), "up")
+        up = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up")).withColumnRenamed("a", "v").coalesce(files), "up")
         top = up.select(F.col("v").alias("up"), F.col("up").alias("top"))
         two = up.join(top, "up").select("v", F.col("top").alias("mid"))
-        step = staged(two.join(two.select(F.col("v").alias("mid"), F.col("mid").alias("label")), "mid").select("v", "label"), "step")
-        if labels is None:
-            labels = step
-        else:
-            moved = step.select(F.col("v").alias("label"), F.col("label").alias("next"))
-            labels = staged(labels.join(moved, "label", "left").select("v", F.coalesce("next", "label").alias("label")), "labels")
+        step = staged(two.join(two.select(F.col("v").alias("mid"), F.col("mid").alias("label")), "mid").select("v", "label").coalesce(files), "step")
+        steps.append(step)
         a = step.select(F.col("v").alias("a"), F.col("label").alias("x"))
         b = step.select(F.col("v").alias("b"), F.col("label").alias("y"))
-        edges = staged(edges.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
-    if labels is None:
+        edges = staged(edges.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().coalesce(files), "edges")
+    if not steps:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
-    return labels
+    labels = steps[0]
+    for step in steps[1:]:
+        moved = step.select(F.col("v").alias("label"), F.col("label").alias("next"))
+        labels = labels.join(moved, "label", "left").select("v", F.coalesce("next", "label").alias("label"))
+    return staged(labels, "labels") if len(steps) > 1 else labels
 
 
 def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -499,7 +501,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lists = staged(lists_of_several(postings(picked, ranks(first.where("segment is not null")))), "lists")
     rows = lists.count()
     classes = texts = None
-    turn, last = 0, False
+    turn, last, stalled = 0, False, False
     while not last:
         if classes is None:
             entries = lists.withColumn("label", F.col("sid"))
@@ -509,7 +511,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             # pairs of different classes in lists: an upper bound of what the exact round lists
             per = entries.groupBy("token", "label").agg(F.count(F.lit(1)).cast("double").alias("k"))
             open_ = per.groupBy("token").agg(((F.sum("k") ** 2 - F.sum(F.col("k") ** 2)) / 2).alias("pairs"))
-            last = turn >= ROUNDS or (open_.agg(F.sum("pairs")).first()[0] or 0) <= 4 * rows
+            last = stalled or turn >= ROUNDS or (open_.agg(F.sum("pairs")).first()[0] or 0) <= 4 * rows
         pairs = staged(screened(all_pairs(entries) if last else near_pairs(entries, turn), nodes), "pairs")
         sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
         more = texts_of(picked, (sids if texts is None else sids.join(texts, "sid", "left_anti")).join(nodes, "sid").select("sid", "doc_id"))
@@ -524,6 +526,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
             )
             new = merge_classes(found)
+            stalled = new.count() <= rows // 1000  # near rounds no longer pay
             moved = new.select(F.col("v").alias("label"), F.col("label").alias("next"))
             kept = classes.join(moved, "label", "left").select("v", F.coalesce("next", "label").alias("label"))
             classes = staged(kept.unionByName(new.join(classes, "v", "left_anti")), "classes")
