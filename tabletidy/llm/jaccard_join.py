@@ -255,8 +255,8 @@ def near_pairs(entries: DataFrame, turn: int) -> DataFrame:
             if a and len(np.concatenate(a)):
                 yield _pairs(np.concatenate(a), np.concatenate(b))
 
-    # by size first; later in an order of each list's own, so that a set meets others in each list
-    order = F.col("n") if turn == 0 else F.xxhash64("sid", F.lit(turn), "token")
+    # by size first; later in one of eight orders by list, so that a set meets several others
+    order = F.col("n") if turn == 0 else F.xxhash64("sid", F.lit(turn), F.pmod("token", F.lit(8)))
     dealt = entries.withColumn("salt", _salt(F.col("sid"), F.lit(turn))).withColumn("by", order.cast("long"))
     return dealt.repartition("token", "salt").sortWithinPartitions("token", "salt", "by", "sid").mapInArrow(run, PAIR).distinct()
 
