@@ -27,12 +27,15 @@ SHARE = 0.75  # of a group's rows that an estimate must be drawn from
 STEPS = 5
 LEAST_ROWS = 40  # smaller groups are pooled by language; a pool as small rejects nothing
 UNIT = 10_000
-#: Least standard deviation of each statistic: the variation of clean texts that a group of
-#: nearly equal texts does not show.
-FLOORS = {"length": 0.15, "symbols": 0.4, "repeats": 0.1, "dup_lines": 1.0}
+#: Added to each standard deviation (squared) in the steps, only to keep a scatter regular.
+FLOORS = {"length": 0.01, "symbols": 0.01, "repeats": 0.01, "dup_lines": 0.01}
+#: A document is judged by its group's own deviations, or by these where they are smaller: about
+#: the word length's chance variation in 30 words, one symbol in 30 words, one passage of 16
+#: words twice in 280, one line twice.
+LEAST = {"length": 0.08, "symbols": 0.3, "repeats": 0.058, "dup_lines": 0.6}
 NAMES = list(FLOORS)
 D = len(NAMES)
-TAIL = 1e-6  # share of a normal group beyond the cutoff
+TAIL = 1e-3  # share of a normal group beyond the cutoff
 
 
 def _chi2_cdf(x: float, dof: int) -> float:
@@ -111,8 +114,11 @@ def _vector() -> dict[str, Column]:
     return {k: F.round(v * UNIT).cast("long") for k, v in raw.items()}
 
 
-def _factor(moments: DataFrame, extra: float) -> DataFrame:
-    """Means and the Cholesky factor of scatter (times ``extra``) plus squared floors, and log det."""
+def _factor(moments: DataFrame, extra: float, least: dict[str, float] | None = None) -> DataFrame:
+    """Means and the Cholesky factor of scatter (times ``extra``) plus squared floors, and log det.
+
+    With ``least``, a variance below its square is raised to it.
+    """
     out = moments
     for i in NAMES:
         out = out.withColumn(f"m_{i}", F.col(f"s_{i}") / F.col("n"))
@@ -121,6 +127,7 @@ def _factor(moments: DataFrame, extra: float) -> DataFrame:
             cov = (F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) * extra
             if i == j:
                 cov = F.greatest(cov, F.lit(0.0)) + (FLOORS[i] * UNIT) ** 2
+                cov = F.greatest(cov, F.lit((least[i] * UNIT) ** 2)) if least else cov
             below = [F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in NAMES[: NAMES.index(j)]]
             rest = cov - sum(below, F.lit(0.0))
             out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l_{j}_{j}"))
@@ -175,9 +182,10 @@ def estimates(rows: DataFrame) -> DataFrame:
         upto = counts.withColumn("upto", F.sum("n").over(run)).where(F.col("upto") >= F.ceil(F.col("n_all") * SHARE))
         edge = staged(upto.groupBy("_g", "_start").agg(F.min("_bin").alias("_edge")), "mcd-edge")
         near = met.join(edge, ["_g", "_start"]).where("_bin <= _edge")
-        now = staged(_factor(_moments(near), CONSISTENCY), "mcd")
-    best = now.groupBy("_g").agg(F.min(F.struct("log_det", "_start")).alias("best"))
-    return staged(now.join(best, "_g").where("log_det = best.log_det and _start = best._start").drop("best", "n_all", "_start", "log_det"), "mcd-best")
+        sums = staged(_moments(near), "mcd-sums")
+        now = staged(_factor(sums, CONSISTENCY), "mcd")
+    best = now.groupBy("_g").agg(F.min(F.struct("log_det", "_start")).alias("best")).select("_g", "best._start")
+    return staged(_factor(sums, CONSISTENCY, LEAST).join(best, ["_g", "_start"]).drop("n_all", "_start", "log_det"), "mcd-best")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

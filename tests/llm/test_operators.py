@@ -241,6 +241,31 @@ def test_quality_rules(spark):
     assert R.keep_good(frame(spark, [])).collect() == []
 
 
+def test_moderate_outliers(spark):
+    """Junk that is moderate in one statistic, or a little in three, goes; the clean documents stay."""
+    import random
+
+    from tabletidy.llm import quality_rules as R
+
+    draw = random.Random(5)
+    prose = lambda n, a=2, b=9: " ".join("".join(draw.choices("abcdefghij", k=draw.randint(a, b))) for _ in range(n))
+    clean = [prose(draw.randint(30, 400)) for _ in range(300)]
+    passage = prose(26)
+    symbols = lambda text, k: " ".join(w + "#" * (i < k) for i, w in enumerate(text.split()))
+    junk = {
+        "dup_lines": "\n".join([*(f"{prose(9)}\n{x}" for x in [prose(5)] * 31)]),
+        "repeats": f"{passage} {prose(150)} {passage}",
+        "symbols": symbols(prose(200), 60),
+        "length": prose(200, 8, 11),
+    }
+    junk["three"] = "\n".join([f"{passage} {symbols(prose(60), 40)} {passage}", *(f"{prose(2)}\n{x}" for x in [prose(2)] * 31)])
+    names = [*range(len(clean)), *range(10**6, 10**6 + len(junk))]
+    got = {r["_id"]: r for r in R.quality(frame(spark, [*clean, *junk.values()], names)).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert all(got[i]["kept"] for i in range(len(clean)))
+    assert {k: got[10**6 + i]["kept"] for i, k in enumerate(junk)} == dict.fromkeys(junk, False)
+
+
 def test_mcd_against_numpy(spark):
     """The estimate equals concentration steps written out in numpy, from the better start."""
     import numpy as np
