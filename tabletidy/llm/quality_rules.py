@@ -25,7 +25,7 @@ from tabletidy.llm.common import SPACE_RUN, staged
 WINDOW = 8
 SHARE = 0.75  # of a group's rows that an estimate must be drawn from
 STEPS = 5
-LEAST_ROWS = 40  # smaller groups are pooled by language; a pool as small rejects nothing
+LEAST_ROWS = 40  # smaller groups are judged by the estimate of a pool
 UNIT = 10_000
 #: Added to each standard deviation (squared) in the steps, only to keep a scatter regular.
 FLOORS = {"length": 0.01, "symbols": 0.01, "repeats": 0.01, "dup_lines": 0.01}
@@ -188,30 +188,46 @@ def estimates(rows: DataFrame) -> DataFrame:
     return staged(_factor(sums, CONSISTENCY, LEAST).join(best, ["_g", "_start"]).drop("n_all", "_start", "log_det"), "mcd-best")
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """Per language and source (_own): the estimate that judges it (_g) and those drawn from it (_in: _g, n_all)."""
+    sizes = staged(rows.groupBy("_own", "_of").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    few = F.col("n") < LEAST_ROWS
+    langs = staged(sizes.groupBy("_of").agg(F.sum("n").alias("n_lang"), F.sum(F.when(few, F.col("n")).otherwise(0)).alias("n_few")), "language-sizes")
+    rare = F.col("n_lang") < LEAST_ROWS
+    n_rare = langs.agg(F.sum(F.when(rare, F.col("n_lang")))).first()[0] or 0
+    name = lambda kind, c: F.concat(F.lit(f"{kind} "), c)
+    own, together, whole = name("own", F.col("_own")), name("few", F.col("_of")), name("lang", F.col("_of"))
+    judge = F.when(~few, own).when(F.col("n_few") >= LEAST_ROWS, together).when(~rare, whole).otherwise(F.lit("rare" if n_rare >= LEAST_ROWS else "all"))
+    drawn = F.array_compact(F.array(F.when(~few, own), F.when(few, together), whole, F.when(rare, F.lit("rare")), F.lit("all")))
+    named = staged(sizes.join(langs, "_of").select("_own", "n", judge.alias("_g"), drawn.alias("_all")), "group-names")
+    used = named.select("_g").distinct()
+    pools = staged(named.select("_own", "n", F.explode("_all").alias("_g")).join(used, "_g", "left_semi"), "pools")
+    members = pools.join(pools.groupBy("_g").agg(F.sum("n").alias("n_all")), "_g").groupBy("_own").agg(F.collect_list(F.struct("_g", "n_all")).alias("_in"))
+    return named.join(members, "_own", "left").select("_own", "_g", "_in")
+
+
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: _id, _text (64-bit hash), the counts, base_failed, distance2, kept.
 
     Null text has no words and fails. Null languages and sources are groups of their own.
-    Groups under ``LEAST_ROWS`` base-passing rows are pooled by language; where the pool is as
-    small there is no estimate, ``distance2`` is null and base-passing rows are kept.
+    Every base-passing row gets a distance, from the first of these estimates that is drawn from
+    ``LEAST_ROWS`` base-passing rows: of its language and source, of its language's sources under
+    that number, of its language, of all languages under that number, or else of all documents.
     """
     has = set(docs.columns)
     pick = lambda c: F.col(f"`{c}`") if c in has else F.lit(None).cast("string")
     picked = docs.select(pick(id_col).alias("_id"), F.xxhash64(pick(text_col)).alias("_text"), pick("lang").alias("_lang"), pick("source").alias("_source"), pick(text_col).cast("string").alias("_body"))
     stats = statistics(picked, "_body").drop("_body").withColumn("base_failed", base_failed())
     table = staged(stats.select("*", *[F.when(~F.col("base_failed"), v).alias(f"_{k}") for k, v in _vector().items()]), "statistics")
-    # groups: language and source, or the language's small sources together
     passed = table.where("not base_failed")
-    group, pool = F.to_json(F.struct(F.col("_lang").alias("l"), F.col("_source").alias("s"))), F.to_json(F.struct(F.col("_lang").alias("l"), F.lit(1).alias("pool")))
-    sizes = passed.select(group.alias("_own"), pool.alias("_pool")).groupBy("_own", "_pool").agg(F.count(F.lit(1)).alias("n"))
-    named = sizes.withColumn("_g", F.when(F.col("n") >= LEAST_ROWS, F.col("_own")).otherwise(F.col("_pool")))
-    totals = named.groupBy("_g").agg(F.sum("n").alias("n_all")).where(F.col("n_all") >= LEAST_ROWS)
-    groups = staged(named.join(totals, "_g").select("_own", "_g", "n_all"), "groups")
-    rows = passed.withColumn("_own", group).join(groups, "_own").select("_g", "n_all", *[f"_{i}" for i in NAMES])
+    group, lang = F.to_json(F.struct(F.col("_lang").alias("l"), F.col("_source").alias("s"))), F.to_json(F.struct(F.col("_lang").alias("l")))
+    groups = staged(_groups(passed.select(group.alias("_own"), lang.alias("_of"))), "groups")
+    # an estimate is drawn from all rows of its pool, also from those that another one judges
+    rows = passed.withColumn("_own", group).join(groups, "_own").select(F.explode("_in").alias("_in"), *[f"_{i}" for i in NAMES]).select("_in.*", *[f"_{i}" for i in NAMES])
     found = estimates(rows)
-    known = groups.join(found, "_g").drop("_g", "n_all")
+    known = groups.drop("_in").join(found, "_g").drop("_g")
     judged = table.withColumn("_own", F.when(~F.col("base_failed"), group)).join(known, "_own", "left").withColumn("distance2", _distance())
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True))
+    kept = ~F.col("base_failed") & (F.col("distance2") <= CUTOFF)
     return judged.select("_id", "_text", "_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "base_failed", "distance2", kept.alias("kept"))
 
 

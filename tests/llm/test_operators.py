@@ -266,6 +266,28 @@ def test_moderate_outliers(spark):
     assert {k: got[10**6 + i]["kept"] for i, k in enumerate(junk)} == dict.fromkeys(junk, False)
 
 
+def test_rare_languages_are_judged(spark):
+    """Every base-passing document gets a distance, in rare languages, small sources and tiny tables too."""
+    import random
+
+    from tabletidy.llm import quality_rules as R
+
+    draw = random.Random(7)
+    prose = lambda n: " ".join("".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(n))
+    junk = lambda: " ".join(w + "***" for w in prose(100).split())
+    data = [("en", "s", prose(100)) for _ in range(60)] + [("en", "t", junk()), ("en", "t", prose(100)), ("xx", "s", junk()), (None, "s", junk()), (None, None, prose(100))]
+    table = lambda data: spark.createDataFrame([(i, t, a, b, len(t)) for i, (a, b, t) in enumerate(data)], DOCS)
+    got = {r["_id"]: r for r in R.quality(table(data)).collect()}
+    assert all(r["distance2"] is not None for r in got.values())
+    assert sorted(i for i, r in got.items() if not r["kept"]) == [60, 62, 63]
+    # many rare languages are pooled, apart from a large one that is unlike them
+    long = lambda: " ".join("".join(draw.choices("abcdefghij", k=draw.randint(12, 30))) for _ in range(100))
+    data = [("en", "s", prose(100)) for _ in range(60)] + [(f"l{i % 9}", "s", long()) for i in range(60)] + [("l3", "s", junk())]
+    got = {r["_id"]: r for r in R.quality(table(data)).collect()}
+    assert [i for i, r in got.items() if not r["kept"]] == [120]
+    assert [(r["kept"], r["distance2"] is not None) for r in R.quality(table(data[:1])).collect()] == [(True, True)]
+
+
 def test_mcd_against_numpy(spark):
     """The estimate equals concentration steps written out in numpy, from the better start."""
     import numpy as np
