@@ -100,17 +100,29 @@ def dedupe_names(names: list[str]) -> list[str]:
     return out
 
 
-_OVERFLOW = "__tt_more"
+_CORRUPT = "__tt_corrupt"
+
+
+def _more_cells(names: list[str]) -> Column:
+    """Whether the record of ``_CORRUPT`` (of another number of cells than ``names``) has more.
+
+    A last cell that is added to a record of fewer cells lands in a column; beyond the last
+    column it does not. Two texts for that cell tell it from the record's own cells.
+    """
+    fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    with_cell = lambda x: F.from_csv(F.concat(F.col(_CORRUPT), F.lit(f",{x}")), fields.simpleString()[7:-1].replace(":", " "), {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"})
+    return F.to_json(with_cell("1")) == F.to_json(with_cell("2"))
 
 
 def _read_group(spark: SparkSession, files: list[str], names: list[str], multiline: bool) -> DataFrame:
     """Files of one header: cells by position, quotes doubled inside quotes.
 
-    A record with fewer cells than the header ends in nulls. One with more fails the read (a
-    cell past the header lands in an extra column that must stay null), as a quote that never
-    closes does: nothing is cut or dropped.
+    A record with fewer cells than the header ends in nulls. One with more fails the read, also
+    if the cells past the header are empty; a quote that never closes takes the rest of the file
+    into its cell: nothing is cut or dropped. The reader hands over the text of records with
+    another number of cells only.
     """
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _OVERFLOW]])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])
     raw = (
         spark.read.schema(schema)
         .option("header", True)
@@ -118,12 +130,13 @@ def _read_group(spark: SparkSession, files: list[str], names: list[str], multili
         .option("escape", '"')
         .option("multiLine", multiline)
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", _CORRUPT)
         .csv(files)
     )
-    whole = F.when(F.col(_OVERFLOW).isNull(), F.lit(True)).otherwise(
+    whole = F.when(F.col(_CORRUPT).isNull() | ~_more_cells(names), F.lit(True)).otherwise(
         F.raise_error(F.concat(F.lit("CSV record with more cells than the header: "), F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))))
     )
-    return raw.where(whole).drop(_OVERFLOW)
+    return raw.where(whole).drop(_CORRUPT)
 
 
 def read_csv_text(

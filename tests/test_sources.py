@@ -102,6 +102,18 @@ def test_csv_quotes_newlines_and_ragged_rows(spark, scratch):
         read_csv(spark, long, infer_types=False).collect()
 
 
+@pytest.mark.parametrize("more", ["1,2,,3", "1,,,3", ",,,3", "1,2,,", "1,2,3,4,5", '1,"x,\ny",,3', f"1,{'x' * 2_000_000},,3"])
+def test_csv_records_with_more_cells_fail(spark, scratch, more):
+    """Whatever the first extra cell holds; records with fewer cells or quoted commas are read."""
+    path = _write(scratch, "more.csv", f'a,b\n1,2\n{more}\n3\n')
+    with pytest.raises(Exception, match="more cells"):
+        read_csv(spark, path, infer_types=False).collect()
+    with pytest.raises(Exception, match="more cells"):
+        read_csv(spark, path, infer_types=False).count()
+    good = _write(scratch, "good.csv", 'a,b,c\n1\n1,2\n"x,,y","1,2"\n"a""b,",2\n4,,6\n')
+    assert [tuple(r) for r in read_csv(spark, good, infer_types=False).collect()] == [("1", None, None), ("1", "2", None), ("x,,y", "1,2", None), ('a"b,', "2", None), ("4", None, "6")]
+
+
 def test_csv_files_with_another_column_order(spark, scratch):
     _write(os.path.join(scratch, "d"), "a.csv", "x,y\n1,aa\n")
     _write(os.path.join(scratch, "d"), "b.csv", "y,x\nbb,2\n")
