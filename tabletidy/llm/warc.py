@@ -3,8 +3,8 @@
 Writing: every task writes one ``.warc.gz`` file, a gzip member per record. Each member's
 extra field holds the member's whole length, so a reader can pass over a record after its
 headers; other gzip readers ignore the field. A task attempt writes a file name of its own
-and the driver's commit names the good ones in a manifest: files of lost or repeated
-attempts are never read.
+and the driver's commit names the good ones in a manifest of the job: files of lost or
+repeated attempts are never read, and what earlier jobs wrote to the folder stays.
 
 Reading: plans a partition per ``split_mb`` of each file (the manifest has record offsets;
 a foreign file without them is one partition), takes predicates on record type and headers,
@@ -52,7 +52,8 @@ from tabletidy.llm.common import reachable, shared_path, staged, table
 
 #: One row per record; ``payload`` is null for records without one of their own.
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
-MANIFEST = "_manifest.json"
+MANIFEST = re.compile(r"_manifest(-[0-9a-f]{32})?\.json")  # one per job; older archives have one without an id
+PART = re.compile(r"part-[0-9a-f]{32}\.warc\.gz")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"  # the tables hold no crawl time; a fixed date keeps archives repeatable
 ROWS = 256
@@ -119,8 +120,10 @@ class WarcWriter(DataSourceArrowWriter):
         store, path = pa.fs.FileSystem.from_uri(self.path)
         store.create_dir(path, recursive=True)
         listed = [{"name": m.name, "size": m.size, "starts": m.starts} for m in messages if m is not None]
-        with store.open_output_stream(f"{path}/{MANIFEST}", compression=None) as out:
+        name = f"_manifest-{uuid.uuid4().hex}.json"
+        with store.open_output_stream(f"{path}/{name}.part", compression=None) as out:
             out.write(json.dumps(listed).encode())
+        store.move(f"{path}/{name}.part", f"{path}/{name}")  # a reader sees the whole manifest or none
 
     def abort(self, messages) -> None:
         store, path = pa.fs.FileSystem.from_uri(self.path)
@@ -284,13 +287,16 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Split]:
         store, path = pa.fs.FileSystem.from_uri(self.path)
-        if store.get_file_info(f"{path}/{MANIFEST}").type == pa.fs.FileType.File:
-            with store.open_input_stream(f"{path}/{MANIFEST}", compression=None) as f:
-                listed = json.loads(f.read())
-            return [Split(f"{path}/{x['name']}", a, b) for x in listed if x["size"] for a, b in itertools.pairwise([*x["starts"], x["size"]])]
         info = store.get_file_info(path)
         files = [info] if info.type == pa.fs.FileType.File else store.get_file_info(pa.fs.FileSelector(path, recursive=True))
-        return [Split(x.path, 0, x.size) for x in files if re.search(r"\.warc(\.gz)?$", x.path) and x.size]
+        manifests = sorted(x.path for x in files if MANIFEST.fullmatch(x.base_name) and x.path.rpartition("/")[0] == path.rstrip("/"))
+        splits = []
+        for manifest in manifests:
+            with store.open_input_stream(manifest, compression=None) as f:
+                listed = json.loads(f.read())
+            splits += [Split(f"{path}/{x['name']}", a, b) for x in listed if x["size"] for a, b in itertools.pairwise([*x["starts"], x["size"]])]
+        # files of others; a part of the writer counts by its manifest only, where there is one
+        return splits + [Split(x.path, 0, x.size) for x in files if re.search(r"\.warc(\.gz)?$", x.path) and x.size and not (manifests and PART.fullmatch(x.base_name))]
 
     def read(self, split: Split | None) -> Iterator[pa.RecordBatch]:
         if split is None:  # no archive, or none with a record

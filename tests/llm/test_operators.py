@@ -152,6 +152,21 @@ def test_warc(spark, scratch):
     assert warc.read_warc(spark, empty).collect() == []
 
 
+def test_warc_appends(spark, scratch):
+    """Records of every job stay readable, a file of others beside them too; lost attempts are not read."""
+    from tabletidy.llm import warc
+
+    path = f"file://{scratch}/w"
+    page = lambda i: spark.createDataFrame([(i, "u", f"text {i}", 6)], "page_id long, url string, html string, payload_bytes int")
+    for i in (1, 2):
+        warc.write_warc(page(i), path)
+    with open(f"{scratch}/w/other.warc", "wb") as f:
+        f.write(warc.record("urn:page:3", "response", "u", None, b"text 3"))
+    with open(f"{scratch}/w/part-{'0' * 32}.warc.gz", "wb") as f:
+        f.write(warc.member(warc.record("urn:page:4", "response", "u", None, b"lost")))
+    assert rows(warc.read_warc(spark, path, verify="true"), "record_id", "payload") == [(f"urn:page:{i}", f"text {i}".encode()) for i in (1, 2, 3)]
+
+
 def test_warc_of_others(spark, scratch):
     """Plain files, and gzip members without a length, are read as well; headers decide first."""
     import gzip
