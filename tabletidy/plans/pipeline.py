@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabletidy.operators.report import report_table
 from tabletidy.plans.cleaning import CleanResult, clean, table_metrics
-from tabletidy.sources.files import is_csv_name, landing_copy, read_csv, write_csv, write_summary_json
+from tabletidy.sources.files import artifact_stem, is_csv_name, landing_copy, read_csv, write_csv, write_summary_json
 from tabletidy.sources.tables import append_run, profile_records, run_record
 
 
@@ -71,10 +71,10 @@ def ingest(
         raise ValueError(f"only CSV files are accepted: {name!r}")
     root = root.rstrip("/")
     rid, raw_file = landing_copy(spark, src, f"{root}/raw", run_id)
-    stem = os.path.splitext(name)[0]
-    cleaned_file = f"{root}/cleaned/{stem}_{rid}_cleaned"
-    report_file = f"{root}/reports/{stem}_{rid}_report"
-    json_file = f"{root}/reports/{stem}_{rid}_summary.json"
+    stem = artifact_stem(name, rid)
+    cleaned_file = f"{root}/cleaned/{stem}_cleaned"
+    report_file = f"{root}/reports/{stem}_report"
+    json_file = f"{root}/reports/{stem}_summary.json"
     summary, _ = clean_path(spark, src, cleaned_file, drop_duplicates)
     profiles = profile_records(spark, rid, summary)
     runs = run_record(spark, rid, summary, user_email, name, raw_file, cleaned_file, report_file, json_file)

@@ -220,6 +220,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     )
 
 
+def artifact_stem(src: str, run_id: str) -> str:
+    """``<stem>_<run_id>``, the stem cut where names of 255 bytes would not hold it (the id tells files apart)."""
+    stem = os.path.splitext(os.path.basename(src.rstrip("/")))[0]
+    room = 255 - len(f"_{run_id}_summary.json") - len("..crc")
+    return f"{stem.encode()[:room].decode(errors='ignore')}_{run_id}"
+
+
 def landing_copy(spark: SparkSession, src: str, bronze_root: str, run_id: str | None = None) -> tuple[str, str]:
     """Archive an upload byte for byte as ``<stem>_<run_id>.csv``, which ``read_csv`` opens.
 
@@ -228,8 +235,7 @@ def landing_copy(spark: SparkSession, src: str, bronze_root: str, run_id: str |
     Returns (run_id, path).
     """
     rid = run_id or uuid.uuid4().hex[:8]
-    stem = os.path.splitext(os.path.basename(src.rstrip("/")))[0]
-    dst = f"{bronze_root.rstrip('/')}/{stem}_{rid}.csv"
+    dst = f"{bronze_root.rstrip('/')}/{artifact_stem(src, rid)}.csv"
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     a, b = jvm.org.apache.hadoop.fs.Path(src), jvm.org.apache.hadoop.fs.Path(dst)
     to = b.getFileSystem(conf)

@@ -52,8 +52,8 @@ def arriving_files(spark: SparkSession, landing: str, max_files_per_trigger: int
 
 
 def upload_id(path: str, modified: object, length: int) -> str:
-    """Eight hex characters that name one state of one file."""
-    return hashlib.sha256(f"{path}|{modified}|{length}".encode()).hexdigest()[:8]
+    """The SHA-256 that names one state of one file (a shorter one would be shared by two uploads)."""
+    return hashlib.sha256(f"{path}|{modified}|{length}".encode()).hexdigest()
 
 
 def empty_uploads(spark: SparkSession, landing: str) -> list[dict]:

@@ -172,6 +172,23 @@ def test_landing_stream_available_now(spark, scratch):
     assert done() == [3, 4, 6]
 
 
+def test_uploads_with_equal_first_characters_of_their_ids(spark, scratch):
+    """Two uploads whose hashes begin alike are two runs, and a replay passes over both; a long name is kept."""
+    from tabletidy.streaming.landing import ingest_batch, upload_id
+
+    root, folder = os.path.join(scratch, "out"), os.path.join(scratch, "in")
+    seen, k = {}, 0
+    while (first := upload_id(f"{folder}/{'n' * 200}{k}.csv", 0, 9)[:8]) not in seen:
+        seen[first] = k
+        k += 1
+    files = [{"path": _write(folder, f"{'n' * 200}{i}.csv", "a,b\n1,2\n"), "modificationTime": 0, "length": 9} for i in (seen[first], k)]
+    for _ in range(2):
+        ingest_batch(spark, files, root)
+    runs = read_runs(spark, root).collect()
+    assert sorted(r["summary"]["original_rows"] for r in runs) == [1, 1] and len({r["raw_file"] for r in runs}) == 2
+    assert len({r["run_id"] for r in runs}) == 2 and read_failures(spark, root).count() == 0
+
+
 def test_frozen_plan_cleans_a_stream(spark, scratch):
     """A plan fitted on a batch cleans arriving parquet files with the same columns (no dedup)."""
     from pyspark.sql import functions as F
