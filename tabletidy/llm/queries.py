@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from tabletidy.llm.bpe import bpe
 from tabletidy.llm.common import table
 from tabletidy.llm.exact_dedup import exact_dedup
+from tabletidy.llm.html_extract import extract_html
 from tabletidy.llm.jaccard_join import jaccard_classes
 from tabletidy.llm.license_scan import license_scan
 from tabletidy.llm.line_dedup import line_dedup
 from tabletidy.llm.mixing import mixture
+from tabletidy.llm.prefix_trie import prefix_trie, rebuilt
 from tabletidy.llm.quality_rules import quality
 from tabletidy.llm.secret_scan import secret_scan
 from tabletidy.llm.suffix_dedup import suffix_dedup
 from tabletidy.llm.warc import op8_warc
+from tabletidy.llm.whitening import whiten
 
 
 def vocabulary() -> str:
@@ -74,6 +77,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whiten(table(spark, sf_dir, "embeddings"), components=4)
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_html(table(spark, sf_dir, "pages"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
@@ -85,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_html_extract": op12_html_extract,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,4 +141,35 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op13_prefix_trie": r"""
+        WITH RECURSIVE own AS (
+            SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id
+                ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+            FROM conversations WHERE conv_id IS NOT NULL),
+        conv AS (
+            SELECT c, c - c % 5 AS b, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ord(s)::UBIGINT)),
+                lambda a, s: list_reduce(list_prepend(xor(a, s), list_value(0, 0, 0, 0, 0, 0, 0, 0)::UBIGINT[]),
+                    lambda v, z: xor(v >> 1, 3988292384::UBIGINT * (v & 1)))), 4294967295::UBIGINT)::BIGINT % 9 AS h
+            FROM (SELECT c, count(*) AS n FROM own GROUP BY c)),
+        turns AS (
+            SELECT conv.c, own.i AS d, r, x FROM conv JOIN own ON own.c = conv.b AND own.i <= conv.h
+            UNION ALL
+            SELECT conv.c, least(conv.h, coalesce(base.n, 0)) + own.i - conv.h, r, x
+            FROM conv JOIN own ON own.c = conv.c AND own.i > conv.h LEFT JOIN conv base ON base.c = conv.b),
+        walk(c, d, id) AS (
+            SELECT c, 0::BIGINT, min(c) OVER () FROM conv
+            UNION ALL
+            SELECT walk.c, walk.d + 1, min(walk.c) OVER (PARTITION BY walk.id, r, x) FROM walk JOIN turns ON turns.c = walk.c AND turns.d = walk.d + 1),
+        ended AS (SELECT id, d, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids
+                  FROM walk WHERE NOT EXISTS (SELECT 1 FROM turns WHERE turns.c = walk.c AND turns.d = walk.d + 1) GROUP BY id, d),
+        node AS (SELECT w.id, w.d, count(*) AS n, any_value(up.id) AS parent, any_value(strlen(turns.x)) AS bytes
+                 FROM walk w LEFT JOIN walk up ON up.c = w.id AND up.d = w.d - 1 LEFT JOIN turns ON turns.c = w.id AND turns.d = w.d GROUP BY w.id, w.d),
+        child AS (SELECT parent, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+        below AS (SELECT up.id, up.d, count(*) FILTER (child.n IS NULL) AS n_leaves, sum((node.n - 1) * coalesce(node.bytes, 0)) AS saved
+                  FROM node JOIN walk up ON up.c = node.id AND up.d <= node.d LEFT JOIN child ON child.parent = node.id AND child.d = node.d GROUP BY up.id, up.d)
+        SELECT node.id AS conv_id, node.d AS depth, node.parent AS parent_conv_id, node.n AS n_convs, coalesce(child.n, 0) AS n_children,
+               n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ended.ids, '')) AS ends_sha256
+        FROM node JOIN below ON below.id = node.id AND below.d = node.d
+        LEFT JOIN child ON child.parent = node.id AND child.d = node.d LEFT JOIN ended ON ended.id = node.id AND ended.d = node.d
+    """,
 }

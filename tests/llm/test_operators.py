@@ -33,7 +33,7 @@ def rows(df, *names):
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = Q.QUERIES[name](spark, SF)
     names = sorted(got.columns)
