@@ -11,8 +11,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import os
 import uuid
 
@@ -21,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabletidy.functions.predicates import COERCIBLE_TEXT_RE, INTEGER_TEXT_RE, strip_ws
+from tabletidy.sources.csv_blocks import joined, read_blocks
+from tabletidy.sources.staging import staged
 
 # --- fixed values: the texts a pandas CSV reader turns into NaN by default.
 CSV_NA_TOKENS: tuple[str, ...] = (
@@ -56,35 +56,6 @@ def is_csv_name(path: str) -> bool:
     return path.lower().endswith(".csv")
 
 
-def _first_record(spark: SparkSession, file: str) -> list[str]:
-    """The header cells of one file: its first record, which may hold quoted newlines."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
-    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-    try:
-        lines: list[str] = []
-        while (line := reader.readLine()) is not None:
-            lines.append(line)
-            if "\n".join(lines).count('"') % 2 == 0:
-                break
-    finally:
-        reader.close()
-    return next(csv.reader(io.StringIO("\n".join(lines).lstrip("\ufeff"), newline="")), [])
-
-
-def _files_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """The CSV files under ``path`` by their header (empty files have none and are left out).
-
-    One short read per file on the driver, which lists the files anyway; no pass over the data.
-    """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file in spark.read.option("pathGlobFilter", CSV_GLOB).text(path).inputFiles():
-        if header := _first_record(spark, file):
-            groups.setdefault(tuple(header), []).append(file)
-    return groups
-
-
 def dedupe_names(names: list[str]) -> list[str]:
     """pandas-style names: empty → ``Unnamed: i``; repeats → ``a``, ``a.1``, ``a.2``."""
     out: list[str] = []
@@ -103,62 +74,71 @@ def dedupe_names(names: list[str]) -> list[str]:
 _CORRUPT = "__tt_corrupt"
 
 
-def _more_cells(names: list[str]) -> Column:
-    """Whether the record of ``_CORRUPT`` (of another number of cells than ``names``) has more.
+def _more_cells(k: int) -> Column:
+    """Whether the record of ``_CORRUPT`` (of another number of cells than ``k``) has more.
 
     A last cell that is added to a record of fewer cells lands in a column; beyond the last
     column it does not. Two texts for that cell tell it from the record's own cells.
     """
-    fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    with_cell = lambda x: F.from_csv(F.concat(F.col(_CORRUPT), F.lit(f",{x}")), fields.simpleString()[7:-1].replace(":", " "), {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"})
+    fields = ", ".join(f"c{i} string" for i in range(k))
+    options = {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "multiLine": "true"}
+    with_cell = lambda x: F.from_csv(F.concat(F.col(_CORRUPT), F.lit(f",{x}")), fields, options)
     return F.to_json(with_cell("1")) == F.to_json(with_cell("2"))
 
 
-def _read_group(spark: SparkSession, files: list[str], names: list[str], multiline: bool) -> DataFrame:
-    """Files of one header: cells by position, quotes doubled inside quotes.
+def _cells(records: DataFrame, k: int) -> DataFrame:
+    """``records`` with the ``k`` cells c0, c1, ... of its whole records in place of ``whole`` (null: nulls).
 
     A record with fewer cells than the header ends in nulls. One with more fails the read, also
     if the cells past the header are empty; a quote that never closes takes the rest of the file
-    into its cell: nothing is cut or dropped. The reader hands over the text of records with
+    into its cell: nothing is cut or dropped. The parser hands over the text of records with
     another number of cells only.
     """
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .csv(files)
-    )
-    whole = F.when(F.col(_CORRUPT).isNull() | ~_more_cells(names), F.lit(True)).otherwise(
-        F.raise_error(F.concat(F.lit("CSV record with more cells than the header: "), F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))))
+    fields = ", ".join([f"c{i} string" for i in range(k)] + [f"{_CORRUPT} string"])
+    options = {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    raw = records.withColumn("r", F.from_csv("whole", fields, options)).select(*[c for c in records.columns if c != "whole"], "r.*")
+    whole = F.when(F.col(_CORRUPT).isNull() | ~_more_cells(k), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("CSV record with more cells than the header: "), F.coalesce("c0", F.lit(""))))
     )
     return raw.where(whole).drop(_CORRUPT)
 
 
-def read_csv_text(
-    spark: SparkSession, path: str, na_tokens: tuple[str, ...] = CSV_NA_TOKENS, multiline: bool = True
-) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, na_tokens: tuple[str, ...] = CSV_NA_TOKENS) -> DataFrame:
     """S1 without typing: all columns as text, NA tokens → null, pandas-style names.
 
-    Files of a directory are grouped by header: another column order is matched by name,
-    other column names fail. ``multiline`` (the default) reads quoted newlines, a file per
-    task; ``multiline=False`` splits large files, for data without quoted newlines.
+    Files of any size are read in blocks by many tasks, quoted newlines included (``csv_blocks``).
+    The files of a directory are read by header: another column order is matched by name, other
+    column names fail. The cells are written once to this application's scratch folder
+    (``staging``), so what follows reads columns.
     """
-    groups = _files_by_header(spark, path)
-    if not groups:
+    headers, records, crossing = read_blocks(spark, path, CSV_GLOB)
+    if not headers:
         raise ValueError(f"no columns to read in {path}: the CSV is empty")
-    parts = [_read_group(spark, files, dedupe_names(list(h)), multiline) for h, files in groups.items()]
-    raw = parts[0]
-    for part in parts[1:]:
-        if set(part.columns) != set(raw.columns):
-            raise ValueError(f"CSV files of {path} differ in their columns: {raw.columns} and {part.columns}")
-        raw = raw.unionByName(part)
-    tokens = list(na_tokens)
-    return raw.select(*[F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    names = [dedupe_names(h) for h in headers]
+    columns = names[0]
+    for other in names[1:]:
+        if set(other) != set(columns):
+            raise ValueError(f"CSV files of {path} differ in their columns: {columns} and {other}")
+
+    def by_name(cells: DataFrame) -> DataFrame:
+        """Cells by the position of their name in the file's own header, NA tokens as nulls."""
+        out = []
+        for j, c in enumerate(columns):
+            cell = F.col(f"c{j}")
+            for h, other in enumerate(names[1:], 1):
+                if other != columns:
+                    cell = F.when(F.col("header") == h, F.col(f"c{other.index(c)}")).otherwise(cell)
+            out.append(F.when(~cell.isin(list(na_tokens)), cell).alias(f"c{j}"))
+        return cells.select(*out)
+
+    # one pass over the text: whole records as cells, fragments of records over blocks as they are
+    whole = F.col("chain").isNull()
+    parts = records.select("header", "chain", "place", "named", F.when(~whole, F.col("text")).alias("fragment"), F.when(whole, F.col("text")).alias("whole"))
+    held = staged(_cells(parts, len(columns)), "csv-cells")
+    table = by_name(held.where(F.col("chain").isNull()))
+    if crossing:
+        table = table.unionByName(by_name(staged(_cells(joined(held), len(columns)), "csv-crossing")))
+    return table.toDF(*columns)
 
 
 def infer_csv_types(df: DataFrame) -> DataFrame:
@@ -198,9 +178,9 @@ def infer_csv_types(df: DataFrame) -> DataFrame:
     return df.select(*[casts[c].alias(c) if c in casts else F.col(f"`{c}`") for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, infer_types: bool = True, multiline: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, infer_types: bool = True) -> DataFrame:
     """A CSV file or directory as a typed DataFrame (absent path → Spark's PATH_NOT_FOUND)."""
-    text = read_csv_text(spark, path, multiline=multiline)
+    text = read_csv_text(spark, path)
     return infer_csv_types(text) if infer_types else text
 
 
