@@ -1,7 +1,7 @@
 """Column profiling.
 
 A full profile is one scan and one shuffle of cells, whatever the table's width:
-every cell is unpivoted to ``(ordinal, text)`` and aggregated into a frequency
+every cell is unpivoted to ``(ordinal, typed slots)`` and aggregated into a frequency
 table ``(ordinal, value) → n, first_ord`` (map-side partial aggregation, so a
 value that fills a third of a column costs one row per task in the shuffle).
 The cell predicates (missing, raw null, numeric text) are then evaluated once
@@ -157,6 +157,78 @@ def _text(c: Column, dt: T.DataType) -> Column:
     return (c + F.lit(0.0).cast(dt)).cast("string") if kind_of(dt) == "float" else c.cast("string")
 
 
+def _slots(c: Column, dt: T.DataType) -> tuple[str, Column]:
+    """The slot of a cell and its value there: equal values are equal in it, as they are as texts.
+
+    ``l`` takes integers, booleans, dates and instants (two of one wall-clock hour stay two), ``d``
+    floating point (one zero, one NaN), ``s`` the text of all else.
+    """
+    if kind_of(dt) in ("integral", "bool"):
+        return "l", c.cast("long")
+    if isinstance(dt, T.DateType):
+        return "l", F.unix_date(c).cast("long")
+    if isinstance(dt, T.TimestampType):
+        return "l", F.unix_micros(c)
+    if kind_of(dt) == "float":
+        return "d", c.cast("double") + F.lit(0.0)
+    return "s", c.cast("string")
+
+
+_SLOT_TYPES = {"l": "bigint", "d": "double", "s": "string"}
+
+
+def _slot_text(fields: list[tuple[int, T.StructField]]) -> Column:
+    """The text of a slotted cell, as a cast of the column itself gives it."""
+    groups: dict[str, tuple[Column, list[int]]] = {}
+    for i, f in fields:
+        slot, _ = _slots(F.lit(None), f.dataType)
+        if slot == "s":
+            groups.setdefault("s", (F.col("s"), []))[1].append(i)
+        elif kind_of(f.dataType) == "bool":
+            groups.setdefault("bool", (F.col("l").cast("boolean").cast("string"), []))[1].append(i)
+        elif isinstance(f.dataType, T.DateType):
+            groups.setdefault("date", (F.date_from_unix_date(F.col("l").cast("int")).cast("string"), []))[1].append(i)
+        elif isinstance(f.dataType, T.TimestampType):
+            groups.setdefault("ts", (F.timestamp_micros("l").cast("string"), []))[1].append(i)
+        elif isinstance(f.dataType, T.FloatType):
+            groups.setdefault("float", (F.col("d").cast("float").cast("string"), []))[1].append(i)
+        else:
+            groups.setdefault(slot, (F.col(slot).cast("string"), []))[1].append(i)
+    (first, _), *rest = groups.values()
+    text = first
+    for value, ordinals in rest:
+        text = F.when(F.col("ordinal").isin(ordinals), value).otherwise(text)
+    return text
+
+
+def _cell_counts(df: DataFrame, exclude: str, columns: Sequence[str] | None, placeholders: Placeholders, order_by: str | None, with_first: bool) -> DataFrame | None:
+    """``(ordinal, l?, d?, s?, n, first_ord?)``: the frequency table in typed slots (those in use)."""
+    ph = placeholder_sets(placeholders)
+    src = (df if ORD in df.columns else with_order(df, order_by)) if with_first else df
+    fields = _fields(df, columns)
+    if not fields:
+        return None
+    used = sorted({_slots(F.lit(None), f.dataType)[0] for _, f in fields})
+    cells = []
+    for i, f in fields:
+        c = F.col(f"`{f.name}`")
+        slot, v = _slots(c, f.dataType)
+        if exclude == "missing":
+            v = F.when(~is_missing(c, f.dataType, ph(f.name)), v)
+        elif exclude == "null":
+            v = F.when(~is_null_like(c, f.dataType), v)
+        cells.append(F.struct(F.lit(i).alias("ordinal"), *[(v if u == slot else F.lit(None).cast(_SLOT_TYPES[u])).alias(u) for u in used]))
+    keep = [F.col(ORD)] if with_first else []
+    long_form = src.select(*keep, F.inline(F.array(*cells)))
+    if exclude != "none":
+        there = F.col(used[0]).isNotNull()
+        for u in used[1:]:
+            there = there | F.col(u).isNotNull()
+        long_form = long_form.where(there)
+    aggs = [F.count(F.lit(1)).alias("n")] + ([F.min(ORD).alias("first_ord")] if with_first else [])
+    return long_form.groupBy("ordinal", *used).agg(*aggs)
+
+
 def frequency_table(
     df: DataFrame,
     exclude: str = "missing",
@@ -167,6 +239,9 @@ def frequency_table(
 ) -> DataFrame:
     """``(ordinal, value, n, first_ord)``: how often each text value occurs per column.
 
+    Cells are grouped in typed slots (numbers and instants as numbers); the text is made once
+    per distinct value, after the shuffle.
+
     ``with_first=False`` leaves out ``first_ord`` (no order key is attached or
     carried through the shuffle) when only counts are needed.
 
@@ -174,31 +249,11 @@ def frequency_table(
     ``exclude="null"`` only raw nulls/NaN (the raw column info, A18);
     ``exclude="none"`` keeps every cell, a null cell as a null ``value``.
     """
-    ph = placeholder_sets(placeholders)
-    src = (df if ORD in df.columns else with_order(df, order_by)) if with_first else df
-    fields = _fields(df, columns)
-    # two instants of a repeated wall-clock hour share a text: the instant keeps them apart
-    instants = any(isinstance(f.dataType, T.TimestampType) for _, f in fields)
-    cells = []
-    for i, f in fields:
-        c = F.col(f"`{f.name}`")
-        text = _text(c, f.dataType)
-        if exclude == "missing":
-            text = F.when(~is_missing(c, f.dataType, ph(f.name)), text)
-        elif exclude == "null":
-            text = F.when(~is_null_like(c, f.dataType), text)
-        at = F.unix_micros(c) if isinstance(f.dataType, T.TimestampType) else F.lit(None).cast("bigint")
-        cells.append(F.struct(F.lit(i).alias("ordinal"), text.alias("value"), *([at.alias("instant")] if instants else [])))
-    if not cells:
+    counts = _cell_counts(df, exclude, columns, placeholders, order_by, with_first)
+    if counts is None:
         schema = "ordinal int, value string, n bigint" + (", first_ord bigint" if with_first else "")
-        return src.sparkSession.createDataFrame([], schema)
-    keep = [F.col(ORD)] if with_first else []
-    long_form = src.select(*keep, F.inline(F.array(*cells)))
-    if exclude != "none":
-        long_form = long_form.where(F.col("value").isNotNull())
-    aggs = [F.count(F.lit(1)).alias("n")] + ([F.min(ORD).alias("first_ord")] if with_first else [])
-    keys = ["ordinal", "value", *(["instant"] if instants else [])]
-    return long_form.groupBy(*keys).agg(*aggs).drop("instant")
+        return df.sparkSession.createDataFrame([], schema)
+    return counts.select("ordinal", _slot_text(_fields(df, columns)).alias("value"), "n", *(["first_ord"] if with_first else []))
 
 
 def first_values(freq: DataFrame, top_values: int = 3) -> DataFrame:
@@ -277,19 +332,22 @@ def profile_frame(
     placeholders: Placeholders = PLACEHOLDERS,
     order_by: str | None = None,
     freq: DataFrame | None = None,
+    samples: DataFrame | None = None,
 ) -> DataFrame:
     """Everything about every column from one frequency table.
 
     Columns: the ``PROFILE_SCHEMA`` fields plus ``kind``, ``rows``, ``null_count``,
     ``numeric_ok`` and ``is_numeric`` (the fit step's inputs). Counts and samples read
     the same shuffle of cells: both sit on one filter over the table that needs all its
-    columns, so their plans agree up to the exchange and it is computed once.
+    columns, so their plans agree up to the exchange and it is computed once. With
+    ``samples`` (``first_values_scan``) no order key takes part in the shuffle.
     """
     ph = placeholders
     fields = _field_table(df)
     if freq is None:
-        freq = frequency_table(df, "none", None, ph, order_by)
-    freq = freq.where((F.col("n") > 0) & F.col("first_ord").isNotNull())  # true for every row
+        freq = frequency_table(df, "none", None, ph, order_by, with_first=samples is None)
+    if samples is None:
+        freq = freq.where((F.col("n") > 0) & F.col("first_ord").isNotNull())  # true for every row
     flags = _value_flags(df, ph)
     n = F.col("n")
     counts = freq.groupBy("ordinal").agg(
@@ -300,7 +358,8 @@ def profile_frame(
         F.count_if(~flags["missing"]).alias("unique_count"),
     )
     # the condition needs n, so it stays above the shared exchange
-    samples = first_values(freq.where(F.when(n > 0, ~flags["missing"])), top_values)
+    if samples is None:
+        samples = first_values(freq.where(F.when(n > 0, ~flags["missing"])), top_values)
     zero = F.lit(0).cast("long")
     # one row per column on all sides: bounded by the table's width
     joined = fields.join(F.broadcast(counts), "ordinal", "left").join(F.broadcast(samples), "ordinal", "left")
@@ -351,12 +410,14 @@ def profile_rows(
 ) -> list:
     """Eager A8 (``profile_frame`` rows, sorted): one row per column.
 
-    With ``approx_rsd`` no cells are shuffled (``profile_approx_frame``).
+    Samples come from a scan, so cells shuffle without order keys; with ``approx_rsd`` no
+    cells are shuffled (``profile_approx_frame``).
     """
     if approx_rsd is not None:  # counts from the shuffle-free pass, distinct counts sketched
         rows = profile_approx_frame(df, top_values, placeholders, order_by, approx_rsd).collect()
     else:
-        rows = profile_frame(df, top_values, placeholders, order_by).collect()
+        samples = first_values_scan(df, top_values, placeholders, order_by)
+        rows = profile_frame(df, top_values, placeholders, order_by, samples=samples).collect()
     return sorted(rows, key=lambda r: (-r[sort], r["ordinal"]))
 
 
@@ -376,45 +437,82 @@ def profile(
     return full.select(*PROFILE_COLUMNS).orderBy(F.col(sort).desc(), F.col("ordinal"))
 
 
-def first_values_scan(
-    df: DataFrame,
-    top_values: int = 3,
-    placeholders: Placeholders = PLACEHOLDERS,
-    order_by: str | None = None,
-) -> DataFrame:
-    """``(ordinal, sample_values)`` as ``first_values`` gives, without shuffling cells.
+#: Rows of the table's beginning that the search for samples looks at before it asks for more.
+PREFIX_ROWS = 256
+
 
-    Round j is one aggregate over all columns: the value of the least order key among
-    those not found yet, so ``top_values`` passes send one row per task. The result (a
-    few values per column) is held by the driver.
+def first_found(
+    df: DataFrame, top_values: int = 3, placeholders: Placeholders = PLACEHOLDERS, order_by: str | None = None
+) -> dict[int, list[tuple]]:
+    """Per column the first ``top_values`` distinct values in the table's order, as (key, text).
+
+    Most columns show that many within the table's first rows, which a top-k (in scan order: the
+    first partitions alone) brings to the driver. The others are asked for in one pass whether
+    they hold any further value, a flag per column; only a column that does takes part in further
+    passes, each of which finds its next value by least key. Values tied at a key go by text.
     """
     ph = placeholder_sets(placeholders)
     fields = _fields(df, None)
+    if not fields:
+        return {}
+    scan = order_by is None and ORD not in df.columns
     src = with_order(df, order_by)
     # values in their own type where equal values are equal texts; ties of a given key go by text
-    typed = {i: order_by is None and ORD not in df.columns and kind_of(f.dataType) in ("string", "integral", "bool") for i, f in fields}
+    typed = {i: scan and kind_of(f.dataType) in ("string", "integral", "bool") for i, f in fields}
     values = {
         i: F.when(~is_missing(F.col(f"`{f.name}`"), f.dataType, ph(f.name)), F.col(f"`{f.name}`") if typed[i] else _text(F.col(f"`{f.name}`"), f.dataType))
         for i, f in fields
     }
-    found: dict[int, list] = {i: [] for i, _ in fields}
-    open_ = set(found)
-    for _ in range(top_values):
-        if not open_:
-            break
-        firsts = []
-        for i in sorted(open_):
-            v = values[i]
-            new = v.isNotNull() & ~v.isin(found[i]) if found[i] else v.isNotNull()
-            firsts.append(F.min(F.when(new, F.struct(F.col(ORD).alias("o"), v.alias("v")))).alias(f"f{i}"))
+    ordered = src if scan else src.orderBy(ORD)
+    head = ordered.select(F.col(ORD).alias("o"), *[v.alias(f"v{i}") for i, v in values.items()]).limit(PREFIX_ROWS).collect()
+    whole = len(head) < PREFIX_ROWS
+    if not whole and not scan:  # rows tied with the last one may be missing
+        head = [r for r in head if r["o"] != head[-1]["o"]]
+    words = {True: "true", False: "false"}
+    text = lambda v: words[v] if isinstance(v, bool) else str(v)
+    found: dict[int, list[tuple]] = {}
+    for i, _ in fields:
+        best: dict = {}
+        for r in head:
+            if (v := r[f"v{i}"]) is not None and v not in best:
+                best[v] = r["o"]
+        # rows come by key: a value's first key is its least; equal keys go by text
+        place = {}
+        for r in head:
+            place.setdefault(r["o"], len(place))
+        order = sorted(best, key=lambda v: (place[best[v]], text(v)))
+        found[i] = [(best[v], v) for v in order[:top_values]]
+    open_ = set() if whole else {i for i in found if len(found[i]) < top_values}
+
+    def new(i: int) -> Column:
+        v = values[i]
+        return v.isNotNull() & ~v.isin([x for _, x in found[i]]) if found[i] else v.isNotNull()
+
+    if open_:
+        more = src.agg(*[F.bool_or(new(i)).alias(f"f{i}") for i in sorted(open_)]).first()
+        open_ = {i for i in open_ if more[f"f{i}"]}
+    while open_:
+        firsts = [F.min(F.when(new(i), F.struct(F.col(ORD).alias("o"), values[i].alias("v")))).alias(f"f{i}") for i in sorted(open_)]
         row = src.agg(*firsts).first()
         for i in sorted(open_):
-            if row[f"f{i}"] is None:
+            if row[f"f{i}"] is not None:
+                found[i].append((row[f"f{i}"]["o"], row[f"f{i}"]["v"]))
+            if row[f"f{i}"] is None or len(found[i]) == top_values:
                 open_.discard(i)
-            else:
-                found[i].append(row[f"f{i}"]["v"])
-    words = {True: "true", False: "false"}
-    rows = [(i, [words[v] if isinstance(v, bool) else str(v) for v in vs]) for i, vs in found.items()]
+    return {i: [(k, text(v)) for k, v in vs] for i, vs in found.items()}
+
+
+def first_values_scan(
+    df: DataFrame,
+    top_values: int = 3,
+    placeholders: Placeholders = PLACEHOLDERS,
+    order_by: str | None = None,
+) -> DataFrame:
+    """``(ordinal, sample_values)`` as ``first_values`` gives, without shuffling cells (``first_found``).
+
+    The result (a few values per column) is held by the driver.
+    """
+    rows = [(i, [v for _, v in vs]) for i, vs in first_found(df, top_values, placeholders, order_by).items()]
     return df.sparkSession.createDataFrame(rows, "ordinal int, sample_values array<string>")
 
 
