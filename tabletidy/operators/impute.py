@@ -7,7 +7,8 @@
   small bracket is resolved from a (value, count) table and a running sum.
   All columns are handled in the same passes.
 * Earliest timestamp: a plain ``min`` (map-side partials).
-* Mode: frequency table + ``min_by`` (see ``profile.mode_frame``).
+* Mode: frequent-items sketch, exact counts of its candidates and a bound on all other values; where
+  that proves nothing, frequency table + ``min_by`` (see ``profile.mode_frame``).
 """
 
 from __future__ import annotations
@@ -83,6 +84,8 @@ def exact_medians(
         approx = df.agg(*probes).first()
         checks = []
         for i, t in enumerate(todo):
+            if approx[f"p{i}"] is None or None in approx[f"p{i}"]:
+                raise RuntimeError(f"the values of {t['col']} changed between two passes: persist or write the input first")
             a, b = approx[f"p{i}"]
             v = _value(t["col"])
             checks += [
@@ -133,12 +136,64 @@ def column_minimums(df: DataFrame, columns: Sequence[str]) -> dict[str, Any]:
     return out
 
 
-def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
-    """Most frequent non-null text per column, ties to the smallest."""
+#: Values that a frequent-items sketch tracks per column and task, and the share of a column's rows
+#: by which it may miss a value's count (3.5 over the tracked values, as the sketch states).
+TRACKED = 10_000
+SKETCH_ERROR = 3.5 / TRACKED
+CANDIDATES = 1_000
+
+
+def proven_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
+    """The modes of the text columns where two passes without a shuffle of cells can prove them.
+
+    The first pass keeps a frequent-items sketch of bounded size per column. A value that isn't
+    among its answers occurs at most ``bound`` times: twice the sketch's error, or the
+    estimate of the last answer where the answers were cut. The second pass counts the candidates
+    exactly. If the best of them beats the bound, no other value can win or tie; ties
+    among the candidates go to the smallest. Columns without such a proof (nearly unique
+    ones) are left out.
+    """
     columns = list(columns)
     if not columns:
         return {}
-    freq = frequency_table(df, "null", columns, order_by=None)
-    ordinals = {i: f.name for i, f in _fields(df, None)}
-    got = {ordinals[r["ordinal"]]: r["mode"] for r in mode_frame(freq).collect()}
-    return {c: got.get(c) for c in columns}
+    named = [f"approx_top_k(`{c.replace('`', '``')}`, {CANDIDATES}, {TRACKED})" for c in columns]
+    tops = [F.expr(f"filter({x}, x -> x.item IS NOT NULL)").alias(f"t{i}") for i, x in enumerate(named)]
+    row = df.agg(*tops, *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)], F.count(F.lit(1)).alias("rows")).first()
+    out: dict[str, str | None] = {}
+    cells, bounds = [], {}
+    for i, c in enumerate(columns):
+        n, found = int(row[f"n{i}"]), row[f"t{i}"] or []
+        if n == 0:
+            out[c] = None
+            continue
+        error = SKETCH_ERROR * row["rows"]  # nulls are items of the sketch too
+        bounds[i] = max(2 * error, found[-1]["count"] if len(found) >= CANDIDATES - 1 else 0)
+        least = found[0]["count"] - error if found else 0
+        items = [x["item"] for x in found if x["count"] >= least]
+        if items:
+            cells.append(F.struct(F.lit(i).alias("i"), F.when(F.col(f"`{c}`").isin(items), F.col(f"`{c}`")).alias("v")))
+    if cells:
+        counted = df.select(F.inline(F.array(*cells))).where(F.col("v").isNotNull()).groupBy("i", "v").count().collect()  # candidates only
+        for i in bounds:
+            mine = [(-r["count"], r["v"]) for r in counted if r["i"] == i]
+            if mine and -min(mine)[0] > bounds[i]:
+                out[columns[i]] = min(mine)[1]
+    return out
+
+
+def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
+    """Most frequent non-null text per column, ties to the smallest.
+
+    Text columns go through ``proven_modes``; what is left unproven is counted in a frequency table
+    (the only cells that shuffle).
+    """
+    columns = list(columns)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    out = proven_modes(df, [c for c in columns if isinstance(types[c], T.StringType)]) if columns else {}
+    rest = [c for c in columns if c not in out]
+    if rest:
+        freq = frequency_table(df, "null", rest, with_first=False)
+        ordinals = {i: f.name for i, f in _fields(df, None)}
+        got = {ordinals[r["ordinal"]]: r["mode"] for r in mode_frame(freq).collect()}
+        out.update({c: got.get(c) for c in rest})
+    return {c: out[c] for c in columns}

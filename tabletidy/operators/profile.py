@@ -92,13 +92,16 @@ def _fields(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[int, T.S
     return list(enumerate(fields))
 
 
-def stats_frame(df: DataFrame, placeholders: Placeholders = PLACEHOLDERS, approx_rsd: float | None = None) -> DataFrame:
+def stats_frame(
+    df: DataFrame, placeholders: Placeholders = PLACEHOLDERS, approx_rsd: float | None = None, registers: int | None = None
+) -> DataFrame:
     """Per-column counts from one aggregate pass.
 
     Columns: column, ordinal, kind, rows, missing_count, null_count, numeric_ok,
     dtype, is_numeric, type_issues, total_issues, missing_pct. One pass for a table of
     any width. With ``approx_rsd`` each column also gets ``unique_count`` from a
-    HyperLogLog sketch (``approx_count_distinct``) of its non-missing values.
+    HyperLogLog sketch (``approx_count_distinct``) of its non-missing values; with
+    ``registers`` (log2 of their number) the mergeable ``sketch`` itself.
     """
     fields = _fields(df, None)
     ph = placeholder_sets(placeholders)
@@ -116,6 +119,10 @@ def stats_frame(df: DataFrame, placeholders: Placeholders = PLACEHOLDERS, approx
         if approx_rsd is not None:
             flags.append(F.when(~is_missing(c, f.dataType, ph(f.name)), c).alias(f"v{i}"))  # typed: no text cast
             aggs.append(F.approx_count_distinct(F.col(f"v{i}"), approx_rsd).alias(f"u{i}"))
+        if registers is not None:
+            slot, v = _slots(c, f.dataType)
+            flags.append(F.when(~is_missing(c, f.dataType, ph(f.name)), F.xxhash64(v) if slot == "d" else v).alias(f"h{i}"))
+            aggs.append(F.hll_sketch_agg(F.col(f"h{i}"), registers).alias(f"h{i}"))
     one = df.select(*flags).agg(*aggs)
     rows = F.col("rows")
     entries = []
@@ -140,6 +147,7 @@ def stats_frame(df: DataFrame, placeholders: Placeholders = PLACEHOLDERS, approx
                 ok.cast("long").alias("numeric_ok"),
                 label.alias("dtype"),
                 *([F.col(f"u{i}").cast("long").alias("unique_count")] if approx_rsd is not None else []),
+                *([F.col(f"h{i}").alias("sketch")] if registers is not None else []),
             )
         )
     if not entries:

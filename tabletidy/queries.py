@@ -25,7 +25,7 @@ from tabletidy.functions.predicates import (
 )
 from tabletidy.operators import history as H
 from tabletidy.operators import report as R
-from tabletidy.operators.impute import exact_medians
+from tabletidy.operators.impute import column_modes, exact_medians
 from tabletidy.operators.profile import (
     first_values_scan,
     frequency_table,
@@ -38,6 +38,7 @@ from tabletidy.operators.profile import (
     stats_frame,
     value_stats,
 )
+from tabletidy.operators.profile_state import UNIQUE_ERROR, merge_states, profile_from_state, profile_state
 from tabletidy.plans.cleaning import (
     after_profile,
     clean,
@@ -50,6 +51,7 @@ from tabletidy.plans.cleaning import (
 from tabletidy.plans.pipeline import clean_path, ingest
 from tabletidy.session import checkpoint_dir
 from tabletidy.sources.files import landing_copy, read_csv, read_summaries, write_csv, write_summary_json
+from tabletidy.sources.staging import staged
 from tabletidy.sources.tables import profile_records, read_runs, run_record
 from tabletidy.streaming.landing import watch_landing
 
@@ -404,6 +406,26 @@ def q_a14_mode(spark, sf):
     return allcols.join(present, "column", "left").unionByName(_modes(li, ["l_returnflag", "l_linestatus"]))
 
 
+def q_a14_mode_proven(spark, sf):
+    """A14 by frequent-items sketch, exact counts of its candidates and a bound on the rest: skewed,
+    tied and nearly unique text columns (the last are counted in a frequency table)."""
+    li = fx.table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_partkey").cast("string").alias("l_partkey"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"))
+    got = column_modes(li, li.columns)
+    return spark.createDataFrame(list(got.items()), "column string, mode string")
+
+
+def q_a8_state_merge(spark, sf):
+    """A8 of an appended table: the states of its first events and of the new ones, merged; the
+    sketched distinct count stands within four standard errors of the exact one."""
+    de = _de_df(spark, sf)
+    parts = [de.where("event_id % 10 < 7"), de.where("event_id % 10 >= 7")]
+    states = [staged(profile_state(p, i, order_by="event_id"), "profile-state") for i, p in enumerate(parts)]
+    merged = profile_from_state(merge_states(states[0].unionByName(states[1])))
+    exact = profile(de, order_by="event_id").select("column", F.col("unique_count").alias("exact"))
+    near = F.abs(F.col("unique_count") - F.col("exact")) <= 4 * UNIQUE_ERROR * F.col("exact") + 1
+    return _with_samples_text(merged.join(exact, "column").withColumn("unique_count", F.when(near, F.col("exact")).otherwise(F.col("unique_count"))).drop("exact"))
+
+
 def q_a16_dropped(spark, sf):
     dd = fx.dirty_dups(spark, sf)
     d1 = drop_exact_duplicates(replace_all_placeholders(dd))
@@ -726,6 +748,20 @@ def q_s1_csv_bool_blank(spark, sf):
     return transform(src, fit(src))
 
 
+def q_s10_file_filter(spark, sf):
+    """Of a landing folder's files only the ``.csv`` ones are read, in any letter case."""
+    e = fx.table(spark, sf, "events").select("event_id", "event_type")
+    folder = f"{_scratch(spark)}/landing"
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
+    for k, name in enumerate(("a.csv", "b.CSV", "c.txt", "d.csv.bak", "csv")):
+        write_csv(e.where(F.col("event_id") % 5 == k).coalesce(1), f"{folder}-{k}")
+        part = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}-{k}/part-*"))[0].getPath()
+        fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
+    return read_csv(spark, folder)
+
+
 def q_s8_raw_copy(spark, sf):
     """The archived upload, read again, is the upload."""
     src = _events_csv(spark, sf)
@@ -812,6 +848,9 @@ QUERIES: dict[str, Query] = {
     "a12_median": q_a12_median,
     "a13_min_ts": q_a13_min_ts,
     "a14_mode": q_a14_mode,
+    "a14_mode_proven": q_a14_mode_proven,
+    "a8_state_merge": q_a8_state_merge,
+    "s10_file_filter": q_s10_file_filter,
     "a16_dropped": q_a16_dropped,
     "a17_preview": q_a17_preview,
     "a18_column_info": q_a18_column_info,
@@ -923,6 +962,14 @@ def _oracle() -> dict[str, str]:
         for c, src in mode_src
     ]
     o["a14_mode"] = _de(" UNION ALL ".join(mode_parts))
+    proven = [("l_returnflag", "l_returnflag"), ("l_linestatus", "l_linestatus"), ("l_partkey", "CAST(l_partkey AS VARCHAR)"), ("line", "l_orderkey || '-' || l_linenumber")]
+    o["a14_mode_proven"] = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", (SELECT v FROM (SELECT {x} AS v, row_number() OVER (ORDER BY count(*) DESC, {x}) AS rn FROM lineitem "
+        f"WHERE {x} IS NOT NULL GROUP BY {x}) z WHERE rn = 1) AS mode"
+        for c, x in proven
+    )
+    o["a8_state_merge"] = o["a8_full_profile"]
+    o["s10_file_filter"] = "SELECT event_id, event_type FROM events WHERE event_id % 5 < 2"
     dd_p2 = f"SELECT {_p2_select(DD_COLS)} FROM dd"
     o["a16_dropped"] = _dd(
         f"SELECT (SELECT count(*) FROM dd) AS original_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM ({dd_p2}) p) q) AS cleaned_rows, "
@@ -985,26 +1032,18 @@ FROM ({de_stats}) s LEFT JOIN (SELECT ordinal, count(*) AS n FROM ({_freq_sql('d
   coalesce(pct_before, 0.0) AS pct_before, coalesce(pct_after, 0.0) AS pct_after,
   round_even(coalesce(pct_before, 0.0) - coalesce(pct_after, 0.0), 2) AS improvement FROM {pairs}"""
     )
-    o["j4_after_lookup"] = _profs(
-        """SELECT b.run_id, b."column", b.missing_count AS missing_before, b.missing_pct AS pct_before,
-  CAST(coalesce(a.missing_count, 0) AS BIGINT) AS missing_after, coalesce(a.missing_pct, 0.0) AS pct_after
-FROM (SELECT * FROM profiles WHERE stage = 'before') b
-LEFT JOIN (SELECT * FROM profiles WHERE stage = 'after') a ON b.run_id = a.run_id AND b."column" = a."column\""""
-    )
-    o["j5_report_union"] = _profs(
-        """SELECT coalesce(b.run_id, a.run_id) AS run_id, coalesce(b."column", a."column") AS "column",
-  b.missing_pct AS pct_before, a.missing_pct AS pct_after, a.dtype AS dtype_after
-FROM (SELECT * FROM profiles WHERE stage = 'before') b
-FULL OUTER JOIN (SELECT * FROM profiles WHERE stage = 'after') a ON b.run_id = a.run_id AND b."column" = a."column\""""
-    )
-    o["l5_report_order"] = (
-        f"WITH profiles AS ({fx.PROFILES_SYNTH_SQL}) "
-        """SELECT j.*, CAST(row_number() OVER (PARTITION BY run_id ORDER BY "column") AS INTEGER) AS rank FROM (
-  SELECT coalesce(b.run_id, a.run_id) AS run_id, coalesce(b."column", a."column") AS "column",
+    stages = f"""WITH profiles AS MATERIALIZED ({fx.PROFILES_SYNTH_SQL}),
+b AS MATERIALIZED (SELECT * FROM profiles WHERE stage = 'before'), a AS MATERIALIZED (SELECT * FROM profiles WHERE stage = 'after')"""
+    ranked = """SELECT j.*, CAST(row_number() OVER (PARTITION BY run_id ORDER BY "column") AS INTEGER) AS rank"""
+    o["j4_after_lookup"] = f"""{stages} SELECT run_id, "column", missing_before, pct_before, missing_after, pct_after FROM ({ranked} FROM (
+  SELECT b.run_id, b."column", b.missing_count AS missing_before, b.missing_pct AS pct_before,
+    CAST(coalesce(a.missing_count, 0) AS BIGINT) AS missing_after, coalesce(a.missing_pct, 0.0) AS pct_after
+  FROM b LEFT JOIN a ON b.run_id = a.run_id AND b."column" = a."column") j) WHERE rank >= 1"""
+    both = """(SELECT coalesce(b.run_id, a.run_id) AS run_id, coalesce(b."column", a."column") AS "column",
     b.missing_pct AS pct_before, a.missing_pct AS pct_after, a.dtype AS dtype_after
-  FROM (SELECT * FROM profiles WHERE stage = 'before') b
-  FULL OUTER JOIN (SELECT * FROM profiles WHERE stage = 'after') a ON b.run_id = a.run_id AND b."column" = a."column") j"""
-    )
+  FROM b FULL OUTER JOIN a ON b.run_id = a.run_id AND b."column" = a."column") j"""
+    o["l5_report_order"] = f"{stages} {ranked} FROM {both}"
+    o["j5_report_union"] = f'{stages} SELECT run_id, "column", pct_before, pct_after, dtype_after FROM ({ranked} FROM {both}) WHERE rank >= 1'
     o["l7_runs_from_files"] = """SELECT count(*) AS original_rows, count(*) - event_id % 3 AS cleaned_rows FROM events
 WHERE event_id % 3 < 2 GROUP BY event_id % 3"""
     o["h3_run_detail"] = _runs(
@@ -1083,15 +1122,9 @@ SELECT run_id, '{R.ISSUE_MISSING}', CAST(missing_before AS BIGINT), mb_pct,
   CASE WHEN mb_pct > 20 THEN 'HIGH' WHEN mb_pct > 5 THEN 'MEDIUM' ELSE 'LOW' END, '{R.STATUS_FILLED}'
 FROM m WHERE missing_before > 0"""
     )
-    o["r9_report_table"] = (
-        f"WITH profiles AS ({fx.PROFILES_SYNTH_SQL}), runs AS ({fx.RUNS_FLAT_SQL}) "
-        """SELECT j.*, r.original_rows, r.cleaned_rows, r.dropped_duplicates FROM (
-  SELECT coalesce(b.run_id, a.run_id) AS run_id, coalesce(b."column", a."column") AS "column",
-    b.missing_pct AS pct_before, a.missing_pct AS pct_after, a.dtype AS dtype_after
-  FROM (SELECT * FROM profiles WHERE stage = 'before') b
-  FULL OUTER JOIN (SELECT * FROM profiles WHERE stage = 'after') a ON b.run_id = a.run_id AND b."column" = a."column") j
-LEFT JOIN runs r ON j.run_id = r.run_id"""
-    )
+    o["r9_report_table"] = f"""{stages}, runs AS MATERIALIZED ({fx.RUNS_FLAT_SQL})
+SELECT q.run_id, q."column", pct_before, pct_after, dtype_after, r.original_rows, r.cleaned_rows, r.dropped_duplicates
+FROM ({ranked} FROM {both}) q LEFT JOIN runs r ON q.run_id = r.run_id WHERE rank >= 1"""
     o["r10_profile_report"] = _de(
         f"""SELECT "column", missing_pct, missing_count, dtype, unique_count,
   CASE WHEN length(samples) > 200 THEN substring(samples, 1, 197) || '...' ELSE samples END AS examples
