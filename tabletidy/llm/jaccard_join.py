@@ -19,9 +19,13 @@ is the class (connected component) of every document.
 
 Before a pair is tested, parity bitmaps of both sets bound their difference from below (each
 shingle flips one bit, so bits that differ are at most shingles that differ); a pair over the
-allowed difference goes. What is left is tested on whole texts: the text of one side travels
+allowed difference goes (in the exact round already where it would form). What is left is tested on whole texts: the text of one side travels
 to the group of the other, both become sets again and are intersected. A list that may be hot (its count in the sketch) is
 dealt over salts; a hub's pairs are salted too. Classes are merged by contraction in Spark.
+
+Links are counted per document within classes, in pairs of blocks of sets. A set's answers follow
+from those of one set of its block wherever their difference leaves no doubt; only the others
+are intersected.
 """
 
 from __future__ import annotations
@@ -46,6 +50,8 @@ REACH = 8  # predecessors that an entry tries in a round
 HUB = 500  # pairs that one group tests against a set
 BLOCK = 256
 FILTER_BITS = 1 << 27
+SIGNATURE = 256  # bits of a folded bitmap
+CLASS_SETS, CLASS_TOKENS = 512, 1_000_000  # sets, and shingles, of a class that one block holds
 
 
 def needed(n1, n2):
@@ -172,7 +178,12 @@ def _salt(*by: Column) -> Column:
 
 
 def _numbers(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    return {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+    out = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names if n != "sign"}
+    if "sign" in batch.schema.names:  # bitmaps as rows of 64-bit words, and how many each has
+        signs = batch.column("sign").to_pylist()
+        out["sign"] = np.frombuffer(b"".join(x.ljust(SIGNATURE // 8, b"\0") for x in signs), np.uint64).reshape(-1, SIGNATURE // 64)
+        out["words"] = np.array([len(x) // 8 for x in signs])
+    return out
 
 
 def lists_of_several(posts: DataFrame) -> DataFrame:
@@ -285,12 +296,56 @@ def _list_pairs(x: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarr
             if s == t:
                 ok = np.triu(ok, 1)
             a, b = np.nonzero(ok)
-            if len(a):
-                yield x["sid"][i + a], x["sid"][j + b]
+            a, b = i + a, j + b
+            good = may_match(x, a, b)
+            if good.any():
+                yield x["sid"][a[good]], x["sid"][b[good]]
+
+
+def folded(bits: bytes) -> bytes:
+    """A parity bitmap folded to ``SIGNATURE`` bits (smaller ones repeat nothing: zeros follow)."""
+    a = np.frombuffer(bits, np.uint8)
+    while len(a) > SIGNATURE // 8:
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return a.tobytes()
+
+
+def signed(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The entries of lists of several classes, each with its set's folded bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([folded(x) for x in batch.column(1).to_pylist()], pa.binary())], ["sid", "sign"])
+
+    open_ = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    left = staged(entries.join(open_, "token"), "open-lists")
+    signs = nodes.join(left.select("sid").distinct(), "sid", "left_semi").select("sid", "bits").mapInArrow(run, "sid long, sign binary")
+    return staged(left.join(signs, "sid"), "signed-lists")
+
+
+def may_match(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of pairs of entries those whose folded bitmaps allow a link: bits that differ, once both
+    have the size of the smaller, are at most shingles that differ."""
+    most = x["n"][a] + x["n"][b] - 2 * needed(x["n"][a], x["n"][b])
+    out = np.ones(len(a), bool)
+    size = np.minimum(x["words"][a], x["words"][b])
+    for words in np.unique(size):
+        at = np.flatnonzero(size == words)
+        both = []
+        for i in (a[at], b[at]):
+            sign, full = x["sign"][i].copy(), x["words"][i]
+            for w in (4, 2):
+                if w > words:
+                    fold = full >= w
+                    sign[fold, : w // 2] ^= sign[fold, w // 2 : w]
+            both.append(sign[:, :words])
+        out[at] = np.bitwise_count(both[0] ^ both[1]).sum(axis=1) <= most[at]
+    return out
 
 
 def all_pairs(entries: DataFrame) -> DataFrame:
-    """Every pair of different classes that meets in a list and passes the bounds.
+    """Every pair of different classes that meets in a list and passes the bounds, those of the
+    folded bitmaps too.
 
     Of a hot list the largest class is dealt over the salts and all other entries go to each
     salt, so a group holds some ``HOT`` entries of the class and what is outside it.
@@ -394,22 +449,23 @@ def filter_bits(n: int) -> int:
 
 
 def texts_of(picked: DataFrame, sids: DataFrame) -> DataFrame:
-    """(sid, text) of one document per set of ``sids`` (sid, doc_id).
+    """(sid, text) of one document per set of ``sids`` (sid, doc_id, mark).
 
-    A Bloom filter of bounded size says which documents are asked for, so only their texts
-    move. What it lets through beside them meets no pair later.
+    A Bloom filter of bounded size over document and text hash says which documents are asked
+    for: only their texts become sets and move. What it lets through beside them meets no pair later.
     """
-    wanted = staged(sids.select("sid", "doc_id"), "wanted")
+    wanted = staged(sids.select("sid", "doc_id", "mark"), "wanted")
     n = wanted.count()
     if not n:
         return picked.sparkSession.createDataFrame([], "sid long, text string")
     bits = filter_bits(n)
-    shared = picked.sparkSession.sparkContext.broadcast(key_filter(wanted, bits).tobytes())
+    shared = picked.sparkSession.sparkContext.broadcast(key_filter(wanted.select("mark", "doc_id"), bits).tobytes())
 
     def asked(part: pa.RecordBatch) -> pa.RecordBatch:
+        keep = in_filter(np.frombuffer(shared.value, np.uint8), mixed_key(whole_numbers(part.column(2)), whole_numbers(part.column(0))), bits)
+        part = part.filter(pa.array(keep))
         ids = np.array([set_id(s) for s in shingle_sets(part.column(1), WIDTH)], np.int64)
-        keep = in_filter(np.frombuffer(shared.value, np.uint8), mixed_key(ids, whole_numbers(part.column(0))), bits)
-        return pa.record_batch([pa.array(ids), part.column(1)], ["sid", "text"]).filter(pa.array(keep))
+        return pa.record_batch([pa.array(ids), part.column(1)], ["sid", "text"])
 
     return staged(map_rows(picked, "text", "sid long, text string", asked).dropDuplicates(["sid"]), "texts")
 
@@ -488,16 +544,108 @@ def merge_classes(edges: DataFrame) -> DataFrame:
     return staged(labels, "labels") if len(steps) > 1 else labels
 
 
-def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def overlaps(sets: list[np.ndarray], k: int) -> np.ndarray:
+    """Intersection sizes of the first ``k`` sets with all of ``sets``; shingles of one set only go."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    count = np.bincount(token)
+    keep = count[token] > 1
+    owner, token = owner[keep], (np.cumsum(count > 1) - 1)[token[keep]]
+    by = np.argsort(token, kind="stable")
+    owner, token = owner[by], token[by]
+    out = np.zeros((k, len(sets)))
+    for first in range(0, int(token[-1]) + 1 if len(token) else 0, 2048):
+        a, b = np.searchsorted(token, [first, first + 2048])
+        has = np.zeros((len(sets), 2048), np.float32)
+        has[owner[a:b], token[a:b] - first] = 1
+        out += has[:k] @ has.T
+    return out.astype(np.int64)
+
+
+def partners(sets: list[np.ndarray], copies: np.ndarray, k: int, same: bool) -> np.ndarray:
+    """Per set the documents it links to: the first ``k`` sets meet the others (``same``: each other).
+
+    All sets are compared with one of them first. With d shingles that differ from it, two
+    sets s and t differ in between ``|d_s - d_t|`` and ``d_s + d_t`` shingles, and they link if
+    9 times what differs is at most ``n_s + n_t``: most answers follow from these bounds; only sets with
+    an answer left open are intersected.
+    """
+    n = np.array([len(x) for x in sets])
+    rest = slice(0, k) if same else slice(k, len(sets))
+    apart = n + n[0] - 2 * np.array([np.isin(x, sets[0], assume_unique=True).sum() for x in sets])
+    total = n[:k, None] + n[None, rest]
+    linked = 9 * (apart[:k, None] + apart[None, rest]) <= total
+    unsure = ~linked & (9 * np.abs(apart[:k, None] - apart[None, rest]) <= total)
+    rows, columns = np.flatnonzero(unsure.any(axis=1)), np.flatnonzero(unsure.any(axis=0))
+    if len(rows):
+        others = columns + rest.start
+        both = overlaps([sets[i] for i in rows] + [sets[i] for i in others], len(rows))[:, len(rows) :]
+        at = np.ix_(rows, columns)
+        linked[at] = 9 * both >= 4 * total[at]
+    if same:
+        np.fill_diagonal(linked, False)
+    out = np.zeros(len(sets), np.int64)
+    out[:k] = linked @ copies[rest]
+    if not same:
+        out[rest] = copies[:k] @ linked
+    return out
+
+
+def link_counts(picked: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sid, links): the documents of other sets that a set of a class links to.
+
+    A link's two sets share a class. A class is dealt into blocks of sets (by a hash; of
+    ``CLASS_SETS`` sets or ``CLASS_TOKENS`` shingles or so), and two blocks meet in one group, which
+    returns a count per set, never its pairs.
+    """
+    members = staged(classes.withColumnRenamed("v", "sid").join(nodes.select("sid", "doc_id", "mark", "n", "copies"), "sid"), "members")
+    texts = texts_of(picked, members)
+    sizes = members.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CLASS_SETS), F.ceil(F.sum("n") / CLASS_TOKENS)).cast("long").alias("blocks"))
+    dealt = members.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = met.select("label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("second"), "sid", "copies")
+    held = rows.join(texts, "sid").select("label", "low", "high", "second", "sid", "copies", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sids, copies, sets, firsts = None, [], [], [], 0
+
+        def counted() -> pa.RecordBatch:
+            k = len(sets) if now[1] == now[2] else firsts
+            links = partners(sets, np.array(copies, np.int64), k, now[1] == now[2]) if k and (k < len(sets) or now[1] == now[2]) else np.zeros(len(sets), np.int64)
+            some = np.flatnonzero(links)
+            return pa.record_batch([pa.array(np.array(sids, np.int64)[some]), pa.array(links[some])], ["sid", "links"])
+
+        for part in slices(batches, 6):
+            found = shingle_sets(part.column(6), WIDTH)
+            keys = zip(*(part.column(c).to_pylist() for c in range(3)))
+            for key, second, sid, copy, tokens in zip(keys, part.column(3).to_pylist(), part.column(4).to_pylist(), part.column(5).to_pylist(), found, strict=True):
+                if key != now:
+                    if now is not None:
+                        yield counted()
+                    now, sids, copies, sets, firsts = key, [], [], [], 0
+                firsts += not second
+                sids.append(sid)
+                copies.append(copy)
+                sets.append(tokens)
+        if now is not None:
+            yield counted()
+
+    dealt_out = held.repartition("label", "low", "high").sortWithinPartitions("label", "low", "high", "second")
+    return dealt_out.mapInArrow(run, "sid long, links long").groupBy("sid").agg(F.sum("links").alias("links"))
+
+
+def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
     """One row per input row: doc_id, mark (64-bit hash of the text), n, label, component_id.
 
-    ``label`` names the class; it is null for rows without shingles.
+    ``label`` names the class; it is null for rows without shingles. With ``count_links`` also
+    n_links, the number of other rows that the row links to.
     """
     picked = _picked(docs, id_col, text_col)
     first = staged(sets_and_counts(picked), "sets")
     sets = first.where("segment is null").select("doc_id", "mark", "n", "sid")
-    own = first.where("segment is null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits"))
-    nodes = staged(own, "nodes")
+    own = first.where("segment is null and n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "mark")).alias("own"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.count(F.lit(1)).alias("copies"))
+    nodes = staged(own.select("sid", "own.doc_id", "own.mark", "n", "bits", "copies"), "nodes")
     lists = staged(lists_of_several(postings(picked, ranks(first.where("segment is not null")))), "lists")
     rows = lists.count()
     classes = texts = None
@@ -512,9 +660,9 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             per = entries.groupBy("token", "label").agg(F.count(F.lit(1)).cast("double").alias("k"))
             open_ = per.groupBy("token").agg(((F.sum("k") ** 2 - F.sum(F.col("k") ** 2)) / 2).alias("pairs"))
             last = stalled or turn >= ROUNDS or (open_.agg(F.sum("pairs")).first()[0] or 0) <= 4 * rows
-        pairs = staged(screened(all_pairs(entries) if last else near_pairs(entries, turn), nodes), "pairs")
+        pairs = staged(screened(all_pairs(signed(entries, nodes)) if last else near_pairs(entries, turn), nodes), "pairs")
         sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-        more = texts_of(picked, (sids if texts is None else sids.join(texts, "sid", "left_anti")).join(nodes, "sid").select("sid", "doc_id"))
+        more = texts_of(picked, (sids if texts is None else sids.join(texts, "sid", "left_anti")).join(nodes, "sid").select("sid", "doc_id", "mark"))
         texts = more if texts is None else texts.unionByName(more)
         found = links(pairs, texts)
         if classes is None:
@@ -533,19 +681,26 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         turn += 1
     linked = sets.where("n > 0").join(classes.withColumnRenamed("v", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     least = staged(linked.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
-    some = linked.join(least, "label").select("doc_id", "mark", "n", "label", "component_id")
+    some = linked.join(least, "label")
     none = sets.where("n = 0").select("doc_id", "mark", "n", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
-    return some.unionByName(none)
+    columns = ["doc_id", "mark", "n", "label", "component_id"]
+    if not count_links:
+        return some.select(columns).unionByName(none)
+    linked_to = link_counts(picked, nodes, classes)
+    counts = staged(nodes.join(linked_to, "sid", "left").select("sid", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "links")
+    return some.join(counts, "sid").select(*columns, "n_links").unionByName(none.withColumn("n_links", F.lit(0).cast("long")))
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the smallest id of its class).
+    """One row per input row: id, n_shingles, component_id (the smallest id of its class), n_links.
+
+    ``n_links`` counts the other rows that the row itself links to, those of equal texts too.
 
     Null and empty texts and texts without words have no shingles and are linked with nothing
     (their own id is their class). Equal sets link, so rows that repeat a text do. A null id
     takes part like any other; its class id is null only if no member has an id.
     """
-    return classes_of(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return classes_of(docs, id_col, text_col, count_links=True).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

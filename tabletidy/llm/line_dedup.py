@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabletidy.llm.common import SPACES, staged
+from tabletidy.llm.common import SPACES, free_name, staged
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -39,7 +39,9 @@ def _met(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs:
     gone = held.join(frequent, ["_h1", "_h2"]).where(~ident.eqNullSafe(F.col("_stays")))
     drops = gone.groupBy("_id", "_text").agg(F.collect_set("_pos").alias("_gone")).withColumnsRenamed({"_id": "_drop_id", "_text": "_drop_text"})
     joined = docs.join(drops, docs[id_col].eqNullSafe(drops["_drop_id"]) & (F.xxhash64(docs[text_col]) == drops["_drop_text"]), "left")
-    lines, dropped = _lines(docs[text_col]), drops["_gone"]
+    # the lines are a column of their own, read several times below: each text is split once
+    own = free_name(joined, "_own_lines")
+    joined, lines, dropped = joined.withColumn(own, _lines(docs[text_col])), F.col(own), drops["_gone"]
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
     kept = F.when(dropped.isNull(), F.coalesce(docs[text_col], F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     return joined, F.size(lines).cast("long"), F.coalesce(F.size(dropped), F.lit(0)).cast("long"), kept
@@ -52,7 +54,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their lines except in the largest id that holds them; ``_kept`` is the text of the lines
     that stay. A null or empty text is one empty line. Rows that repeat an id are the same
     document for the counts, and each loses its own lines. Null ids together count as one
-    document with the smallest id. Every input row comes back with its own columns.
+    document with the smallest id. Every input row comes back with its own columns. A text of any
+    length is split twice, whatever the number of lines it loses.
 
     Keys are held as two 64-bit hashes. Only hashes with positions, never lines, are
     counted and joined; a hot key meets its documents in a sort-merge join that can be split,

@@ -120,8 +120,9 @@ ORACLE_SQL: dict[str, str] = {
         e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
         r(d, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.y, r.c FROM r JOIN e ON r.d = e.x),
         m AS (SELECT d, min(c) AS c FROM r GROUP BY d)
-        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, w.doc_id) AS component_id
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, w.doc_id) AS component_id, coalesce(k.n, 0) AS n_links
         FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.d = w.doc_id
+        LEFT JOIN (SELECT x, count(*) AS n FROM e GROUP BY x) k ON k.x = w.doc_id
     """,
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)

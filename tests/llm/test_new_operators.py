@@ -303,3 +303,92 @@ def test_double_array():
                 assert nodes.setdefault(p[: 20 * (d + 1)], int(state[0])) == state[0] > 0
         assert len(set(nodes.values())) == len(nodes) == (trie.check >= 0).sum()
         assert trie.step(np.zeros(1, np.int64), np.array([trie.n_codes + 9]))[0] == -1
+
+
+# --- line dedup and the Jaccard join -------------------------------------------------------
+
+
+def test_line_dedup_is_linear_in_a_text(spark):
+    """A text of many lines that loses one (or half of them) takes time in proportion."""
+    from tabletidy.llm.line_dedup import line_dedup
+
+    common = [f"a line that many documents hold, number {i:06d}, of length" for i in range(16_000)]
+
+    def took(n, lost):
+        lines = [common[i] if i < lost else f"{i}" for i in range(n)]
+        docs = [(0, "\n".join(lines))] + [(k, "\n".join(common[:lost])) for k in range(1, 6)]
+        df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+        began = time.perf_counter()
+        got = {r["doc_id"]: r for r in line_dedup(df).collect()}
+        assert got[0]["_n_dropped"] == lost and got[0]["_kept"] == "\n".join(lines[lost:])
+        assert got[5]["_n_dropped"] == 0
+        return time.perf_counter() - began
+
+    took(2_000, 1)
+    small = min(took(2_000, 1) for _ in range(2))
+    assert took(32_000, 1) < 3 * small + 1
+    assert took(32_000, 16_000) < 4 * small + 3
+
+
+def test_partners_against_intersections():
+    """Counts from bounds and intersections, against the definition."""
+    from tabletidy.llm import jaccard_join as J
+
+    for seed in range(150):
+        r = np.random.default_rng(seed)
+        base = r.choice(10**6, r.integers(5, 60), replace=False)
+        sets = []
+        for _ in range(r.integers(1, 30)):
+            s = set(r.choice(base, r.integers(max(1, len(base) * 3 // 4), len(base) + 1), replace=False).tolist()) | set(r.integers(0, 10**6, r.integers(0, 5)).tolist())
+            sets.append(np.array(sorted(s), np.uint64))
+        copies, k, same = r.integers(1, 4, len(sets)), int(r.integers(1, len(sets) + 1)), bool(seed % 2)
+        if same:
+            k = len(sets)
+        if not same and k == len(sets):
+            continue
+        want = np.zeros(len(sets), int)
+        for i in range(len(sets)):
+            for j in range(len(sets)):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if i != j and (same or (i < k) != (j < k)) and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    want[i] += copies[j]
+        assert (J.partners(sets, copies, k, same) == want).all()
+
+
+def test_folded_bitmaps_lose_no_link():
+    from tabletidy.llm import jaccard_join as J
+
+    r = np.random.default_rng(0)
+    base = r.integers(0, 2**62, 5000).astype(np.uint64)
+    sets = [base[: r.integers(1, size)] for size in r.choice([3, 40, 100, 200, 400, 5000], 200)]
+    sets += [np.unique(np.r_[s[: max(1, len(s) * 9 // 10)], r.integers(0, 2**62, len(s) // 20).astype(np.uint64)]) for s in sets]
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([len(s) for s in sets]), pa.array([J.folded(J.parity(s)) for s in sets], pa.binary())], ["n", "sign"])
+    x = J._numbers(batch)
+    a, b = (v.ravel() for v in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    both = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a[::37], b[::37])])
+    n = x["n"]
+    linked = 100 * both >= 80 * (n[a[::37]] + n[b[::37]] - both)
+    ok = J.may_match(x, a[::37], b[::37])
+    assert ok[linked].all() and linked.sum() > 50 and (~ok).sum() > 500
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_link_counts(spark, monkeypatch, block):
+    """n_links against all pairs, with classes in one and in many blocks."""
+    from test_operators import frame, near_copies
+
+    from tabletidy.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "CLASS_SETS", block)
+    draw = random.Random(3)
+    texts = [*near_copies(draw, 60), *near_copies(draw, 40, 200, 9), None, "", "one", "one", "two words"]
+    texts += texts[:25]
+    sets = []
+    for t in texts:
+        words = (t or "").split()
+        sets.append({tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set())
+    want = [sum(i != j and bool(a & b) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = {r["doc_id"]: r["n_links"] for r in J.jaccard_classes(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
