@@ -104,7 +104,7 @@ def sets_and_counts(picked: DataFrame) -> DataFrame:
         for part in slices(batches, at):
             sets = shingle_sets(part.column(at), WIDTH)
             if any(map(len, sets)):
-                np.add.at(sketch, (mix(np.concatenate(sets)) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+                sketch += np.bincount((mix(np.concatenate(sets)) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
             none = pa.nulls(len(sets))
             own = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary())]
             yield pa.record_batch([part.column(0), part.column(2), *own, none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
@@ -159,7 +159,7 @@ def postings(picked: DataFrame, order: np.ndarray) -> DataFrame:
             tokens = np.concatenate([s for _, s in new])
             owner = np.repeat(np.arange(len(new)), sizes)
             rank = order[(mix(tokens) & np.uint64(COUNTERS - 1)).astype(np.int64)]
-            by = np.lexsort((tokens, rank, owner))
+            by = np.argsort(owner << 8 | rank, kind="stable")  # by rank, then by token: sets are sorted
             pos = np.arange(len(by)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             first = pos < prefix_length(sizes)[owner]
             by, pos = by[first], pos[first]
