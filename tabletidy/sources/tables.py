@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabletidy.sources import commits
 from tabletidy.sources.files import SUMMARY_SCHEMA, summary_row
 
 log = logging.getLogger("tabletidy")
@@ -105,31 +106,34 @@ FAILURES_SCHEMA = T.StructType(
 
 
 def append_run(runs: DataFrame, profiles: DataFrame, root: str) -> bool:
-    """Append runs and their profiles to ``<root>/runs`` and ``<root>/profiles``.
+    """Append runs and their profiles to ``<root>/runs`` and ``<root>/profiles`` as one commit.
 
-    The profiles go first: a run counts only once its row is in ``runs``, so a failure
-    between the two appends leaves no half run (``read_profiles`` shows recorded runs only).
+    Readers see both or neither (``commits``), whatever stops the writer; several may write at once.
     As in the reference a failure to record history is logged and does not fail
-    the run; returns whether both appends succeeded.
+    the run; returns whether the commit succeeded.
     """
     try:
-        _append(runs, profiles, root)
+        append_runs(runs, profiles, root)
         return True
     except Exception as exc:  # noqa: BLE001 - history is best effort, as in the reference
         log.warning("could not record run history: %s", exc)
         return False
 
 
-def _append(runs: DataFrame, profiles: DataFrame, root: str) -> None:
+def append_runs(runs: DataFrame, profiles: DataFrame, root: str) -> None:
+    """S7 for the runs of one micro-batch: one commit; a failure is raised, so the batch is tried again."""
     day = F.to_date("ingested_at")
-    at = runs.select("run_id", day.alias("ingest_date"))
-    profiles.join(F.broadcast(at), "run_id").write.mode("append").partitionBy("stage", "ingest_date").parquet(f"{root}/profiles")
-    runs.withColumn("ingest_date", day).write.mode("append").partitionBy("ingest_date").parquet(f"{root}/runs")
+    at = runs.select("run_id", day.alias("ingest_date"))  # a row per run of the batch
+    tables = {
+        "profiles": (profiles.join(F.broadcast(at), "run_id"), _PARTITIONS["profiles"]),
+        "runs": (runs.withColumn("ingest_date", day), _PARTITIONS["runs"]),
+    }
+    commits.append(runs.sparkSession, tables, root)
 
 
-def append_runs(runs: DataFrame, profiles: DataFrame, root: str) -> None:
-    """S7 for the runs of one micro-batch: one append per table; a failure is raised, so the batch is tried again."""
-    _append(runs, profiles, root)
+def compact_history(spark: SparkSession, root: str, least: int = 20) -> bool:
+    """The small files of many runs rewritten, once ``least`` commits have gathered."""
+    return commits.compact(spark, root, {"runs": (_runs_schema(), _PARTITIONS["runs"]), "profiles": (_profiles_schema(), _PARTITIONS["profiles"])}, least)
 
 
 def append_failures(spark: SparkSession, rows: list[tuple[str, str, str]], root: str) -> None:
@@ -152,19 +156,26 @@ def read_failures(spark: SparkSession, root: str) -> DataFrame:
 
 def recorded(spark: SparkSession, root: str, run_ids: list[str]) -> set[str]:
     """Which of the runs are in ``runs`` or ``failures`` already."""
-    found: set[str] = set()
-    if _exists(spark, f"{root}/runs"):
-        found |= {r[0] for r in read_runs(spark, root).where(F.col("run_id").isin(run_ids)).select("run_id").collect()}
+    found = {r[0] for r in read_runs(spark, root).where(F.col("run_id").isin(run_ids)).select("run_id").collect()}
     return found | {r[0] for r in read_failures(spark, root).where(F.col("run_id").isin(run_ids)).select("run_id").collect()}
 
 
+_PARTITIONS = {"runs": ["ingest_date"], "profiles": ["stage", "ingest_date"]}
+
+
+def _runs_schema() -> T.StructType:
+    return T.StructType(RUNS_SCHEMA.fields + [T.StructField("ingest_date", T.DateType())])
+
+
+def _profiles_schema() -> T.StructType:
+    return T.StructType(PROFILES_SCHEMA.fields + [T.StructField("ingest_date", T.DateType())])
+
+
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    schema = T.StructType(RUNS_SCHEMA.fields + [T.StructField("ingest_date", T.DateType())])
-    return spark.read.schema(schema).parquet(f"{root}/runs")
+    """The runs of all commits; none yet is an empty table."""
+    return commits.read(spark, root, "runs", _runs_schema())
 
 
 def read_profiles(spark: SparkSession, root: str) -> DataFrame:
-    """Profiles of recorded runs; what a repeated append left twice is shown once."""
-    schema = T.StructType(PROFILES_SCHEMA.fields + [T.StructField("ingest_date", T.DateType())])
-    rows = spark.read.schema(schema).parquet(f"{root}/profiles")
-    return rows.join(read_runs(spark, root).select("run_id"), "run_id", "left_semi").select(rows.columns).dropDuplicates(["run_id", "stage", "ordinal"])
+    """The profiles of the runs that ``read_runs`` shows."""
+    return commits.read(spark, root, "profiles", _profiles_schema())

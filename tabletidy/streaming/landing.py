@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import logging
+import time
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,8 +69,24 @@ def empty_uploads(spark: SparkSession, landing: str) -> list[dict]:
     return found
 
 
+#: Attempts at a file whose job failed (a lost executor, a store that is away), and the seconds before the second.
+ATTEMPTS = 3
+BACKOFF = 2.0
+
+
+def file_fault(exc: Exception) -> bool:
+    """Whether the file itself is at fault (empty, malformed, gone): another attempt would end alike."""
+    text = str(exc)
+    return isinstance(exc, ValueError) or any(t in text for t in ("CSV record with more cells", "PATH_NOT_FOUND", "FileNotFoundException"))
+
+
 def ingest_batch(spark: SparkSession, files: list, root: str, user_email: str | None = None, at_a_time: int = 4) -> None:
-    """Clean the files (path, modificationTime, length) that are not recorded, and record them."""
+    """Clean the files (path, modificationTime, length) that are not recorded, and record them.
+
+    A file that is at fault itself becomes a row of ``failures``. A job that fails otherwise is tried
+    again after a pause; if it fails to the end, the other files of the batch are recorded and
+    the fault is raised, so the stream stops and takes the batch again when it is started next.
+    """
     root = root.rstrip("/")
     named = {upload_id(f["path"], f["modificationTime"], f["length"]): f["path"] for f in files}
     done = recorded(spark, root, list(named)) if named else set()
@@ -77,18 +94,26 @@ def ingest_batch(spark: SparkSession, files: list, root: str, user_email: str |
 
     def one(job: tuple[str, str]):
         path, rid = job
-        try:
-            return ingest(spark, path, root, user_email, run_id=rid, record=False)
-        except Exception as exc:  # noqa: BLE001 - one bad file must not stop the stream; it is recorded below
-            log.warning("ingest of %s failed: %s", path, exc)
-            return rid, path, f"{type(exc).__name__}: {exc}"[:2000]
+        for attempt in range(ATTEMPTS):
+            try:
+                return ingest(spark, path, root, user_email, run_id=rid, record=False)
+            except Exception as exc:  # noqa: BLE001 - one bad file must not stop the stream; it is recorded below
+                log.warning("ingest of %s failed: %s", path, exc)
+                if file_fault(exc):
+                    return rid, path, f"{type(exc).__name__}: {exc}"
+                last = exc
+            time.sleep(BACKOFF * 2**attempt)
+        return last
 
     with ThreadPoolExecutor(at_a_time) as pool:
         results = list(pool.map(one, todo))
     if failed := [r for r in results if isinstance(r, tuple)]:
         append_failures(spark, failed, root)
-    if good := [r for r in results if not isinstance(r, tuple)]:
+    faults = [r for r in results if isinstance(r, Exception)]
+    if good := [r for r in results if not isinstance(r, (tuple, Exception))]:
         append_runs(functools.reduce(DataFrame.unionByName, [r.runs for r in good]), functools.reduce(DataFrame.unionByName, [r.profiles for r in good]), root)
+    if faults:  # the batch is not done: it is tried again when the stream starts next
+        raise faults[0]
 
 
 def watch_landing(
