@@ -14,37 +14,25 @@ Conventions of every operator in this package:
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
-from tabletidy.session import checkpoint_dir
+from tabletidy.session import reachable
+from tabletidy.sources.staging import scratch_path
 
 #: The white space that separates words in every contract.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def reachable(spark: SparkSession) -> None:
-    """Python workers on this machine find the package from any working folder (on a cluster
-    it is installed or sent with ``--py-files``)."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
-
-
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the folder that driver and executors share."""
+    """A fresh path in this application's folder below the one that driver and executors share
+    (``tabletidy.sources.staging.release`` gives the whole folder back)."""
     reachable(spark)
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
+    return scratch_path(spark, f"llm-{label}")
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tabletidy.llm.common import SPACE_RUN, staged
 
 MAX_REPEATS = 2.0
+#: A pass's blocks are ordered within 2^RANGE_BITS ranges of their hash.
+RANGE_BITS = 12
 BLOCK_TOKENS = 1 << 16
 HALVINGS = 6
 JOBS = 5
@@ -126,8 +128,14 @@ def mixture(docs: DataFrame, target_entropy: float | None = None, max_repeats: f
     sizes = placed.groupBy("_src", "block", "tokens", "budget", "passes", "rest").agg(F.sum("n_tokens").alias("size"))
     last = F.when(F.col("rest") > 0, F.col("passes")).otherwise(F.col("passes") - 1)
     each = sizes.withColumn("last", last).where("last >= 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    order = Window.partitionBy("_src", "epoch").orderBy(_hash(F.lit(seed), F.col("epoch"), F.col("block")), "block")
-    runs = each.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # running sums in two levels, so that no task holds a source: over ranges of the hash, then within each
+    turned = each.withColumn("_h", _hash(F.lit(seed), F.col("epoch"), F.col("block")))
+    ranged = staged(turned.withColumn("_range", F.shiftright("_h", 64 - RANGE_BITS)), "mix-ranges")
+    parts = ranged.groupBy("_src", "epoch", "_range").agg(F.sum("size").alias("_part"))
+    before = Window.partitionBy("_src", "epoch").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_src", "epoch", "_range", F.coalesce(F.sum("_part").over(before), F.lit(0)).alias("_before"))
+    order = Window.partitionBy("_src", "epoch", "_range").orderBy("_h", "block").rowsBetween(Window.unboundedPreceding, 0)
+    runs = ranged.join(offsets, ["_src", "epoch", "_range"]).withColumn("upto", F.col("_before") + F.sum("size").over(order))
     room = F.when(F.col("epoch") < F.col("passes"), F.col("size")).otherwise(F.col("rest") - (F.col("upto") - F.col("size")))
     start = F.col("epoch") * F.col("tokens") + F.col("upto") - F.col("size")
     plan = runs.withColumn("room", room).where((F.col("room") > 0) | (F.col("epoch") < F.col("passes")))
