@@ -8,7 +8,8 @@ applies a plan to any table with the same columns, in batch or on a stream.
 Job shape (see SURVEY §3.2): fit-1 is one wide aggregate over the input; the
 placeholder rewrite and the exact-duplicate removal are lazy and persisted once;
 fit-2 (medians, minimums, modes) touches only columns that hold nulls after
-dedup; the transform is one projection with the fill values as literals.
+dedup; the transform is one projection with the fill values as literals. The after
+profile's distinct counts follow from the before profile and the plan (``derived_after``).
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from tabletidy.functions.predicates import (
     Placeholders,
     INTEGER_TEXT_RE,
     coerce_numeric,
+    is_missing,
     kind_of,
     null_nan,
     placeholder_sets,
@@ -39,7 +41,17 @@ from tabletidy.functions.predicates import (
     typed_literal,
 )
 from tabletidy.operators.impute import column_minimums, column_modes, exact_medians
-from tabletidy.operators.profile import ORD, PROFILE_COLUMNS, profile, profile_rows, spread, stats_frame, with_order
+from tabletidy.operators.profile import (
+    ORD,
+    PROFILE_COLUMNS,
+    first_found,
+    frequency_table,
+    profile,
+    profile_rows,
+    spread,
+    stats_frame,
+    with_order,
+)
 
 
 _EPOCH = _dt.datetime(1970, 1, 1, tzinfo=_dt.timezone.utc)
@@ -326,6 +338,55 @@ def _zero_after(after: DataFrame) -> DataFrame:
     )
 
 
+def after_uniques(before: list, prepared: DataFrame, cleaned: DataFrame, plan: CleaningPlan, placeholders: Placeholders = PLACEHOLDERS) -> dict[int, int]:
+    """A4 of the cleaned table from the before profile's counts (I6 by algebra).
+
+    Placeholder rewriting and deduplication leave a column's set of values as it was, and a mode
+    or an earliest instant is one of them, so the count stays. A median is new unless a cell holds
+    it already: one flag per column, all in one pass without a shuffle. Zero and "Unknown" fill
+    columns that had no value. Only where different cells may become equal (numbers written as text,
+    decimals and filled 64-bit integers as doubles) are that column's cells grouped again.
+    """
+    ph = placeholder_sets(placeholders)
+    types = {f.name: f.dataType for f in prepared.schema.fields}
+    uniques = {r["ordinal"]: int(r["unique_count"]) for r in before}
+    merging = [cp for cp in plan.columns if cp.coerce or cp.kind == "decimal" or (cp.fill_rule and isinstance(types[cp.name], T.LongType))]
+    if merging:
+        freq = frequency_table(cleaned, "missing", [cp.name for cp in merging], placeholders, with_first=False)
+        found = {r["ordinal"]: int(r["n"]) for r in freq.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n")).collect()}
+        uniques.update({cp.ordinal: found.get(cp.ordinal, 0) for cp in merging})
+    new = {}
+    for cp in plan.columns:
+        if cp in merging:
+            continue
+        if cp.fill_rule == "median":
+            new[cp.ordinal] = ~F.coalesce(F.bool_or(_value_expr(cp) == F.lit(float(cp.fill_value))), F.lit(False))
+        elif cp.fill_rule == "unknown":
+            new[cp.ordinal] = F.bool_or(~is_missing(F.lit(str(cp.fill_value)), T.StringType(), ph(cp.name)))
+        elif cp.fill_rule == "zero":
+            new[cp.ordinal] = F.lit(True)
+    if new:
+        row = prepared.agg(F.count(F.lit(1)).alias("n"), *[v.alias(f"v{i}") for i, v in new.items()]).first()
+        for i in new:
+            uniques[i] += bool(row[f"v{i}"])
+    return uniques
+
+
+def derived_after(before: list, prepared: DataFrame, cleaned: DataFrame, plan: CleaningPlan, top_values: int = 3, placeholders: Placeholders = PLACEHOLDERS) -> list[dict[str, Any]]:
+    """I6, eager: ``profile_rows(cleaned)`` without a frequency table of the cleaned cells.
+
+    ``before`` holds the exact profile rows of the input, ``cleaned`` is ``prepared`` with its fills and
+    its order key. Counts come from the pass without a shuffle, samples from ``first_found``,
+    distinct counts from ``after_uniques``.
+    """
+    uniques = after_uniques(before, prepared, cleaned, plan, placeholders)
+    samples = first_found(cleaned, top_values, placeholders)
+    rows = [r.asDict() for r in stats_frame(cleaned, placeholders).collect()]  # one per column
+    for r in rows:
+        r.update(unique_count=uniques[r["ordinal"]], sample_values=[v for _, v in samples[r["ordinal"]]])
+    return sorted(rows, key=lambda r: (-r["total_issues"], r["ordinal"]))
+
+
 @dataclass
 class CleanResult:
     cleaned: DataFrame
@@ -381,7 +442,10 @@ def clean(
     plan, cleaned_rows = fit_fills(prepared, plan, narrow_integers)
     ordered = apply_fills(prepared, plan)
     cleaned = ordered.drop(ORD)
-    after = profile_rows(ordered, top_values, ph, approx_rsd=approx_unique)
+    if approx_unique is None:
+        after = derived_after(stats, prepared, ordered, plan, top_values, ph)
+    else:
+        after = profile_rows(ordered, top_values, ph, approx_rsd=approx_unique)
     missing_after = int(sum(r["missing_count"] for r in after))
     after_rows = [{k: r[k] for k in PROFILE_COLUMNS} for r in after]
     if not honest_after:

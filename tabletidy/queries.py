@@ -27,6 +27,8 @@ from tabletidy.operators import history as H
 from tabletidy.operators import report as R
 from tabletidy.operators.impute import column_modes, exact_medians
 from tabletidy.operators.profile import (
+    PROFILE_COLUMNS,
+    PROFILE_SCHEMA,
     first_values_scan,
     frequency_table,
     head_preview,
@@ -509,6 +511,12 @@ def q_i6_after_profile(spark, sf):
     return _with_samples_text(after_profile(de, fit(de), order_by="event_id"))
 
 
+def q_i6_after_algebra(spark, sf):
+    res = clean(_de_df(spark, sf), order_by="event_id")
+    res.release()
+    return _with_samples_text(spark.createDataFrame([tuple(r[c] for c in PROFILE_COLUMNS) for r in res.profile_after], PROFILE_SCHEMA))
+
+
 def _pairs(spark, sf):
     return R.stage_pairs(fx.profiles_synth(spark, sf))
 
@@ -864,6 +872,7 @@ QUERIES: dict[str, Query] = {
     "i5_summary": q_i5_summary,
     "i5_summary_dups": q_i5_summary_dups,
     "i6_after_profile": q_i6_after_profile,
+    "i6_after_algebra": q_i6_after_algebra,
     "j1_missing_compare": q_j1_missing_compare,
     "j2_status_compare": q_j2_status_compare,
     "j3_pct_compare": q_j3_pct_compare,
@@ -1014,6 +1023,7 @@ FROM ({de_stats}) s LEFT JOIN (SELECT ordinal, count(*) AS n FROM ({_freq_sql('d
     o["i6_after_profile"] = _de(
         f"SELECT * FROM ({_profile_sql('cl', after_cols, 'event_id', zero=True).replace('WITH st AS', f'WITH cl AS ({clean_de}), st AS', 1)}) p"
     )
+    o["i6_after_algebra"] = o["i6_after_profile"]
     pairs = f"({_PAIRS_SQL}) pr"
     o["j1_missing_compare"] = _profs(
         f"""SELECT run_id, "column", CAST(coalesce(count_before, 0) AS BIGINT) AS missing_before, coalesce(pct_before, 0.0) AS pct_before,

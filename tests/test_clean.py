@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -240,3 +241,65 @@ def test_timestamp_fill_keeps_the_column_type(spark):
     res = clean(df, drop_duplicates=False)
     assert dict(res.cleaned.dtypes)["t"] == "timestamp_ntz"
     assert sorted(r[0] for r in res.cleaned.collect()) == [dt.datetime(2020, 1, 1, 5)] * 2 + [dt.datetime(2020, 6, 1)]
+
+
+def _after_by_both(spark, df, **kw):
+    """The after profile as ``clean`` derives it, and as a whole profile of the cleaned table gives it."""
+    from tabletidy.operators.profile import ORD, PROFILE_COLUMNS, profile_rows
+    from tabletidy.plans import cleaning as C
+
+    placeholders = kw.get("placeholders", C.PLACEHOLDERS)
+    res = clean(df, honest_after=True, **kw)
+    whole = C.apply_fills(C._prepared(df, res.plan, kw.get("order_by"), keep_order=True), res.plan)
+    assert ORD in whole.columns
+    rows = profile_rows(whole, 3, placeholders)
+    res.release()
+    return res.profile_after, [{k: r[k] for k in PROFILE_COLUMNS} for r in rows]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_after_profile_by_algebra(spark, seed):
+    """Distinct counts of the cleaned table follow from the before profile and the plan."""
+    rng = random.Random(seed)
+    pick = lambda *xs: rng.choice(xs)
+    rows = [
+        (
+            i,
+            pick("1", "1.0", " 2", "2.50", "2.5", "x", "NA", "7", "8", "9", "1e1", "10"),  # texts that become equal numbers
+            pick("red", "blue", "N/A", "", "12", None),
+            pick(None, 1, 2, 4),
+            pick(None, 2**53, 2**53 + 1, 5),  # become equal as doubles
+            pick(None, float("nan"), 0.0, -0.0, 1.5),
+            pick(None, True, False),
+            pick(None, Decimal("1.10"), Decimal("2.00")),
+            pick(None, dt.date(2020, 1, 1), dt.date(2021, 1, 1)),
+            None,
+            pick("NA", "n/a"),
+            pick(None, float("nan")),
+        )
+        for i in (rng.randrange(30) for _ in range(40))
+    ]
+    schema = "k int, numeric string, colour string, small int, big long, f double, b boolean, d decimal(9,2), day date, none int, blank string, gaps float"
+    df = spark.createDataFrame(rows, schema)
+    for kw in ({"order_by": "k"}, {"order_by": "k", "drop_duplicates": False}, {"order_by": "k", "placeholders": {"blank": ["na", "n/a"], "colour": ["n/a"]}}):
+        derived, whole = _after_by_both(spark, df, **kw)
+        assert derived == whole, kw
+
+
+def test_after_profile_by_algebra_no_rows(spark):
+    df = spark.createDataFrame([], "a string, b int, c double")
+    derived, whole = _after_by_both(spark, df)
+    assert derived == whole and [r["unique_count"] for r in derived] == [0, 0, 0]
+
+
+def test_after_profile_groups_only_cells_that_may_merge(spark, monkeypatch):
+    """Columns without gaps, texts, dates and filled doubles are not grouped a second time."""
+    from tabletidy.plans import cleaning as C
+
+    grouped = []
+    real = C.frequency_table
+    monkeypatch.setattr(C, "frequency_table", lambda df, exclude, columns, *a, **kw: grouped.append(columns) or real(df, exclude, columns, *a, **kw))
+    clean(spark.createDataFrame([("a", 1, 1.0), ("b", 2, None), ("b", 2, 3.0)], "t string, n long, f double")).release()
+    assert grouped == []
+    clean(spark.createDataFrame([("1", 1), ("2", None), ("NA", 3)], "t string, n long")).release()
+    assert grouped == [["t", "n"]]
