@@ -353,15 +353,16 @@ def to_records(pages: DataFrame) -> DataFrame:
     """Pages as records: of equal payloads the largest page_id is the response, others revisit it.
 
     Null html is the empty payload. A null page_id sorts below all others. Rows that repeat
-    the response's page_id with its payload are responses too. Only ids and digests shuffle
-    to find the groups; pages then meet the (usually few) revisits by page_id.
+    the response's page_id with its payload are responses too. Payloads are equal when their
+    SHA-256 is (different ones of one SHA-1, the records' digest, are known). Only ids and
+    digests shuffle to find the groups; pages then meet the (usually few) revisits by page_id.
     """
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
-    narrow = staged(pages.select(F.col("page_id").cast("long").alias("page_id"), F.unhex(F.sha1(payload)).alias("_sha")), "page-digests")
+    narrow = staged(pages.select(F.col("page_id").cast("long").alias("page_id"), F.unhex(F.sha2(payload, 256)).alias("_sha")), "page-digests")
     groups = staged(narrow.groupBy("_sha").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "page-groups")
     again = narrow.join(groups, "_sha").where(~F.col("page_id").eqNullSafe(F.col("_last"))).distinct().withColumnsRenamed({"page_id": "_page", "_sha": "_of"})
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    met = own.join(again, own["page_id"].eqNullSafe(again["_page"]) & (F.unhex(F.sha1("payload")) == again["_of"]), "left")
+    met = own.join(again, own["page_id"].eqNullSafe(again["_page"]) & (F.unhex(F.sha2("payload", 256)) == again["_of"]), "left")
     revisit = F.col("_of").isNotNull()
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))
     return met.select(
