@@ -3,8 +3,9 @@
 Per language and source the minimum covariance determinant (MCD) of a transformed vector
 of text statistics is estimated by concentration steps: distances under the current centre
 and scatter, the least distant share ``SHARE`` of the group, its mean and covariance, and
-again. Two deterministic starts (medians with absolute deviations, and plain moments) run
-side by side and the smaller determinant wins. A document that passes the base rules is
+again, until a group's determinant stands still. Three deterministic starts (medians with
+absolute deviations, plain moments, and moments of the rows drawn in towards the medians) run
+side by side and the least determinant wins. A document that passes the base rules is
 rejected when its squared Mahalanobis distance is over the cutoff.
 
 All of it is grouped sums over a narrow table of statistics, written once. The sums are of
@@ -15,6 +16,7 @@ A small table of estimates (a row per group) meets the rows by a join Spark may
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +26,7 @@ from tabletidy.llm.common import SPACE_RUN, staged
 
 WINDOW = 8
 SHARE = 0.75  # of a group's rows that an estimate must be drawn from
-STEPS = 5
+STILL = 1e-4  # a log determinant that falls by less has come to its end
 LEAST_ROWS = 40  # smaller groups are judged by the estimate of a pool
 UNIT = 10_000
 #: Added to each standard deviation (squared) in the steps, only to keep a scatter regular.
@@ -159,23 +161,36 @@ def _median(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     return ranked.where("2 * upto >= all").groupBy(*by).agg(F.min(value).alias(name))
 
 
-def _robust_start(rows: DataFrame) -> DataFrame:
-    """Coordinate medians and deviations, rounded to hundredths: at most some hundred bins a group."""
+def _robust_starts(rows: DataFrame) -> DataFrame:
+    """Coordinate medians and deviations, rounded to hundredths: at most some hundred bins a group.
+
+    The second start has the moments of rows whose every statistic is drawn in by tanh, so that
+    none is farther from its median than the deviation; it sees correlations as the first does not.
+    """
     long = rows.select("_g", "n_all", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.round(F.col(f"_{i}") / 100.0).cast("long").alias("v")) for i in NAMES])).alias("x")).select("_g", "n_all", "x.i", "x.v")
     middle = staged(_median(long, ["_g", "n_all", "i"], "v", "mid"), "medians")
     away = long.join(middle, ["_g", "n_all", "i"]).withColumn("away", F.abs(F.col("v") - F.col("mid")))
     spread = _median(away, ["_g", "n_all", "i", "mid"], "away", "mad")
     per = [F.max(F.when(F.col("i") == i, F.col("mid") * 100.0)).alias(f"m_{i}") for i in NAMES] + [F.max(F.when(F.col("i") == i, F.col("mad") * 148.26)).alias(f"d_{i}") for i in NAMES]
-    wide = spread.groupBy("_g", "n_all").agg(*per)
+    wide = staged(spread.groupBy("_g", "n_all").agg(*per), "deviations")
     factor = [(F.sqrt(F.col(f"d_{i}") ** 2 + (FLOORS[i] * UNIT) ** 2) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for a, i in enumerate(NAMES) for j in NAMES[: a + 1]]
-    return wide.select("_g", F.lit("medians").alias("_start"), "n_all", *[f"m_{i}" for i in NAMES], *factor, F.lit(0.0).alias("log_det"))
+    medians = wide.select("_g", F.lit("medians").alias("_start"), "n_all", *[f"m_{i}" for i in NAMES], *factor, F.lit(0.0).alias("log_det"))
+    reach = {i: F.greatest(F.col(f"d_{i}"), F.lit(FLOORS[i] * UNIT)) for i in NAMES}
+    drawn = [F.round(F.col(f"m_{i}") + reach[i] * F.tanh((F.col(f"_{i}") - F.col(f"m_{i}")) / reach[i])).cast("long").alias(f"_{i}") for i in NAMES]
+    near = rows.join(wide.drop("n_all"), "_g").select("_g", F.lit("drawn in").alias("_start"), "n_all", *drawn)
+    return medians.unionByName(_factor(_moments(near), 1.0))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """``rows`` (_g, n_all and the vector): one MCD estimate per group."""
+    """``rows`` (_g, n_all and the vector): one MCD estimate per group.
+
+    A group's start goes on while its log determinant falls by more than ``STILL``; floors bound
+    it from below, so every one comes to an end. Only what goes on meets the rows again.
+    """
     plain = _factor(_moments(rows.withColumn("_start", F.lit("moments"))), 1.0)
-    now = staged(_robust_start(rows).unionByName(plain), "mcd")
-    for _ in range(STEPS):
+    now = staged(_robust_starts(rows).unionByName(plain), "mcd").withColumn("log_det", F.lit(float("inf")))
+    all_sums, all_dets = [], []
+    while True:
         met = rows.join(now.drop("n_all", "log_det"), "_g").withColumn("_bin", F.floor(F.log(_distance() + 1e-6) * 64))
         counts = met.groupBy("_g", "_start", "n_all", "_bin").agg(F.count(F.lit(1)).alias("n"))
         run = Window.partitionBy("_g", "_start").orderBy("_bin")
@@ -183,9 +198,17 @@ def estimates(rows: DataFrame) -> DataFrame:
         edge = staged(upto.groupBy("_g", "_start").agg(F.min("_bin").alias("_edge")), "mcd-edge")
         near = met.join(edge, ["_g", "_start"]).where("_bin <= _edge")
         sums = staged(_moments(near), "mcd-sums")
-        now = staged(_factor(sums, CONSISTENCY), "mcd")
-    best = now.groupBy("_g").agg(F.min(F.struct("log_det", "_start")).alias("best")).select("_g", "best._start")
-    return staged(_factor(sums, CONSISTENCY, LEAST).join(best, ["_g", "_start"]).drop("n_all", "_start", "log_det"), "mcd-best")
+        before = now.select("_g", "_start", F.col("log_det").alias("_before"))
+        found = staged(_factor(sums, CONSISTENCY).join(before, ["_g", "_start"]), "mcd")
+        step = F.lit(len(all_sums)).alias("_step")
+        all_sums.append(sums.select("*", step))
+        all_dets.append(found.select("_g", "log_det", "_start", step))
+        now = found.where(F.col("log_det") < F.col("_before") - STILL).drop("_before")
+        if now.isEmpty():
+            break
+    every = lambda tables: functools.reduce(DataFrame.unionByName, tables)
+    best = every(all_dets).groupBy("_g").agg(F.min(F.struct("log_det", "_start", "_step")).alias("best")).select("_g", "best._start", "best._step")
+    return staged(_factor(every(all_sums).join(best, ["_g", "_start", "_step"]), CONSISTENCY, LEAST).drop("n_all", "_start", "log_det"), "mcd-best")
 
 
 def _groups(rows: DataFrame) -> DataFrame:

@@ -94,6 +94,22 @@ def test_license_brute_force(spark):
     assert license_scan(frame(spark, [])).collect() == []
 
 
+def test_license_expressions():
+    """Listed identifiers only, later versions, references, and exceptions behind single licences."""
+    from tabletidy.llm.license_scan import evaluate
+
+    assert evaluate("gpl-99.9")[1] == 0.5 and evaluate("mit-anything")[1] == 0.5 and evaluate("bsd")[1] == 0.5
+    assert evaluate("Apache-2.0+") == ({"apache-2.0+"}, 1.0) and evaluate("GPL-2.0-only+")[1] == 0.5 and evaluate("cc-by-sa-4.0")[1] == 1.0
+    assert evaluate("LicenseRef-own.1") == ({"licenseref-own.1"}, 0.75) and evaluate("DocumentRef-a:LicenseRef-b")[1] == 0.75
+    assert evaluate("GPL-2.0-or-later WITH Classpath-exception-2.0") == ({"gpl-2.0-or-later+classpath-exception-2.0"}, 1.0)
+    assert evaluate("GPL-2.0-only with my-exception")[1] == 0.5
+    # a bracket or another exception can't stand on either side of "with"
+    assert evaluate("(MIT or ISC) with LLVM-exception") == ({"mit", "isc"}, 1.0)
+    assert evaluate("MIT with (LLVM-exception)") == ({"mit"}, 1.0)
+    assert evaluate("MIT with LLVM-exception with SHL-2.0") == ({"mit+llvm-exception"}, 1.0)
+    assert evaluate("MIT with LLVM-exception and (foo or ISC)") == ({"mit+llvm-exception", "foo", "isc"}, 1.0)
+
+
 def test_bpe_against_the_library(spark):
     import random
 
@@ -116,6 +132,34 @@ def test_bpe_against_the_library(spark):
     assert bpe(frame(spark, []), public_tokenizers.path("word_bpe_49k.json")).collect() == []
 
 
+def test_bpe_special_tokens_of_the_vocabulary(spark, tmp_path):
+    """Special tokens are those that the vocabulary names, whatever they look like."""
+    import json
+
+    import public_tokenizers
+    import pytest
+    from tokenizers import Tokenizer
+
+    from tabletidy.llm.bpe import Codec, bpe
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    plain = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    spec["added_tokens"] += [{"id": 49408 + i, "content": c, **plain} for i, c in enumerate(["[SEP]", "[SEP]x", "pause"])]
+    path = tmp_path / "special.json"
+    path.write_text(json.dumps(spec))
+    lib = Tokenizer.from_file(str(path))
+    texts = ["a [SEP] b", "[SEP]xy", "Pause, pausepause a pause", "[sep] <|endoftext|>[SEP][SEP]x", "none here"]
+    got = {r["doc_id"]: r for r in bpe(frame(spark, texts), str(path)).collect()}
+    for i, text in enumerate(texts):
+        want = lib.encode(text, add_special_tokens=False).ids
+        assert got[i]["ids"] == want, text
+        assert got[i]["decoded"] == lib.decode(want, skip_special_tokens=False)
+    spec["added_tokens"][-1]["lstrip"] = True
+    with pytest.raises(ValueError, match="pause"):
+        Codec(spec)
+
+
 def brute_warc(pages):
     import base64
 
@@ -304,7 +348,7 @@ def test_rare_languages_are_judged(spark):
 
 
 def test_mcd_against_numpy(spark):
-    """The estimate equals concentration steps written out in numpy, from the better start."""
+    """The estimate equals concentration steps written out in numpy, from the best of three starts."""
     import numpy as np
 
     from tabletidy.llm import quality_rules as R
@@ -315,20 +359,28 @@ def test_mcd_against_numpy(spark):
     floors = np.diag([(v * R.UNIT) ** 2 for v in R.FLOORS.values()])
 
     def steps(centre, scatter):
-        for _ in range(R.STEPS):
+        best, before = (np.inf, None), np.inf
+        while True:
             y = x - centre
             d = np.einsum("ij,jk,ik->i", y, np.linalg.inv(scatter), y)
             bins = np.floor(np.log(d + 1e-6) * 64)
             edge = np.sort(bins)[int(np.ceil(len(x) * R.SHARE)) - 1]
             near = x[bins <= edge]
             centre, scatter = near.mean(0), np.cov(near.T, bias=True) * R.CONSISTENCY + floors
-        return np.linalg.slogdet(scatter)[1] / 2, centre
+            now = np.linalg.slogdet(scatter)[1] / 2
+            best = min(best, (now, centre), key=lambda v: v[0])
+            if not now < before - R.STILL:
+                return best
+            before = now
 
     binned = np.rint(x / 100.0)
     low = lambda v: np.sort(v, axis=0)[(len(v) + 1) // 2 - 1]
     mid = low(binned)
     mad = low(np.abs(binned - mid))
-    best = min(steps(mid * 100.0, np.diag((mad * 148.26) ** 2) + floors), steps(x.mean(0), np.cov(x.T, bias=True) + floors), key=lambda v: v[0])
+    reach = np.maximum(mad * 148.26, np.sqrt(np.diag(floors)))
+    drawn = np.rint(mid * 100.0 + reach * np.tanh((x - mid * 100.0) / reach))
+    starts = [(mid * 100.0, np.diag((mad * 148.26) ** 2) + floors), (x.mean(0), np.cov(x.T, bias=True) + floors), (drawn.mean(0), np.cov(drawn.T, bias=True) + floors)]
+    best = min((steps(*s) for s in starts), key=lambda v: v[0])
     df = spark.createDataFrame([("g", len(x), *map(int, r)) for r in x], "_g string, n_all long, _length long, _symbols long, _repeats long, _dup_lines long")
     (row,) = R.estimates(df).collect()
     assert np.allclose([row[f"m_{n}"] for n in R.NAMES], best[1], rtol=1e-6)
