@@ -20,8 +20,9 @@ is the class (connected component) of every document.
 Before a pair is tested, parity bitmaps of both sets bound their difference from below (each
 shingle flips one bit, so bits that differ are at most shingles that differ); a pair over the
 allowed difference goes (in the exact round already where it would form). What is left is tested on whole texts: the text of one side travels
-to the group of the other, both become sets again and are intersected. A list that may be hot (its count in the sketch) is
-dealt over salts; a hub's pairs are salted too. Classes are merged by contraction in Spark.
+to the group of the other, both become sets again and are intersected. A list of more than
+``HOT`` sets, as counted, is dealt over salts in the rounds and over pairs of its blocks in the
+exact round; a hub's pairs are salted too. Classes are merged by contraction in Spark.
 
 Links are counted per document within classes, in pairs of blocks of sets. A set's answers follow
 from those of one set of its block wherever their difference leaves no doubt; only the others
@@ -44,8 +45,8 @@ from tabletidy.llm.shingles import mix, shingle_sets
 WIDTH = 5
 COUNTERS = 1 << 22
 SEGMENT = 1 << 14
-HOT = 2000  # entries of a list that one group may hold
-ROUNDS = 6
+HOT = 2000  # entries of a list's block; a group holds two blocks at most
+ROUNDS: int | None = None  # near rounds at most; None: as many as pay
 REACH = 8  # predecessors that an entry tries in a round
 HUB = 500  # pairs that one group tests against a set
 BLOCK = 256
@@ -186,8 +187,24 @@ def _numbers(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     return out
 
 
+def counted_lists(posts: DataFrame) -> DataFrame:
+    """The lists of two sets or more, their salts taken from their counted lengths.
+
+    The sketch only deals the postings: a counter is never below a list's length, but chance
+    collisions may put it far above. So what it calls long is counted (one number per list and
+    task moves), and what is not goes on as one list. Lists over ``HOT`` are at most one in
+    ``HOT`` of the entries; Spark broadcasts them where they are few and else splits the join.
+    """
+    dealt = staged(lists_of_several(posts), "dealt-lists")
+    maybe = dealt.where("salts > 1").drop("salts")
+    salts = F.ceil(F.col("k") / HOT).cast("int")
+    long_ = staged(maybe.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select("token", salts.alias("salts")), "long-lists")
+    again = maybe.join(long_, "token", "left").select("token", F.coalesce("salts", F.lit(1)).alias("salts"), "sid", "n", "pos")
+    return staged(dealt.where("salts = 1").unionByName(lists_of_several(again)), "lists")
+
+
 def lists_of_several(posts: DataFrame) -> DataFrame:
-    """Postings of lists with two sets or more, repeats gone (a possibly hot list is kept whole)."""
+    """Postings of lists with two sets or more, repeats gone (a list of several salts is kept whole)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row: its list may go on
@@ -276,7 +293,7 @@ def _list_pairs(x: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarr
     """All pairs of a list of different classes that pass the bounds, block by block."""
     by = np.lexsort((x["label"], x["n"]))
     x = {k: v[by] for k, v in x.items()}
-    n, pos, label, out = x["n"], x["pos"], x["label"], x["spread"]
+    n, pos, label, side = x["n"], x["pos"], x["label"], x["side"]
     starts = np.arange(0, len(n), BLOCK)
     least_pos = np.minimum.reduceat(pos, starts)
     low, high = np.minimum.reduceat(label, starts), np.maximum.reduceat(label, starts)
@@ -291,8 +308,8 @@ def _list_pairs(x: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarr
             if min(n[i2 - 1] - least_pos[s], n[j2 - 1] - least_pos[t]) < needed(n[i], n[j]):
                 continue  # even the foremost positions leave too little to share
             ok = (label[i:i2, None] != label[None, j:j2]) & may_link(n[i:i2, None], pos[i:i2, None], n[None, j:j2], pos[None, j:j2])
-            if x["salt"][0]:
-                ok &= ~(out[i:i2, None] & out[None, j:j2])  # those that are in every salt meet in salt 0
+            if side[0]:
+                ok &= side[i:i2, None] != side[None, j:j2]  # the pairs of one block are another group's
             if s == t:
                 ok = np.triu(ok, 1)
             a, b = np.nonzero(ok)
@@ -343,20 +360,37 @@ def may_match(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndar
     return out
 
 
-def all_pairs(entries: DataFrame) -> DataFrame:
-    """Every pair of different classes that meets in a list and passes the bounds, those of the
-    folded bitmaps too.
+def in_groups(entries: DataFrame) -> DataFrame:
+    """The entries with the group (token, salt) in which they meet others, and their side there.
 
-    Of a hot list the largest class is dealt over the salts and all other entries go to each
-    salt, so a group holds some ``HOT`` entries of the class and what is outside it.
+    A hot list is cut into blocks of some ``HOT`` entries, those of its largest class (whose
+    answers are known among themselves) and the others apart. Each block of others meets each
+    block of the class, each other block of others and itself, in a group of its own; so no
+    group holds more than two blocks, whatever the list's classes are. Side 0 meets all of its
+    group, sides 1 and 2 only each other.
     """
     hot = entries.where("salts > 1")
     sizes = hot.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
-    most = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("most")).select("token", F.col("most.label").alias("own"))
-    inside = hot.join(most, "token").withColumn("spread", F.col("label") != F.col("own"))
-    dealt = inside.withColumn("salt", F.explode(F.when(F.col("spread"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(_salt(F.col("sid"))))))
-    cold = entries.where("salts = 1").withColumn("spread", F.lit(False)).withColumn("salt", F.lit(0))
-    rows = cold.unionByName(dealt.select(cold.columns))
+    most = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("all"))
+    blocks = lambda k: F.ceil(k / HOT).cast("long")
+    shape = most.select("token", F.col("most.label").alias("own"), blocks(F.col("most.k")).alias("inner"), blocks(F.col("all") - F.col("most.k")).alias("outer"))
+    inner, outer, block = F.col("inner"), F.col("outer"), F.col("block")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    group = lambda salt, side: F.struct(salt.alias("salt"), side.cast("int").alias("side"))
+    of_class = F.transform(upto(outer), lambda i: group(i * inner + block, F.lit(1)))
+    to_class = F.transform(upto(inner), lambda j: group(block * inner + j, F.lit(2)))
+    to_others = F.transform(upto(outer), lambda i: group(inner * outer + F.least(i, block) * outer + F.greatest(i, block), F.when(i == block, 0).when(i > block, 1).otherwise(2)))
+    inside = F.col("label") == F.col("own")
+    placed = hot.join(shape.where("outer > 0"), "token").withColumn("block", F.pmod(F.xxhash64("sid"), F.when(inside, inner).otherwise(outer)))
+    dealt = placed.withColumn("group", F.explode(F.when(inside, of_class).otherwise(F.concat(to_class, to_others))))
+    cold = entries.where("salts = 1").withColumn("salt", F.lit(0).cast("long")).withColumn("side", F.lit(0))
+    return cold.unionByName(dealt.select(*entries.columns, "group.salt", "group.side"))
+
+
+def all_pairs(entries: DataFrame) -> DataFrame:
+    """Every pair of different classes that meets in a list and passes the bounds, those of the
+    folded bitmaps too."""
+    rows = in_groups(entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -646,7 +680,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = first.where("segment is null").select("doc_id", "mark", "n", "sid")
     own = first.where("segment is null and n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "mark")).alias("own"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.count(F.lit(1)).alias("copies"))
     nodes = staged(own.select("sid", "own.doc_id", "own.mark", "n", "bits", "copies"), "nodes")
-    lists = staged(lists_of_several(postings(picked, ranks(first.where("segment is not null")))), "lists")
+    lists = counted_lists(postings(picked, ranks(first.where("segment is not null"))))
     rows = lists.count()
     classes = texts = None
     turn, last, stalled = 0, False, False
@@ -659,7 +693,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             # pairs of different classes in lists: an upper bound of what the exact round lists
             per = entries.groupBy("token", "label").agg(F.count(F.lit(1)).cast("double").alias("k"))
             open_ = per.groupBy("token").agg(((F.sum("k") ** 2 - F.sum(F.col("k") ** 2)) / 2).alias("pairs"))
-            last = stalled or turn >= ROUNDS or (open_.agg(F.sum("pairs")).first()[0] or 0) <= 4 * rows
+            last = stalled or (ROUNDS is not None and turn >= ROUNDS) or (open_.agg(F.sum("pairs")).first()[0] or 0) <= 4 * rows
         pairs = staged(screened(all_pairs(signed(entries, nodes)) if last else near_pairs(entries, turn), nodes), "pairs")
         sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
         more = texts_of(picked, (sids if texts is None else sids.join(texts, "sid", "left_anti")).join(nodes, "sid").select("sid", "doc_id", "mark"))
@@ -674,7 +708,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
             )
             new = merge_classes(found)
-            stalled = new.count() <= rows // 1000  # near rounds no longer pay
+            stalled = new.count() <= rows // 1000  # near rounds no longer pay (classes are finite: this comes)
             moved = new.select(F.col("v").alias("label"), F.col("label").alias("next"))
             kept = classes.join(moved, "label", "left").select("v", F.coalesce("next", "label").alias("label"))
             classes = staged(kept.unionByName(new.join(classes, "v", "left_anti")), "classes")

@@ -392,3 +392,53 @@ def test_link_counts(spark, monkeypatch, block):
     want = [sum(i != j and bool(a & b) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
     got = {r["doc_id"]: r["n_links"] for r in J.jaccard_classes(frame(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_hot_lists_meet_in_bounded_groups(spark, monkeypatch):
+    """Each pair of different classes of a hot list meets in exactly one group of two blocks at most."""
+    from tabletidy.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "HOT", 20)
+    rows = [(1, 10, i, 5, 0, i) for i in range(200)]  # no two linked
+    rows += [(2, 15, i, 5, 0, 7 if i < 250 else i) for i in range(300)]  # one large class
+    rows += [(3, 2, i, 5, 0, i % 2) for i in range(30)] + [(4, 1, i, 5, 0, i) for i in range(15)]
+    frame = spark.createDataFrame(rows, "token long, salts int, sid long, n int, pos int, label long")
+    groups = {}
+    for r in J.in_groups(frame).collect():
+        groups.setdefault((r["token"], r["salt"]), []).append((r["sid"], r["label"], r["side"]))
+    assert max(map(len, groups.values())) <= 4 * J.HOT  # two blocks, dealt by a hash
+    for token in (1, 2, 3, 4):
+        met = []
+        for (own, _), held in groups.items():
+            if own == token:
+                met += [tuple(sorted((a[0], b[0]))) for i, a in enumerate(held) for b in held[:i] if a[1] != b[1] and (a[2] == 0 or a[2] != b[2])]
+        members = [(r[2], r[5]) for r in rows if r[0] == token]
+        want = {(a[0], b[0]) for a in members for b in members if a[0] < b[0] and a[1] != b[1]}
+        assert len(met) == len(set(met)) and set(met) == want
+
+
+def test_jaccard_with_saturated_counters(spark, monkeypatch):
+    """Counters that call every list hot change no result, and salts come from counted lengths."""
+    from test_operators import brute_classes, frame, near_copies
+
+    from tabletidy.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "SEGMENT", 1 << 11)
+    monkeypatch.setattr(J, "COUNTERS", 1 << 11)
+    monkeypatch.setattr(J, "HOT", 2)
+    draw = random.Random(5)
+    texts = near_copies(draw, 60)
+    texts += [" ".join("".join(draw.choices("abcdefghij", k=5)) for _ in range(400)) for _ in range(60)]
+    docs = frame(spark, texts)
+    picked = J._picked(docs, "doc_id", "text")
+    first = J.sets_and_counts(picked)
+    posts = J.postings(picked, J.ranks(first.where("segment is not null"))).cache()
+    assert posts.where("salts > 1").count() > posts.count() / 2  # what the sketch says
+    lists = J.counted_lists(posts)
+    lengths = {r["token"]: (r["k"], r["salts"]) for r in lists.groupBy("token", "salts").count().withColumnRenamed("count", "k").collect()}
+    assert all(k > 1 and salts == -(-k // J.HOT) if salts > 1 else k > 1 for k, salts in lengths.values())
+    distinct = posts.select("token", "sid").distinct().groupBy("token").count().where("count > 1")
+    assert lists.count() == distinct.groupBy().sum("count").first()[0]  # every list of several, each entry once
+    posts.unpersist()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_classes(docs).collect()}
+    assert got == brute_classes(dict(enumerate(texts)))
