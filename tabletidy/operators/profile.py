@@ -73,6 +73,12 @@ def with_order(df: DataFrame, order_by: str | None) -> DataFrame:
     return df.withColumn(ORD, F.monotonically_increasing_id())
 
 
+def _order_key(df: DataFrame) -> Column:
+    """The order key as a plain column (null last): the minimum of a struct is no fixed-width
+    buffer, so Spark would sort all cells to aggregate it instead of hashing them."""
+    return F.col(f"{ORD}.key") if isinstance(df.schema[ORD].dataType, T.StructType) else F.col(ORD)
+
+
 def spread(df: DataFrame, order_by: str | None = None) -> DataFrame:
     """The input dealt over all task slots and persisted, for callers that ask for it.
 
@@ -233,7 +239,7 @@ def _cell_counts(df: DataFrame, exclude: str, columns: Sequence[str] | None, pla
         for u in used[1:]:
             there = there | F.col(u).isNotNull()
         long_form = long_form.where(there)
-    aggs = [F.count(F.lit(1)).alias("n")] + ([F.min(ORD).alias("first_ord")] if with_first else [])
+    aggs = [F.count(F.lit(1)).alias("n")] + ([F.min(_order_key(src)).alias("first_ord")] if with_first else [])
     return long_form.groupBy("ordinal", *used).agg(*aggs)
 
 
@@ -270,7 +276,7 @@ def first_values(freq: DataFrame, top_values: int = 3) -> DataFrame:
     The ``row_number() <= k`` filter becomes a window group limit that also runs
     before the shuffle, so each task sends at most k rows per column.
     """
-    w = Window.partitionBy("ordinal").orderBy("first_ord", "value")
+    w = Window.partitionBy("ordinal").orderBy(F.col("first_ord").asc_nulls_last(), "value")
     return (
         freq.withColumn("rk", F.row_number().over(w))
         .where(F.col("rk") <= top_values)
@@ -355,7 +361,7 @@ def profile_frame(
     if freq is None:
         freq = frequency_table(df, "none", None, ph, order_by, with_first=samples is None)
     if samples is None:
-        freq = freq.where((F.col("n") > 0) & F.col("first_ord").isNotNull())  # true for every row
+        freq = freq.where((F.col("n") > 0) | F.col("first_ord").isNotNull())  # true for every row
     flags = _value_flags(df, ph)
     n = F.col("n")
     counts = freq.groupBy("ordinal").agg(

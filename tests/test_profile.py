@@ -214,3 +214,21 @@ def test_scan_samples_break_position_ties_by_value(spark):
     from tabletidy.operators.profile import profile
 
     assert {r["column"]: r["sample_values"] for r in profile(df, order_by="k").collect()}["s"] == ["y", "z", "b"]
+
+
+def test_keyed_profile_hashes_its_cells(spark):
+    """An order key must not make Spark sort the cells; rows without a key come last and are all counted."""
+    from tabletidy.operators.profile import frequency_table
+
+    rows = [(None, "late"), (None, "b"), (2, "b"), (1, "c"), (1, "a"), (5, "none")]
+    df = spark.createDataFrame(rows, "k bigint, s string")
+    for kind in ("bigint", "double", "timestamp_ntz"):
+        key = F.timestamp_seconds("k").cast(kind) if kind == "timestamp_ntz" else F.col("k").cast(kind)
+        keyed = df.withColumn("k", key)
+        plan = frequency_table(keyed, "none", order_by="k")._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+        s = {r["column"]: r for r in profile(keyed, 4, order_by="k").collect()}["s"]
+        assert s["sample_values"] == ["a", "c", "b", "late"] and s["unique_count"] == 4 and s["missing_count"] == 1
+    unkeyed = spark.createDataFrame([(None, x) for x in "ba"], "k bigint, s string")
+    s = {r["column"]: r for r in profile(unkeyed, order_by="k").collect()}
+    assert s["s"]["sample_values"] == ["a", "b"] and s["k"]["missing_count"] == 2
