@@ -45,6 +45,9 @@ STRIP_CHARS = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+# Text that neither begins nor ends with a character to strip (most cells): visible ASCII at both ends.
+BARE_TEXT_RE = r"(?s)\A[!-~](?:.*[!-~])?\z"
+
 # Text that Python's float() accepts (ASCII digits only): decimal with optional
 # exponent and single underscores between digits, or signed inf/infinity/nan.
 NUMERIC_TEXT_RE = (
@@ -111,8 +114,8 @@ def placeholders_json(placeholders: Placeholders) -> list[str] | dict[str, list[
 
 
 def strip_ws(c: Column) -> Column:
-    """str.strip(): remove leading/trailing Unicode whitespace."""
-    return F.trim(c, F.lit(STRIP_CHARS))
+    """str.strip(): remove leading/trailing Unicode whitespace (E3); a cell without any is taken as it is."""
+    return F.when(c.rlike(BARE_TEXT_RE), c).otherwise(F.trim(c, F.lit(STRIP_CHARS)))
 
 
 def is_placeholder(c: Column, placeholders: Iterable[str] = PLACEHOLDERS) -> Column:
@@ -124,9 +127,9 @@ def is_placeholder(c: Column, placeholders: Iterable[str] = PLACEHOLDERS) -> Col
     ph = [p.lower() for p in placeholders]  # a caller's list may be in upper case
     if not ph:
         return F.lit(False)
-    t = strip_ws(c)
     longest = max(len(p) for p in ph)
-    return F.coalesce(F.when(F.length(t) <= longest, F.lower(t).isin(ph)), F.lit(False))
+    hit = lambda t: F.when(F.length(t) <= longest, F.lower(t).isin(ph))
+    return F.coalesce(F.when(c.rlike(BARE_TEXT_RE), hit(c)).otherwise(hit(F.trim(c, F.lit(STRIP_CHARS)))), F.lit(False))
 
 
 def is_missing(c: Column, dt: T.DataType, placeholders: Iterable[str] = PLACEHOLDERS) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -831,8 +832,9 @@ def q_st1_landing(spark, sf):
     """ST1: the events land as three CSV files, twice handed out; the stream cleans each once."""
     landing = f"{_scratch(spark)}/landing"
     de = _de_df(spark, sf)
-    for k in range(3):
-        write_csv(de.where(F.col("event_id") % 3 == k).coalesce(1), f"{landing}/{k}.csv")
+    files = [(de.where(F.col("event_id") % 3 == k).coalesce(1), f"{landing}/{k}.csv") for k in range(3)]
+    with ThreadPoolExecutor(len(files)) as pool:  # one task writes a file: all three at a time
+        list(pool.map(lambda f: write_csv(*f), files))
     root = f"{landing}_root"
     for turn in ("a", "b"):  # another checkpoint: every file comes again
         watch_landing(spark, landing, root, checkpoint=f"{root}/_stream-{turn}").awaitTermination()

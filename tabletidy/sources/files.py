@@ -141,31 +141,36 @@ def read_csv_text(spark: SparkSession, path: str, na_tokens: tuple[str, ...] = C
     return table.toDF(*columns)
 
 
+#: Rows at the beginning that may show at once which types a text column does not have.
+HEAD_ROWS = 256
+
+
 def infer_csv_types(df: DataFrame) -> DataFrame:
     """Type text columns as a pandas CSV reader does, from one aggregate pass.
 
     A column is int64 when every non-null value is an integer and none is null,
     float64 when every non-null value is a number (or all are null), bool when
     every non-null value is a true/false word (with nulls a nullable boolean,
-    which cleaning turns into 1.0/0.0 with a median), else it stays text.
+    which cleaning turns into 1.0/0.0 with a median), else it stays text. A type that one of the
+    first rows rules out is settled; the pass over all rows tests the others.
     """
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not cols:
         return df
-    aggs = [F.count(F.lit(1)).alias("rows")]
+    tests: dict[str, Column] = {}
     for i, c in enumerate(cols):
         s = strip_ws(F.col(f"`{c}`"))
-        aggs += [
-            F.count(F.col(f"`{c}`")).alias(f"n{i}"),
-            F.count_if(s.rlike(INTEGER_TEXT_RE) & s.try_cast("long").isNotNull()).alias(f"i{i}"),
-            F.count_if(s.rlike(COERCIBLE_TEXT_RE)).alias(f"f{i}"),
-            F.count_if(F.col(f"`{c}`").isin(list(CSV_TRUE + CSV_FALSE))).alias(f"b{i}"),
-        ]
-    row = df.agg(*aggs).first()
+        tests[f"i{i}"] = s.rlike(INTEGER_TEXT_RE) & s.try_cast("long").isNotNull()
+        tests[f"f{i}"] = s.rlike(COERCIBLE_TEXT_RE)
+        tests[f"b{i}"] = F.col(f"`{c}`").isin(list(CSV_TRUE + CSV_FALSE))
+    head = df.select(*[t.alias(k) for k, t in tests.items()]).limit(HEAD_ROWS).collect()
+    possible = [k for k in tests if all(r[k] is not False for r in head)]  # a null cell rules out integers only
+    aggs = [F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)]]
+    row = df.agg(*aggs, *[F.count_if(tests[k]).alias(k) for k in possible]).first().asDict()
     rows = int(row["rows"])
     casts: dict[str, Column] = {}
     for i, c in enumerate(cols):
-        n, ints, floats, bools = (int(row[f"{p}{i}"]) for p in "nifb")
+        n, ints, floats, bools = (int(row.get(f"{p}{i}", 0)) for p in "nifb")
         s = strip_ws(F.col(f"`{c}`"))
         if n == 0 and rows > 0:
             casts[c] = F.lit(None).cast("double")

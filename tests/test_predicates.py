@@ -10,6 +10,7 @@ from tabletidy.functions import (
     PLACEHOLDERS,
     coerce_numeric,
     is_missing,
+    is_placeholder,
     numeric_text_ok,
     pct,
     replace_placeholders,
@@ -111,3 +112,14 @@ def test_coercion_is_detection_without_underscores(spark):
 def test_pct_rounding(spark, part, whole, expect):
     row = spark.range(1).select(pct(F.lit(part), F.lit(whole)).alias("p")).first()
     assert row["p"] == expect == (round(part / whole * 100, 2) if whole else 0.0)
+
+
+def test_strip_takes_bare_cells_as_they_are(spark):
+    """Only cells with a character to strip at an end are trimmed; all come out as str.strip() gives them."""
+    long = "a🙂\n" * 60_000
+    cells = ["", " ", "a", " a", "a ", "a\n", "\na", "a b", "a\nb", "a\r", "é", "é ", "　a　", "a ", "\x1fa", "🙂", " 🙂 ", "~", "!x~", "\x7f", "a\x00", long, long + "z", " N/A ", "N/A", " nan "]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)] + [(-1, None)], "i int, c string")
+    got = {r["i"]: (r["s"], r["p"]) for r in df.select("i", strip_ws(F.col("c")).alias("s"), is_placeholder(F.col("c")).alias("p")).collect()}
+    assert got == {-1: (None, False)} | {i: (c.strip(), c.strip().lower() in PLACEHOLDERS) for i, c in enumerate(cells)}
+    plan = df.select(strip_ws(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan.upper()

@@ -236,3 +236,48 @@ def test_history_filters_reach_the_scan(spark, scratch):
     assert "PartitionFilters: [isnotnull(ingest_date" in plan2 and recent.count() == 2
     prof = read_profiles(spark, root).where("stage = 'before'")
     assert "PartitionFilters: [isnotnull(stage" in prof._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_rows_settle_most_types(spark, monkeypatch):
+    """A type that a first row rules out isn't tested on all rows; one ruled out by the last row still is."""
+    from tabletidy.sources import files
+
+    n = 2 * files.HEAD_ROWS
+    late = lambda i, a, b: a if i < n - 1 else b
+    rows = [(str(i), late(i, "1", "x"), late(i, None, "2.5"), "?" if i == 0 else "1", late(i, "True", None), late(i, "1", "2.5"), late(i, "true", "no"), None) for i in range(n)]
+    names = ["whole", "text_at_last", "late_float", "text_at_first", "flag", "float_at_last", "flag_text", "blank"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names)).coalesce(1)
+    asked = []
+    real = files.F.count_if
+    monkeypatch.setattr(files.F, "count_if", lambda c: asked.append(c) or real(c))
+    types = dict(files.infer_csv_types(df).dtypes)
+    assert types == {"whole": "bigint", "text_at_last": "string", "late_float": "double", "text_at_first": "string", "flag": "boolean", "float_at_last": "double", "flag_text": "string", "blank": "double"}
+    # whole, text_at_last, float_at_last: two each; flag, flag_text: one each; nulls (late_float, blank): no integers
+    assert len(asked) == 3 * 2 + 2 + 2 * 2
+    empty = files.infer_csv_types(df.where("false"))
+    assert set(dict(empty.dtypes).values()) == {"string"}
+
+
+def test_landing_files_are_written_together(spark, monkeypatch, scratch):
+    """st1_landing: the single-task writes of its three files run at one time."""
+    import threading
+
+    from tabletidy import queries
+
+    together, real = threading.Barrier(3), queries.write_csv
+
+    def write(df, path):
+        together.wait(60)
+        real(df, path)
+
+    def watch(spark, landing, *_, **__):
+        raise StopIteration(landing)
+
+    monkeypatch.setattr(queries, "write_csv", write)
+    monkeypatch.setattr(queries, "watch_landing", watch)
+    monkeypatch.setattr(queries, "_scratch", lambda spark: scratch)
+    with pytest.raises(StopIteration):
+        queries.q_st1_landing(spark, "/root/testdata/sf0.001")
+    ids = [r["event_id"] for r in spark.read.option("header", True).csv(f"{scratch}/landing/*.csv").collect()]
+    want = [str(r["event_id"]) for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").collect()]
+    assert sorted(ids) == sorted(want)
